@@ -1,0 +1,26 @@
+"""Report output: JSON that is never overwritten, and Markdown tables."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def write_new(df: DataFrame, path: str) -> None:
+    """Writes JSON; refuses a path that exists. The committer makes the result appear as a whole."""
+    df.write.mode("errorifexists").json(path)
+
+
+def markdown_row(*cells: Column) -> Column:
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(c.cast("string"), F.lit("n/a")) for c in cells]), F.lit(" |"))
+
+
+def markdown_rows(df: DataFrame, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """(line): a row of a Markdown table for each row, in order."""
+    return df.orderBy(*order).select(markdown_row(*[F.col(c) for c in columns]).alias("line"))
+
+
+def percent(rate: Column) -> Column:
+    return F.when(rate.isNull(), "n/a").otherwise(F.format_string("%.1f%%", rate * 100))
