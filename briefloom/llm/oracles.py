@@ -5,10 +5,10 @@ from __future__ import annotations
 #: Distinct n-grams of each text, the pairs that share enough of them, and the smallest key reachable.
 OP1 = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
 s AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), i -> array_to_string(w[i:i+2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
   FROM d),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
@@ -21,7 +21,7 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(reached) AS component
 
 #: Brute-force cosines in double precision.
 OP2 = """
-WITH RECURSIVE v AS (SELECT vec_id, CASE WHEN len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 THEN embedding::DOUBLE[] END AS e FROM embeddings),
+WITH RECURSIVE v AS (SELECT vec_id, CASE WHEN len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 THEN embedding::DOUBLE[] END AS e FROM embeddings),
 u AS (SELECT * FROM v WHERE list_dot_product(e, e) > 0),
 l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
 r AS (SELECT vec_id, vec_id AS reached FROM v UNION SELECT r.vec_id, l.y FROM r JOIN l ON l.x = r.reached)
@@ -32,12 +32,12 @@ FROM v JOIN (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY vec_id)
 #: The first document of each window of 13 words, and the words that no later window covers.
 OP8 = r"""
 WITH d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 p AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d),
 g AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS win FROM p),
 f AS (SELECT win, min(doc_id) AS first FROM g GROUP BY win),
 b AS (SELECT doc_id, list(i) AS starts FROM g JOIN f USING (win) WHERE doc_id > first GROUP BY doc_id),
-c AS (SELECT DISTINCT doc_id, unnest(flatten(list_transform(starts, s -> range(s, s + 13)))) AS i FROM b),
+c AS (SELECT DISTINCT doc_id, unnest(flatten(list_transform(starts, lambda s: range(s, s + 13)))) AS i FROM b),
 q AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id),
 k AS (SELECT d.doc_id, d.w, unnest(range(1, len(d.w) + 1)) AS i FROM d JOIN q USING (doc_id)),
 t AS (SELECT k.doc_id, array_agg(k.w[k.i] ORDER BY k.i) AS kept FROM k LEFT JOIN c ON c.doc_id = k.doc_id AND c.i = k.i WHERE c.i IS NULL GROUP BY k.doc_id),
