@@ -171,7 +171,7 @@ def non_product_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("""
 WITH u AS (SELECT page_id, regexp_extract(url, '^([^?#]*)', 1) AS b, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS q FROM pages),
-k AS (SELECT page_id, b, list_sort(list_filter(string_split(q, '&'), p -> p <> '' AND NOT regexp_matches(p, '^(utm_|srsltid(=|$)|gclid(=|$))'))) AS ps FROM u)
+k AS (SELECT page_id, b, list_sort(list_filter(string_split(q, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_|srsltid(=|$)|gclid(=|$))'))) AS ps FROM u)
 SELECT page_id, CASE WHEN len(ps) > 0 THEN b || '?' || array_to_string(ps, '&') ELSE b END AS page_key FROM k
 """)
 def page_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
