@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .graph import connected_components
 from .storage import stash
@@ -77,37 +78,30 @@ def nodes(grams: np.ndarray, slices: Slices) -> Iterator[np.ndarray]:
         yield path if n - held.sum() > spare else path[held]
 
 
-def set_classes(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """(id, n_shingles, class) for each row; class digests the set and is null for empty sets."""
+def _sets(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
+    """One pass over the texts: a row (id, n_shingles, class) per document, and rows (id, node) of its tree nodes.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                sizes, digests = [], []
-                for grams in shingle_sets(words(part.column("text"), lower=True), n):
-                    sizes.append(len(grams))
-                    digests.append(mix(np.array([mix(grams, s).sum() for s in (3, 4)], np.uint64), len(grams) % 97).tobytes() if len(grams) else None)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], ["id", "n_shingles", "class"])
-
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id long, n_shingles long, class binary")
-
-
-def _meeting(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """(node, id): the tree nodes at which each document's set ends."""
+    class digests the set and is null for empty sets; in the rows of nodes n_shingles is null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slices = Slices(percent)
         for batch in batches:
             for part in pieces(batch, "text"):
-                found, owners = [], []
+                sizes, digests, found, owners = [], [], [], []
                 for key, grams in zip(part.column("id").to_pylist(), shingle_sets(words(part.column("text"), lower=True), n)):
-                    for at in nodes(grams, slices):
-                        found.append(at)
-                        owners.append(np.full(len(at), key, np.int64))
+                    sizes.append(len(grams))
+                    digests.append(mix(np.array([mix(grams, s).sum() for s in (3, 4)], np.uint64), len(grams) % 97).tobytes() if len(grams) else None)
+                    if key is not None:
+                        for at in nodes(grams, slices):
+                            found.append(at)
+                            owners.append(np.full(len(at), key, np.int64))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(len(sizes), pa.int64())], ["id", "n_shingles", "class", "node"])
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(found))), pa.array(np.concatenate(owners))], ["node", "id"])
+                    at = signed(np.concatenate(found))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owners)), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary()), pa.array(at)], ["id", "n_shingles", "class", "node"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null and text is not null").mapInArrow(run, "node long, id long")
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id long, n_shingles long, class binary, node long")
 
 
 class Tree:
@@ -183,27 +177,70 @@ def _spanning(pairs: Iterator[tuple[int, int]], ids: list[int], shift: int = 0)
     return out
 
 
+def _text_sets(table: pa.Table, n: int) -> list[np.ndarray]:
+    return [g for batch in table.select(["text"]).to_batches() for part in pieces(batch, "text") for g in shingle_sets(words(part.column("text"), lower=True), n)]
+
+
+def _from_first(members: DataFrame, n: int, percent: int) -> DataFrame:
+    """(id, grp, step) for members (id, text, grp, n_blocks): the distance from the group's first set, in steps of 1 - threshold.
+
+    Up to one step is a link. Only the first set is copied to all blocks, so that the work is linear in a group's size.
+    """
+    own = F.pmod(F.xxhash64("id"), F.col("n_blocks"))
+    blocks = F.when(F.col("id") == F.col("grp"), F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).otherwise(F.array(own))
+    rows = members.select("grp", "id", "text", F.explode(blocks).alias("block"))
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, sets = table.column("id").to_pylist(), _text_sets(table, n)
+        first = sets[ids.index(table.column("grp")[0].as_py())]
+        steps = []
+        for s in sets:
+            at = np.minimum(np.searchsorted(first, s), len(first) - 1)
+            shared = int((first[at] == s).sum())
+            union = len(first) + len(s) - shared
+            away, step = 100 * (union - shared), union * max(1, 100 - percent)
+            steps.append(-1 if away == 0 else (0 if away <= step else away // step))
+        return pa.table({"id": table.column("id"), "grp": table.column("grp"), "step": pa.array(steps, pa.int32())})
+
+    found = rows.groupBy("grp", "block").applyInArrow(run, "id long, grp long, step int")
+    return found.where("step >= 0")
+
+
 def _joined(members: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (u, v) inside groups of (id, text, grp, n_blocks), block against block."""
-    block = F.pmod(F.xxhash64("id"), F.col("n_blocks"))
-    rows = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
-    rows = rows.select("grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "text")
+    """Links (u, v) that connect the groups of members (id, text, grp, n_blocks).
+
+    Sets that link with their group's first need no more among themselves. Jaccard distance is a metric: other sets
+    are compared only with those whose distance from the first is about the same, that is, whose step is the same or
+    the next one; block against block.
+    """
+    steps = stash(_from_first(members, n, percent))
+    direct = steps.where("step = 0").select(F.col("id").alias("u"), F.col("grp").alias("v"))
+    cells = steps.groupBy("grp", "step").agg(F.ceil(F.count("*") / BLOCK).alias("own"))
+    along = Window.partitionBy("grp").orderBy("step")  # a few rows a group
+    beside = lambda f, by: F.when(f("step").over(along) == F.col("step") + by, f("own").over(along)).otherwise(F.lit(0)).cast("long")
+    cells = cells.select("grp", "step", "own", beside(F.lag, -1).alias("before"), beside(F.lead, 1).alias("after"))
+    cells = cells.where("step > 0 or after > 0")
+    rows = members.drop("n_blocks").join(steps.join(cells, ["grp", "step"]), ["id", "grp"])
+    block, zero, k = F.pmod(F.xxhash64("id"), F.col("own")), F.lit(0).cast("long"), F.col("step")
+    pair = lambda a, i, b, j: F.struct(a.alias("low"), i.alias("i"), b.alias("high"), j.alias("j"))
+    upto = lambda m: F.filter(F.sequence(zero, F.greatest(m, F.lit(1)) - 1), lambda x: x < m)
+    same = F.transform(upto(F.when(k > 0, F.col("own")).otherwise(zero)), lambda x: pair(k, F.least(block, x), k, F.greatest(block, x)))
+    after = F.transform(upto(F.col("after")), lambda x: pair(k, block, k + 1, x))
+    before = F.transform(upto(F.col("before")), lambda x: pair(k - 1, x, k, block))
+    rows = rows.withColumn("block", block).withColumn("p", F.explode(F.concat(same, after, before))).select("grp", "p.*", "step", "block", "id", "text")
 
     def run(table: pa.Table) -> pa.Table:
-        ids, blocks = table.column("id").to_pylist(), np.asarray(table.column("block"))
-        sets: list[list[int]] = []
-        for batch in table.select(["text"]).to_batches():
-            for part in pieces(batch, "text"):
-                sets += [g.tolist() for g in shingle_sets(words(part.column("text"), lower=True), n)]
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        one, two = np.flatnonzero(blocks == low).tolist(), np.flatnonzero(blocks == high).tolist()
-        if low == high:
-            found = _spanning(similar([sets[i] for i in one], None, percent), [ids[i] for i in one])
+        ids, sets = table.column("id").to_pylist(), [s.tolist() for s in _text_sets(table, n)]
+        low, i, high, j = (table.column(c)[0].as_py() for c in ("low", "i", "high", "j"))
+        step, block = np.asarray(table.column("step")), np.asarray(table.column("block"))
+        one, two = (np.flatnonzero((step == a) & (block == b)).tolist() for a, b in ((low, i), (high, j)))
+        if (low, i) == (high, j):
+            found = _spanning(similar([sets[x] for x in one], None, percent), [ids[x] for x in one])
         else:
-            found = _spanning(similar([sets[i] for i in one], [sets[i] for i in two], percent), [ids[i] for i in one + two], len(one))
+            found = _spanning(similar([sets[x] for x in one], [sets[x] for x in two], percent), [ids[x] for x in one + two], len(one))
         return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
 
-    return rows.groupBy("grp", "low", "high").applyInArrow(run, "u long, v long")
+    return direct.unionAll(rows.groupBy("grp", "low", "i", "high", "j").applyInArrow(run, "u long, v long"))
 
 
 def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -214,20 +251,20 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     rows with a null key, whose component_id is null. Rows that repeat a key are one vertex: whatever either links
     with, both do. Other columns are not read, so their names don't matter.
     """
-    classes = stash(set_classes(docs, key, text, n))
+    sets = stash(_sets(docs, key, text, n, percent))
+    classes, meeting = sets.where("n_shingles is not null").select("id", "n_shingles", "class"), sets.where("node is not null").select("node", "id")
     keyed = classes.where("id is not null and class is not null")
-    reps = stash(keyed.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    copy_links = keyed.join(reps.where("copies > 1"), "class").where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
-
-    shared = stash(_meeting(docs, key, text, n, percent).groupBy("node").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("node", "first"))
-    met = stash(_meeting(docs, key, text, n, percent).join(shared, "node").where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v")).distinct())
-    copies = keyed.join(reps.where("copies > 1"), "class").where("id <> rep").select("id")
-    near = connected_components(met)
-    near = near.join(copies, "id", "left_anti")  # equal sets: their first stands for all of them
+    reps = stash(keyed.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"))
+    copy_links = stash(keyed.join(reps, "class").where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")))
+
+    shared = stash(meeting.groupBy("node").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("node", "first"))
+    met = stash(meeting.join(shared, "node").where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v")).distinct())
+    near = connected_components(met).join(copy_links.select(F.col("u").alias("id")), "id", "left_anti")  # equal sets: their first stands for all of them
     sizes = near.groupBy("component").agg(F.count("*").alias("members")).where("members > 1")
     groups = stash(near.join(sizes, "component").select("id", F.col("component").alias("grp"), F.ceil(F.col("members") / BLOCK).alias("n_blocks")))
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    links = _joined(texts.join(groups, "id"), n, percent)
+    # texts always move by their key: one plan at every size
+    links = _joined(stash(texts.join(groups.hint("merge"), "id")), n, percent)
 
     components = connected_components(stash(links).unionAll(copy_links))
     out = classes.select("id", "n_shingles").join(components, "id", "left")
