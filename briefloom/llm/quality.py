@@ -2,7 +2,7 @@
 
 Evidence of a document is the sum of log odds of the features that it holds: words, their beginnings and endings, and
 the share of distinct words. Features are hashed to a fixed number of buckets; only those with clear odds in a bounded
-sample of labelled rows count. A logistic curve turns evidence into a probability. Labelled outcomes are grouped by
+sample of labelled rows count. A logistic curve turns evidence for and against into a probability. Labelled outcomes are grouped by
 host and by path within host; a path's rate is shrunk toward its host's, a host's toward the global one, by
 beta-binomial priors whose strength is estimated from the spread of rates. A document's log odds and those of its site
 (relative to the global rate) add up.
@@ -57,28 +57,34 @@ class Weights:
 
     def __init__(self, odds: np.ndarray):
         self.odds = odds.astype(np.float32)
-        self.curve = np.tile([1.0, 0.0], (len(TARGETS), 1))
+        self.curve = np.tile([1.0, 1.0, 0.0], (len(TARGETS), 1))
 
     def evidence(self, texts: pa.Array) -> np.ndarray:
-        w = words(texts, lower=False)
-        doc, bucket = features(w)
-        return np.stack([np.bincount(doc, o[bucket], len(texts)) for o in self.odds])
+        """(target, 2, text): roots of the sums of log odds for the target, and of those against it.
+
+        Kept apart, so that a few clear signs aren't drowned by the many plain words of a long text.
+        """
+        doc, bucket = features(words(texts, lower=False))
+        parts = [np.maximum(o[bucket], 0) for o in self.odds for o in (o, -o)]
+        return np.sqrt(np.stack([np.bincount(doc, x, len(texts)) for x in parts])).reshape(len(TARGETS), 2, -1)
 
     def log_odds(self, evidence: np.ndarray) -> np.ndarray:
-        return evidence * self.curve[:, :1] + self.curve[:, 1:]
+        """Weighted evidence for less weighted evidence against; without evidence the sample's base rate."""
+        return evidence[:, 0] * self.curve[:, :1] - evidence[:, 1] * self.curve[:, 1:2] + self.curve[:, 2:]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (not negative) and intercept of a ridge logistic curve, by Newton's method."""
-    scale = max(1e-9, float(np.abs(x).max(initial=0)))
-    z, b = np.stack([x / scale, np.ones(len(x))], axis=1), np.zeros(2)
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slopes (not negative) of evidence for and against, by Newton's method with a ridge; the intercept is the base rate's log odds."""
+    base = (y.sum() + 0.5) / (len(y) + 1)
+    intercept, b = float(np.log(base / (1 - base))), np.zeros(2)
+    z = np.stack([x[:, 0], -x[:, 1]], axis=1)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag([0.01, 0.001]), z.T @ (y - p) - np.array([0.01, 0.001]) * b)
-        b = b + np.clip(step, -5, 5)
+        p = 1 / (1 + np.exp(-np.clip(z @ b + intercept, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.01 * np.eye(2), z.T @ (y - p) - 0.01 * b)
+        b = np.maximum(b + np.clip(step, -5, 5), 0)
         if np.abs(step).max() < 1e-6:
             break
-    return max(0.0, float(b[0] / scale)), float(b[1])
+    return np.array([*b, intercept])
 
 
 def _marked(docs: DataFrame, labels: DataFrame, key: str, text: str) -> DataFrame:
@@ -115,24 +121,25 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     model = Weights(odds)
     shown = _evidence(rows.select("id", "text", *TARGETS), model, list(TARGETS)).toPandas()  # SAMPLE rows, numbers only
     for k, t in enumerate(TARGETS):
-        model.curve[k] = _logistic(shown[f"{t}_evidence"].to_numpy(float), shown[t].to_numpy(float))
+        model.curve[k] = _logistic(shown[[f"{t}_for", f"{t}_against"]].to_numpy(float), shown[t].to_numpy(float))
     return model
 
 
 def _evidence(rows: DataFrame, model: Weights, also: list[str]) -> DataFrame:
-    """Adds {target}_evidence and {target}_logit to the columns ``also`` and id."""
+    """Adds {target}_for, {target}_against and {target}_logit to the columns ``also`` and id."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
     kept = ["id", *also]
+    names = [*(f"{t}_{x}" for t in TARGETS for x in ("for", "against")), *(f"{t}_logit" for t in TARGETS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
                 e = shared.value.evidence(part.column("text"))
                 logits = shared.value.log_odds(e)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *map(pa.array, e), *map(pa.array, logits)], [*kept, *(f"{t}_evidence" for t in TARGETS), *(f"{t}_logit" for t in TARGETS)])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *map(pa.array, e.reshape(2 * len(TARGETS), -1)), *map(pa.array, logits)], [*kept, *names])
 
     types = dict(rows.dtypes)
-    schema = ", ".join([f"{c} {types[c]}" for c in kept] + [f"{t}_{x} double" for x in ("evidence", "logit") for t in TARGETS])
+    schema = ", ".join([f"{c} {types[c]}" for c in kept] + [f"{n} double" for n in names])
     return rows.select(*kept, "text").mapInArrow(run, schema)
 
 
@@ -155,7 +162,7 @@ def site_posteriors(outcomes: DataFrame, target: str) -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", host: Column | str = "source", path: Column | str = "lang", threshold: float = 0.5) -> DataFrame:
-    """(``key``, p_bad, p_toxic, bad_evidence, toxic_evidence, bad_shift, toxic_shift, keep) for each row of ``docs``.
+    """(``key``, p_bad, p_toxic, bad_logit, toxic_logit, bad_shift, toxic_shift, keep) for each row of ``docs``: evidence, sites, and both.
 
     A row is kept if both probabilities are under the threshold. Null and empty texts have only the evidence of being
     empty; a site without labelled rows has shift 0; without labels all probabilities are low and all rows stay.
@@ -171,7 +178,7 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         scored = scored.join(site, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")), "left").drop("h", "p").fillna(0.0, [f"{t}_shift"])
         scored = scored.withColumn(f"p_{t}", 1 / (1 + F.exp(-(F.col(f"{t}_logit") + F.col(f"{t}_shift")))))
     keep = (F.col("p_bad") < threshold) & (F.col("p_toxic") < threshold)
-    return scored.select(F.col("id").alias(key), "p_bad", "p_toxic", "bad_evidence", "toxic_evidence", "bad_shift", "toxic_shift", keep.alias("keep"))
+    return scored.select(F.col("id").alias(key), "p_bad", "p_toxic", "bad_logit", "toxic_logit", "bad_shift", "toxic_shift", keep.alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", **options) -> DataFrame:
