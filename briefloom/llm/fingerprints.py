@@ -86,19 +86,27 @@ def fingerprint(s: Column) -> Column:
     return F.lower(F.array_join(F.transform(s, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
+#: Stands for a null key: under all others, so that plain joins and groupings hold for it too.
+_NULL = -(2**63) - 1
+
+
+def _held(key: Column) -> Column:
+    return F.coalesce(key.cast("long").cast("decimal(20,0)"), F.lit(str(_NULL)).cast("decimal(20,0)"))
+
+
 def followers(docs: DataFrame) -> DataFrame:
-    """(id, next_id) in descending order of id, null last; the first follows the last. Whole order without one sorted partition."""
+    """(id, next_id) in descending order of id; the first follows the last. Whole order without one sorted partition."""
     ids = docs.groupBy("id").agg(F.lit(1).alias("one")).select("id")
     parts = max(1, ids.sparkSession.sparkContext.defaultParallelism * 4)
-    dealt = stash(ids.repartitionByRange(parts, F.col("id").desc_nulls_last()).withColumn("part", F.spark_partition_id()))
-    inner = dealt.withColumn("next_id", F.lead("id").over(Window.partitionBy("part").orderBy(F.col("id").desc_nulls_last())))
-    inner = inner.withColumn("at_end", F.row_number().over(Window.partitionBy("part").orderBy(F.col("id").asc_nulls_first())) == 1)
-    heads = dealt.groupBy("part").agg(F.max_by("id", F.coalesce("id", F.lit(-(2**63)))).alias("head"))
+    dealt = stash(ids.repartitionByRange(parts, F.col("id").desc()).withColumn("part", F.spark_partition_id()))
+    along = Window.partitionBy("part").orderBy(F.col("id").desc())
+    inner = dealt.withColumn("inner_id", F.lead("id").over(along))
+    heads = dealt.groupBy("part").agg(F.max("id").alias("head"))
     # one row per partition
     order = Window.orderBy("part")
-    heads = heads.select("part", F.lead("head").over(order).alias("later"), F.first("head").over(order).alias("top"), F.lead("part").over(order).isNull().alias("wraps"))
-    heads = heads.select("part", F.when(F.col("wraps"), F.col("top")).otherwise(F.col("later")).alias("head"))
-    return inner.join(heads, "part").select("id", F.when(F.col("at_end"), F.col("head")).otherwise(F.col("next_id")).alias("next_id"))
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = heads.select("part", F.coalesce(F.lead("head").over(order), F.first("head").over(every)).alias("later"))
+    return inner.join(heads, "part").select("id", F.coalesce("inner_id", "later").alias("next_id"))
 
 
 def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = SHINGLE, k: int = K) -> DataFrame:
@@ -109,18 +117,16 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     for the key as the next document; each row keeps a row of its own. A null key comes last in the order. An only
     document follows itself. Columns beside ``key`` and ``text`` are not read.
     """
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    lengths = texts.groupBy("id").agg(F.max(F.floor(F.length("text") / 3)).alias("need"))
-    wanted = followers(texts).join(lengths.withColumnRenamed("id", "i"), F.col("id").eqNullSafe(F.col("i"))).drop("i")
-    wanted = stash(wanted)
-    begin = wanted.join(texts.select(F.col("id").alias("i"), F.col("text").alias("next")), F.col("next_id").eqNullSafe(F.col("i")))
-    sketched = begin.select("id", F.substring("next", F.lit(1), F.col("need").cast("int")).alias("head"), sketch(F.col("next"), n, k).alias("next_sketch"), "next")
-    sketched = sketched.select("id", F.struct("head", "next_sketch").alias("follow"))
-    sketched = sketched.groupBy("id").agg(F.min("follow").alias("follow"))
-    rows = texts.join(sketched.withColumnRenamed("id", "i"), F.col("id").eqNullSafe(F.col("i"))).drop("i")
+    texts = docs.select(_held(F.col(key)).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    lengths = texts.groupBy("id").agg(F.max(F.floor(F.length("text") / 3)).cast("int").alias("need"))
+    wanted = stash(followers(texts).join(lengths, "id").select(F.col("id").alias("for"), F.col("next_id").alias("id"), "need"))
+    # what the next document gives, at its own place: its beginning and its sketch; only these move on
+    given = texts.join(wanted, "id").select("for", F.struct(F.substring("text", F.lit(1), F.col("need")).alias("head"), sketch(F.col("text"), n, k).alias("sketch")).alias("follow"))
+    given = given.groupBy(F.col("for").alias("id")).agg(F.min("follow").alias("follow"))
+    rows = texts.join(given, "id")
     chars = F.length("text")
     rows = rows.withColumn("n_chars", chars.cast("long")).withColumn("cut", F.floor(chars / 3).cast("int"))
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - F.col("cut")), F.substring("follow.head", F.lit(1), F.col("cut")))
     rows = rows.withColumn("edited", edited)
-    rows = rows.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("text"), n, k).alias("own"), sketch(F.col("edited"), n, k).alias("other"), F.col("follow.next_sketch").alias("after"))
-    return rows.select(F.col("id").alias(key), "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("other")).alias("edited_fingerprint"), resemblance(F.col("own"), F.col("other"), k).alias("near_edited"), resemblance(F.col("own"), F.col("after"), k).alias("near_next"))
+    rows = rows.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("text"), n, k).alias("own"), sketch(F.col("edited"), n, k).alias("other"), F.col("follow.sketch").alias("after"))
+    return rows.select(F.when(F.col("id") > F.lit(str(_NULL)).cast("decimal(20,0)"), F.col("id").cast("long")).alias(key), "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("other")).alias("edited_fingerprint"), resemblance(F.col("own"), F.col("other"), k).alias("near_edited"), resemblance(F.col("own"), F.col("after"), k).alias("near_next"))
