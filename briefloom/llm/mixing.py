@@ -39,20 +39,20 @@ def targets(sizes: DataFrame, weights: Sequence[float], cap: float) -> DataFrame
     at = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
     rows = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (at + 1).cast("int")))
     full = cap * F.col("source_size")
-    rows = rows.withColumn("level", full / F.col("weight"))
+    rows = rows.withColumn("level", F.try_divide(full, F.col("weight")))
     every, up = Window.partitionBy(), Window.orderBy("level").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     total = F.sum("source_size").over(every)
     filled = F.sum(full).over(up) + F.col("level") * (F.sum("weight").over(every) - F.sum("weight").over(up))
     rows = rows.withColumn("total", total).withColumn("capped", filled <= total)
     rest = F.col("total") - F.sum(F.when(F.col("capped"), full).otherwise(0.0)).over(every)
-    share = rest * F.col("weight") / F.sum(F.when(F.col("capped"), 0.0).otherwise(F.col("weight"))).over(every)
+    share = F.try_divide(rest * F.col("weight"), F.sum(F.when(F.col("capped"), 0.0).otherwise(F.col("weight"))).over(every))
     return rows.withColumn("target", F.when(F.col("capped"), full).otherwise(F.least(full, share))).drop("weight", "level", "total", "capped")
 
 
 def _ranked(docs: DataFrame) -> DataFrame:
     """Adds ``whole`` copies and ``rank``, the Pareto rank mapped to 0..1; needs size, id, merit and the source's row."""
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    part = (rate - F.floor(rate)) * F.col("merit") * F.col("source_size") / F.col("weighed")
+    rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
+    part = F.try_divide((rate - F.floor(rate)) * F.col("merit") * F.col("source_size"), F.col("weighed"))
     part = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.coalesce(part, F.lit(0.0))))
     u = uniform(F.col("id"))
     ranks = (u / (1 - u)) / (part / (1 - part))
@@ -64,7 +64,8 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", te
 
     merit (> 0, default 1) makes inclusion unequal within a source: odds follow merit. Null text: size 0. A null source
     is a source of its own. Rows with one key (or null keys) share their random number and are taken alike. An empty
-    table gives an empty result; a source without words has target 0 and copies 0. Extra columns are carried along.
+    table gives an empty result; a source without words has target 0 and copies 0. Extra columns are
+    carried along, also those with the names of added ones, which come last.
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
     col = lambda name: F.col(names[docs.columns.index(name)])
@@ -99,5 +100,6 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", te
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows that the mix takes, each as often as it is taken, with the columns of ``docs``."""
-    rows = mix_sources(docs.toDF(*docs.columns), **options)
-    return rows.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = mix_sources(docs, **options).toDF(*names, "size", "source_size", "target", "copies", "taken")
+    return rows.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*names).toDF(*docs.columns)

@@ -75,7 +75,7 @@ class Weights:
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Slopes (not negative) of evidence for and against, by Newton's method with a ridge; the intercept is the base rate's log odds."""
-    base = (y.sum() + 0.5) / (len(y) + 1)
+    base = (y.sum() + 0.5) / (len(y) + 10)
     intercept, b = float(np.log(base / (1 - base))), np.zeros(2)
     z = np.stack([x[:, 0], -x[:, 1]], axis=1)
     for _ in range(50):

@@ -41,7 +41,7 @@ def test_repeated_keys_and_empty_table(spark):
     docs = [(1, "a b c", "", 0), (1, "d e f", "", 0), (2, "g h i", "", 0)]
     rows = fp.edited_fingerprints(spark.createDataFrame(docs, SCHEMA)).collect()
     assert sorted(r["doc_id"] for r in rows) == [1, 1, 2]
-    assert next(r for r in rows if r["doc_id"] == 2)["edited_sha256"] == hashlib.sha256(b"g ha").hexdigest()
+    assert next(r for r in rows if r["doc_id"] == 2)["edited_sha256"] == hashlib.sha256(b"g h a").hexdigest()
     assert fp.edited_fingerprints(spark.createDataFrame([], SCHEMA)).count() == 0
     only = fp.edited_fingerprints(spark.createDataFrame(docs[2:], SCHEMA)).first()
     assert only["near_next"] == 1.0
