@@ -126,7 +126,7 @@ _INCH, _FOOT, _N = r'(?:inches|inch|in\.?|")', r"(?:feet|foot|ft\.?)", r"(\d+(?:
 SIZE_PATTERNS = (
     (rf"\b{_MAX}\s*{_N}\s*{_INCH}\s*(?:{_DIMENSIONS})?\b", 1, 2, "width", "max", "in", False),
     (rf"\b{_MIN}\s*{_N}\s*{_INCH}\s*(?:{_DIMENSIONS})?\b", 1, 2, "width", "min", "in", False),
-    (rf"\b{_DIMENSIONS}\s*(?:{_MAX})?\s*{_N}\s*{_INCH}\b", 2, 0, "width", "max", "in", False),
+    (rf"\b{_DIMENSIONS}\s*(?:{_MAX})?\s*{_N}\s*{_INCH}\b", 2, 1, "width", "max", "in", False),
     (rf"\b{_MAX}\s*{_N}\s*[-\s]*{_FOOT}\s*(?:length|long)?\b", 1, 0, "length", "max", "ft", False),
     (rf"\b{_MIN}\s*{_N}\s*[-\s]*{_FOOT}\s*(?:length|long)?\b", 1, 0, "length", "min", "ft", False),
     (rf"\b(?:length|long)\s*(?:{_MIN})?\s*{_N}\s*[-\s]*{_FOOT}\b", 1, 0, "length", "min", "ft", True),
@@ -134,6 +134,21 @@ SIZE_PATTERNS = (
 )
 
 
+def _size_of(dimension: int, default: str, operator: str, unit: str, short: bool):
+    """Struct of one match (v: amount, d: word of the dimension)."""
+
+    def one(x: Column) -> Column:
+        word = F.lower(x["d"]) if dimension else F.lit("")
+        kind = F.when(word.isin("depth", "deep"), "depth").when(word.isin("height", "high", "tall"), "height").when(word.isin("width", "wide"), "width").when(word.isin("length", "long"), "length").otherwise(default)
+        value = x["v"].cast("double")
+        shown = F.concat(F.regexp_replace(value.cast("string"), r"\.0$", ""), F.lit(" ft" if unit == "ft" else " inches"))
+        bound = F.lit(": under " if operator == "max" else ": at least ")
+        label = F.concat(F.initcap(kind), F.when(F.lit(short) & (kind == "length"), F.lit(": ")).otherwise(bound), shown)
+        return F.struct(kind.alias("dimension"), F.lit(operator).alias("operator"), F.lit(unit).alias("unit"), value.alias("value"), label.alias("label"))
+
+    return one
+
+
 def size_constraints(rows: DataFrame, text: str, strict: bool = False) -> DataFrame:
     """Adds ord, dimension, operator, unit, value, label: a row per size that a text asks for.
 
@@ -145,21 +160,8 @@ def size_constraints(rows: DataFrame, text: str, strict: bool = False) -> DataFr
         lead = r"(?<!\b(?:sq|square|cu|cubic)\s{0,4})" if unit == "ft" else ""
         full = F.lit(rf"(?i){lead}{pattern}")
         values = F.regexp_extract_all(F.col(text), full, F.lit(amount))
-        # in the third pattern the dimension stands first, and is read from there
         named = F.regexp_extract_all(F.col(text), full, F.lit(dimension or 1))
-
-        def one(x: Column, default: str = default, operator: str = operator, unit: str = unit, short: bool = short, dimension: int = dimension, amount: int = amount) -> Column:
-            word = F.lower(x["d"]) if dimension or amount == 2 else F.lit("")
-            if amount == 2:
-                word = F.lit("")  # a dimension before its amount isn't read: the default stands
-            kind = F.when(word.isin("depth", "deep"), "depth").when(word.isin("height", "high", "tall"), "height").when(word.isin("width", "wide"), "width").when(word.isin("length", "long"), "length").otherwise(default)
-            value = x["v"].cast("double")
-            shown = F.concat(F.regexp_replace(value.cast("string"), r"\.0$", ""), F.lit(" ft" if unit == "ft" else " inches"))
-            bound = F.lit(": under " if operator == "max" else ": at least ")
-            label = F.concat(F.initcap(kind), F.when(F.lit(short) & (kind == "length"), F.lit(": ")).otherwise(bound), shown)
-            return F.struct(kind.alias("dimension"), F.lit(operator).alias("operator"), F.lit(unit).alias("unit"), value.alias("value"), label.alias("label"))
-
-        arrays.append(F.transform(F.arrays_zip(values.alias("v"), named.alias("d")), one))
+        arrays.append(F.transform(F.arrays_zip(values.alias("v"), named.alias("d")), _size_of(dimension, default, operator, unit, short)))
     found = F.filter(F.concat(*arrays), lambda x: x["value"] > 0)
     if strict:
         found = F.filter(found, lambda x: ~((x["operator"] == "min") & F.exists(found, lambda y: (y["operator"] == "max") & (y["value"] == x["value"]) & (y["unit"] == x["unit"]))))

@@ -26,9 +26,9 @@ def _numeric(text: Column, spec: Spec, source: str) -> list[Column]:
     """For each pattern an array of constraints, one per match, in order."""
     out = []
     for at, matcher in enumerate(spec.matchers):
-        # the text before a match is captured by a look-behind of fixed length, or from the beginning
-        pattern = F.lit(rf"(?is)(?<=(.{{{LOOK_BACK}}}|^.{{0,{LOOK_BACK - 1}}}))({matcher})")
-        parts = [F.regexp_extract_all(text, pattern, F.lit(i)) for i in (1, 2, 3)]
+        # where the matcher holds, a look-behind of fixed length, or from the beginning, captures the text before
+        pattern = F.lit(rf"(?is)(?={matcher})(?<=(.{{{LOOK_BACK}}}|^.{{0,{LOOK_BACK - 1}}}))({matcher})")
+        parts = [F.regexp_extract_all(text, pattern, F.lit(i)) for i in (2, 3, 4)]
 
         def one(x: Column, at: int = at) -> Column:
             before = F.regexp_replace(x["0"], rf"(?i)(?:{MIN_WORDS[3:-1]}|{MAX_WORDS[3:-1]})\s+\$[\d,]+", "")

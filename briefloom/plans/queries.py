@@ -37,7 +37,7 @@ _SOME_SPECS = tuple(s for s in D.SPECS if s.id in ("cfm", "weightLb", "noiseDb",
 
 
 def _brief(part: DataFrame) -> DataFrame:
-    return part.select("p_partkey", F.expr("concat('must have at least ', p_size * 10 + 10, ' CFM, under ', p_size, ' lbs, ', 40 + p_size % 30, ' dB and ', 60 + p_size, '+ hz')").alias("brief"))
+    return part.select("p_partkey", F.expr("concat('must have at least ', p_size * 10 + 10, ' CFM of air that it moves all day long, under ', p_size, ' lbs, ', 40 + p_size % 30, ' dB and ', 60 + p_size, '+ hz')").alias("brief"))
 
 
 def _title(part: DataFrame) -> DataFrame:
