@@ -4,8 +4,9 @@ The n-grams of a set are 64-bit hashes in ascending order, the global order. The
 width; a set's n-grams within a slice are a path of that slice's prefix tree, and sets that hold the same n-grams
 there end in the same node. Two sets of Jaccard resemblance t or more, both of at most b n-grams, differ in at most
 D = 2b (1 - t) / (1 + t) n-grams, so of more than D slices one has no difference: only sets that meet in a node of
-some tree can be linked. Size bands keep b close to the sizes at hand. Sets that meet are put together (components
-over nodes) and joined inside with a prefix tree over whole sets: a traversal carries the overlap so far for all sets
+some tree can be linked. Size bands keep b close to the sizes at hand. Sets that meet are compared by parity sketches,
+which bound their difference from below, so that unrelated sets that share a passage are told apart without their
+texts. Those left are put together (components) and joined inside with a prefix tree over whole sets: a traversal carries the overlap so far for all sets
 below a node and leaves a subtree as soon as the remaining lengths can't bring it to the needed overlap.
 
 Equal sets are collapsed first and stay out of the search; a class is represented by its smallest id.
@@ -31,6 +32,8 @@ from .text_arrays import mix, pieces, shingle_sets, signed, words
 BAND = 1.5
 #: Sets that meet one task in the verifying join; larger groups are cut into pairs of such blocks.
 BLOCK = 192
+#: Sketches of a node that meet one task; larger nodes are cut into pairs of such blocks. Nodes are dealt to so many groups.
+MEET, DEAL = 1024, 1024
 
 
 class Slices:
@@ -49,6 +52,9 @@ class Slices:
         """The set's own band and those of larger sets that can still resemble it."""
         return range(self.band(size), self.band(size * 100 // self.percent) + 1)
 
+    def largest(self, band: int) -> int:
+        return self._cuts[band + 1] - 1
+
     def count(self, band: int) -> tuple[int, int]:
         """(slices, spare ones): more slices than differences, plus spares for slices that are empty by chance."""
         low, high = self._cuts[band] * self.percent / 100, self._cuts[band + 1] - 1
@@ -61,8 +67,8 @@ class Slices:
         return worst + 1 + spare, spare
 
 
-def nodes(grams: np.ndarray, slices: Slices) -> Iterator[np.ndarray]:
-    """Hashes of the tree nodes at which a set ends. Nodes of empty slices count only if there are more than the spares."""
+def nodes(grams: np.ndarray, slices: Slices) -> Iterator[tuple[int, np.ndarray]]:
+    """(band, hashes of the tree nodes at which a set ends). Nodes of empty slices count only if there are more than the spares."""
     if not len(grams):
         return
     sums = np.zeros(len(grams) + 1, np.uint64)
@@ -74,34 +80,84 @@ def nodes(grams: np.ndarray, slices: Slices) -> Iterator[np.ndarray]:
         # slice of a hash: its upper half times n, upper half of the product
         cut = np.searchsorted((grams >> np.uint64(32)) * np.uint64(n) >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
         held = np.diff(cut) > 0
-        path = mix(sums[cut[1:]] - sums[cut[:-1]] + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), 1000 + band)
-        yield path if n - held.sum() > spare else path[held]
+        path = mix(sums[cut[1:]] - sums[cut[:-1]] + np.arange(n, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), 1000 + band)
+        yield band, path if n - held.sum() > spare else path[held]
+
+
+def parity(grams: np.ndarray, band: int, slices: Slices) -> bytes:
+    """The set's size and, for two bits per n-gram, whether an odd number of n-grams falls on each bit.
+
+    Sets of one band whose bits differ in d places differ in d n-grams at least.
+    """
+    n = 64 * math.ceil(slices.largest(band) / 32)
+    bits = np.bincount((mix(grams, 5000 + band) % np.uint64(n)).astype(np.int64), minlength=n) & 1
+    return len(grams).to_bytes(8, "little") + np.packbits(bits.astype(np.uint8)).tobytes()
 
 
 def _sets(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """One pass over the texts: a row (id, n_shingles, class) per document, and rows (id, node) of its tree nodes.
+    """One pass over the texts, with three kinds of rows.
 
-    class digests the set and is null for empty sets; in the rows of nodes n_shingles is null.
+    (id, n_shingles, class) per document, where class digests the set and is null for empty sets; (id, band, node) per
+    tree node; (id, band, sketch) per size band. What a kind hasn't is null.
     """
+    names, kinds = ["id", "n_shingles", "class", "band", "node", "sketch"], [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary()]
+
+    def batch_of(size: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(size, k) for c, k in zip(names, kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slices = Slices(percent)
         for batch in batches:
             for part in pieces(batch, "text"):
-                sizes, digests, found, owners = [], [], [], []
+                sizes, digests, found, sketches = [], [], [], []
                 for key, grams in zip(part.column("id").to_pylist(), shingle_sets(words(part.column("text"), lower=True), n)):
                     sizes.append(len(grams))
                     digests.append(mix(np.array([mix(grams, s).sum() for s in (3, 4)], np.uint64), len(grams) % 97).tobytes() if len(grams) else None)
                     if key is not None:
-                        for at in nodes(grams, slices):
-                            found.append(at)
-                            owners.append(np.full(len(at), key, np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(len(sizes), pa.int64())], ["id", "n_shingles", "class", "node"])
+                        for band, at in nodes(grams, slices):
+                            found.append((np.full(len(at), key, np.int64), np.full(len(at), band, np.int32), at))
+                            sketches.append((key, band, parity(grams, band, slices)))
+                yield batch_of(len(sizes), **{"id": part.column("id"), "n_shingles": sizes, "class": digests})
                 if found:
-                    at = signed(np.concatenate(found))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owners)), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary()), pa.array(at)], ["id", "n_shingles", "class", "node"])
+                    ids, bands, at = (np.concatenate(x) for x in zip(*found))
+                    yield batch_of(len(at), id=ids, band=bands, node=signed(at))
+                    yield batch_of(len(sketches), **dict(zip(("id", "band", "sketch"), zip(*sketches))))
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id long, n_shingles long, class binary, node long")
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id long, n_shingles long, class binary, band int, node long, sketch binary")
+
+
+def _alike(met: DataFrame, percent: int) -> DataFrame:
+    """Edges (u, v) between ids that meet in a node and whose sketches don't rule a link out: a forest of them per node.
+
+    met: (node, band, id, sketch). Nodes are dealt by hash, large ones in pairs of blocks.
+    """
+    hot = stash(met.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > MEET).select("node", F.ceil(F.col("n") / MEET).alias("blocks")))
+    zero = F.lit(0).cast("long")
+    rows = met.join(hot, "node", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("id"), "blocks"), zero))
+    others = F.coalesce(F.sequence(zero, F.col("blocks") - 1), F.array(zero))
+    deal = F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("node"), F.lit(DEAL))).otherwise(F.col("node"))
+    rows = rows.withColumn("deal", deal).withColumn("other", F.explode(others)).select("deal", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "band", "id", "sketch")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by([("node", "ascending"), ("band", "ascending"), ("id", "ascending")])
+        band, node, ids, raw = np.asarray(table.column("band")), np.asarray(table.column("node")), np.asarray(table.column("id")), table.column("sketch").to_pylist()
+        edges, found = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (band[1:] != band[:-1]), True]), []
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            x = np.frombuffer(b"".join(raw[lo:hi]), np.uint64).reshape(hi - lo, -1)
+            sizes, bits, label = x[:, 0].astype(np.int64), x[:, 1:], np.arange(hi - lo)
+            for i in range(hi - lo - 1):
+                rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+                if len(rest):
+                    apart = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                    near = rest[apart * (100 + percent) <= (100 - percent) * (sizes[rest] + sizes[i])]
+                    if len(near):
+                        label[np.isin(label, label[near])] = label[i]
+            moved = np.flatnonzero(label != np.arange(hi - lo))
+            found.append((ids[lo:hi][moved], ids[lo:hi][label[moved]]))
+        u, v = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"u": u, "v": v}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+
+    return rows.groupBy("deal", "low", "high").applyInArrow(run, "u long, v long")
 
 
 class Tree:
@@ -252,14 +308,16 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     with, both do. Other columns are not read, so their names don't matter.
     """
     sets = stash(_sets(docs, key, text, n, percent))
-    classes, meeting = sets.where("n_shingles is not null").select("id", "n_shingles", "class"), sets.where("node is not null").select("node", "id")
+    classes, meeting = sets.where("n_shingles is not null").select("id", "n_shingles", "class"), sets.where("node is not null").select("node", "band", "id")
     keyed = classes.where("id is not null and class is not null")
     reps = stash(keyed.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"))
     copy_links = stash(keyed.join(reps, "class").where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")))
+    copies = copy_links.select(F.col("u").alias("id")).distinct()  # equal sets: their first stands for all of them
 
-    shared = stash(meeting.groupBy("node").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("node", "first"))
-    met = stash(meeting.join(shared, "node").where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v")).distinct())
-    near = connected_components(met).join(copy_links.select(F.col("u").alias("id")), "id", "left_anti")  # equal sets: their first stands for all of them
+    shared = stash(meeting.groupBy("node").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("node"))
+    met = stash(meeting.join(shared, "node").join(copies, "id", "left_anti"))
+    sketches = sets.where("sketch is not null").select("id", "band", "sketch")
+    near = connected_components(stash(_alike(met.join(sketches, ["id", "band"]), percent)))
     sizes = near.groupBy("component").agg(F.count("*").alias("members")).where("members > 1")
     groups = stash(near.join(sizes, "component").select("id", F.col("component").alias("grp"), F.ceil(F.col("members") / BLOCK).alias("n_blocks")))
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
