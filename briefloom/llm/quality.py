@@ -36,16 +36,20 @@ def _byte_hashes(w: Words, start: np.ndarray, end: np.ndarray, salt: int) -> np.
     return mix((sums[end] - sums[start]) * _powers(base.inverse, len(w.data) + 1)[start], salt)
 
 
-def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(document, feature) pairs, distinct and in order of documents."""
+def features(w: Words, useful: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(document, feature) pairs, distinct and in order of documents; only useful features, if these are given."""
     kinds = [_byte_hashes(w, w.start, w.end, 201), _byte_hashes(w, w.start, np.minimum(w.start + 5, w.end), 202), _byte_hashes(w, np.maximum(w.end - 2, w.start), w.end, 203)]
     n = len(w.bounds) - 1
     doc = np.concatenate([w.doc] * 3) if len(w.doc) else np.zeros(0, np.int64)
     bucket = (np.concatenate(kinds) % np.uint64(FEATURES)).astype(np.int64) if len(w.doc) else np.zeros(0, np.int64)
+    if useful is not None:
+        held = useful[bucket]
+        doc, bucket = doc[held], bucket[held]
     pairs = np.unique(doc * FEATURES + bucket)
     # share of distinct words, in eighths
     counts = np.diff(w.bounds)
-    distinct = np.bincount(np.unique(np.stack([w.doc, kinds[0].view(np.int64)]), axis=1)[0], minlength=n) if len(w.doc) else np.zeros(n, np.int64)
+    first = np.unique(mix(kinds[0] ^ mix(w.doc.astype(np.uint64), 205)), return_index=True)[1]
+    distinct = np.bincount(w.doc[first], minlength=n)
     share = np.minimum(8 * distinct // np.maximum(counts, 1), 7) + 10 * np.minimum(np.log2(np.maximum(counts, 1)).astype(np.int64), 12)
     style = mix(share.astype(np.uint64), 204) % np.uint64(FEATURES)
     pairs = np.unique(np.concatenate([pairs, np.arange(n) * FEATURES + style.astype(np.int64)]))
@@ -64,7 +68,7 @@ class Weights:
 
         Kept apart, so that a few clear signs aren't drowned by the many plain words of a long text.
         """
-        doc, bucket = features(words(texts, lower=False))
+        doc, bucket = features(words(texts, lower=False), (self.odds != 0).any(axis=0))
         parts = [np.maximum(o[bucket], 0) for o in self.odds for o in (o, -o)]
         return np.sqrt(np.stack([np.bincount(doc, x, len(texts)) for x in parts])).reshape(len(TARGETS), 2, -1)
 
