@@ -45,9 +45,9 @@ def meaning(c: Column) -> Column:
     """Evidence text: straight quotes, units as ``ft`` and ``in``, no hyphens."""
     c = F.translate(F.lower(c), "‘’“”", "''\"\"")
     c = F.replace(c, F.lit("&"), F.lit(" and "))
-    c = F.regexp_replace(c, r"(\d+(?:\.\d+)?)\s*-?\s*(?:feet|foot|ft\.?)\b", "$1 ft")
-    c = F.regexp_replace(c, r"(\d+(?:\.\d+)?)\s*-?\s*(?:inches|inch|in\.?)\b", "$1 in")
-    c = F.regexp_replace(c, r"\bk-cup\b", "k cup")
+    c = F.regexp_replace(c, r"(\d)\s*(?:feet|foot|ft\.)\b", "$1 ft")
+    c = F.regexp_replace(c, r"(\d)\s*(?:inches|inch|in\.)\b", "$1 in")
+    c = F.regexp_replace(c, r"\bk[\s-]?cup\b", "k cup")
     c = F.regexp_replace(c, "[-_/]+", " ")
     return squeezed(F.regexp_replace(c, r"""[^a-z0-9$.'"\s]+""", " "))
 
@@ -63,7 +63,7 @@ def title_case(c: Column) -> Column:
 def singular(c: Column) -> Column:
     """One word: -ies to -y, -sses to -ss, longer words lose -s."""
     return (
-        F.when(c.rlike("^.+ies$"), F.regexp_replace(c, "ies$", "y")).when(c.rlike("sses$"), F.regexp_replace(c, "es$", ""))
+        F.when(F.endswith(c, F.lit("ies")), F.regexp_replace(c, "ies$", "y")).when(c.rlike("sses$"), F.regexp_replace(c, "es$", ""))
         .when((F.length(c) > 3) & F.endswith(c, F.lit("s")), F.regexp_replace(c, "s$", "")).otherwise(c)
     )
 
