@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import dictionaries as D
-from .text import compact, js_round, meaning, plain, requirement, strip
+from .text import bound, compact, js_round, meaning, plain, requirement, strip
 
 _AMOUNT = r"([\d,]+(?:\.\d+)?)"
 _UNITS = r'inches|inch|in\.?|"|feet|foot|ft\.?|pounds?|lbs?|lb\.?|ounces?|oz\.?|kilograms?|kg|grams?|g|centimeters?|cm|millimeters?|mm|hours?|hrs?|minutes?|mins?|cfm|psi|watts?|w|mah|gb|tb|hz'
@@ -99,22 +101,18 @@ def known_brands(text: Column) -> Column:
         if canonical == "HP":
             for pattern in D.HORSEPOWER:
                 evidence = F.regexp_replace(evidence, f"(?i){pattern}", " ")
-        t, c = plain(evidence), compact(evidence)
-        hit = None
-        for alias in dict.fromkeys((canonical, *aliases)):
-            one = _has_alias(t, c, alias)
-            hit = one if hit is None else hit | one
-        hits.append(F.when(hit, F.lit(canonical)))
+        names = dict.fromkeys((canonical, *aliases))
+        forms = F.struct(plain(evidence).alias("plain"), compact(evidence).alias("compact"))
+        hits.append(F.when(bound(forms, lambda x: reduce(lambda a, b: a | b, [_has_alias(x["plain"], x["compact"], n) for n in names])), F.lit(canonical)))  # noqa: B023
     return F.array_distinct(F.array_compact(F.array(*hits)))
 
 
 def named_values(text: Column, values: tuple[str, ...], longest: bool = False) -> Column:
     """Values named at word boundaries, in order; ``longest`` drops those inside another that is named."""
-    t = meaning(text)
-    found = F.array_compact(F.array(*[F.when(t.rlike(rf"(^|[^a-z0-9]){v.replace(' ', r'\s+')}([^a-z0-9]|$)"), v) for v in values]))
+    found = bound(meaning(text), lambda t: F.array_compact(F.array(*[F.when(t.rlike(rf"(^|[^a-z0-9]){v.replace(' ', r'\s+')}([^a-z0-9]|$)"), v) for v in values])))
     if not longest:
         return found
-    return F.filter(found, lambda v: ~F.exists(found, lambda o: (F.length(o) > F.length(v)) & F.contains(o, v)))
+    return bound(found, lambda all_: F.filter(all_, lambda v: ~F.exists(all_, lambda o: (F.length(o) > F.length(v)) & F.contains(o, v))))
 
 
 _DIMENSIONS = "(width|wide|depth|deep|height|high|tall|length|long)"
@@ -149,22 +147,27 @@ def _size_of(dimension: int, default: str, operator: str, unit: str, short: bool
     return one
 
 
-def size_constraints(rows: DataFrame, text: str, strict: bool = False) -> DataFrame:
-    """Adds ord, dimension, operator, unit, value, label: a row per size that a text asks for.
-
-    Distinct by label, in order of patterns. Where an upper bound in feet or a dimension before its bound is named,
-    general patterns also fire (``under 50 ft`` is a maximum and a minimum); ``strict`` leaves those second readings out.
-    """
+def size_array(text: Column, strict: bool = False) -> Column:
+    """Structs (dimension, operator, unit, value, label) of the sizes that a text asks for, as ``size_constraints`` gives them."""
     arrays = []
     for pattern, amount, dimension, default, operator, unit, short in SIZE_PATTERNS:
         lead = r"(?<!\b(?:sq|square|cu|cubic)\s{0,4})" if unit == "ft" else ""
         full = F.lit(rf"(?i){lead}{pattern}")
-        values = F.regexp_extract_all(F.col(text), full, F.lit(amount))
-        named = F.regexp_extract_all(F.col(text), full, F.lit(dimension or 1))
+        values = F.regexp_extract_all(text, full, F.lit(amount))
+        named = F.regexp_extract_all(text, full, F.lit(dimension or 1))
         arrays.append(F.transform(F.arrays_zip(values.alias("v"), named.alias("d")), _size_of(dimension, default, operator, unit, short)))
     found = F.filter(F.concat(*arrays), lambda x: x["value"] > 0)
     if strict:
         found = F.filter(found, lambda x: ~((x["operator"] == "min") & F.exists(found, lambda y: (y["operator"] == "max") & (y["value"] == x["value"]) & (y["unit"] == x["unit"]))))
     labels = F.array_distinct(F.transform(found, lambda x: x["label"]))
-    once = F.transform(labels, lambda k: F.get(F.filter(found, lambda x: x["label"] == k), F.lit(0)))
+    return F.transform(labels, lambda k: F.get(F.filter(found, lambda x: x["label"] == k), F.lit(0)))
+
+
+def size_constraints(rows: DataFrame, text: str, strict: bool = False) -> DataFrame:
+    """Adds ord, dimension, operator, unit, value, label: a row per size that a text asks for.
+
+    Distinct by label, in order of patterns. Where an upper bound in feet or a dimension before its bound is named,
+    general patterns also fire (``under 50 ft`` is a maximum and a minimum); ``strict`` leaves those second readings out.
+    """
+    once = size_array(F.col(text), strict)
     return rows.select("*", F.posexplode(once).alias("ord", "_s")).select(*rows.columns, "ord", "_s.dimension", "_s.operator", "_s.unit", "_s.value", "_s.label")

@@ -81,3 +81,8 @@ def contains_phrase(text: Column, phrase: str) -> Column:
 def js_round(c: Column) -> Column:
     """Halves go up, also below zero."""
     return F.floor(c + 0.5)
+
+
+def bound(value: Column, f) -> Column:
+    """f(value), with the value computed once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))

@@ -9,10 +9,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions import briefs, links, specs, text
+from ..functions import briefs, features, links, requests, specs, text, titles
 from ..functions import dictionaries as D
-from ..operators import admission, quality, shortlist
+from ..operators import adjudication, admission, quality, requirements, shortlist
 from ..sources import json_documents, reports
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -337,6 +338,69 @@ def bayesian_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "part").select("p_partkey", F.round(rating, 6).alias("rating"))
 
 
+@_query("""
+SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'invalid_body' WHEN 1 THEN 'empty' WHEN 2 THEN 'invalid_budget' WHEN 3 THEN 'invalid_feature_list' WHEN 4 THEN 'invalid_feature' END AS error FROM part
+""")
+def request_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    query = "concat('{\"query\":\"', p_name, '\"')"
+    body = F.expr(f"CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN '{{\"query\": 7}}' WHEN 2 THEN concat({query}, ',\"budget\":', p_size, '}}') WHEN 3 THEN concat({query}, ',\"selectedFeatures\":true}}') WHEN 4 THEN concat({query}, ',\"selectedFeatures\":[', p_size, ']}}') ELSE concat({query}, ',\"budget\":\"$', p_size, '\"}}') END")
+    return _t(spark, sf_dir, "part").select("p_partkey", requests.request_error(body).alias("error"))
+
+
+@_query("""
+SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Depth: under ' || p_size || ' in' WHEN 1 THEN 'Depth: ' || p_size || '-' || (p_size + 5) || ' in' ELSE 'Depth: at least ' || p_size || ' in' END AS label,
+  CASE p_partkey % 3 WHEN 0 THEN 'lte' WHEN 1 THEN 'between' ELSE 'gte' END AS operator
+FROM part
+""")
+def selected_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.expr("CASE p_partkey % 3 WHEN 0 THEN concat('under ', p_size) WHEN 1 THEN concat(p_size, ' to ', p_size + 5) ELSE concat('at least ', p_size) END")
+    made = requests.selected_feature(F.lit("depth"), F.lit("Depth"), F.lit("number"), F.lit("in"), F.array(F.lit("equals")), raw)
+    return _t(spark, sf_dir, "part").select("p_partkey", requests.feature_label(made).alias("label"), made["operator"].alias("operator"))
+
+
+@_query("""
+SELECT p_partkey, f.feature, CASE WHEN f.feature = 'quiet' THEN CASE WHEN 30 + p_size <= 55 THEN 'pass' ELSE 'needs_verification' END
+  ELSE CASE p_partkey % 4 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' WHEN 2 THEN 'fail' ELSE 'needs_verification' END END AS status
+FROM part, (VALUES ('cordless'), ('quiet')) f(feature)
+""")
+def feature_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.expr("concat('noise of ', 30 + p_size, ' dB; ', CASE p_partkey % 4 WHEN 0 THEN 'battery-powered' WHEN 1 THEN 'not cordless' WHEN 2 THEN 'corded' ELSE 'cordless was not confirmed' END)")
+    wanted = [f for f in features.FEATURES if f.name in ("cordless", "quiet")]
+    return features.features_checked(_t(spark, sf_dir, "part").select("p_partkey", said.alias("said")), "said", wanted).select("p_partkey", "feature", "status")
+
+
+@_query("SELECT p_partkey, p_partkey % 4 < 2 AS same FROM part")
+def model_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.expr("concat('Acme XQ-', p_partkey)")
+    title = F.expr("concat('Acme XQ', CASE p_partkey % 4 WHEN 0 THEN concat(p_partkey, ' blower') WHEN 1 THEN concat(' ', p_partkey, ' 12 cup') WHEN 2 THEN concat(p_partkey, ' charger') ELSE concat('-', p_partkey + 1) END)")
+    return _t(spark, sf_dir, "part").select("p_partkey", titles.matches_model(name, title).alias("same"))
+
+
+@_query("""
+WITH p AS (SELECT o_custkey, o_orderkey, o_orderstatus, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos FROM orders)
+SELECT p.o_custkey, p.pos, p.o_orderkey::VARCHAR AS name, coalesce(CASE WHEN p.o_orderkey % 3 = 0 THEN 'decided' END, CASE WHEN p.o_orderkey % 2 = 0 THEN p.o_orderpriority END, 'unset') AS price,
+  CASE WHEN p.o_orderstatus = 'F' THEN 'strong' WHEN p.o_orderkey % 2 = 0 THEN 'fair' ELSE 'none' END AS grade, d.o_orderkey::VARCHAR AS duplicate_name
+FROM p LEFT JOIN p d ON d.o_custkey = p.o_custkey AND d.pos = p.pos - 1
+""")
+def adjudicated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as displayed products: decided by position, else as judged before, each repeating the one ahead of it."""
+    orders = _t(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").cast("string").alias("name"), "o_orderkey", F.lit(None).cast("string").alias("url"), "o_orderstatus", "o_orderpriority")
+    shown = orders.withColumn("pos", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long"))
+    decided = shown.select("o_custkey", "pos", F.expr("CASE WHEN o_orderkey % 3 = 0 THEN 'decided' END").alias("price"), F.lit(None).cast("string").alias("grade"), (F.col("pos") - 1).alias("dup"))
+    before = orders.where("o_orderkey % 2 = 0").select("o_custkey", "name", "url", F.col("o_orderpriority").alias("price"), F.lit("fair").alias("grade"), F.col("o_orderkey").alias("seq"))
+    strong = F.expr("CASE WHEN o_orderstatus = 'F' THEN 'strong' END")
+    return adjudication.adjudicated(shown, decided, before, {"price": "unset", "grade": "none"}, "o_custkey", "pos", "name", "url", "grade", strong, "dup", "seq")
+
+
+@_query("""
+SELECT p_partkey, 'Required: Budget: $' || (p_size + 100) || ' or less' || chr(10) || 'Required: Material: Steel' || chr(10) || 'Required: Color: Black or White' || chr(10) || 'Avoid: plastic' || chr(10) || 'Avoid: glass' || chr(10) || 'Preferred: Feature: Warranty' || chr(10) || 'Needs review: something nice' AS summary
+FROM part
+""")
+def requirement_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "part").select("p_partkey", F.lit("black or white rack").alias("q"), F.expr("concat('under $', p_size + 100)").alias("b"), F.lit("steel, no plastic and warranty; something nice").alias("p"), F.lit("glass").alias("a"))
+    return requirements.structured_requirements(rows, "q", "b", "p", "a").select("p_partkey", "summary")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
