@@ -238,9 +238,9 @@ def _text_sets(table: pa.Table, n: int) -> list[np.ndarray]:
 
 
 def _from_first(members: DataFrame, n: int, percent: int) -> DataFrame:
-    """(id, grp, step) for members (id, text, grp, n_blocks): the distance from the group's first set, in steps of 1 - threshold.
+    """(id, grp, step, direct) for members (id, text, grp, n_blocks): the distance from the group's first set, in whole steps of 1 - threshold.
 
-    Up to one step is a link. Only the first set is copied to all blocks, so that the work is linear in a group's size.
+    Up to exactly one step is a link (direct). Only the first set is copied to all blocks, so that the work is linear in a group's size.
     """
     own = F.pmod(F.xxhash64("id"), F.col("n_blocks"))
     blocks = F.when(F.col("id") == F.col("grp"), F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).otherwise(F.array(own))
@@ -248,17 +248,20 @@ def _from_first(members: DataFrame, n: int, percent: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         ids, sets = table.column("id").to_pylist(), _text_sets(table, n)
-        first = sets[ids.index(table.column("grp")[0].as_py())]
-        steps = []
+        grp = table.column("grp")[0].as_py()
+        # of several sets under the first's key all blocks take the same one
+        first = min((s for i, s in zip(ids, sets) if i == grp and len(s)), key=lambda s: s.tobytes())
+        steps, direct = [], []
         for s in sets:
             at = np.minimum(np.searchsorted(first, s), len(first) - 1)
             shared = int((first[at] == s).sum())
             union = len(first) + len(s) - shared
             away, step = 100 * (union - shared), union * max(1, 100 - percent)
-            steps.append(-1 if away == 0 else (0 if away <= step else away // step))
-        return pa.table({"id": table.column("id"), "grp": table.column("grp"), "step": pa.array(steps, pa.int32())})
+            steps.append(-1 if away == 0 else away // step)
+            direct.append(away <= step)
+        return pa.table({"id": table.column("id"), "grp": table.column("grp"), "step": pa.array(steps, pa.int32()), "direct": pa.array(direct, pa.bool_())})
 
-    found = rows.groupBy("grp", "block").applyInArrow(run, "id long, grp long, step int")
+    found = rows.groupBy("grp", "block").applyInArrow(run, "id long, grp long, step int, direct boolean")
     return found.where("step >= 0")
 
 
@@ -267,16 +270,17 @@ def _joined(members: DataFrame, n: int, percent: int) -> DataFrame:
 
     Sets that link with their group's first need no more among themselves. Jaccard distance is a metric: other sets
     are compared only with those whose distance from the first is about the same, that is, whose step is the same or
-    the next one; block against block.
+    the next one; block against block. A set exactly one step away links with the first, but is in step 1: it may link
+    with sets up to exactly two steps away.
     """
     steps = stash(_from_first(members, n, percent))
-    direct = steps.where("step = 0").select(F.col("id").alias("u"), F.col("grp").alias("v"))
+    direct = steps.where("direct").select(F.col("id").alias("u"), F.col("grp").alias("v"))
     cells = steps.groupBy("grp", "step").agg(F.ceil(F.count("*") / BLOCK).alias("own"))
     along = Window.partitionBy("grp").orderBy("step")  # a few rows a group
     beside = lambda f, by: F.when(f("step").over(along) == F.col("step") + by, f("own").over(along)).otherwise(F.lit(0)).cast("long")
     cells = cells.select("grp", "step", "own", beside(F.lag, -1).alias("before"), beside(F.lead, 1).alias("after"))
     cells = cells.where("step > 0 or after > 0")
-    rows = members.drop("n_blocks").join(steps.join(cells, ["grp", "step"]), ["id", "grp"])
+    rows = members.drop("n_blocks").join(steps.drop("direct").distinct().join(cells, ["grp", "step"]), ["id", "grp"])
     block, zero, k = F.pmod(F.xxhash64("id"), F.col("own")), F.lit(0).cast("long"), F.col("step")
     pair = lambda a, i, b, j: F.struct(a.alias("low"), i.alias("i"), b.alias("high"), j.alias("j"))
     upto = lambda m: F.filter(F.sequence(zero, F.greatest(m, F.lit(1)) - 1), lambda x: x < m)
@@ -312,7 +316,9 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     keyed = classes.where("id is not null and class is not null")
     reps = stash(keyed.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"))
     copy_links = stash(keyed.join(reps, "class").where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")))
-    copies = copy_links.select(F.col("u").alias("id")).distinct()  # equal sets: their first stands for all of them
+    # equal sets: their first stands for all of them; a key of several sets stays, for the sake of the others
+    several = keyed.groupBy("id").agg(F.count_distinct("class").alias("k")).where("k > 1").select("id")
+    copies = copy_links.select(F.col("u").alias("id")).distinct().join(several, "id", "left_anti")
 
     shared = stash(meeting.groupBy("node").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("node"))
     met = stash(meeting.join(shared, "node").join(copies, "id", "left_anti"))

@@ -68,3 +68,23 @@ def test_tree_finds_all_similar_sets():
     sets = [sorted(rng.sample(range(30), rng.randrange(1, 12))) for _ in range(120)]
     want = {(i, j) for i in range(120) for j in range(i + 1, 120) if 100 * len(set(sets[i]) & set(sets[j])) >= 60 * len(set(sets[i]) | set(sets[j]))}
     assert set(ngram_join.similar(sets, None, 60)) == want
+
+
+def _same(spark, docs, n, percent):
+    got = ngram_join.jaccard_groups(spark.createDataFrame([(*d, "x", 1, 2) for d in docs], SCHEMA), n=n, percent=percent)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(docs, n, percent)
+
+
+@pytest.mark.parametrize(("n", "percent", "many", "cut"), [(3, 90, 12, 1), (3, 90, 102, 10), (5, 80, 14, 2)])
+def test_links_at_exactly_the_threshold(spark, n, percent, many, cut):
+    w = [f"w{i}" for i in range(many)]
+    docs = [(1, " ".join(w[:-cut])), (2, " ".join(w)), (3, " ".join(w[cut:])), (9, "other words that stand alone here")]
+    assert [r[2] for r in brute(docs, n, percent)] == [1, 1, 1, 9]
+    _same(spark, docs, n, percent)
+
+
+def test_key_of_several_sets_of_which_one_is_a_copy(spark):
+    a, b = ([f"{x}{i}" for i in range(60)] for x in "ab")
+    near = [*b[:-1], "z"]
+    _same(spark, [(3, " ".join(a)), (7, " ".join(a)), (7, " ".join(b)), (20, " ".join(near)), (21, " ".join([*near[:-2], "y", "z"]))], 3, 90)
+    _same(spark, [(3, None), (3, " ".join(a)), (3, " ".join(b)), (20, " ".join(near)), (21, " ".join([*a[:-1], "z"]))], 3, 90)
