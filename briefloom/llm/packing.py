@@ -9,8 +9,9 @@ opens one. Only lengths travel to the packing tasks.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from functools import lru_cache
 
 import numpy as np
@@ -27,13 +28,13 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 
 @lru_cache(maxsize=2)
-def ranks_encoder(path: str):
-    """Encoder of a byte-level vocabulary given as ranks. Strings that look like special tokens are ordinary text."""
+def ranks_encoder(path: str, added: tuple[tuple[str, int], ...] = ()):
+    """Encoder of a byte-level vocabulary given as ranks, with its added tokens (string, id)."""
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=dict(added))
 
 
 def default_ranks() -> str:
@@ -43,16 +44,25 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def token_pieces(docs: DataFrame, key: str, text: str, room: int, ranks: str | None, end_id: int) -> DataFrame:
+@lru_cache(maxsize=1)
+def default_added() -> tuple[tuple[str, int], ...]:
+    """The added tokens of that JSON file, which its ranks don't hold."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return tuple((t["content"], t["id"]) for t in json.load(f)["added_tokens"])
+
+
+def token_pieces(docs: DataFrame, key: str, text: str, room: int, ranks: str | None, end_id: int, added: Mapping[str, int] | None = None) -> DataFrame:
     """(id, piece, start, length, ids_crc32): a document's ids and the end id, cut so that only the first piece may be shorter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ranks_encoder(ranks or default_ranks())
+        encoder = ranks_encoder(ranks or default_ranks(), tuple(added.items()) if added is not None else () if ranks else default_added())
         for batch in batches:
             for part in pieces(batch, "text"):
                 out: list[tuple] = []
                 for key, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist()):
-                    ids = np.array([*(encoder.encode_ordinary(text) if text else ()), end_id], "<u4")
+                    ids = np.array([*(encoder.encode(text, allowed_special="all") if text else ()), end_id], "<u4")
                     stops = range((len(ids) - 1) % room + 1, len(ids) + 1, room)
                     start = 0
                     for i, stop in enumerate(stops):
@@ -100,14 +110,15 @@ def _packer(room: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", room: int = 2048, ranks: str | None = None, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", room: int = 2048, ranks: str | None = None, end_id: int = 0, added: Mapping[str, int] | None = None) -> DataFrame:
     """One row per piece: ``key``, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are the end id alone. Rows that repeat a key are packed each on its own, as are rows with a
-    null key. An empty table gives an empty result. ``ranks``: file of a byte-level vocabulary as ranks. Columns beside
-    ``key`` and ``text`` are not read.
+    null key. An empty table gives an empty result. ``ranks``: file of a byte-level vocabulary as ranks. ``added``:
+    ids of its added tokens, which are found in texts wherever they stand; those of the default vocabulary are known, a
+    file of ranks has none. Columns beside ``key`` and ``text`` are not read.
     """
     groups = max(1, round(docs.count() / GROUP))
-    rows = token_pieces(docs, key, text, room, ranks, end_id).withColumn("grp", F.pmod(F.xxhash64("id", "ids_crc32"), F.lit(groups)))
+    rows = token_pieces(docs, key, text, room, ranks, end_id, added).withColumn("grp", F.pmod(F.xxhash64("id", "ids_crc32"), F.lit(groups)))
     schema = "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return rows.groupBy("grp").applyInArrow(_packer(room), schema).withColumnRenamed("id", key)

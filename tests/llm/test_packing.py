@@ -47,3 +47,22 @@ def test_sum_of_squares_places_all():
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def _want(docs, ids_of):
+    for key, text in docs:
+        ids = np.array([*ids_of(text), 0], "<u4")
+        yield key, len(ids), zlib.crc32(ids.tobytes())
+
+
+def test_added_tokens_have_their_ids(spark):
+    token = "<|endoftext|>"
+    texts = [f"a {token} b", token, token * 3, f"  {token}  \n{token}x", f"end of one.\n\n{token}\n\nNext  {token}", "<|endoftext", "<|endoftext|", "<|fim_prefix|> <|ENDOFTEXT|>", f"<|endof{token}text|>", f"ñ {token}東京 {token}'s"]
+    docs = [*enumerate(texts)]
+    frame = spark.createDataFrame([(*d, "p", 1) for d in docs], SCHEMA)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    assert encode(texts[0]) == [64, 220, 50256, 275]
+    assert sorted((r["doc_id"], r["length"], r["ids_crc32"]) for r in packing.pack(frame).collect()) == list(_want(docs, encode))
+    none = packing.ranks_encoder(packing.default_ranks())
+    assert sorted((r["doc_id"], r["length"], r["ids_crc32"]) for r in packing.pack(frame, added={}).collect()) == list(_want(docs, none.encode_ordinary))
