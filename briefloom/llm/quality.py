@@ -148,7 +148,12 @@ def _evidence(rows: DataFrame, model: Weights, also: list[str]) -> DataFrame:
 
 
 def site_posteriors(outcomes: DataFrame, target: str) -> DataFrame:
-    """(host, path, shift): log odds of a site's posterior rate less the global ones, from labelled rows (host, path, target 0/1).
+    """(host, path, shift): log odds of a site's posterior rate less the global ones, from labelled rows (host, path, target 0/1)."""
+    return _shifts(outcomes, target)[1]
+
+
+def _shifts(outcomes: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
+    """(host, shift) of hosts, and (host, path, shift) of paths: a path without labelled rows has its host's posterior.
 
     Counts are grouped by host and path first and added up to hosts, so that a hot host is no one task's. Null hosts and
     paths are sites of their own.
@@ -162,14 +167,14 @@ def site_posteriors(outcomes: DataFrame, target: str) -> DataFrame:
     paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h")
     paths = paths.crossJoin(F.broadcast(strength(paths, "p1"))).withColumn("p2", (F.col("bad") + F.col("k") * F.col("p1")) / (F.col("n") + F.col("k")))
     logit = lambda p: F.log(F.col(p) / (1 - F.col(p)))
-    return paths.select("host", "path", (logit("p2") - logit("p0")).alias("shift"))
+    return hosts.select(F.col("h").alias("host"), (logit("p1") - logit("p0")).alias("shift")), paths.select("host", "path", (logit("p2") - logit("p0")).alias("shift"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", host: Column | str = "source", path: Column | str = "lang", threshold: float = 0.5) -> DataFrame:
     """(``key``, p_bad, p_toxic, bad_logit, toxic_logit, bad_shift, toxic_shift, keep) for each row of ``docs``: evidence, sites, and both.
 
     A row is kept if both probabilities are under the threshold. Null and empty texts have only the evidence of being
-    empty; a site without labelled rows has shift 0; without labels all probabilities are low and all rows stay.
+    empty; a path without labelled rows has its host's shift, a host without any shift 0; without labels all probabilities are low and all rows stay.
     Repeated rows are judged each, and rows with a null key as any other. Extra columns are not read.
     """
     host, path = (F.col(c) if isinstance(c, str) else c for c in (host, path))
@@ -178,8 +183,12 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     scored = _evidence(rows, model, ["host", "path"])
     outcomes = _marked(rows.select("id", "host", "path"), labels, key, text)
     for t in TARGETS:
-        site = stash(site_posteriors(outcomes, t)).select(F.col("host").alias("h"), F.col("path").alias("p"), F.col("shift").alias(f"{t}_shift"))
-        scored = scored.join(site, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")), "left").drop("h", "p").fillna(0.0, [f"{t}_shift"])
+        hosts, paths = (stash(x) for x in _shifts(outcomes, t))
+        hosts = hosts.select(F.col("host").alias("h"), F.col("shift").alias("host_shift"))
+        paths = paths.select(F.col("host").alias("h"), F.col("path").alias("p"), F.col("shift").alias("path_shift"))
+        scored = scored.join(paths, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")), "left").drop("h", "p")
+        scored = scored.join(hosts, F.col("host").eqNullSafe(F.col("h")), "left").drop("h")
+        scored = scored.withColumn(f"{t}_shift", F.coalesce("path_shift", "host_shift", F.lit(0.0))).drop("path_shift", "host_shift")
         scored = scored.withColumn(f"p_{t}", 1 / (1 + F.exp(-(F.col(f"{t}_logit") + F.col(f"{t}_shift")))))
     keep = (F.col("p_bad") < threshold) & (F.col("p_toxic") < threshold)
     return scored.select(F.col("id").alias(key), "p_bad", "p_toxic", "bad_logit", "toxic_logit", "bad_shift", "toxic_shift", keep.alias("keep"))

@@ -48,3 +48,12 @@ def test_sparse_sites_are_shrunk(spark):
     rows = [("a", "x", 1)] + [("b", "x", int(i % 2)) for i in range(200)] + [(f"c{i}", "x", int(i % 4 == 0)) for i in range(300)]
     out = {r["host"]: r["shift"] for r in quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, toxic int"), "toxic").collect()}
     assert 0 < out["a"] < 3 and 0.3 < out["b"] < 0.62
+
+
+def test_paths_without_labels_follow_their_host(spark):
+    docs = [(i, f"plain words {i % 7}", "p0", f"h{i % 40}", "p", 1) for i in range(2000)] + [(9000 + i, "plain words 3", lang, host, "p", 1) for i, (lang, host) in enumerate([("new", "h3"), ("new", "h4"), (None, "h3"), ("new", "unseen"), ("p0", "h3"), ("new", None)])]
+    labels = [(i, int(i % 40 != 3), 0) for i in range(2000)]
+    rows = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), path="lang").collect()}
+    assert len(rows) == len(docs)
+    assert rows[9000]["bad_shift"] > 2 and rows[9002]["bad_shift"] == rows[9000]["bad_shift"] and rows[9001]["bad_shift"] < 0
+    assert rows[9003]["bad_shift"] == 0 == rows[9005]["bad_shift"] and rows[9004]["bad_shift"] > 2
