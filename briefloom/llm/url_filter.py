@@ -3,7 +3,8 @@
 Labelled page outcomes are counted per host, registered domain and suffix. A suffix's rate is shrunk toward the global
 rate, a domain's toward its suffix's, a host's toward its domain's, each by a beta-binomial prior whose strength is
 estimated from how much the rates of that level differ (method of moments). A page without a rule is blocked if the
-lower bound of its host's posterior is over the threshold.
+lower bound of its host's posterior is over the threshold; a host without outcomes has the posterior of its domain,
+else of its suffix, else the global one, as a host of no outcomes beneath it.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import stash
+
 #: Bounds of a prior's strength, in outcomes.
 WEAKEST, STRONGEST = 2.0, 200.0
 #: Standard deviations from the posterior's mean to its lower bound, and the bound from which pages are blocked.
@@ -43,13 +46,15 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
 
 
 def levels(host: Column) -> tuple[Column, Column]:
-    """(registered domain, suffix) of a host."""
+    """(registered domain, suffix) of a host, its port left out. An IP address is both on its own."""
+    host = F.regexp_replace(host, r":\d*$", "")
     labels = F.split(host, r"\.")
     last_two = F.substring_index(host, ".", -2)
     long = last_two.isin(*LONG_SUFFIXES)
     suffix = F.when(long, last_two).otherwise(F.substring_index(host, ".", -1))
     domain = F.when(long, F.substring_index(host, ".", -3)).otherwise(last_two)
-    return F.when(F.size(labels) > 1, domain).otherwise(host), suffix
+    address = host.rlike(r"^(\d+\.){3}\d+$|^\[")
+    return F.when((F.size(labels) > 1) & ~address, domain).otherwise(host), F.when(address, host).otherwise(suffix)
 
 
 def strength(rows: DataFrame, parent: str) -> DataFrame:
@@ -65,8 +70,16 @@ def strength(rows: DataFrame, parent: str) -> DataFrame:
     return rows.where("n > 0").agg(F.greatest(F.lit(WEAKEST), F.least(F.lit(STRONGEST), F.coalesce(found, F.lit(STRONGEST)))).alias("k"))
 
 
-def reputation(outcomes: DataFrame) -> DataFrame:
-    """(host, domain, suffix, n, bad, mean, bound) from labelled outcomes (host, bad 0/1): one row per host with an outcome.
+def _bound(mean: str, *weights: Column) -> Column:
+    """Lower bound of a rate. Weights, in outcomes: of what is known of the level seen, and of the priors of the levels beneath it."""
+    m, known = F.col(mean), F.lit(1.0)
+    for w in weights:  # E[p (1 - p)] shrinks by as much at each level; the rest is the rate's variance
+        known = known * (1 - 1 / (w + 1))
+    return m - Z * F.sqrt(m * (1 - m) * (1 - known))
+
+
+def _posteriors(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Hosts (host, domain, suffix, n, bad, mean, mean_k), domains (domain, suffix, p2, p2_n), suffixes (suffix, p1, p1_n), and one row (p0, p0_n, and the priors' strengths p1_k, p2_k, mean_k).
 
     Counts are added up from hosts to domains to suffixes, so that a hot host costs no more than others.
     """
@@ -75,28 +88,54 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     hosts = hosts.withColumn("domain", domain).withColumn("suffix", suffix)
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    total = suffixes.agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1)).alias("p0"))
+    total = suffixes.agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1)).alias("p0"), (F.sum("n") + 1).alias("p0_n"))
 
     def shrunk(rows: DataFrame, parent: str, name: str) -> DataFrame:
         k = strength(rows, parent)
         # one row each
         return rows.crossJoin(F.broadcast(k)).withColumn(name, (F.col("bad") + F.col("k") * F.col(parent)) / (F.col("n") + F.col("k"))).withColumnRenamed("k", f"{name}_k")
 
-    suffixes = shrunk(suffixes.crossJoin(F.broadcast(total)), "p0", "p1").select("suffix", "p1")
-    domains = shrunk(domains.join(suffixes, "suffix"), "p1", "p2").select("domain", "suffix", "p2")
-    hosts = shrunk(hosts.join(domains, ["domain", "suffix"]), "p2", "mean")
-    m = F.col("mean")
-    return hosts.select("host", "domain", "suffix", "n", "bad", "mean", (m - Z * F.sqrt(m * (1 - m) / (F.col("n") + F.col("mean_k") + 1))).alias("bound"))
+    suffixes = shrunk(suffixes.crossJoin(F.broadcast(total.select("p0"))), "p0", "p1").select("suffix", "p1", (F.col("n") + F.col("p1_k")).alias("p1_n"), "p1_k")
+    domains = shrunk(domains.join(suffixes.select("suffix", "p1"), "suffix"), "p1", "p2").select("domain", "suffix", "p2", (F.col("n") + F.col("p2_k")).alias("p2_n"), "p2_k")
+    hosts = shrunk(hosts.join(domains.select("domain", "suffix", "p2"), ["domain", "suffix"]), "p2", "mean").select("host", "domain", "suffix", "n", "bad", "mean", "mean_k")
+    for rows, k in ((suffixes, "p1_k"), (domains, "p2_k"), (hosts, "mean_k")):
+        total = total.crossJoin(F.broadcast(rows.agg(F.max(k).alias(k))))
+    return hosts, domains.drop("p2_k"), suffixes.drop("p1_k"), total
+
+
+def reputation(outcomes: DataFrame) -> DataFrame:
+    """(host, domain, suffix, n, bad, mean, bound) from labelled outcomes (host, bad 0/1): one row per host with an outcome."""
+    return _posteriors(outcomes)[0].withColumn("bound", _bound("mean", F.col("n") + F.col("mean_k"))).drop("mean_k")
+
+
+def reputation_of(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(host, mean, bound) for each distinct host of ``hosts``: by its own outcomes, else by its domain's, suffix's or all outcomes.
+
+    A host without outcomes has the mean of the lowest level that has some; its bound allows for how much the levels
+    beneath that one differ.
+    Empty and null hosts, which are no sites, have no row.
+    """
+    seen, domains, suffixes, total = (stash(x) for x in _posteriors(outcomes))
+    domain, suffix = levels(F.col("host"))
+    asked = hosts.where("host <> ''").select("host").distinct().withColumn("domain", domain).withColumn("suffix", suffix)
+    asked = asked.join(seen.select("host", "n", F.col("mean").alias("own")), "host", "left").join(domains, ["domain", "suffix"], "left").join(suffixes, "suffix", "left")
+    # one row
+    asked = asked.crossJoin(F.broadcast(total)).withColumn("mean", F.coalesce("own", "p2", "p1", "p0"))
+    known, k0, k1, k2 = F.col("n") + F.col("mean_k"), F.col("p1_k"), F.col("p2_k"), F.col("mean_k")
+    bound = F.when(F.col("own").isNotNull(), _bound("mean", known)).when(F.col("p2").isNotNull(), _bound("mean", F.col("p2_n"), k2))
+    bound = bound.when(F.col("p1").isNotNull(), _bound("mean", F.col("p1_n"), k1, k2)).otherwise(_bound("mean", F.col("p0_n"), k0, k1, k2))
+    return asked.select("host", "mean", bound.alias("bound"))
 
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = (), key: str = "page_id", url: str = "url") -> DataFrame:
     """(``key``, host, path, rule, verdict, bad_rate) for each row of ``pages``.
 
-    outcomes: (host, bad). Hosts without an outcome of their own are allowed, as are null urls and urls without
-    ``://`` (host and path empty) unless a rule fits. Rows that repeat a key are judged each. Other columns are not read.
+    outcomes: (host, bad). Hosts without an outcome of their own are judged by their domain's, their suffix's or all
+    outcomes; without any outcome, bad_rate is null and pages are allowed, as are null urls and urls without ``://``
+    (host and path empty) unless a rule fits. Rows that repeat a key are judged each. Other columns are not read.
     """
-    seen = reputation(outcomes.where("host is not null and bad is not null")).select(F.col("host").alias("h"), "mean", "bound")
     rows = pages.select(F.col(key).cast("long").alias("id"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
+    seen = reputation_of(rows, outcomes.where("host is not null and bad is not null")).withColumnRenamed("host", "h")
     rows = rows.join(seen, F.col("host") == F.col("h"), "left").withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     own = F.when(F.col("bound") >= THRESHOLD, "block").otherwise("allow")
     return rows.select(F.col("id").alias(key), "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", own).alias("verdict"), F.col("mean").alias("bad_rate"))

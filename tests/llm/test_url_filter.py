@@ -36,3 +36,16 @@ def test_reputation_shrinks_and_blocks(spark):
     got = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages, frame).collect()}
     assert got == {0: "block", 1: "allow", 2: "allow", 3: "allow", None: "allow"}
     assert url_filter.filter_urls(pages.where("page_id > 99"), frame).count() == 0
+
+
+def test_hosts_without_outcomes_follow_domain_suffix_and_all(spark):
+    outcomes = [(f"h{i % 20}.spam.com", 1) for i in range(1000)] + [(f"g{i}.fine{i % 50}.com", 0) for i in range(500)] + [(f"b{i}.site{i}.zip", 1) for i in range(400)] + [(f"www.o{i}.org", int(i % 10 == 0)) for i in range(500)] + [("10.0.0.1", 1)] * 50
+    frame = spark.createDataFrame(outcomes, "host string, bad int")
+    hosts = ["new.spam.com", "NEW.spam.com:8080", "h1.spam.com", "new.fine1.com", "new.unseen.com", "new.unseen.zip", "x.dev", "9.9.0.1"]
+    pages = spark.createDataFrame([(i, f"http://{h}/a", "h", 1, 0.5) for i, h in enumerate(hosts)] + [(50, None, "h", 1, 0.5), (51, "no url", "h", 1, 0.5)], PAGES)
+    rows = {r["page_id"]: r for r in url_filter.filter_urls(pages, frame).collect()}
+    assert [rows[i]["verdict"] for i in range(8)] == ["block", "block", "block", "allow", "allow", "block", "allow", "allow"]
+    rates = [rows[i]["bad_rate"] for i in range(8)]
+    assert rates[0] == rates[1] and rates[0] > 0.9 and rates[2] > 0.9 and rates[3] < 0.2 and rates[3] < rates[4] < rates[5] and rates[5] > 0.9
+    assert abs(rates[6] - (sum(b for _, b in outcomes) + 0.5) / (len(outcomes) + 1)) < 1e-9 and rates[7] == rates[6]
+    assert rows[50]["bad_rate"] is None and rows[51]["bad_rate"] is None
