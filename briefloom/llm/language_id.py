@@ -2,14 +2,14 @@
 
 For each language a suffix automaton holds a sample of its labelled text. A text is parsed against it into the longest
 phrases that occur in the sample; the number of phrases, times the bits of a pointer, over the text's length estimates
-the cross-entropy. The language with the least wins. Texts are parsed side by side: an automaton is a dense table of
-transitions, and one numpy step advances all of a batch's blocks by one letter.
+the cross-entropy. The language with the least wins. Every automaton has all letters of its own sample. Texts are parsed side by side: an automaton is a
+table of transitions, and one numpy step advances all of a batch's blocks by one letter.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from .text_arrays import pieces
 
-#: Bound of the training sample: excerpts per language, and characters of each.
-EXCERPTS, EXCERPT_CHARS = 32, 800
-#: Letters of an alphabet beside "no letter" and "other letter".
-LETTERS = 60
+#: Bound of the training sample: excerpts per language, letters of each, and fragments over the whole text that make one up.
+EXCERPTS, EXCERPT_CHARS, FRAGMENTS = 32, 800, 8
+#: Largest alphabet of a dense table; larger ones have a sorted list of transitions.
+DENSE = 128
 #: Texts are parsed in blocks of so many letters; a phrase ends with its block.
 BLOCK = 256
 
@@ -47,10 +47,20 @@ def folded(text: str) -> np.ndarray:
     return codes[keep]
 
 
-def automaton(codes: np.ndarray, size: int) -> np.ndarray:
-    """Suffix automaton of a sequence of small ints as a flat table: twice the next state, plus 1 where a new phrase begins.
+def excerpt(text: str, at: int) -> str:
+    """Letters of a text, at most EXCERPT_CHARS: from each of FRAGMENTS equal parts of it, a run that begins where a hash says."""
+    codes = folded(text)
+    if len(codes) > EXCERPT_CHARS:
+        width, part = EXCERPT_CHARS // FRAGMENTS, len(codes) // FRAGMENTS
+        starts = [i * part + zlib.crc32(f"{at} {i}".encode()) % (part - width + 1) for i in range(FRAGMENTS)]
+        codes = np.concatenate([np.r_[codes[a : a + width], np.uint32(0)] for a in starts])
+    return np.where(codes == 0, 32, codes).astype("<u4").tobytes().decode("utf-32-le")
 
-    A letter that doesn't prolong the phrase is parsed from the root; one that the root doesn't know leads back to it.
+
+def automaton(codes: np.ndarray, size: int) -> Dense | Sparse:
+    """Suffix automaton of a sequence of small ints. Its step gives twice the next state, plus 1 where a phrase begins.
+
+    A letter that doesn't prolong the phrase is parsed from the root; one that the root doesn't know is a phrase of its own.
     """
     links, lengths, edges = [-1], [0], [{}]
     last = 0
@@ -76,56 +86,86 @@ def automaton(codes: np.ndarray, size: int) -> np.ndarray:
                     at = links[at]
                 links[to] = links[new] = twin
         last = new
-    root = np.array([edges[0].get(c, 0) for c in range(size)], np.int32)
-    table = np.tile(root * 2 + 1, (len(links), 1))
-    for i, known in enumerate(edges):
-        for c, to in known.items():
-            table[i, c] = to * 2
-    table[0] = root * 2 + (root == 0)
-    return table.astype(np.int32)
+    root = np.array([edges[0].get(c, 0) for c in range(size)], np.int64) * 2 + 1
+    edges[0] = {}
+    return (Dense if size <= DENSE else Sparse)(edges, root)
+
+
+class Dense:
+    """All transitions as a table."""
+
+    def __init__(self, edges: list[dict[int, int]], root: np.ndarray):
+        table = np.tile(root.astype(np.int32), (len(edges), 1))
+        for i, known in enumerate(edges):
+            for c, to in known.items():
+                table[i, c] = to * 2
+        self.size, self.flat = len(root), table.ravel()
+
+    def step(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        return self.flat[state * self.size + symbols]
+
+
+class Sparse:
+    """Transitions that prolong a phrase, in order; the others are the root's."""
+
+    def __init__(self, edges: list[dict[int, int]], root: np.ndarray):
+        keys = np.array([i * len(root) + c for i, known in enumerate(edges) for c in known], np.int64)
+        to = np.array([x * 2 for known in edges for x in known.values()], np.int64)
+        order = np.argsort(keys)
+        self.size, self.root, self.keys, self.to = len(root), root, keys[order], to[order]
+
+    def step(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        key = state * self.size + symbols
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.to[at], self.root[symbols])
 
 
 class Model:
-    """Alphabet and automata of the languages."""
+    """Alphabets and automata of the languages."""
 
     def __init__(self, samples: dict[str, list[str]]):
         texts = {k: np.concatenate([folded(t + " ") for t in v] or [np.zeros(0, np.uint32)]) for k, v in sorted(samples.items())}
-        common = Counter(c for t in texts.values() for c in t[t > 0].tolist()).most_common(LETTERS)
-        self.symbols = np.sort(np.array([c for c, _ in common], np.uint32))
-        self.size = len(self.symbols) + 2
+        letters = [np.unique(t[t > 0]) for t in texts.values()]
+        self.symbols = np.unique(np.concatenate([np.zeros(0, np.uint32), *letters]))
         self.languages = list(texts)
-        self.tables = [automaton(self.coded(t), self.size) for t in texts.values()]
+        self.own = [self._own(x) for x in letters]
+        self.tables = [automaton(own[self.coded(t)], len(x) + 2) for own, x, t in zip(self.own, letters, texts.values())]
         self.bits = [math.log2(max(2, len(t))) for t in texts.values()]
 
+    def _own(self, letters: np.ndarray) -> np.ndarray:
+        """For each symbol of all languages that of one: 0: no letter, 1: a letter that its sample lacks, then the sample's."""
+        own = np.r_[0, np.ones(len(self.symbols) + 1, np.int64)]
+        own[np.searchsorted(self.symbols, letters) + 2] = np.arange(len(letters)) + 2
+        return own
+
     def coded(self, codes: np.ndarray) -> np.ndarray:
-        """0: no letter, 1: a letter outside the alphabet, then the alphabet's."""
+        """0: no letter, 1: a letter of no sample, then those of all samples."""
         if not len(self.symbols):
-            return (codes > 0).astype(np.uint8)
+            return (codes > 0).astype(np.int32)
         at = np.minimum(np.searchsorted(self.symbols, codes), len(self.symbols) - 1)
-        return np.where(codes == 0, 0, np.where(self.symbols[at] == codes, at + 2, 1)).astype(np.uint8)
+        return np.where(codes == 0, 0, np.where(self.symbols[at] == codes, at + 2, 1)).astype(np.int32)
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases that each (coded) text needs in each language."""
         lanes = [-(-len(t) // BLOCK) for t in texts]
         first = np.r_[0, np.cumsum(lanes)]
-        grid, ends = np.zeros(first[-1] * BLOCK, np.uint8), np.full(first[-1], BLOCK)
+        grid, ends = np.zeros(first[-1] * BLOCK, np.int32), np.full(first[-1], BLOCK)
         for t, a, b in zip(texts, first[:-1].tolist(), first[1:].tolist()):
             grid[a * BLOCK : a * BLOCK + len(t)] = t
             if b > a:
                 ends[b - 1] = len(t) - (b - a - 1) * BLOCK
         order = np.argsort(-ends, kind="stable")
-        grid = np.ascontiguousarray(grid.reshape(-1, BLOCK)[order].T).astype(np.int64)
+        grid = np.ascontiguousarray(grid.reshape(-1, BLOCK)[order].T)
         alive = np.searchsorted(-ends[order], -np.arange(BLOCK), "left")  # lanes longer than the step
         out = np.zeros((len(self.tables), len(texts)), np.int64)
         owner = np.repeat(np.arange(len(texts)), lanes)[order]
-        for k, table in enumerate(self.tables):
-            flat = table.ravel()
-            state, count = np.zeros(len(order), np.int64), np.ones(len(order), np.int64)
+        for k, (own, table) in enumerate(zip(self.own, self.tables)):
+            state, count = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
             for i in range(BLOCK):
                 n = int(alive[i])
                 if not n:
                     break
-                step = flat[state[:n] * self.size + grid[i, :n]]
+                step = table.step(state[:n], own[grid[i, :n]])
                 count[:n] += step & 1
                 state[:n] = step >> 1
             out[k] = np.bincount(owner, count, len(texts)).astype(np.int64)
@@ -133,7 +173,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, score) for each text. Score: how much less the winner needs than the second, 0 to 1."""
-        coded = [self.coded(folded(t)) if t else np.zeros(0, np.uint8) for t in texts]
+        coded = [self.coded(folded(t)) if t else np.zeros(0, np.int32) for t in texts]
         has = [bool((c > 0).any()) for c in coded]
         if not self.languages:
             return [("und", 0.0)] * len(texts)
@@ -158,11 +198,25 @@ def held_out(key: Column) -> Column:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Learns from rows that are not held out and have text and language.
 
-    The sample is bounded: of EXCERPTS hash slots per language, the row with the smallest hash in each, EXCERPT_CHARS characters of it.
+    The sample is bounded: of EXCERPTS hash slots per language, the row with the smallest hash in each, and an excerpt
+    of its whole text. Keys are read first, texts only of the chosen rows.
     """
-    rows = docs.where(~held_out(F.col(key))).where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    rows = rows.select(F.col(lang).cast("string").alias("lang"), F.substring(F.col(text).cast("string"), 1, EXCERPT_CHARS).alias("text"), F.xxhash64(F.lit(17), F.col(key)).alias("at"))
-    picked = rows.where(F.col("text").rlike(r"\p{L}")).groupBy("lang", F.pmod("at", F.lit(EXCERPTS)).alias("slot")).agg(F.min_by("text", "at").alias("text"))
+    given, content = F.col(key), F.col(text).cast("string")
+    rows = docs.where(~held_out(given)).where(F.col(text).isNotNull() & F.col(lang).isNotNull()).where(content.rlike(r"\p{L}"))
+    at = F.when(given.isNull(), F.xxhash64(F.lit(17), content)).otherwise(F.xxhash64(F.lit(17), given))
+    rows = rows.select(F.col(lang).cast("string").alias("lang"), content.alias("text"), at.alias("at"))
+    slot = F.pmod("at", F.lit(EXCERPTS)).alias("slot")
+    least = rows.groupBy("lang", slot).agg(F.min("at").alias("at")).select("lang", "at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text", 1 << 20):
+                found = [excerpt(t, a) for t, a in zip(part.column("text").to_pylist(), part.column("at").to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("at"), pa.array(found, pa.string())], ["lang", "at", "text"])
+
+    # a few rows per language
+    picked = rows.join(F.broadcast(least), ["lang", "at"]).select("lang", "at", "text").mapInArrow(run, "lang string, at long, text string")
+    picked = picked.groupBy("lang", "at").agg(F.min("text").alias("text")).withColumn("slot", slot)
     samples: dict[str, list[str]] = {}
     for r in picked.orderBy("lang", "slot").collect():
         samples.setdefault(r["lang"], []).append(r["text"])

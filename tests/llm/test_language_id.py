@@ -1,3 +1,4 @@
+import random
 import zlib
 
 from briefloom.llm import language_id
@@ -31,3 +32,50 @@ def test_phrases_are_longest_matches():
     model = language_id.Model({"a": ["abcabcabd"], "b": ["xyz"]})
     found = model.phrases([model.coded(language_id.folded(t)) for t in ("abcabd", "xyzxyz", "abxy")])
     assert found[0].tolist()[0] == 1 and found[1].tolist()[1] == 2
+
+
+def _right(spark, docs):
+    frame = spark.createDataFrame([(*d, "x") for d in docs], SCHEMA)
+    found = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(frame, language_id.fit(frame)).collect()}
+    return {key: (lang, found[key]) for key, _, lang in docs if zlib.crc32(str(key).encode()) % 4 == 2}
+
+
+def _words(rng, lexicon, n):
+    return " ".join(rng.choice(lexicon) for _ in range(n))
+
+
+def test_learns_from_whole_texts(spark):
+    rng = random.Random(3)
+    lexicons = {k: ["".join(rng.choice("abcdefghijklmno") for _ in range(rng.randrange(2, 8))) for _ in range(120)] for k in ("aa", "bb", "cc")}
+    openings = {"aa": "shared header of all pages, with notices and terms. " * 20, "bb": "shared header of all pages, with notices and terms. " * 20, "cc": "2026 10 11 " * 100}
+    docs = [(i, (openings[k] if zlib.crc32(str(i).encode()) % 4 != 2 else "") + _words(rng, lexicons[k], 600), k) for i, k in enumerate(["aa", "bb", "cc"] * 60)]
+    shown = _right(spark, docs)
+    assert {lang for lang, _ in shown.values()} == {"aa", "bb", "cc"} and all(a == b for a, b in shown.values())
+
+
+def test_scripts_of_many_letters_are_told_apart(spark):
+    rng = random.Random(4)
+    han, kana, hangul, latin = ([chr(a + i) for i in range(n)] for a, n in ((0x4E00, 900), (0x3041, 80), (0xAC00, 900), (0x61, 26)))
+    cyrillic = [chr(0x430 + i) for i in range(32)]
+    lexicons = {k: ["".join(rng.choice(letters) for _ in range(size)) for _ in range(400)] for k, letters, size in (("en", latin, 5), ("ja", kana + han[:300], 3), ("ko", hangul, 3), ("ru", cyrillic, 5), ("zh", han, 3))}
+    docs = [(i, _words(rng, lexicons[k], 150), k) for i, k in enumerate(["en", "ja", "ko", "ru", "zh"] * 40)]
+    shown = _right(spark, docs)
+    assert {lang for lang, _ in shown.values()} == set(lexicons) and all(a == b for a, b in shown.values())
+
+
+def test_sparse_and_dense_tables_agree(monkeypatch):
+    rng = random.Random(5)
+    samples = {"a": ["".join(rng.choice("abcd ") for _ in range(500))], "b": ["".join(rng.choice("cdef ") for _ in range(500))]}
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(1, 600))) for _ in range(20)]
+    found = []
+    for most in (128, 0):
+        monkeypatch.setattr(language_id, "DENSE", most)
+        model = language_id.Model(samples)
+        found.append(model.phrases([model.coded(language_id.folded(t)) for t in texts]).tolist())
+    assert found[0] == found[1]
+
+
+def test_unknown_letters_are_phrases_of_their_own():
+    model = language_id.Model({"a": ["ab"], "b": ["xyz"]})
+    found = model.phrases([model.coded(language_id.folded(t)) for t in ("axb", "xab", "abq")])
+    assert found[0].tolist() == [3, 2, 2]
