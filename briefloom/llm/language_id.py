@@ -2,8 +2,10 @@
 
 For each language a suffix automaton holds a sample of its labelled text. A text is parsed against it into the longest
 phrases that occur in the sample; the number of phrases, times the bits of a pointer, over the text's length estimates
-the cross-entropy. The language with the least wins. Every automaton has all letters of its own sample. Texts are parsed side by side: an automaton is a
-table of transitions, and one numpy step advances all of a batch's blocks by one letter.
+the cross-entropy. The language with the least wins. Every automaton has all letters of its own sample. Texts are cut
+into blocks that are parsed side by side: an automaton is a table of transitions, and one numpy step advances all of a
+batch's blocks by one letter. Phrases don't end with their block: a block is parsed again from the state in which the
+one before ends, until it meets its first parse, which it then follows to its end.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ from .text_arrays import pieces
 
 #: Bound of the training sample: excerpts per language, letters of each, and fragments over the whole text that make one up.
 EXCERPTS, EXCERPT_CHARS, FRAGMENTS = 32, 800, 8
-#: Largest alphabet of a dense table; larger ones have a sorted list of transitions.
-DENSE = 128
-#: Texts are parsed in blocks of so many letters; a phrase ends with its block.
+#: Bound of the sample over all languages, in letters: with more than 160 languages, each has fewer excerpts, one at least.
+MOST_LETTERS = 1 << 22
+#: Bound of all tables of transitions together, in bytes; where they would be larger, sorted lists of transitions stand for them.
+DENSE_BYTES = 64 << 20
+#: Letters of a block.
 BLOCK = 256
 
 
@@ -57,7 +61,7 @@ def excerpt(text: str, at: int) -> str:
     return np.where(codes == 0, 32, codes).astype("<u4").tobytes().decode("utf-32-le")
 
 
-def automaton(codes: np.ndarray, size: int) -> Dense | Sparse:
+def automaton(codes: np.ndarray, size: int, dense_bytes: int) -> Dense | Sparse:
     """Suffix automaton of a sequence of small ints. Its step gives twice the next state, plus 1 where a phrase begins.
 
     A letter that doesn't prolong the phrase is parsed from the root; one that the root doesn't know is a phrase of its own.
@@ -88,7 +92,7 @@ def automaton(codes: np.ndarray, size: int) -> Dense | Sparse:
         last = new
     root = np.array([edges[0].get(c, 0) for c in range(size)], np.int64) * 2 + 1
     edges[0] = {}
-    return (Dense if size <= DENSE else Sparse)(edges, root)
+    return (Dense if len(edges) * size * 4 <= dense_bytes else Sparse)(edges, root)
 
 
 class Dense:
@@ -129,7 +133,7 @@ class Model:
         self.symbols = np.unique(np.concatenate([np.zeros(0, np.uint32), *letters]))
         self.languages = list(texts)
         self.own = [self._own(x) for x in letters]
-        self.tables = [automaton(own[self.coded(t)], len(x) + 2) for own, x, t in zip(self.own, letters, texts.values())]
+        self.tables = [automaton(own[self.coded(t)], len(x) + 2, DENSE_BYTES // len(texts)) for own, x, t in zip(self.own, letters, texts.values())]
         self.bits = [math.log2(max(2, len(t))) for t in texts.values()]
 
     def _own(self, letters: np.ndarray) -> np.ndarray:
@@ -146,7 +150,7 @@ class Model:
         return np.where(codes == 0, 0, np.where(self.symbols[at] == codes, at + 2, 1)).astype(np.int32)
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Phrases that each (coded) text needs in each language."""
+        """Phrases that each (coded) text needs in each language, each the longest match from where the last one ends."""
         lanes = [-(-len(t) // BLOCK) for t in texts]
         first = np.r_[0, np.cumsum(lanes)]
         grid, ends = np.zeros(first[-1] * BLOCK, np.int32), np.full(first[-1], BLOCK)
@@ -155,20 +159,39 @@ class Model:
             if b > a:
                 ends[b - 1] = len(t) - (b - a - 1) * BLOCK
         order = np.argsort(-ends, kind="stable")
-        grid = np.ascontiguousarray(grid.reshape(-1, BLOCK)[order].T)
-        alive = np.searchsorted(-ends[order], -np.arange(BLOCK), "left")  # lanes longer than the step
+        grid, ends = np.ascontiguousarray(grid.reshape(-1, BLOCK)[order].T), ends[order]
+        alive = np.searchsorted(-ends, -np.arange(BLOCK), "left")  # lanes longer than the step
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        # the lane of the block before, if it is of the same text
+        before = np.where(np.isin(order, first[:-1]), -1, place[order - 1]) if len(order) else order
         out = np.zeros((len(self.tables), len(texts)), np.int64)
         owner = np.repeat(np.arange(len(texts)), lanes)[order]
         for k, (own, table) in enumerate(zip(self.own, self.tables)):
-            state, count = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+            steps = np.zeros((BLOCK, len(order)), np.int64)
+            state = np.zeros(len(order), np.int64)
             for i in range(BLOCK):
-                n = int(alive[i])
-                if not n:
+                if not (n := int(alive[i])):
                     break
-                step = table.step(state[:n], own[grid[i, :n]])
-                count[:n] += step & 1
-                state[:n] = step >> 1
-            out[k] = np.bincount(owner, count, len(texts)).astype(np.int64)
+                steps[i, :n] = table.step(state[:n], own[grid[i, :n]])
+                state[:n] = steps[i, :n] >> 1
+            entry = np.zeros(len(order), np.int64)
+            while True:
+                wanted = np.where(before < 0, 0, steps[-1, before] >> 1)
+                live = np.flatnonzero(wanted != entry)
+                if not len(live):
+                    break
+                state = entry[live] = wanted[live]
+                for i in range(BLOCK):
+                    inside = ends[live] > i
+                    live, state = live[inside], state[inside]
+                    if not len(live):
+                        break
+                    step = table.step(state, own[grid[i, live]])
+                    apart = step >> 1 != steps[i, live] >> 1
+                    steps[i, live] = step
+                    live, state = live[apart], step[apart] >> 1
+            out[k] = np.bincount(owner, (steps & 1).sum(axis=0), len(texts)).astype(np.int64)
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -198,14 +221,16 @@ def held_out(key: Column) -> Column:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Learns from rows that are not held out and have text and language.
 
-    The sample is bounded: of EXCERPTS hash slots per language, the row with the smallest hash in each, and an excerpt
-    of its whole text. Keys are read first, texts only of the chosen rows.
+    The sample is bounded: of EXCERPTS hash slots per language (fewer where MOST_LETTERS says so), the row with the
+    smallest hash in each, and an excerpt of its whole text. Keys are read first, texts only of the chosen rows.
     """
     given, content = F.col(key), F.col(text).cast("string")
     rows = docs.where(~held_out(given)).where(F.col(text).isNotNull() & F.col(lang).isNotNull()).where(content.rlike(r"\p{L}"))
     at = F.when(given.isNull(), F.xxhash64(F.lit(17), content)).otherwise(F.xxhash64(F.lit(17), given))
     rows = rows.select(F.col(lang).cast("string").alias("lang"), content.alias("text"), at.alias("at"))
-    slot = F.pmod("at", F.lit(EXCERPTS)).alias("slot")
+    languages = docs.where(F.col(lang).isNotNull()).agg(F.count_distinct(F.col(lang).cast("string"))).first()[0]
+    slots = max(1, min(EXCERPTS, MOST_LETTERS // (EXCERPT_CHARS * max(1, languages))))
+    slot = F.pmod("at", F.lit(slots)).alias("slot")
     least = rows.groupBy("lang", slot).agg(F.min("at").alias("at")).select("lang", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -68,8 +68,8 @@ def test_sparse_and_dense_tables_agree(monkeypatch):
     samples = {"a": ["".join(rng.choice("abcd ") for _ in range(500))], "b": ["".join(rng.choice("cdef ") for _ in range(500))]}
     texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(1, 600))) for _ in range(20)]
     found = []
-    for most in (128, 0):
-        monkeypatch.setattr(language_id, "DENSE", most)
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(language_id, "DENSE_BYTES", most)
         model = language_id.Model(samples)
         found.append(model.phrases([model.coded(language_id.folded(t)) for t in texts]).tolist())
     assert found[0] == found[1]
@@ -79,3 +79,43 @@ def test_unknown_letters_are_phrases_of_their_own():
     model = language_id.Model({"a": ["ab"], "b": ["xyz"]})
     found = model.phrases([model.coded(language_id.folded(t)) for t in ("axb", "xab", "abq")])
     assert found[0].tolist() == [3, 2, 2]
+
+
+def _longest(sample, text):
+    """Phrases by trying every longer match."""
+    sample, text = ([chr(c) for c in language_id.folded(t)] for t in (sample, text))
+    sample, at, n = "".join(sample), 0, 0
+    while at < len(text):
+        length = 1
+        while at + length < len(text) and "".join(text[at : at + length + 1]) in sample:
+            length += 1
+        at, n = at + length, n + 1
+    return n
+
+
+def test_phrases_cross_blocks():
+    rng = random.Random(6)
+    random_letters = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    han = [chr(0x4E00 + i) for i in range(700)]
+    samples = {"a": [random_letters("ab ", 3000)], "b": [random_letters("abcdefghij ", 4000)], "c": [random_letters(han[:400], 4000)], "d": [random_letters(han[300:], 4000)]}
+    model = language_id.Model(samples)
+    texts = ["", "a", "ab" * 900, "a" * 1000, random_letters("ab ", 2000), random_letters("abcxyz ", 1500), random_letters(han, 1200), random_letters(han[:400], 511), *(s[0] for s in samples.values())]
+    texts += [s[0][700:1900] + s[0][100:1300] for s in samples.values()]
+    found = model.phrases([model.coded(language_id.folded(t)) for t in texts])
+    for k, s in enumerate(samples.values()):
+        assert found[k].tolist() == [_longest(s[0] + " ", t) for t in texts]
+    assert [found[k, 8 + k] for k in range(4)] == [1] * 4
+
+
+def test_ties_and_repeated_rows(spark):
+    one, two = [i for i in range(20) if zlib.crc32(str(i).encode()) % 4 != 2][:2]
+    docs = spark.createDataFrame([(i, "same words in both", lang, "x") for i, lang in ((one, "bb"), (two, "aa"), (one, "bb"))] + [(99, "same words", None, "x")] * 2, SCHEMA)
+    rows = language_id.identify(docs, language_id.fit(docs)).collect()
+    assert {r["lang_pred"] for r in rows} == {"aa"} and len(rows) == 5 and {r["score"] for r in rows} == {0.0}
+
+
+def test_sample_is_bounded_over_all_languages(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{chr(97 + i % 20)} " * 30, f"l{i % 20:02}", "x") for i in range(800)], SCHEMA)
+    monkeypatch.setattr(language_id, "MOST_LETTERS", 20 * 2 * language_id.EXCERPT_CHARS)
+    model = language_id.fit(docs)
+    assert len(model.languages) == 20 and all(b <= 11 for b in model.bits)
