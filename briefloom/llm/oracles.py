@@ -29,6 +29,30 @@ SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.x = v.vec_id)::BIGINT AS n_link
 FROM v JOIN (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY vec_id) m USING (vec_id)
 """
 
+#: Targets and expected copies by water filling, and the lowest Pareto ranks of each source. Exact for doc_ids that don't repeat.
+OP3 = r"""
+WITH d AS (
+  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size FROM documents),
+g AS (SELECT *, round(16 * log2(1 + log2(1 + size)))::INT AS grade FROM d),
+l AS (SELECT source, grade, sum(size)::DOUBLE AS words, pow(2.0, grade / 16.0) AS merit FROM g GROUP BY ALL),
+s AS (SELECT source, sum(words) AS source_size FROM l GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight, 3.0::DOUBLE * source_size AS full_size, sum(source_size) OVER () AS total FROM s),
+v AS (SELECT *, full_size / weight AS level FROM w),
+f AS (SELECT *, sum(full_size) OVER up + level * (sum(weight) OVER () - sum(weight) OVER up) <= total AS filled FROM v WINDOW up AS (ORDER BY level RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+t AS (SELECT source, source_size, CASE WHEN filled THEN full_size ELSE least(full_size, (total - sum(CASE WHEN filled THEN full_size ELSE 0 END) OVER ()) * weight / nullif(sum(CASE WHEN filled THEN 0 ELSE weight END) OVER (), 0)) END AS target FROM f),
+lw AS (SELECT l.*, source_size, target, merit * words AS weight, 3.0::DOUBLE * words AS full_size, 3.0::DOUBLE / merit AS level FROM l JOIN t ON l.source IS NOT DISTINCT FROM t.source),
+lf AS (SELECT *, sum(full_size) OVER up + level * (sum(weight) OVER (PARTITION BY source) - sum(weight) OVER up) <= target AS filled FROM lw WINDOW up AS (PARTITION BY source ORDER BY level RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ls AS (SELECT *, CASE WHEN filled THEN full_size ELSE least(full_size, (target - sum(CASE WHEN filled THEN full_size ELSE 0 END) OVER (PARTITION BY source)) * weight / nullif(sum(CASE WHEN filled THEN 0 ELSE weight END) OVER (PARTITION BY source), 0)) END AS share FROM lf),
+le AS (SELECT *, round(coalesce(share / nullif(words, 0), 0), 9) AS expected FROM ls),
+p AS (SELECT *, target - sum(floor(expected) * words) OVER (PARTITION BY source) AS missing FROM le),
+u AS (
+  SELECT g.doc_id, g.source, g.size, p.source_size, p.target, p.missing, p.expected, p.expected - floor(p.expected) AS part, (('0x' || substr(md5(g.doc_id::VARCHAR), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE AS x
+  FROM g JOIN p ON g.source IS NOT DISTINCT FROM p.source AND g.grade = p.grade),
+r AS (SELECT *, CASE WHEN part > 0 AND size > 0 THEN (x / (1 - x)) / (part / (1 - part)) END AS q FROM u),
+n AS (SELECT *, q IS NOT NULL AND sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q / (1 + q), doc_id) - size / 2 <= missing AS extra FROM r)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target, (size * (floor(expected) + extra::INT))::BIGINT AS taken FROM n
+"""
+
 #: The first document of each window of 13 words, and the words that no later window covers.
 OP8 = r"""
 WITH d AS (
@@ -47,4 +71,4 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - len(kept))::BIGINT AS n_remo
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1, "op2_embedding_near_dedup": OP2, "op8_substring_dedup": OP8}
+    return {"op1_ngram_jaccard_join": OP1, "op2_embedding_near_dedup": OP2, "op3_pareto_mixing": OP3, "op8_substring_dedup": OP8}

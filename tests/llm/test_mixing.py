@@ -1,3 +1,5 @@
+import hashlib
+import math
 import random
 from collections import defaultdict
 
@@ -42,6 +44,54 @@ def test_targets_and_takes(spark):
     assert {r["doc_id"]: r["taken"] for r in rows} == {r["doc_id"]: r["taken"] for r in again}
 
 
+def drawn(docs, sizes, targets, merit, cap=3):
+    """Words that a plain Pareto sample takes of each document."""
+    out = {}
+    for source, goal in targets.items():
+        rows = [(key, size, 2 ** (math.floor(16 * math.log2(merit(key, size)) + 0.5) / 16)) for key, s, size in docs if s == source and size]
+        low, high = 0.0, 1e9
+        for _ in range(200):  # expected copies per merit
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(n * min(cap, mid * m) for _, n, m in rows) < goal else (low, mid)
+        expected = {key: round(min(cap, high * m), 9) for key, _, m in rows}
+        missing, order = goal, []
+        for key, n, _ in rows:
+            out[key] = n * int(expected[key])
+            missing -= out[key]
+            if p := expected[key] % 1:
+                u = (int(hashlib.md5(str(key).encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                order.append(((u / (1 - u)) / (p / (1 - p)), key, n))
+        for _, key, n in sorted(order):
+            if n / 2 > missing:
+                break
+            missing -= n
+            out[key] += n
+    return out
+
+
+@pytest.mark.parametrize("given", [False, True])
+def test_draws_a_pareto_sample(spark, given):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    docs = [(i, rng.choice(["a"] * 20 + ["b"] * 5 + ["c"] * 2), rng.choice([0, 1, 3, 9, 40, 400, 3000])) for i in range(1500)]
+    frame = spark.createDataFrame([(i, "w " * n, s, "x", 1) for i, s, n in docs], SCHEMA).drop("size")
+    options = {"merit": F.lit(1.0) + F.col("doc_id") % 7} if given else {}
+    rows = mixing.mix_sources(frame, **options).collect()
+    sizes = {s: sum(n for _, x, n in docs if x == s) for s in "abc"}
+    merit = (lambda key, n: 1 + key % 7) if given else (lambda key, n: 1 + math.log2(1 + n))
+    want = drawn(docs, sizes, wanted(sizes, (5, 2, 1), 3), merit)
+    assert {r["doc_id"]: r["taken"] for r in rows if r["size"]} == want
+    assert {r["copies"] for r in rows if r["size"]} >= {0, 1, 3}
+
+
+def test_equal_odds_that_are_whole(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, "w w", None, "x", 1) for i in range(50)], SCHEMA).drop("size")
+    assert {r["taken"] for r in mixing.mix_sources(docs, merit=F.lit(1.0)).collect()} == {2}
+
+
 def test_merit_raises_inclusion(spark):
     from pyspark.sql import functions as F
 
