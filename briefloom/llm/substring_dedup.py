@@ -1,11 +1,17 @@
 """Substring dedup: words of passages that already stand in an earlier document are removed.
 
-The edges of a De Bruijn graph over words are windows of ``window`` consecutive words. Windows of one document that
-share an anchor (the smallest hash among their inner word k-mers; equal windows have equal anchors) follow each other
-and are compacted to one path. A Spark job finds the anchors that at least two documents hold and whether they branch,
-that is, end in different paths. Paths that don't branch are settled as a whole by one join; only the first holders of
-branching paths are opened to their edges again. Every occurrence keeps its coordinates (document, first word, number
-of windows), by which the words are cut out of the source texts. Keys are two independent 64-bit hashes.
+Windows of ``window`` consecutive words are the edges of a De Bruijn graph; its nodes are the sequences of one word
+less that they begin and end with, so that an edge is the pair of its nodes' hashes. Texts that repeat as a whole are
+set aside first: only the earliest copy enters the graph. Then
+
+1. windows are dealt to anchors (the smallest hash among their inner word k-mers; equal windows have equal anchors), and
+   stretches of windows whose anchor stands in one document alone are left out: they can't repeat;
+2. the edges of what is left that at least two documents hold make up the graph, each with its source, the coordinates
+   (document, first word) at which it stands first;
+3. nodes with one edge in and one out don't branch; edges that follow each other at their sources over such nodes are
+   compacted to pieces, and pieces over such nodes to paths, by joins whose reach doubles every round;
+4. occurrences of a piece in later documents are spans, each with its source's coordinates;
+5. the words at a source's coordinates are digested, and a span is cut only if its own words have the same digest.
 """
 
 from __future__ import annotations
@@ -15,96 +21,190 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .storage import stash
-from .text_arrays import FAMILIES, Words, _powers, inside, mix, pieces, rolling, signed, words
+from .text_arrays import Words, inside, pieces, rolling, signed, words
+
+#: Edges that hold more than one part in so many of all occurrences are joined by broadcast: there are fewer than that.
+HOT = 4096
 
 
-def _anchors(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places of windows, their anchors, word hashes)."""
+def _anchors(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of windows, their anchors)."""
     hashes = w.hashes()
     k = max(2, window // 3)
     grams, n = rolling(hashes, k), len(hashes) - window + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), hashes
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     least = grams[:n].copy()
     for j in range(1, window - k + 1):
         np.minimum(least, grams[j : j + n], out=least)
     at = np.flatnonzero(inside(w, window))
-    return at, least[at], hashes
+    return at, least[at]
 
 
-def _spans_hash(hashes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Hash of the words start:stop, for arrays of places."""
-    base = FAMILIES[1]
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(mix(hashes, 5) * _powers(base.root, len(hashes)), out=sums[1:])
-    return mix((sums[stop] - sums[start]) * _powers(base.inverse, len(hashes) + 1)[start] + (stop - start).astype(np.uint64), 9)
+def _runs(docs: DataFrame, window: int) -> DataFrame:
+    """(anchor, id, start, n): n windows of one anchor from word ``start`` on."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                w = words(part.column("text"))
+                at, anchor = _anchors(w, window)
+                if not len(at):
+                    continue
+                new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)])
+                start, owner = at[new], w.doc[at[new]]
+                columns = [signed(anchor[new]), np.asarray(part.column("id"))[owner], (start - w.bounds[owner]).astype(np.int32), np.diff(np.r_[new, len(at)]).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["anchor", "id", "start", "n"])
 
-def _input(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    return docs.mapInArrow(run, "anchor long, id long, start int, n int")
 
 
-def _paths(docs: DataFrame, window: int) -> DataFrame:
-    """(anchor, path, id, start, n): n windows from word ``start`` on, compacted to a path."""
+def _stretches(docs: DataFrame, window: int) -> DataFrame:
+    """(id, start, text): words of a document from ``start`` on, joined by a space, whose windows all belong to ``runs``, a column of (start, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
                 w = words(part.column("text"))
-                at, anchor, hashes = _anchors(w, window)
-                if not len(at):
-                    continue
-                new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)])
-                n, start = np.diff(np.r_[new, len(at)]), at[new]
-                path = _spans_hash(hashes, start, start + n + window - 1)
-                owner = w.doc[start]
-                ids = np.asarray(part.column("id"))[owner]
-                columns = [signed(anchor[new]), signed(path), ids, (start - w.bounds[owner]).astype(np.int32), n.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["anchor", "path", "id", "start", "n"])
+                data, ids, starts, found = w.data.tobytes(), [], [], []
+                for key, lo, hi, runs in zip(part.column("id").to_pylist(), w.bounds[:-1].tolist(), w.bounds[1:].tolist(), part.column("runs").to_pylist()):
+                    marks = np.zeros(hi - lo + 2, np.int32)
+                    for r in runs:
+                        if r["start"] + r["n"] + window - 1 <= hi - lo:  # a row that repeats another's key may be shorter
+                            marks[r["start"] + 1] += 1
+                            marks[r["start"] + r["n"] + 1] -= 1
+                    edges = np.flatnonzero(np.diff((np.cumsum(marks) > 0).astype(np.int8)))
+                    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+                        ids.append(key)
+                        starts.append(a)
+                        found.append(b" ".join(data[i:j] for i, j in zip(w.start[lo + a : lo + b + window - 1].tolist(), w.end[lo + a : lo + b + window - 1].tolist())))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(found, pa.binary()).cast(pa.string())], ["id", "start", "text"])
 
-    return docs.where("id is not null and text is not null").mapInArrow(run, "anchor long, path long, id long, start int, n int")
+    return docs.mapInArrow(run, "id long, start int, text string")
 
 
-def _edges(docs: DataFrame, window: int) -> DataFrame:
-    """(anchor, edge, id, start) of the windows in ``spans``, a column of (start, n)."""
+def _edges(stretches: DataFrame, window: int) -> DataFrame:
+    """(u, v, id, start) of all windows: the hashes of their first and of their last words, one less than the window has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
                 w = words(part.column("text"))
-                at, anchor, hashes = _anchors(w, window)
-                marks = np.zeros(len(w.start) + 1, np.int64)
-                for lo, spans in zip(w.bounds.tolist(), part.column("spans").to_pylist()):
-                    for s in spans:
-                        marks[lo + s["start"]] += 1
-                        marks[lo + s["start"] + s["n"]] -= 1
-                held = np.cumsum(marks)[at] > 0 if len(at) else np.zeros(0, bool)
-                at, anchor = at[held], anchor[held]
+                nodes, at = rolling(w.hashes(), window - 1), np.flatnonzero(inside(w, window))
                 owner = w.doc[at]
-                columns = [signed(anchor), signed(_spans_hash(hashes, at, at + window)), np.asarray(part.column("id"))[owner], (at - w.bounds[owner]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["anchor", "edge", "id", "start"])
+                start = np.asarray(part.column("start"))[owner] + at - w.bounds[owner]
+                columns = [signed(nodes[at]), signed(nodes[at + 1]), np.asarray(part.column("id"))[owner], start.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["u", "v", "id", "start"])
+
+    return stretches.mapInArrow(run, "u long, v long, id long, start int")
+
+
+def compact(edges: DataFrame) -> DataFrame:
+    """(sid, sstart, u, v, n, piece, path, place) for edges (u, v, sid, sstart, n): piece: the word at which the edge's piece begins in document sid.
+
+    An edge's piece is the longest stretch around it of edges that follow each other in document sid and meet in
+    nodes that don't branch. Pieces that follow each other over such nodes are one path, named by its first piece
+    (document, word); place counts the pieces before. A circle of pieces stays in parts.
+    """
+    ends = edges.select(F.col("u").alias("node"), F.lit(0).alias("into"), F.lit(1).alias("out")).unionAll(edges.select("v", F.lit(1), F.lit(0)))
+    ends = ends.groupBy("node").agg(F.sum("into").alias("into"), F.sum("out").alias("out"))
+    straight = stash(ends.where("into = 1 and out = 1").select("node"))
+    along = Window.partitionBy("sid").orderBy("sstart")
+    rows = edges.join(straight.select(F.col("node").alias("u"), F.lit(True).alias("straight")), "u", "left")
+    follows = F.col("straight") & (F.lag("sstart").over(along) == F.col("sstart") - 1)
+    rows = rows.withColumn("piece", F.when(~F.coalesce(follows, F.lit(False)), F.col("sstart")))
+    rows = stash(rows.withColumn("piece", F.last("piece", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("straight"))
+
+    whole = rows.groupBy("sid", "piece").agg(F.min(F.struct("sstart", "u")).alias("first"), F.max(F.struct("sstart", "v")).alias("last"))
+    whole = whole.select(F.struct("sid", "piece").alias("at"), F.col("first.u").alias("head"), F.col("last.v").alias("tail"))
+    # a straight node has one edge in: the last one of a single piece
+    heads = whole.join(straight, whole["head"] == straight["node"], "left_semi").select("at", F.col("head").alias("node"))
+    ahead = heads.join(whole.select(F.col("at").alias("path"), F.col("tail").alias("node")), "node").where("at <> path").select("at", "path", F.lit(1).alias("place"))
+    ahead, moving = stash(ahead), -1
+    while True:
+        further = ahead.select(F.col("at").alias("path"), F.col("path").alias("next"), F.col("place").alias("more"))
+        ahead = ahead.drop("moved").join(further, "path", "left")
+        ahead = stash(ahead.select("at", F.coalesce("next", "path").alias("path"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"), F.col("next").isNotNull().alias("moved")))
+        before, moving = moving, ahead.where("moved").count()
+        if moving in (0, before):  # a path has fewer that move every round, a circle as many
+            break
+    ahead = ahead.where("not moved").drop("moved")
+    ahead = ahead.select("at.*", F.col("path"), "place")
+    found = rows.join(ahead, ["sid", "piece"], "left")
+    return found.withColumn("path", F.coalesce("path", F.struct("sid", "piece"))).withColumn("place", F.coalesce("place", F.lit(0)))
 
-    return docs.mapInArrow(run, "anchor long, edge long, id long, start int")
+
+def _spans(stretches: DataFrame, graph: DataFrame, window: int) -> DataFrame:
+    """(id, start, n, sid, sstart): n windows from word ``start`` on that stand at word ``sstart`` of the earlier document sid, in one piece."""
+    source = graph.select("u", "v", "sid", "sstart", "piece", "n")
+    total = graph.agg(F.sum("n").alias("total"))
+    # fewer than HOT rows
+    hot = stash(source.crossJoin(F.broadcast(total)).where(F.col("n") * HOT > F.col("total")).drop("total", "n"))
+    occurrences = _edges(stretches, window).join(F.broadcast(hot.select(F.col("u").alias("hu"), F.col("v").alias("hv"), F.struct("sid", "sstart", "piece").alias("source"))), (F.col("u") == F.col("hu")) & (F.col("v") == F.col("hv")), "left").drop("hu", "hv")
+    plain = source.join(F.broadcast(hot.select("u", "v")), ["u", "v"], "left_anti").drop("n")
+    frequent = occurrences.where("source is not null").select("id", "start", "source.*")
+    late = occurrences.where("source is null").drop("source").join(plain, ["u", "v"]).select("id", "start", "sid", "sstart", "piece").unionAll(frequent).where("id > sid")
+    # of rows that repeat a key all places are kept once
+    late = late.withColumn("apart", F.col("start") - F.col("sstart")).select("id", "start", "sid", "piece", "apart").repartition("id").distinct()
+    along = Window.partitionBy("id", "sid", "piece", "apart").orderBy("start")
+    islands = late.withColumn("island", F.col("start") - F.row_number().over(along))
+    return islands.groupBy("id", "sid", "piece", "apart", "island").agg(F.min("start").alias("start"), F.count("*").cast("int").alias("n")).select("id", "start", "n", "sid", (F.col("start") - F.col("apart")).alias("sstart"))
+
+
+def _digest(parts: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(parts), digest_size=16).digest()
+
+
+def _verifiable(spans: DataFrame, stretches: DataFrame, window: int) -> DataFrame:
+    """(id, start, n, digest): spans with the digest of the words at their source's coordinates."""
+    wanted = stash(spans.groupBy("sid", "sstart", "n").agg(F.lit(1).alias("one")).drop("one"))
+    asked = wanted.groupBy(F.col("sid").alias("id")).agg(F.collect_list(F.struct("sstart", "n")).alias("asked"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                w = words(part.column("text"))
+                data, out = w.data.tobytes(), []
+                for i, (key, at, asked) in enumerate(zip(part.column("id").to_pylist(), part.column("start").to_pylist(), part.column("asked").to_pylist())):
+                    lo, hi = int(w.bounds[i]), int(w.bounds[i + 1])
+                    for s in asked:
+                        a, n = lo + s["sstart"] - at, s["n"] + window - 1
+                        if lo <= a and a + n <= hi:
+                            out.append((key, s["sstart"], s["n"], _digest([data[x:y] for x, y in zip(w.start[a : a + n].tolist(), w.end[a : a + n].tolist())])))
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)], ["sid", "sstart", "n", "digest"])
+
+    shown = stretches.join(asked, "id").select("id", "start", "text", "asked").mapInArrow(run, "sid long, sstart int, n int, digest binary").distinct()
+    return spans.join(shown, ["sid", "sstart", "n"]).select("id", "start", "n", "digest")
+
+
+def _whole(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 13) -> DataFrame:
-    """(id, start, n): n windows from word ``start`` on that also start in a document with a smaller id. Spans may overlap."""
-    docs = _input(docs, key, text)
-    shared = _paths(docs, window).groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), (F.min("path") < F.max("path")).alias("branches"))
-    shared = stash(shared.where("low < high").select("anchor", "branches"))
-    held = stash(_paths(docs, window).join(shared, "anchor"))
-    first = held.groupBy("anchor", "path").agg(F.min("id").alias("source"))
-    held = stash(held.join(first, ["anchor", "path"]).select("id", "start", "n", (F.col("id") > F.col("source")).alias("late"), "branches"))
-    opened = held.where("branches and not late").groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    edges = _edges(docs.where("id is not null").join(opened, "id"), window)
-    edges = stash(edges)
-    source = edges.groupBy("anchor", "edge").agg(F.min("id").alias("source"), F.max("id").alias("last")).where("source < last")
-    late = edges.join(source, ["anchor", "edge"]).where("id > source")
-    return held.where("late").select("id", "start", "n").unionAll(late.select("id", "start", F.lit(1).alias("n")))
+    """(id, start, n, digest): n windows from word ``start`` on that also start in a document with a smaller id; digest of their words at that place.
+
+    Texts that repeat one of a smaller id as a whole have one row with null start and n, and the digest of the text.
+    """
+    docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null and text is not null").withColumn("whole", _whole(F.col("text")))
+    several = docs.groupBy("whole").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    copies = stash(docs.select("id", "whole").join(several, "whole").where("id > low").select("id", "whole").distinct())
+    single = docs.select("id", "whole", "text").join(copies.withColumnRenamed("id", "i").withColumnRenamed("whole", "w"), (F.col("id") == F.col("i")) & (F.col("whole") == F.col("w")), "left_anti").select("id", "text")
+
+    shared = stash(_runs(single, window).groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor"))
+    runs = stash(_runs(single, window).join(shared, "anchor").groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("runs")))
+    stretches = stash(_stretches(single.join(runs, "id").select("id", "text", "runs"), window))
+    edges = _edges(stretches, window).groupBy("u", "v").agg(F.min(F.struct("id", "start")).alias("source"), F.max("id").alias("last"), F.count("*").alias("n"))
+    edges = stash(edges.where("source.id < last").select("u", "v", F.col("source.id").alias("sid"), F.col("source.start").alias("sstart"), "n"))
+    graph = stash(compact(edges))
+    spans = stash(_spans(stretches, graph, window))
+    return _verifiable(spans, stretches, window).unionAll(copies.select("id", F.lit(None).cast("int"), F.lit(None).cast("int"), "whole"))
 
 
 def cut_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 13) -> DataFrame:
@@ -117,35 +217,49 @@ def cut_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
     stay. Extra columns are carried along, whatever their names.
     """
     spans = repeated_spans(docs, key, text, window)
-    spans = spans.groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    spans = spans.groupBy("id").agg(F.collect_list(F.struct("start", "n", "digest")).alias("spans"))
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = docs.columns.index(text)
     rows = docs.toDF(*names).withColumn(names[at], F.col(names[at]).cast("string"))
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     rows = rows.join(spans, F.col(names[docs.columns.index(key)]).cast("long") == F.col("id"), "left").drop("id")
-    kept = rows.select(*names, "spans").mapInArrow(_cutter(names, names[at], window), rows.schema.simpleString()[7:-1].replace(",spans:array<struct<start:int,n:int>>", "") + ",n_words:bigint,n_removed:bigint,kept_sha256:string")
+    kept = rows.select(*names, "spans").mapInArrow(_cutter(names, names[at], window), types + ", n_words long, n_removed long, kept_sha256 string")
     return kept.toDF(*docs.columns, "n_words", "n_removed", "kept_sha256")
 
 
 def _cutter(names: list[str], text: str, window: int):
+    def stays(n: int, given: list[dict], own: list[bytes], raw: str | None) -> np.ndarray:
+        """Which words of a text stay: those of no span whose words have its digest."""
+        stay = np.ones(n, bool)
+        for s in given:
+            if s["start"] is None:
+                if n >= window and hashlib.sha256((raw or "").encode()).digest() == s["digest"]:
+                    stay[:] = False
+            else:
+                a, b = s["start"], s["start"] + s["n"] + window - 1
+                if b <= n and _digest(own[a:b]) == s["digest"]:
+                    stay[a:b] = False
+        return stay
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, text):
                 w = words(part.column(text))
-                data, start, end = w.data.tobytes(), w.start, w.end
+                data, start, end = w.data.tobytes(), w.start.tolist(), w.end.tolist()
                 kept, counts, removed, digests = part.column(text).to_pylist(), np.diff(w.bounds), [], []
                 for i, spans in enumerate(part.column("spans").to_pylist()):
                     lo, hi = int(w.bounds[i]), int(w.bounds[i + 1])
-                    stay = np.ones(hi - lo, bool)
-                    for s in spans or ():
-                        stay[s["start"] : s["start"] + s["n"] + window - 1] = False
-                    n = int(stay.sum())
-                    removed.append(hi - lo - n)
-                    at = np.flatnonzero(stay) + lo
-                    digests.append(hashlib.sha256(b" ".join(data[a:b] for a, b in zip(start[at].tolist(), end[at].tolist()))).hexdigest())
-                    if n < hi - lo:
-                        new = np.flatnonzero(np.r_[True, at[1:] != at[:-1] + 1]) if n else []
-                        last = np.r_[new[1:], n] - 1 if n else []
-                        kept[i] = b" ".join(data[a:b] for a, b in zip(start[at[new]].tolist(), end[at[last]].tolist())).decode() if n else ""
+                    own = [data[a:b] for a, b in zip(start[lo:hi], end[lo:hi])]
+                    if spans:
+                        stay = stays(hi - lo, spans, own, kept[i])
+                        at = np.flatnonzero(stay)
+                        if (n := len(at)) < hi - lo:
+                            new = np.flatnonzero(np.r_[True, at[1:] != at[:-1] + 1]) if n else []
+                            last = np.r_[new[1:], n] - 1 if n else []
+                            kept[i] = b" ".join(data[start[lo + a] : end[lo + b]] for a, b in zip(at[new].tolist(), at[last].tolist())).decode() if n else ""
+                            own = [own[a] for a in at.tolist()]
+                    removed.append(hi - lo - len(own))
+                    digests.append(hashlib.sha256(b" ".join(own)).hexdigest())
                 columns = [pa.array(kept, pa.string()) if c == text else part.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests)], [*names, "n_words", "n_removed", "kept_sha256"])
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from briefloom.llm import substring_dedup
@@ -54,3 +55,62 @@ def test_layout_and_empty_table(spark):
     texts = {r["doc_id"]: r["text"] for r in substring_dedup.cut_repeated(frame).collect()}
     assert texts == {1: p, 2: "Before\nthat  line after it"}
     assert substring_dedup.cut_repeated(frame.where("doc_id > 5")).count() == 0
+
+
+def _paths(edges):
+    """Edges in sets that straight nodes connect; circles are left out."""
+    into, out = {}, {}
+    for u, v in edges:
+        out.setdefault(u, []).append((u, v))
+        into.setdefault(v, []).append((u, v))
+    straight = {n for n in into if len(into[n]) == len(out.get(n, ())) == 1}
+    found = []
+    for e in edges:
+        if e[0] not in straight:
+            path = [e]
+            while path[-1][1] in straight:
+                path.append(out[path[-1][1]][0])
+            found.append(path)
+    return found
+
+
+def test_compaction_against_walks(spark):
+    rng = random.Random(9)
+    passage = [rng.randrange(10**6) for _ in range(120)]
+    docs = [passage[:40], passage[30:70], passage[60:], passage[20:90], passage[:50] + [1, 2, 3] + passage[55:], passage[100:] + passage[:20], [7, 8, 9] * 5, [8, 9, 7, 8]]
+    rng.shuffle(docs)
+    source = {}
+    for key, d in enumerate(docs):
+        for i in range(len(d) - 1):
+            source.setdefault((d[i], d[i + 1]), (key, i))
+    frame = spark.createDataFrame([(u, v, *at, 2) for (u, v), at in source.items()], "u long, v long, sid long, sstart int, n long")
+    rows = substring_dedup.compact(frame).collect()
+    assert len(rows) == len(source)
+    got = {}
+    for r in sorted(rows, key=lambda r: (r["place"], r["sstart"])):
+        got.setdefault(tuple(r["path"]), []).append((r["u"], r["v"]))
+    walks = _paths(list(source))
+    assert len([w for w in walks if len({source[e][0] for e in w}) > 1]) > 0
+    for w in walks:
+        assert w in list(got.values())
+    circle = [e for e in source if e not in {e for w in walks for e in w}]
+    assert circle and sum(len(p) for p in got.values()) == len(source)
+
+
+def test_spans_are_verified_at_their_source(spark):
+    """Words that aren't those of the source stay."""
+    p, q = " ".join(f"p{i}" for i in range(20)), " ".join(f"q{i}" for i in range(20))
+    frame = spark.createDataFrame([(1, "a " + p, "", 0, ""), (2, "b " + p, "", 0, ""), (3, q, "", 0, "")], SCHEMA)
+    spans = substring_dedup.repeated_spans(frame)
+    assert [(r["id"], r["start"], r["n"]) for r in spans.collect()] == [(2, 1, 8)]
+    digest = spans.collect()[0]["digest"]
+    cut = substring_dedup._cutter(["id", "text"], "text", 13)
+    batch = pa.RecordBatch.from_pylist([{"id": 2, "text": "b " + p, "spans": [{"start": 1, "n": 8, "digest": digest}]}, {"id": 3, "text": q, "spans": [{"start": 0, "n": 8, "digest": digest}]}])
+    assert next(cut(iter([batch]))).column("n_removed").to_pylist() == [20, 0]
+
+
+def test_rows_that_repeat_a_key_with_other_texts(spark):
+    p = " ".join(f"p{i}" for i in range(20))
+    docs = [(1, p), (2, "x " + p), (2, "some other words that are of no passage at all and go on for a while longer"), (2, p), (3, "y " + p + " y"), (3, "short")]
+    got = substring_dedup.cut_repeated(spark.createDataFrame([(*d, "s", 1, "i") for d in docs], SCHEMA))
+    assert sorted((tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=repr) == brute(docs, 13)
