@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .license_scan import PHRASES, TEMPLATES, template_words
+
 #: Distinct n-grams of each text, the pairs that share enough of them, and the smallest key reachable.
 OP1 = r"""
 WITH RECURSIVE d AS (
@@ -70,5 +72,30 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - len(kept))::BIGINT AS n_remo
 """
 
 
+#: Hits of three words, put together by diagonals.
+OP9 = r"""
+WITH t AS (SELECT * FROM (VALUES %s) v(template, words, label, phrase)),
+tw AS (SELECT *, string_split(words, ' ') AS tw FROM t),
+tg AS (SELECT template, label, phrase, len(tw) AS n, unnest(range(0, len(tw) - 2)) AS pos, tw FROM tw),
+tk AS (SELECT template, label, phrase, n, pos, array_to_string(tw[pos + 1:pos + 3], ' ') AS gram FROM tg),
+d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+dp AS (SELECT doc_id, unnest(range(0, len(w) - 2)) AS place, w FROM d),
+dk AS (SELECT doc_id, place, array_to_string(w[place + 1:place + 3], ' ') AS gram FROM dp),
+h AS (SELECT DISTINCT doc_id, template, label, phrase, n, place - pos AS diagonal, pos FROM dk JOIN tk USING (gram)),
+g AS (SELECT DISTINCT doc_id, template, phrase, diagonal FROM h),
+o AS (SELECT doc_id, template, diagonal, (phrase OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal), 3) > 2)::INT AS new FROM g),
+c AS (SELECT doc_id, template, diagonal, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS grp FROM o),
+m AS (
+  SELECT doc_id, template, label, phrase, n, grp, min(diagonal) AS low, list(DISTINCT pos) AS votes FROM h JOIN c USING (doc_id, template, diagonal) GROUP BY ALL),
+s AS (
+  SELECT *, len(list_distinct(flatten(list_transform(votes, lambda a: [a, a + 1, a + 2])))) / n AS share FROM m
+  WHERE len(votes) >= CASE WHEN phrase THEN n - 2 ELSE greatest(1, (n - 2) // 2) END),
+v AS (SELECT *, greatest(low, 0) AS start FROM s WHERE share >= CASE WHEN phrase THEN 1 ELSE 0.8 END)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, count(*) FILTER (phrase)::BIGINT AS n_base, min(start) FILTER (phrase)::BIGINT AS first_word, max(start) FILTER (phrase)::BIGINT AS last_word,
+  coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (phrase)), ','), '') AS base_labels, coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (label IS NOT NULL)), ','), '') AS labels, coalesce(max(share), 0)::DOUBLE AS score
+FROM d LEFT JOIN v USING (doc_id) GROUP BY d.doc_id, d.w
+""" % ", ".join(f"({i}, '{' '.join(template_words(t))}', '{label}', {i < len(PHRASES)})" for i, (t, label) in enumerate([*PHRASES, *TEMPLATES]))
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1, "op2_embedding_near_dedup": OP2, "op3_pareto_mixing": OP3, "op8_substring_dedup": OP8}
+    return {"op1_ngram_jaccard_join": OP1, "op2_embedding_near_dedup": OP2, "op3_pareto_mixing": OP3, "op8_substring_dedup": OP8, "op9_license_scan": OP9}
