@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import url_filter
 from .license_scan import PHRASES, TEMPLATES, template_words
 
 #: Distinct n-grams of each text, the pairs that share enough of them, and the smallest key reachable.
@@ -97,5 +98,45 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, count(*) FILTER (phrase)::BIGINT A
 FROM d LEFT JOIN v USING (doc_id) GROUP BY d.doc_id, d.w
 """ % ", ".join(f"({i}, '{' '.join(template_words(t))}', '{label}', {i < len(PHRASES)})" for i, (t, label) in enumerate([*PHRASES, *TEMPLATES]))
 
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _strength(rows: str, parent: str) -> str:
+    """Strength of a level's prior from rows (n, bad, the parent's rate)."""
+    chance, spread, more = f"sum({parent} * (1 - {parent}))", f"sum(n * pow(bad / n - {parent}, 2))", f"sum({parent} * (1 - {parent}) * (n - 1))"
+    return f"(SELECT greatest(2.0, least(200.0, CASE WHEN {spread} > {chance} THEN {more} / ({spread} - {chance}) - 1 ELSE 200.0 END)) FROM {rows})"
+
+
+#: Rules, longest first; elsewhere counts per host, domain and suffix, each shrunk toward the next. Exact for page_ids that don't repeat.
+OP10 = rf"""
+WITH pg AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), {_LETTERS}), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+lb AS (SELECT doc_id, (quality = 0 OR toxic = 1)::INT AS bad FROM labels),
+oc AS (SELECT host, bad FROM pg JOIN lb ON try_cast(nullif(regexp_extract(path, '^/[^/]*/(\d{{1,18}})', 1), '') AS BIGINT) = doc_id WHERE bad IS NOT NULL),
+h0 AS (SELECT DISTINCT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':\d*$', '') AS own FROM pg),
+h1 AS (SELECT *, string_split(own, '.') AS l, regexp_matches(own, '^(\d+\.){{3}}\d+$|^\[') AS address FROM h0),
+h2 AS (SELECT *, CASE WHEN len(l) > 1 AND regexp_matches(l[len(l)], '^[a-z]{{2}}$') AND l[len(l) - 1] IN {url_filter.SECOND_LEVELS} THEN 2 ELSE 1 END AS k FROM h1),
+lv AS (
+  SELECT host, CASE WHEN address THEN own ELSE array_to_string(l[greatest(1, len(l) - k):], '.') END AS domain, CASE WHEN address THEN own ELSE array_to_string(l[greatest(1, len(l) - k + 1):], '.') END AS suffix FROM h2),
+hn AS (SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM oc JOIN lv USING (host) GROUP BY ALL),
+dn AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hn GROUP BY ALL),
+sn AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM dn GROUP BY ALL),
+t AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1) AS p0, sum(n) + 1 AS p0_n FROM sn),
+s0 AS (SELECT * FROM sn, t), k1 AS (SELECT {_strength("s0", "p0")} AS k1),
+s1 AS (SELECT suffix, (bad + k1 * p0) / (n + k1) AS p1, n + k1 AS p1_n FROM s0, k1),
+d0 AS (SELECT dn.*, p1 FROM dn JOIN s1 USING (suffix)), k2 AS (SELECT {_strength("d0", "p1")} AS k2),
+d1 AS (SELECT domain, suffix, (bad + k2 * p1) / (n + k2) AS p2, n + k2 AS p2_n FROM d0, k2),
+g0 AS (SELECT hn.*, p2 FROM hn JOIN d1 USING (domain, suffix)), k3 AS (SELECT {_strength("g0", "p2")} AS k3),
+g1 AS (SELECT host, (bad + k3 * p2) / (n + k3) AS p3, n + k3 AS p3_n FROM g0, k3),
+a AS (
+  SELECT host, coalesce(p3, p2, p1, p0) AS mean, CASE WHEN p3 IS NOT NULL THEN 1 - 1 / (p3_n + 1) WHEN p2 IS NOT NULL THEN (1 - 1 / (p2_n + 1)) * (1 - 1 / (k3 + 1))
+    WHEN p1 IS NOT NULL THEN (1 - 1 / (p1_n + 1)) * (1 - 1 / (k2 + 1)) * (1 - 1 / (k3 + 1)) ELSE (1 - 1 / (p0_n + 1)) * (1 - 1 / (k1 + 1)) * (1 - 1 / (k2 + 1)) * (1 - 1 / (k3 + 1)) END AS known
+  FROM lv LEFT JOIN g1 USING (host) LEFT JOIN d1 USING (domain, suffix) LEFT JOIN s1 USING (suffix), t, k1, k2, k3 WHERE host <> ''),
+r AS (SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) v(verdict, at_host, at_path)),
+f AS (SELECT page_id, arg_max(at_host || at_path, length(at_host || at_path)) AS rule, arg_max(verdict, length(at_host || at_path)) AS verdict FROM pg JOIN r ON (host = at_host OR ends_with(host, '.' || at_host)) AND starts_with(path, at_path) GROUP BY page_id)
+SELECT page_id, pg.host, path, f.rule, coalesce(f.verdict, CASE WHEN mean - 1.64 * sqrt(mean * (1 - mean) * (1 - known)) >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(mean, 9) AS bad_rate
+FROM pg LEFT JOIN f USING (page_id) LEFT JOIN a ON a.host = pg.host
+"""
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1, "op2_embedding_near_dedup": OP2, "op3_pareto_mixing": OP3, "op8_substring_dedup": OP8, "op9_license_scan": OP9}
+    return {"op1_ngram_jaccard_join": OP1, "op2_embedding_near_dedup": OP2, "op3_pareto_mixing": OP3, "op8_substring_dedup": OP8, "op9_license_scan": OP9, "op10_url_filter": OP10}

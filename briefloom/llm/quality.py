@@ -5,7 +5,7 @@ the share of distinct words. Features are hashed to a fixed number of buckets; o
 sample of labelled rows count. A logistic curve turns evidence for and against into a probability. Labelled outcomes are grouped by
 host and by path within host; a path's rate is shrunk toward its host's, a host's toward the global one, by
 beta-binomial priors whose strength is estimated from the spread of rates. A document's log odds and those of its site
-(relative to the global rate) add up.
+(relative to the global rate) add up; the site's are those without the document's own label.
 """
 
 from __future__ import annotations
@@ -93,9 +93,12 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _marked(docs: DataFrame, labels: DataFrame, key: str, text: str) -> DataFrame:
     """(id, text, bad, toxic) of labelled rows; a label that is null counts as good."""
+    return docs.join(_marks(labels, key), F.col("id") == F.col("i")).drop("i")
+
+
+def _marks(labels: DataFrame, key: str) -> DataFrame:
     marks = labels.select(F.col(key).cast("long").alias("i"), (F.coalesce("quality", F.lit(1)) == 0).cast("int").alias("bad"), (F.coalesce("toxic", F.lit(0)) == 1).cast("int").alias("toxic"))
-    marks = marks.where("i is not null").groupBy("i").agg(F.max("bad").alias("bad"), F.max("toxic").alias("toxic"))
-    return docs.join(marks, F.col("id") == F.col("i")).drop("i")
+    return marks.where("i is not null").groupBy("i").agg(F.max("bad").alias("bad"), F.max("toxic").alias("toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Weights:
@@ -147,53 +150,83 @@ def _evidence(rows: DataFrame, model: Weights, also: list[str]) -> DataFrame:
     return rows.select(*kept, "text").mapInArrow(run, schema)
 
 
-def site_posteriors(outcomes: DataFrame, target: str) -> DataFrame:
-    """(host, path, shift): log odds of a site's posterior rate less the global ones, from labelled rows (host, path, target 0/1)."""
-    return _shifts(outcomes, target)[1]
-
-
-def _shifts(outcomes: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
-    """(host, shift) of hosts, and (host, path, shift) of paths: a path without labelled rows has its host's posterior.
+def _sites(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, tuple[float, float, float]]]:
+    """Paths (host, path, n, bad, toxic), hosts (host, n, bad, toxic), and for each target the global rate and the strengths of the hosts' and the paths' priors.
 
     Counts are grouped by host and path first and added up to hosts, so that a hot host is no one task's. Null hosts and
     paths are sites of their own.
     """
-    paths = outcomes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(target).alias("bad"))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    total = hosts.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("p0"))
-    # one row each
-    hosts = hosts.crossJoin(F.broadcast(total))
-    hosts = hosts.crossJoin(F.broadcast(strength(hosts, "p0"))).withColumn("p1", (F.col("bad") + F.col("k") * F.col("p0")) / (F.col("n") + F.col("k"))).select(F.col("host").alias("h"), "p0", "p1")
-    paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h")
-    paths = paths.crossJoin(F.broadcast(strength(paths, "p1"))).withColumn("p2", (F.col("bad") + F.col("k") * F.col("p1")) / (F.col("n") + F.col("k")))
-    logit = lambda p: F.log(F.col(p) / (1 - F.col(p)))
-    return hosts.select(F.col("h").alias("host"), (logit("p1") - logit("p0")).alias("shift")), paths.select("host", "path", (logit("p2") - logit("p0")).alias("shift"))
-
-
-def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", host: Column | str = "source", path: Column | str = "lang", threshold: float = 0.5) -> DataFrame:
+    paths = stash(outcomes.groupBy("host", "path").agg(F.count("*").alias("n"), *[F.sum(t).alias(t) for t in TARGETS]))
+    hosts = stash(paths.groupBy("host").agg(F.sum("n").alias("n"), *[F.sum(t).alias(t) for t in TARGETS]))
+    # one row of sums
+    sums = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[F.coalesce(F.sum(t), F.lit(0)).alias(t) for t in TARGETS]).first()
+    priors = {}
+    for t in TARGETS:
+        p0 = (sums[t] + 0.5) / (sums["n"] + 1)
+        k1 = strength(hosts.select("n", F.col(t).alias("bad"), F.lit(p0).alias("p")), "p").first()["k"]
+        own = hosts.select(F.col("host").alias("h"), ((F.col(t) + k1 * p0) / (F.col("n") + k1)).alias("p"))
+        k2 = strength(paths.join(own, F.col("host").eqNullSafe(F.col("h"))).select("n", F.col(t).alias("bad"), "p"), "p").first()["k"]
+        priors[t] = p0, k1, k2
+    return paths, hosts, priors
+
+
+def _shift(t: str, prior: tuple[float, float, float], one: Column) -> Column:
+    """Log odds of a site's posterior rate less the global ones, from the counts (host_n, host_{t}, path_n, path_{t}) of its host and path; one: the label to leave out, null for none."""
+    p0, k1, k2 = prior
+    count = lambda c: F.coalesce(F.col(c), F.lit(0))
+    own, seen = F.coalesce(one, F.lit(0)), one.isNotNull().cast("int")
+    p1 = (count(f"host_{t}") - own + k1 * p0) / (count("host_n") - seen + k1)
+    p2 = (count(f"path_{t}") - own + k2 * p1) / (count("path_n") - seen + k2)
+    return F.log(p2 / (1 - p2)) - float(np.log(p0 / (1 - p0)))
+
+
+def _with_sites(rows: DataFrame, paths: DataFrame, hosts: DataFrame) -> DataFrame:
+    named = lambda df, of: df.select(F.col("host").alias("h"), *([F.col("path").alias("p")] if of == "path" else []), *[F.col(c).alias(f"{of}_{c}") for c in ("n", *TARGETS)])
+    rows = rows.join(named(paths, "path"), F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")), "left").drop("h", "p")
+    return rows.join(named(hosts, "host"), F.col("host").eqNullSafe(F.col("h")), "left").drop("h")
+
+
+def site_posteriors(outcomes: DataFrame) -> DataFrame:
+    """(host, path, bad_shift, toxic_shift): log odds of each site's posterior rates less the global ones, from labelled rows (host, path, bad 0/1, toxic 0/1)."""
+    paths, hosts, priors = _sites(outcomes)
+    rows = _with_sites(paths.select("host", "path"), paths, hosts)
+    return rows.select("host", "path", *[_shift(t, priors[t], F.lit(None).cast("int")).alias(f"{t}_shift") for t in TARGETS])
+
+
+def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", host: Column | str = "source", path: Column | str = "lang", sites: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """(``key``, p_bad, p_toxic, bad_logit, toxic_logit, bad_shift, toxic_shift, keep) for each row of ``docs``: evidence, sites, and both.
 
-    A row is kept if both probabilities are under the threshold. Null and empty texts have only the evidence of being
-    empty; a path without labelled rows has its host's shift, a host without any shift 0; without labels all probabilities are low and all rows stay.
-    Repeated rows are judged each, and rows with a null key as any other. Extra columns are not read.
+    sites: (``key``, host, path) of documents whose URL is known; of several the first in order. Other documents have the
+    columns ``host`` and ``path``. A row is kept if both probabilities are under the threshold. Null and empty texts have
+    only the evidence of being empty; a path without labelled rows has its host's posterior, a host without any the
+    global one (shift 0); without labels all probabilities are low and all rows stay. Repeated rows are judged each, and
+    rows with a null key as any other. Extra columns are not read.
     """
     host, path = (F.col(c) if isinstance(c, str) else c for c in (host, path))
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"), host.cast("string").alias("host"), path.cast("string").alias("path"))
     model = fit(rows, labels.withColumnRenamed(key, "id"), "id", "text")
-    scored = _evidence(rows, model, ["host", "path"])
-    outcomes = _marked(rows.select("id", "host", "path"), labels, key, text)
+    scored = _placed(_evidence(rows, model, ["host", "path"]), sites, key)
+    outcomes = _marked(_placed(rows.select("id", "host", "path"), sites, key), labels, key, text)
+    paths, hosts, priors = _sites(outcomes)
+    marks = _marks(labels, key).select("i", *[F.col(t).alias(f"own_{t}") for t in TARGETS])
+    scored = _with_sites(scored, paths, hosts).join(marks, F.col("id") == F.col("i"), "left").drop("i")
     for t in TARGETS:
-        hosts, paths = (stash(x) for x in _shifts(outcomes, t))
-        hosts = hosts.select(F.col("host").alias("h"), F.col("shift").alias("host_shift"))
-        paths = paths.select(F.col("host").alias("h"), F.col("path").alias("p"), F.col("shift").alias("path_shift"))
-        scored = scored.join(paths, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")), "left").drop("h", "p")
-        scored = scored.join(hosts, F.col("host").eqNullSafe(F.col("h")), "left").drop("h")
-        scored = scored.withColumn(f"{t}_shift", F.coalesce("path_shift", "host_shift", F.lit(0.0))).drop("path_shift", "host_shift")
+        scored = scored.withColumn(f"{t}_shift", _shift(t, priors[t], F.col(f"own_{t}")))
         scored = scored.withColumn(f"p_{t}", 1 / (1 + F.exp(-(F.col(f"{t}_logit") + F.col(f"{t}_shift")))))
     keep = (F.col("p_bad") < threshold) & (F.col("p_toxic") < threshold)
     return scored.select(F.col("id").alias(key), "p_bad", "p_toxic", "bad_logit", "toxic_logit", "bad_shift", "toxic_shift", keep.alias("keep"))
 
 
+def _placed(rows: DataFrame, sites: DataFrame | None, key: str) -> DataFrame:
+    """``rows`` (id, host, path, ...) with the host and path of ``sites`` where it has the row's id."""
+    if sites is None:
+        return rows
+    first = sites.where(F.col(key).isNotNull() & F.col("host").isNotNull()).groupBy(F.col(key).cast("long").alias("i")).agg(F.min(F.struct("host", "path")).alias("site"))
+    rows = rows.join(first, F.col("id") == F.col("i"), "left").drop("i")
+    place = lambda c: F.when(F.col("site").isNotNull(), F.col(f"site.{c}")).otherwise(F.col(c)).alias(c)
+    return rows.select(*[place(c) if c in ("host", "path") else c for c in rows.columns if c != "site"])
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that aren't rejected; a key that repeats goes if one of its rows is rejected, null keys stay."""
     gone = judge(docs, labels, key, **options).where("not keep").select(F.col(key).alias("_gone")).distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import embedding_dedup, fingerprints, language_id, license_scan, mixing, ngram_join, packing, quality, substring_dedup, url_filter
@@ -42,8 +42,19 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, host, path) of documents whose number ends a page's path; path: its first part."""
+    path = url_filter.url_path(F.col("url"))
+    rows = _table(spark, sf_dir, "pages").select(_number(path).alias("doc_id"), url_filter.url_host(F.col("url")).alias("host"), F.regexp_extract(path, r"^/[^/]*", 0).alias("path"))
+    return rows.where("doc_id is not null")
+
+
+def _number(path: Column) -> Column:
+    return F.regexp_extract(path, r"^/[^/]*/(\d{1,18})", 1).try_cast("long")
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), sites=sites(spark, sf_dir))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +69,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's label is that of the document whose number ends its path."""
     pages, labels = _table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels")
     bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad")
-    shown = pages.select(url_filter.url_host(F.col("url")).alias("host"), F.regexp_extract(url_filter.url_path(F.col("url")), r"^/[^/]*/(\d{1,18})", 1).try_cast("long").alias("number"))
+    shown = pages.select(url_filter.url_host(F.col("url")).alias("host"), _number(url_filter.url_path(F.col("url"))).alias("number"))
     outcomes = shown.join(labels.select("doc_id", bad), F.col("number") == F.col("doc_id")).select("host", "bad")
     return url_filter.filter_urls(pages, outcomes, URL_RULES)
 

@@ -20,8 +20,8 @@ from .storage import stash
 WEAKEST, STRONGEST = 2.0, 200.0
 #: Standard deviations from the posterior's mean to its lower bound, and the bound from which pages are blocked.
 Z, THRESHOLD = 1.64, 0.5
-#: Public suffixes of two labels; any other suffix is a host's last label. (Fixed values.)
-LONG_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk")
+#: Labels that make a public suffix of two together with a country's label of two letters after them. (Fixed values.)
+SECOND_LEVELS = ("ac", "co", "com", "edu", "gob", "gov", "go", "ltd", "me", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -45,16 +45,21 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return out
 
 
-def levels(host: Column) -> tuple[Column, Column]:
-    """(registered domain, suffix) of a host, its port left out. An IP address is both on its own."""
-    host = F.regexp_replace(host, r":\d*$", "")
-    labels = F.split(host, r"\.")
-    last_two = F.substring_index(host, ".", -2)
-    long = last_two.isin(*LONG_SUFFIXES)
-    suffix = F.when(long, last_two).otherwise(F.substring_index(host, ".", -1))
-    domain = F.when(long, F.substring_index(host, ".", -3)).otherwise(last_two)
+def levels(host: Column, suffixes: Sequence[str] = ()) -> tuple[Column, Column]:
+    """(registered domain, suffix) of a host, its user and port left out. An IP address is both on its own.
+
+    A suffix is the longest of ``suffixes`` (further public suffixes, of any number of labels) that ends the host, else
+    two labels by the rule of SECOND_LEVELS, else the last label. The domain has one label more.
+    """
+    host = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":\d*$", "")
+    labels, size = F.split(host, r"\."), F.size(F.split(host, r"\."))
+    long = (size > 1) & F.get(labels, size - 1).rlike("^[a-z]{2}$") & F.get(labels, size - 2).isin(*SECOND_LEVELS)
+    n = F.when(long, 2).otherwise(1)
+    for s in sorted(suffixes, key=lambda s: s.count(".")):
+        n = F.when((host == s) | F.endswith(host, F.lit("." + s)), s.count(".") + 1).otherwise(n)
+    ending = lambda k: F.array_join(F.slice(labels, F.greatest(F.lit(1), size - k + 1), size), ".")
     address = host.rlike(r"^(\d+\.){3}\d+$|^\[")
-    return F.when((F.size(labels) > 1) & ~address, domain).otherwise(host), F.when(address, host).otherwise(suffix)
+    return F.when(address, host).otherwise(ending(n + 1)), F.when(address, host).otherwise(ending(n))
 
 
 def strength(rows: DataFrame, parent: str) -> DataFrame:
@@ -78,47 +83,47 @@ def _bound(mean: str, *weights: Column) -> Column:
     return m - Z * F.sqrt(m * (1 - m) * (1 - known))
 
 
-def _posteriors(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _posteriors(outcomes: DataFrame, suffixes: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Hosts (host, domain, suffix, n, bad, mean, mean_k), domains (domain, suffix, p2, p2_n), suffixes (suffix, p1, p1_n), and one row (p0, p0_n, and the priors' strengths p1_k, p2_k, mean_k).
 
     Counts are added up from hosts to domains to suffixes, so that a hot host costs no more than others.
     """
     hosts = outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
-    domain, suffix = levels(F.col("host"))
+    domain, suffix = levels(F.col("host"), suffixes)
     hosts = hosts.withColumn("domain", domain).withColumn("suffix", suffix)
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    total = suffixes.agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1)).alias("p0"), (F.sum("n") + 1).alias("p0_n"))
+    endings = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    total = endings.agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1)).alias("p0"), (F.sum("n") + 1).alias("p0_n"))
 
     def shrunk(rows: DataFrame, parent: str, name: str) -> DataFrame:
         k = strength(rows, parent)
         # one row each
         return rows.crossJoin(F.broadcast(k)).withColumn(name, (F.col("bad") + F.col("k") * F.col(parent)) / (F.col("n") + F.col("k"))).withColumnRenamed("k", f"{name}_k")
 
-    suffixes = shrunk(suffixes.crossJoin(F.broadcast(total.select("p0"))), "p0", "p1").select("suffix", "p1", (F.col("n") + F.col("p1_k")).alias("p1_n"), "p1_k")
-    domains = shrunk(domains.join(suffixes.select("suffix", "p1"), "suffix"), "p1", "p2").select("domain", "suffix", "p2", (F.col("n") + F.col("p2_k")).alias("p2_n"), "p2_k")
+    endings = shrunk(endings.crossJoin(F.broadcast(total.select("p0"))), "p0", "p1").select("suffix", "p1", (F.col("n") + F.col("p1_k")).alias("p1_n"), "p1_k")
+    domains = shrunk(domains.join(endings.select("suffix", "p1"), "suffix"), "p1", "p2").select("domain", "suffix", "p2", (F.col("n") + F.col("p2_k")).alias("p2_n"), "p2_k")
     hosts = shrunk(hosts.join(domains.select("domain", "suffix", "p2"), ["domain", "suffix"]), "p2", "mean").select("host", "domain", "suffix", "n", "bad", "mean", "mean_k")
-    for rows, k in ((suffixes, "p1_k"), (domains, "p2_k"), (hosts, "mean_k")):
+    for rows, k in ((endings, "p1_k"), (domains, "p2_k"), (hosts, "mean_k")):
         total = total.crossJoin(F.broadcast(rows.agg(F.max(k).alias(k))))
-    return hosts, domains.drop("p2_k"), suffixes.drop("p1_k"), total
+    return hosts, domains.drop("p2_k"), endings.drop("p1_k"), total
 
 
-def reputation(outcomes: DataFrame) -> DataFrame:
+def reputation(outcomes: DataFrame, suffixes: Sequence[str] = ()) -> DataFrame:
     """(host, domain, suffix, n, bad, mean, bound) from labelled outcomes (host, bad 0/1): one row per host with an outcome."""
-    return _posteriors(outcomes)[0].withColumn("bound", _bound("mean", F.col("n") + F.col("mean_k"))).drop("mean_k")
+    return _posteriors(outcomes, suffixes)[0].withColumn("bound", _bound("mean", F.col("n") + F.col("mean_k"))).drop("mean_k")
 
 
-def reputation_of(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
+def reputation_of(hosts: DataFrame, outcomes: DataFrame, suffixes: Sequence[str] = ()) -> DataFrame:
     """(host, mean, bound) for each distinct host of ``hosts``: by its own outcomes, else by its domain's, suffix's or all outcomes.
 
     A host without outcomes has the mean of the lowest level that has some; its bound allows for how much the levels
     beneath that one differ.
     Empty and null hosts, which are no sites, have no row.
     """
-    seen, domains, suffixes, total = (stash(x) for x in _posteriors(outcomes))
-    domain, suffix = levels(F.col("host"))
+    seen, domains, endings, total = (stash(x) for x in _posteriors(outcomes, suffixes))
+    domain, suffix = levels(F.col("host"), suffixes)
     asked = hosts.where("host <> ''").select("host").distinct().withColumn("domain", domain).withColumn("suffix", suffix)
-    asked = asked.join(seen.select("host", "n", F.col("mean").alias("own")), "host", "left").join(domains, ["domain", "suffix"], "left").join(suffixes, "suffix", "left")
+    asked = asked.join(seen.select("host", "n", F.col("mean").alias("own")), "host", "left").join(domains, ["domain", "suffix"], "left").join(endings, "suffix", "left")
     # one row
     asked = asked.crossJoin(F.broadcast(total)).withColumn("mean", F.coalesce("own", "p2", "p1", "p0"))
     known, k0, k1, k2 = F.col("n") + F.col("mean_k"), F.col("p1_k"), F.col("p2_k"), F.col("mean_k")
@@ -127,15 +132,16 @@ def reputation_of(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
     return asked.select("host", "mean", bound.alias("bound"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = (), key: str = "page_id", url: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = (), key: str = "page_id", url: str = "url", suffixes: Sequence[str] = ()) -> DataFrame:
     """(``key``, host, path, rule, verdict, bad_rate) for each row of ``pages``.
 
     outcomes: (host, bad). Hosts without an outcome of their own are judged by their domain's, their suffix's or all
     outcomes; without any outcome, bad_rate is null and pages are allowed, as are null urls and urls without ``://``
-    (host and path empty) unless a rule fits. Rows that repeat a key are judged each. Other columns are not read.
+    (host and path empty) unless a rule fits. Rows that repeat a key are judged each. suffixes: public suffixes beyond the
+    rule of ``levels``. Other columns are not read.
     """
     rows = pages.select(F.col(key).cast("long").alias("id"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
-    seen = reputation_of(rows, outcomes.where("host is not null and bad is not null")).withColumnRenamed("host", "h")
+    seen = reputation_of(rows, outcomes.where("host is not null and bad is not null"), suffixes).withColumnRenamed("host", "h")
     rows = rows.join(seen, F.col("host") == F.col("h"), "left").withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     own = F.when(F.col("bound") >= THRESHOLD, "block").otherwise("allow")
-    return rows.select(F.col("id").alias(key), "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", own).alias("verdict"), F.col("mean").alias("bad_rate"))
+    return rows.select(F.col("id").alias(key), "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", own).alias("verdict"), F.round("mean", 9).alias("bad_rate"))

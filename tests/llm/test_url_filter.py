@@ -49,3 +49,19 @@ def test_hosts_without_outcomes_follow_domain_suffix_and_all(spark):
     assert rates[0] == rates[1] and rates[0] > 0.9 and rates[2] > 0.9 and rates[3] < 0.2 and rates[3] < rates[4] < rates[5] and rates[5] > 0.9
     assert abs(rates[6] - (sum(b for _, b in outcomes) + 0.5) / (len(outcomes) + 1)) < 1e-9 and rates[7] == rates[6]
     assert rows[50]["bad_rate"] is None and rows[51]["bad_rate"] is None
+
+
+def test_levels_of_odd_hosts(spark):
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.com:8080": ("y.com", "com"), "me@x.y.com": ("y.com", "com"), "10.0.0.1": ("10.0.0.1",) * 2, "10.0.0.1:80": ("10.0.0.1",) * 2, "[::1]": ("[::1]",) * 2, "localhost": ("localhost",) * 2, "www.kobe.jp.example": ("jp.example", "example"), "a.b.gov.au": ("b.gov.au", "gov.au"), "x.city.kawasaki.jp": ("x.city.kawasaki.jp", "city.kawasaki.jp"), "é.de": ("é.de", "de"), "": ("", "")}
+    frame = spark.createDataFrame([(h,) for h in hosts], "host string")
+    from pyspark.sql import functions as F
+
+    domain, suffix = url_filter.levels(F.col("host"), ["city.kawasaki.jp"])
+    assert {r["host"]: (r["d"], r["s"]) for r in frame.select("host", domain.alias("d"), suffix.alias("s")).collect()} == hosts
+
+
+def test_repeated_rows_are_judged_each(spark):
+    frame = spark.createDataFrame([("u@bad.org:80", 1)] * 30 + [("good.net", 0)] * 30, "host string, bad int")
+    pages = spark.createDataFrame([(1, "http://u@bad.org:80/x", "h", 1, 0.5)] * 3 + [(1, "http://good.net/de/", "h", 1, 0.5), (2, "http://new.bad.org/", "h", 1, 0.5)], PAGES)
+    rows = sorted((r["page_id"], r["verdict"]) for r in url_filter.filter_urls(pages, frame, URL_RULES).collect())
+    assert rows == [(1, "allow"), (1, "block"), (1, "block"), (1, "block"), (2, "block")]
