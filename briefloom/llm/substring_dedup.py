@@ -2,7 +2,7 @@
 
 Windows of ``window`` consecutive words are the edges of a De Bruijn graph; its nodes are the sequences of one word
 less that they begin and end with, so that an edge is the pair of its nodes' hashes. Texts that repeat as a whole are
-set aside first: only the earliest copy enters the graph. Then
+set aside: only the earliest copy enters the graph. Then
 
 1. windows are dealt to anchors (the smallest hash among their inner word k-mers; equal windows have equal anchors), and
    stretches of windows whose anchor stands in one document alone are left out: they can't repeat;
@@ -10,7 +10,7 @@ set aside first: only the earliest copy enters the graph. Then
    (document, first word) at which it stands first;
 3. nodes with one edge in and one out don't branch; edges that follow each other at their sources over such nodes are
    compacted to pieces, and pieces over such nodes to paths, by joins whose reach doubles every round;
-4. occurrences of a piece in later documents are spans, each with its source's coordinates;
+4. occurrences of a piece in later documents are spans, each with its source's coordinates and its path;
 5. the words at a source's coordinates are digested, and a span is cut only if its own words have the same digest.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from .storage import stash
 from .text_arrays import Words, inside, pieces, rolling, signed, words
 
-#: Edges that hold more than one part in so many of all occurrences are joined by broadcast: there are fewer than that.
+#: Edges that hold more than one part in so many of all occurrences are joined in parts of that size: there are fewer than that.
 HOT = 4096
 
 
@@ -104,56 +104,55 @@ def _edges(stretches: DataFrame, window: int) -> DataFrame:
     return stretches.mapInArrow(run, "u long, v long, id long, start int")
 
 
-def compact(edges: DataFrame) -> DataFrame:
-    """(sid, sstart, u, v, n, piece, path, place) for edges (u, v, sid, sstart, n): piece: the word at which the edge's piece begins in document sid.
+def compact(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v, sid, sstart, n) with their piece, and pieces (sid, piece, path, place).
 
-    An edge's piece is the longest stretch around it of edges that follow each other in document sid and meet in
-    nodes that don't branch. Pieces that follow each other over such nodes are one path, named by its first piece
-    (document, word); place counts the pieces before. A circle of pieces stays in parts.
+    A piece is the longest stretch of edges that follow each other in document sid and meet in nodes that don't branch;
+    it is named by sid and the word at which it begins. Pieces that follow each other over such nodes are one path,
+    named by its first piece (document, word); place counts the pieces before. A circle of pieces stays in parts.
     """
     ends = edges.select(F.col("u").alias("node"), F.lit(0).alias("into"), F.lit(1).alias("out")).unionAll(edges.select("v", F.lit(1), F.lit(0)))
     ends = ends.groupBy("node").agg(F.sum("into").alias("into"), F.sum("out").alias("out"))
     straight = stash(ends.where("into = 1 and out = 1").select("node"))
     along = Window.partitionBy("sid").orderBy("sstart")
-    rows = edges.join(straight.select(F.col("node").alias("u"), F.lit(True).alias("straight")), "u", "left")
+    rows = edges.join(straight.select(F.col("node").alias("u"), F.lit(True).alias("straight")).hint("merge"), "u", "left")
     follows = F.col("straight") & (F.lag("sstart").over(along) == F.col("sstart") - 1)
     rows = rows.withColumn("piece", F.when(~F.coalesce(follows, F.lit(False)), F.col("sstart")))
     rows = stash(rows.withColumn("piece", F.last("piece", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("straight"))
 
-    whole = rows.groupBy("sid", "piece").agg(F.min(F.struct("sstart", "u")).alias("first"), F.max(F.struct("sstart", "v")).alias("last"))
-    whole = whole.select(F.struct("sid", "piece").alias("at"), F.col("first.u").alias("head"), F.col("last.v").alias("tail"))
+    whole = rows.groupBy("sid", "piece").agg(F.min_by("u", "sstart").alias("head"), F.max_by("v", "sstart").alias("tail"))
+    whole = stash(whole.select(F.struct("sid", "piece").alias("at"), "head", "tail"))
     # a straight node has one edge in: the last one of a single piece
-    heads = whole.join(straight, whole["head"] == straight["node"], "left_semi").select("at", F.col("head").alias("node"))
-    ahead = heads.join(whole.select(F.col("at").alias("path"), F.col("tail").alias("node")), "node").where("at <> path").select("at", "path", F.lit(1).alias("place"))
+    heads = whole.join(straight.hint("merge"), whole["head"] == straight["node"], "left_semi").select("at", F.col("head").alias("node"))
+    ahead = heads.join(whole.select(F.col("at").alias("path"), F.col("tail").alias("node")).hint("merge"), "node").where("at <> path").select("at", "path", F.lit(1).alias("place"))
     ahead, moving = stash(ahead), -1
     while True:
         further = ahead.select(F.col("at").alias("path"), F.col("path").alias("next"), F.col("place").alias("more"))
-        ahead = ahead.drop("moved").join(further, "path", "left")
+        ahead = ahead.drop("moved").join(further.hint("merge"), "path", "left")
         ahead = stash(ahead.select("at", F.coalesce("next", "path").alias("path"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"), F.col("next").isNotNull().alias("moved")))
         before, moving = moving, ahead.where("moved").count()
         if moving in (0, before):  # a path has fewer that move every round, a circle as many
             break
-    ahead = ahead.where("not moved").drop("moved")
-    ahead = ahead.select("at.*", F.col("path"), "place")
-    found = rows.join(ahead, ["sid", "piece"], "left")
-    return found.withColumn("path", F.coalesce("path", F.struct("sid", "piece"))).withColumn("place", F.coalesce("place", F.lit(0)))
+    paths = whole.select("at").join(ahead.where("not moved").drop("moved").hint("merge"), "at", "left")
+    return rows, paths.select("at.*", F.coalesce("path", "at").alias("path"), F.coalesce("place", F.lit(0)).alias("place"))
 
 
-def _spans(stretches: DataFrame, graph: DataFrame, window: int) -> DataFrame:
-    """(id, start, n, sid, sstart): n windows from word ``start`` on that stand at word ``sstart`` of the earlier document sid, in one piece."""
-    source = graph.select("u", "v", "sid", "sstart", "piece", "n")
-    total = graph.agg(F.sum("n").alias("total"))
+def _spans(stretches: DataFrame, edges: DataFrame, window: int) -> DataFrame:
+    """(id, start, n, sid, sstart, piece): n windows from word ``start`` on that stand at word ``sstart`` of the earlier document sid, in one piece."""
+    total = edges.agg(F.sum("n").alias("total"))
+    shares = edges.crossJoin(F.broadcast(total)).withColumn("parts", F.when(F.col("n") * HOT > F.col("total"), F.ceil(F.col("n") * HOT / F.col("total"))).otherwise(F.lit(1))).drop("total", "n")
     # fewer than HOT rows
-    hot = stash(source.crossJoin(F.broadcast(total)).where(F.col("n") * HOT > F.col("total")).drop("total", "n"))
-    occurrences = _edges(stretches, window).join(F.broadcast(hot.select(F.col("u").alias("hu"), F.col("v").alias("hv"), F.struct("sid", "sstart", "piece").alias("source"))), (F.col("u") == F.col("hu")) & (F.col("v") == F.col("hv")), "left").drop("hu", "hv")
-    plain = source.join(F.broadcast(hot.select("u", "v")), ["u", "v"], "left_anti").drop("n")
-    frequent = occurrences.where("source is not null").select("id", "start", "source.*")
-    late = occurrences.where("source is null").drop("source").join(plain, ["u", "v"]).select("id", "start", "sid", "sstart", "piece").unionAll(frequent).where("id > sid")
+    hot = F.broadcast(stash(shares.where("parts > 1").select(F.col("u").alias("hu"), F.col("v").alias("hv"), "parts")))
+    rows = _edges(stretches, window).join(hot, (F.col("u") == F.col("hu")) & (F.col("v") == F.col("hv")), "left")
+    rows = rows.select("u", "v", "id", "start", F.coalesce(F.pmod(F.xxhash64("id"), "parts"), F.lit(0)).alias("part"))
+    source = shares.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    late = rows.join(source.hint("merge"), ["u", "v", "part"]).where("id > sid")
     # of rows that repeat a key all places are kept once
-    late = late.withColumn("apart", F.col("start") - F.col("sstart")).select("id", "start", "sid", "piece", "apart").repartition("id").distinct()
+    late = late.select("id", "start", "sid", "piece", (F.col("start") - F.col("sstart")).alias("apart")).repartition("id").distinct()
     along = Window.partitionBy("id", "sid", "piece", "apart").orderBy("start")
     islands = late.withColumn("island", F.col("start") - F.row_number().over(along))
-    return islands.groupBy("id", "sid", "piece", "apart", "island").agg(F.min("start").alias("start"), F.count("*").cast("int").alias("n")).select("id", "start", "n", "sid", (F.col("start") - F.col("apart")).alias("sstart"))
+    islands = islands.groupBy("id", "sid", "piece", "apart", "island").agg(F.min("start").alias("start"), F.count("*").cast("int").alias("n"))
+    return islands.select("id", "start", "n", "sid", (F.col("start") - F.col("apart")).alias("sstart"), "piece")
 
 
 def _digest(parts: list[bytes]) -> bytes:
@@ -161,7 +160,7 @@ def _digest(parts: list[bytes]) -> bytes:
 
 
 def _verifiable(spans: DataFrame, stretches: DataFrame, window: int) -> DataFrame:
-    """(id, start, n, digest): spans with the digest of the words at their source's coordinates."""
+    """``spans`` with the digest of the words at their source's coordinates."""
     wanted = stash(spans.groupBy("sid", "sstart", "n").agg(F.lit(1).alias("one")).drop("one"))
     asked = wanted.groupBy(F.col("sid").alias("id")).agg(F.collect_list(F.struct("sstart", "n")).alias("asked"))
 
@@ -179,8 +178,8 @@ def _verifiable(spans: DataFrame, stretches: DataFrame, window: int) -> DataFram
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)], ["sid", "sstart", "n", "digest"])
 
-    shown = stretches.join(asked, "id").select("id", "start", "text", "asked").mapInArrow(run, "sid long, sstart int, n int, digest binary").distinct()
-    return spans.join(shown, ["sid", "sstart", "n"]).select("id", "start", "n", "digest")
+    shown = stretches.join(asked.hint("merge"), "id").select("id", "start", "text", "asked").mapInArrow(run, "sid long, sstart int, n int, digest binary").distinct()
+    return spans.join(shown.hint("merge"), ["sid", "sstart", "n"])
 
 
 def _whole(text: Column) -> Column:
@@ -188,23 +187,29 @@ def _whole(text: Column) -> Column:
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 13) -> DataFrame:
-    """(id, start, n, digest): n windows from word ``start`` on that also start in a document with a smaller id; digest of their words at that place.
+    """(id, start, n, digest, sid, sstart, path): n windows from word ``start`` on that also start at word sstart of document sid, which has a smaller id.
 
-    Texts that repeat one of a smaller id as a whole have one row with null start and n, and the digest of the text.
+    digest is that of the words there, path the nonbranching path of repeated windows that they belong to. Texts that
+    repeat one of a smaller id as a whole have one row of id, sid and the digest of the text.
     """
-    docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null and text is not null").withColumn("whole", _whole(F.col("text")))
-    several = docs.groupBy("whole").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    copies = stash(docs.select("id", "whole").join(several, "whole").where("id > low").select("id", "whole").distinct())
-    single = docs.select("id", "whole", "text").join(copies.withColumnRenamed("id", "i").withColumnRenamed("whole", "w"), (F.col("id") == F.col("i")) & (F.col("whole") == F.col("w")), "left_anti").select("id", "text")
-
-    shared = stash(_runs(single, window).groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor"))
-    runs = stash(_runs(single, window).join(shared, "anchor").groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("runs")))
-    stretches = stash(_stretches(single.join(runs, "id").select("id", "text", "runs"), window))
+    docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null and text is not null")
+    whole = docs.select("id", _whole(F.col("text")).alias("whole"))
+    several = whole.groupBy("whole").agg(F.min("id").alias("sid"), F.max("id").alias("last")).where("sid < last")
+    copies = stash(whole.join(several.hint("merge"), "whole").where("id > sid").select("id", "whole", "sid").distinct())
+    # a key of several rows may stand for other texts too: it stays in the graph
+    single = docs.groupBy("id").agg(F.count("*").alias("rows")).where("rows = 1")
+    aside = stash(copies.join(single.hint("merge"), "id", "left_semi").select("id"))
+
+    shared = stash(_runs(docs, window).groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor"))
+    runs = _runs(docs, window).join(shared.hint("merge"), "anchor").groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    runs = stash(runs.join(aside.hint("merge"), "id", "left_anti"))
+    stretches = stash(_stretches(docs.join(runs.hint("merge"), "id").select("id", "text", "runs"), window))
     edges = _edges(stretches, window).groupBy("u", "v").agg(F.min(F.struct("id", "start")).alias("source"), F.max("id").alias("last"), F.count("*").alias("n"))
     edges = stash(edges.where("source.id < last").select("u", "v", F.col("source.id").alias("sid"), F.col("source.start").alias("sstart"), "n"))
-    graph = stash(compact(edges))
-    spans = stash(_spans(stretches, graph, window))
-    return _verifiable(spans, stretches, window).unionAll(copies.select("id", F.lit(None).cast("int"), F.lit(None).cast("int"), "whole"))
+    edges, paths = compact(edges)
+    spans = _verifiable(stash(_spans(stretches, edges, window)), stretches, window).join(paths.drop("place").hint("merge"), ["sid", "piece"])
+    none = F.lit(None).cast("int")
+    return spans.select("id", "start", "n", "digest", "sid", "sstart", "path").unionByName(copies.select("id", none.alias("start"), none.alias("n"), F.col("whole").alias("digest"), "sid", none.alias("sstart"), F.lit(None).cast("struct<sid:bigint,piece:int>").alias("path")))
 
 
 def cut_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 13) -> DataFrame:
@@ -222,7 +227,7 @@ def cut_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
     at = docs.columns.index(text)
     rows = docs.toDF(*names).withColumn(names[at], F.col(names[at]).cast("string"))
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    rows = rows.join(spans, F.col(names[docs.columns.index(key)]).cast("long") == F.col("id"), "left").drop("id")
+    rows = rows.join(spans.hint("merge"), F.col(names[docs.columns.index(key)]).cast("long") == F.col("id"), "left").drop("id")
     kept = rows.select(*names, "spans").mapInArrow(_cutter(names, names[at], window), types + ", n_words long, n_removed long, kept_sha256 string")
     return kept.toDF(*docs.columns, "n_words", "n_removed", "kept_sha256")
 

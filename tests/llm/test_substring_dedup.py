@@ -84,11 +84,13 @@ def test_compaction_against_walks(spark):
         for i in range(len(d) - 1):
             source.setdefault((d[i], d[i + 1]), (key, i))
     frame = spark.createDataFrame([(u, v, *at, 2) for (u, v), at in source.items()], "u long, v long, sid long, sstart int, n long")
-    rows = substring_dedup.compact(frame).collect()
+    rows, pieces = (df.collect() for df in substring_dedup.compact(frame))
     assert len(rows) == len(source)
+    of = {(r["sid"], r["piece"]): r for r in pieces}
+    assert len(of) == len(pieces)
     got = {}
-    for r in sorted(rows, key=lambda r: (r["place"], r["sstart"])):
-        got.setdefault(tuple(r["path"]), []).append((r["u"], r["v"]))
+    for r in sorted(rows, key=lambda r: (of[r["sid"], r["piece"]]["place"], r["sstart"])):
+        got.setdefault(tuple(of[r["sid"], r["piece"]]["path"]), []).append((r["u"], r["v"]))
     walks = _paths(list(source))
     assert len([w for w in walks if len({source[e][0] for e in w}) > 1]) > 0
     for w in walks:
@@ -102,7 +104,7 @@ def test_spans_are_verified_at_their_source(spark):
     p, q = " ".join(f"p{i}" for i in range(20)), " ".join(f"q{i}" for i in range(20))
     frame = spark.createDataFrame([(1, "a " + p, "", 0, ""), (2, "b " + p, "", 0, ""), (3, q, "", 0, "")], SCHEMA)
     spans = substring_dedup.repeated_spans(frame)
-    assert [(r["id"], r["start"], r["n"]) for r in spans.collect()] == [(2, 1, 8)]
+    assert [(r["id"], r["start"], r["n"], r["sid"], r["sstart"], tuple(r["path"])) for r in spans.collect()] == [(2, 1, 8, 1, 1, (1, 1))]
     digest = spans.collect()[0]["digest"]
     cut = substring_dedup._cutter(["id", "text"], "text", 13)
     batch = pa.RecordBatch.from_pylist([{"id": 2, "text": "b " + p, "spans": [{"start": 1, "n": 8, "digest": digest}]}, {"id": 3, "text": q, "spans": [{"start": 0, "n": 8, "digest": digest}]}])
@@ -114,3 +116,12 @@ def test_rows_that_repeat_a_key_with_other_texts(spark):
     docs = [(1, p), (2, "x " + p), (2, "some other words that are of no passage at all and go on for a while longer"), (2, p), (3, "y " + p + " y"), (3, "short")]
     got = substring_dedup.cut_repeated(spark.createDataFrame([(*d, "s", 1, "i") for d in docs], SCHEMA))
     assert sorted((tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=repr) == brute(docs, 13)
+
+
+def test_hot_edges_are_joined_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", 40)
+    p = " ".join(f"p{i}" for i in range(16))
+    docs = [(i, f"{i} x{i} {p} y{i}") for i in range(300)] + [(1000 + i, " ".join(f"q{i}_{j}" for j in range(14)) + f" z{k}") for k in range(2) for i in range(200)]
+    docs = [(2 * i, t) for i, (_, t) in enumerate(docs)]
+    got = substring_dedup.cut_repeated(spark.createDataFrame([(*d, "s", 1, "i") for d in docs], SCHEMA))
+    assert sorted((tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=repr) == brute(docs, 13)
