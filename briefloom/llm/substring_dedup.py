@@ -1,17 +1,18 @@
 """Substring dedup: words of passages that already stand in an earlier document are removed.
 
 Windows of ``window`` consecutive words are the edges of a De Bruijn graph; its nodes are the sequences of one word
-less that they begin and end with, so that an edge is the pair of its nodes' hashes. Texts that repeat as a whole are
-set aside: only the earliest copy enters the graph. Then
-
-1. windows are dealt to anchors (the smallest hash among their inner word k-mers; equal windows have equal anchors), and
-   stretches of windows whose anchor stands in one document alone are left out: they can't repeat;
-2. the edges of what is left that at least two documents hold make up the graph, each with its source, the coordinates
-   (document, first word) at which it stands first;
-3. nodes with one edge in and one out don't branch; edges that follow each other at their sources over such nodes are
-   compacted to pieces, and pieces over such nodes to paths, by joins whose reach doubles every round;
-4. occurrences of a piece in later documents are spans, each with its source's coordinates and its path;
-5. the words at a source's coordinates are digested, and a span is cut only if its own words have the same digest.
+less that they begin and end with. Texts that repeat as a whole are set aside: only the earliest copy enters the graph.
+
+1. Windows of a document that follow each other and share an anchor (the smallest hash among their inner word k-mers;
+   equal windows have equal anchors) are a run. Runs whose anchor stands in one document alone can't repeat.
+2. Equal runs are one path of the graph. Its source are the coordinates (document, first word) at which it stands first;
+   where it stands in a later document, all its windows repeat. Its ends are nodes.
+3. Nodes with one repeated path in and one out don't branch. Paths that meet in such nodes are compacted to longer
+   ones, by joins whose reach doubles every round.
+4. Where runs of one anchor differ, they may still share single windows: first holders' runs are opened to edges
+   (pairs of nodes), and an edge's first place is its source.
+5. Repeated runs and edges that follow each other, at the same distance from their source and on one compacted path, are
+   a span. The words at its source's coordinates are digested, and it is cut only if its own words have that digest.
 """
 
 from __future__ import annotations
@@ -26,66 +27,90 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .storage import stash
-from .text_arrays import Words, inside, pieces, rolling, signed, words
+from .text_arrays import FAMILIES, Words, _powers, inside, mix, pieces, rolling, signed, words
 
-#: Edges that hold more than one part in so many of all occurrences are joined in parts of that size: there are fewer than that.
+#: Paths and edges that hold more than one part in so many of all rows are joined in parts of that size: there are fewer than that.
 HOT = 4096
 
 
-def _anchors(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places of windows, their anchors)."""
+def _anchors(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of windows, their anchors, word hashes)."""
     hashes = w.hashes()
     k = max(2, window // 3)
     grams, n = rolling(hashes, k), len(hashes) - window + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), hashes
     least = grams[:n].copy()
     for j in range(1, window - k + 1):
         np.minimum(least, grams[j : j + n], out=least)
     at = np.flatnonzero(inside(w, window))
-    return at, least[at]
+    return at, least[at], hashes
+
+
+def _spans_hash(hashes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hash of the words start:stop, for arrays of places."""
+    base = FAMILIES[1]
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(mix(hashes, 5) * _powers(base.root, len(hashes)), out=sums[1:])
+    return mix((sums[stop] - sums[start]) * _powers(base.inverse, len(hashes) + 1)[start] + (stop - start).astype(np.uint64), 9)
 
 
 def _runs(docs: DataFrame, window: int) -> DataFrame:
-    """(anchor, id, start, n): n windows of one anchor from word ``start`` on."""
+    """(anchor, path, id, start, n): n windows of one anchor from word ``start`` on; path is the hash of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
                 w = words(part.column("text"))
-                at, anchor = _anchors(w, window)
+                at, anchor, hashes = _anchors(w, window)
                 if not len(at):
                     continue
                 new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)])
-                start, owner = at[new], w.doc[at[new]]
-                columns = [signed(anchor[new]), np.asarray(part.column("id"))[owner], (start - w.bounds[owner]).astype(np.int32), np.diff(np.r_[new, len(at)]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["anchor", "id", "start", "n"])
+                start, owner, n = at[new], w.doc[at[new]], np.diff(np.r_[new, len(at)])
+                columns = [signed(anchor[new]), signed(_spans_hash(hashes, start, start + n + window - 1)), np.asarray(part.column("id"))[owner], (start - w.bounds[owner]).astype(np.int32), n.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["anchor", "path", "id", "start", "n"])
 
-    return docs.mapInArrow(run, "anchor long, id long, start int, n int")
+    return docs.mapInArrow(run, "anchor long, path long, id long, start int, n int")
 
 
-def _stretches(docs: DataFrame, window: int) -> DataFrame:
-    """(id, start, text): words of a document from ``start`` on, joined by a space, whose windows all belong to ``runs``, a column of (start, n)."""
+def _opened(docs: DataFrame, window: int) -> DataFrame:
+    """Rows of two kinds for documents with ``runs``, a column of (start, n).
+
+    (id, start, u, v): the nodes at which a run begins and ends. (id, start, text): a stretch of words from ``start`` on,
+    joined by a space, whose windows all belong to runs. What a kind hasn't is null.
+    """
+    names = ["id", "start", "u", "v", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
                 w = words(part.column("text"))
-                data, ids, starts, found = w.data.tobytes(), [], [], []
+                nodes, data = signed(rolling(w.hashes(), window - 1)), w.data.tobytes()
                 for key, lo, hi, runs in zip(part.column("id").to_pylist(), w.bounds[:-1].tolist(), w.bounds[1:].tolist(), part.column("runs").to_pylist()):
+                    # a row that repeats another's key may be shorter
+                    start, n = np.array([(r["start"], r["n"]) for r in runs if r["start"] + r["n"] + window - 1 <= hi - lo], np.int64).reshape(-1, 2).T
                     marks = np.zeros(hi - lo + 2, np.int32)
-                    for r in runs:
-                        if r["start"] + r["n"] + window - 1 <= hi - lo:  # a row that repeats another's key may be shorter
-                            marks[r["start"] + 1] += 1
-                            marks[r["start"] + r["n"] + 1] -= 1
+                    np.add.at(marks, start + 1, 1)
+                    np.add.at(marks, start + n + 1, -1)
                     edges = np.flatnonzero(np.diff((np.cumsum(marks) > 0).astype(np.int8)))
-                    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-                        ids.append(key)
-                        starts.append(a)
-                        found.append(b" ".join(data[i:j] for i, j in zip(w.start[lo + a : lo + b + window - 1].tolist(), w.end[lo + a : lo + b + window - 1].tolist())))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(found, pa.binary()).cast(pa.string())], ["id", "start", "text"])
-
-    return docs.mapInArrow(run, "id long, start int, text string")
+                    first, last = edges[::2], edges[1::2] + window - 1
+                    found = [b" ".join(data[i:j] for i, j in zip(w.start[lo + a : lo + b].tolist(), w.end[lo + a : lo + b].tolist())) for a, b in zip(first.tolist(), last.tolist())]
+                    here = lambda k, x=key: pa.array(np.full(k, x, np.int64))
+                    yield pa.RecordBatch.from_arrays([here(len(start)), pa.array(start, pa.int32()), pa.array(nodes[lo + start]), pa.array(nodes[lo + start + n]), pa.nulls(len(start), pa.string())], names)
+                    yield pa.RecordBatch.from_arrays([here(len(first)), pa.array(first, pa.int32()), *[pa.nulls(len(first), pa.int64())] * 2, pa.array(found, pa.binary()).cast(pa.string())], names)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in run(batches):
+            held.append(batch)
+            rows += batch.num_rows
+            if rows > 20_000:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, rows = [], 0
+        if rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    return docs.mapInArrow(joined, "id long, start int, u long, v long, text string")
 
 
 def _edges(stretches: DataFrame, window: int) -> DataFrame:
@@ -104,27 +129,18 @@ def _edges(stretches: DataFrame, window: int) -> DataFrame:
     return stretches.mapInArrow(run, "u long, v long, id long, start int")
 
 
-def compact(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges (u, v, sid, sstart, n) with their piece, and pieces (sid, piece, path, place).
+def compact(paths: DataFrame) -> DataFrame:
+    """(at, path, place) for paths (at, u, v): ``at`` names a path, u and v are the nodes at which it begins and ends.
 
-    A piece is the longest stretch of edges that follow each other in document sid and meet in nodes that don't branch;
-    it is named by sid and the word at which it begins. Pieces that follow each other over such nodes are one path,
-    named by its first piece (document, word); place counts the pieces before. A circle of pieces stays in parts.
+    Paths that follow each other over nodes with one path in and one out are one longer path, named by its first;
+    place counts the paths before. Circles stay in parts.
     """
-    ends = edges.select(F.col("u").alias("node"), F.lit(0).alias("into"), F.lit(1).alias("out")).unionAll(edges.select("v", F.lit(1), F.lit(0)))
+    ends = paths.select(F.col("u").alias("node"), F.lit(0).alias("into"), F.lit(1).alias("out")).unionAll(paths.select("v", F.lit(1), F.lit(0)))
     ends = ends.groupBy("node").agg(F.sum("into").alias("into"), F.sum("out").alias("out"))
     straight = stash(ends.where("into = 1 and out = 1").select("node"))
-    along = Window.partitionBy("sid").orderBy("sstart")
-    rows = edges.join(straight.select(F.col("node").alias("u"), F.lit(True).alias("straight")).hint("merge"), "u", "left")
-    follows = F.col("straight") & (F.lag("sstart").over(along) == F.col("sstart") - 1)
-    rows = rows.withColumn("piece", F.when(~F.coalesce(follows, F.lit(False)), F.col("sstart")))
-    rows = stash(rows.withColumn("piece", F.last("piece", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("straight"))
-
-    whole = rows.groupBy("sid", "piece").agg(F.min_by("u", "sstart").alias("head"), F.max_by("v", "sstart").alias("tail"))
-    whole = stash(whole.select(F.struct("sid", "piece").alias("at"), "head", "tail"))
-    # a straight node has one edge in: the last one of a single piece
-    heads = whole.join(straight.hint("merge"), whole["head"] == straight["node"], "left_semi").select("at", F.col("head").alias("node"))
-    ahead = heads.join(whole.select(F.col("at").alias("path"), F.col("tail").alias("node")).hint("merge"), "node").where("at <> path").select("at", "path", F.lit(1).alias("place"))
+    after = paths.select("at", F.col("u").alias("node")).join(straight.hint("merge"), "node")
+    # of a straight node one path comes
+    ahead = after.join(paths.select(F.col("at").alias("path"), F.col("v").alias("node")).hint("merge"), "node").where("at <> path").select("at", "path", F.lit(1).alias("place"))
     ahead, moving = stash(ahead), -1
     while True:
         further = ahead.select(F.col("at").alias("path"), F.col("path").alias("next"), F.col("place").alias("more"))
@@ -133,26 +149,32 @@ def compact(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         before, moving = moving, ahead.where("moved").count()
         if moving in (0, before):  # a path has fewer that move every round, a circle as many
             break
-    paths = whole.select("at").join(ahead.where("not moved").drop("moved").hint("merge"), "at", "left")
-    return rows, paths.select("at.*", F.coalesce("path", "at").alias("path"), F.coalesce("place", F.lit(0)).alias("place"))
+    found = paths.select("at").join(ahead.where("not moved").drop("moved").hint("merge"), "at", "left")
+    return found.select("at", F.coalesce("path", "at").alias("path"), F.coalesce("place", F.lit(0)).alias("place"))
 
 
-def _spans(stretches: DataFrame, edges: DataFrame, window: int) -> DataFrame:
-    """(id, start, n, sid, sstart, piece): n windows from word ``start`` on that stand at word ``sstart`` of the earlier document sid, in one piece."""
-    total = edges.agg(F.sum("n").alias("total"))
-    shares = edges.crossJoin(F.broadcast(total)).withColumn("parts", F.when(F.col("n") * HOT > F.col("total"), F.ceil(F.col("n") * HOT / F.col("total"))).otherwise(F.lit(1))).drop("total", "n")
+def _with_source(rows: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` (keys, id, ...) joined to their source (keys, n, ...), n the number of rows; frequent keys are joined in parts."""
+    total = sources.agg(F.sum("n").alias("total"))
+    shares = sources.crossJoin(F.broadcast(total)).withColumn("parts", F.when(F.col("n") * HOT > F.col("total"), F.ceil(F.col("n") * HOT / F.col("total"))).otherwise(F.lit(1)).cast("long")).drop("total", "n")
     # fewer than HOT rows
-    hot = F.broadcast(stash(shares.where("parts > 1").select(F.col("u").alias("hu"), F.col("v").alias("hv"), "parts")))
-    rows = _edges(stretches, window).join(hot, (F.col("u") == F.col("hu")) & (F.col("v") == F.col("hv")), "left")
-    rows = rows.select("u", "v", "id", "start", F.coalesce(F.pmod(F.xxhash64("id"), "parts"), F.lit(0)).alias("part"))
-    source = shares.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
-    late = rows.join(source.hint("merge"), ["u", "v", "part"]).where("id > sid")
-    # of rows that repeat a key all places are kept once
-    late = late.select("id", "start", "sid", "piece", (F.col("start") - F.col("sstart")).alias("apart")).repartition("id").distinct()
-    along = Window.partitionBy("id", "sid", "piece", "apart").orderBy("start")
-    islands = late.withColumn("island", F.col("start") - F.row_number().over(along))
-    islands = islands.groupBy("id", "sid", "piece", "apart", "island").agg(F.min("start").alias("start"), F.count("*").cast("int").alias("n"))
-    return islands.select("id", "start", "n", "sid", (F.col("start") - F.col("apart")).alias("sstart"), "piece")
+    hot = F.broadcast(stash(shares.where("parts > 1").select(*[F.col(k).alias(f"hot_{k}") for k in keys], "parts")))
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"hot_{k}"))
+    rows = rows.join(hot, same, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("id"), "parts"), F.lit(0))).drop("parts", *[f"hot_{k}" for k in keys])
+    return rows.join(shares.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts").hint("merge"), [*keys, "part"]).drop("part")
+
+
+def _joined_up(late: DataFrame) -> DataFrame:
+    """Spans (id, start, n, sid, sstart, path) of what follows each other in ``late`` (id, start, n, sid, sstart, path), at one distance from the source and on one path."""
+    by = ["id", "sid", "apart", "path"]
+    rows = late.withColumn("apart", F.col("start") - F.col("sstart")).drop("sstart").repartition("id")
+    upto = F.max(F.col("start") + F.col("n")).over(Window.partitionBy(*by).orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("new", (F.coalesce(upto, F.col("start") - 1) < F.col("start")).cast("int"))
+    rows = rows.withColumn("island", F.sum("new").over(Window.partitionBy(*by).orderBy("start", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    spans = rows.groupBy(*by, "island").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("n")) - F.min("start")).alias("n"))
+    return spans.select("id", "start", "n", "sid", (F.col("start") - F.col("apart")).alias("sstart"), "path")
 
 
 def _digest(parts: list[bytes]) -> bytes:
@@ -161,7 +183,7 @@ def _digest(parts: list[bytes]) -> bytes:
 
 def _verifiable(spans: DataFrame, stretches: DataFrame, window: int) -> DataFrame:
     """``spans`` with the digest of the words at their source's coordinates."""
-    wanted = stash(spans.groupBy("sid", "sstart", "n").agg(F.lit(1).alias("one")).drop("one"))
+    wanted = spans.select("sid", "sstart", "n").distinct()
     asked = wanted.groupBy(F.col("sid").alias("id")).agg(F.collect_list(F.struct("sstart", "n")).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +211,7 @@ def _whole(text: Column) -> Column:
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 13) -> DataFrame:
     """(id, start, n, digest, sid, sstart, path): n windows from word ``start`` on that also start at word sstart of document sid, which has a smaller id.
 
-    digest is that of the words there, path the nonbranching path of repeated windows that they belong to. Texts that
+    digest is that of the words there, path the compacted path that they belong to, null for single windows. Texts that
     repeat one of a smaller id as a whole have one row of id, sid and the digest of the text.
     """
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null and text is not null")
@@ -201,15 +223,27 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     aside = stash(copies.join(single.hint("merge"), "id", "left_semi").select("id"))
 
     shared = stash(_runs(docs, window).groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor"))
-    runs = _runs(docs, window).join(shared.hint("merge"), "anchor").groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    runs = stash(runs.join(aside.hint("merge"), "id", "left_anti"))
-    stretches = stash(_stretches(docs.join(runs.hint("merge"), "id").select("id", "text", "runs"), window))
+    runs = stash(_runs(docs, window).join(shared.hint("merge"), "anchor").join(aside.hint("merge"), "id", "left_anti"))
+    first = runs.groupBy("anchor", "path").agg(F.min(F.struct("id", "start")).alias("source"), F.count("*").alias("n"))
+    sources = stash(first.select("anchor", "path", F.col("source.id").alias("sid"), F.col("source.start").alias("sstart"), F.col("n")))
+    placed = stash(_with_source(runs.withColumnRenamed("n", "windows"), sources, ["anchor", "path"]).select("id", "start", F.col("windows").alias("n"), "sid", "sstart"))
+    late = placed.where("id > sid")
+
+    opened = placed.where("id = sid").groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    opened = stash(_opened(docs.join(opened.hint("merge"), "id").select("id", "text", "runs"), window))
+    stretches = opened.where("text is not null").select("id", "start", "text")
     edges = _edges(stretches, window).groupBy("u", "v").agg(F.min(F.struct("id", "start")).alias("source"), F.max("id").alias("last"), F.count("*").alias("n"))
     edges = stash(edges.where("source.id < last").select("u", "v", F.col("source.id").alias("sid"), F.col("source.start").alias("sstart"), "n"))
-    edges, paths = compact(edges)
-    spans = _verifiable(stash(_spans(stretches, edges, window)), stretches, window).join(paths.drop("place").hint("merge"), ["sid", "piece"])
+    single = _with_source(_edges(stretches, window), edges, ["u", "v"]).where("id > sid").select("id", "start", F.lit(1).alias("n"), "sid", "sstart")
+
+    repeated = late.select(F.col("sid").alias("id"), F.col("sstart").alias("start")).distinct()
+    ends = opened.where("text is null").select("id", "start", "u", "v").join(repeated.hint("merge"), ["id", "start"])
+    paths = compact(stash(ends.select(F.struct(F.col("id").alias("sid"), F.col("start").alias("sstart")).alias("at"), "u", "v")))
+    late = late.withColumn("at", F.struct("sid", "sstart")).join(paths.drop("place").hint("merge"), "at", "left").drop("at")
+    spans = stash(_joined_up(late.unionByName(single, allowMissingColumns=True)))
+    spans = _verifiable(spans, stretches, window)
     none = F.lit(None).cast("int")
-    return spans.select("id", "start", "n", "digest", "sid", "sstart", "path").unionByName(copies.select("id", none.alias("start"), none.alias("n"), F.col("whole").alias("digest"), "sid", none.alias("sstart"), F.lit(None).cast("struct<sid:bigint,piece:int>").alias("path")))
+    return spans.select("id", "start", "n", "digest", "sid", "sstart", "path").unionByName(copies.select("id", none.alias("start"), none.alias("n"), F.col("whole").alias("digest"), "sid"), allowMissingColumns=True)
 
 
 def cut_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 13) -> DataFrame:
