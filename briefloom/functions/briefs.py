@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import dictionaries as D
-from .text import bound, compact, js_round, meaning, plain, requirement, strip
+from .brands import known_brands
+from .categories import base_category
+from .text import bound, js_round, meaning, plain, requirement, strip
+
+__all__ = ["bed_size", "budget_rule", "category_group", "inline_amount", "known_brands", "money_amount", "named_values", "premium_cap", "range_max", "selected_sizes", "size_array", "size_constraints"]
 
+# Amounts, and units that make an amount no price.
 _AMOUNT = r"([\d,]+(?:\.\d+)?)"
 _UNITS = r'inches|inch|in\.?|"|feet|foot|ft\.?|pounds?|lbs?|lb\.?|ounces?|oz\.?|kilograms?|kg|grams?|g|centimeters?|cm|millimeters?|mm|hours?|hrs?|minutes?|mins?|cfm|psi|watts?|w|mah|gb|tb|hz'
 
@@ -23,15 +26,18 @@ def money_amount(text: Column) -> Column:
     return _money(F.regexp_extract(text, rf"\$?\s*{_AMOUNT}", 1))
 
 
+def _upper_end(pattern: str):
+    return lambda whole: F.greatest(*[_money(F.regexp_extract(whole, pattern, i)) for i in (2, 3)])
+
+
 def range_max(text: Column, dollar: bool) -> Column:
     """Upper end of the first price range; ``dollar``: only ranges that show a $. Ranges of inches are none."""
     tail = r'(?!\s*(?:inches|inch|in\.?|")\b)'
     found = []
     for lead, joint in ((r"\bbetween\s*", r"(?:and|to|-|–)"), ("", r"(?:-|–|to)")):
         pattern = rf"(?i)({lead}\$?\s*{_AMOUNT}\s*{joint}\s*\$?\s*{_AMOUNT}\b){tail}"
-        whole, low, high = (F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in (1, 2, 3))
-        rows = F.filter(F.arrays_zip(whole.alias("w"), low.alias("a"), high.alias("b")), lambda x: F.contains(x["w"], F.lit("$")) if dollar else F.lit(True))
-        found.append(F.get(F.filter(F.transform(rows, lambda x: F.greatest(_money(x["a"]), _money(x["b"]))), lambda v: v.isNotNull()), F.lit(0)))
+        rows = F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda w: F.contains(w, F.lit("$")) if dollar else F.lit(True))
+        found.append(F.get(F.filter(F.transform(rows, _upper_end(pattern)), lambda v: v.isNotNull()), F.lit(0)))
     return F.coalesce(*found)
 
 
@@ -44,22 +50,28 @@ def inline_amount(text: Column) -> Column:
 
 
 def budget_rule(budget: Column, priorities: Column, query: Column) -> Column:
-    """Struct (amount, flexible, operator, label); null without a budget. A range beats an amount, the budget field other fields."""
+    """Struct (amount, flexible, operator, label, premium_cap); null without a budget. A range beats an amount, the budget field other fields."""
     amount = F.coalesce(range_max(budget, False), range_max(priorities, True), range_max(query, True), money_amount(budget), inline_amount(priorities), inline_amount(query))
     said = F.coalesce(F.nullif(budget, F.lit("")), F.nullif(priorities, F.lit("")), query, F.lit(""))
-    text = requirement(said)
-    flexible = text.rlike(r"\b(?:about|around|flexible|roughly|target)\b")
-    firm = text.rlike(r"\b(?:under|less than|below|no more than|at most|max|maximum)\b") | ~flexible
-    shown = F.regexp_replace(amount.cast("string"), r"\.0$", "")
-    label = F.when(firm, F.concat(F.lit("Budget: $"), shown, F.lit(" or less"))).otherwise(F.concat(F.lit("Budget target: $"), shown))
-    rule = F.struct(amount.alias("amount"), flexible.alias("flexible"), F.when(firm, "max").otherwise("target").alias("operator"), label.alias("label"))
-    unknown = F.struct(F.lit(None).cast("double").alias("amount"), F.lit(True).alias("flexible"), F.lit("unknown").alias("operator"), strip(budget).alias("label"))
-    return F.when(amount.isNotNull(), rule).when(strip(budget) != "", unknown)
+
+    def of(x: Column) -> Column:
+        text, amount = x["text"], x["amount"]
+        flexible = text.rlike(r"\b(?:about|around|flexible|roughly|target)\b")
+        firm = text.rlike(r"\b(?:under|less than|below|no more than|at most|max|maximum)\b") | ~flexible
+        shown = F.regexp_replace(amount.cast("string"), r"\.0$", "")
+        label = F.when(firm, F.concat(F.lit("Budget: $"), shown, F.lit(" or less"))).otherwise(F.concat(F.lit("Budget target: $"), shown))
+        cap = premium_cap(amount, category_group(F.coalesce(query, F.lit(""))))
+        rule = F.struct(amount.alias("amount"), flexible.alias("flexible"), F.when(firm, "max").otherwise("target").alias("operator"), label.alias("label"), cap.cast("double").alias("premium_cap"))
+        none = F.lit(None).cast("double")
+        unknown = F.struct(none.alias("amount"), F.lit(True).alias("flexible"), F.lit("unknown").alias("operator"), strip(budget).alias("label"), none.alias("premium_cap"))
+        return F.when(amount.isNotNull(), rule).when(strip(budget) != "", unknown)
+
+    return bound(F.struct(requirement(said).alias("text"), amount.alias("amount")), of)
 
 
 def category_group(category: Column) -> Column:
-    """The first group one of whose terms the text contains; else general."""
-    text, out = plain(category), F.lit("general")
+    """The first group one of whose terms the text contains, what ``base_category`` leaves out aside; else general."""
+    text, out = plain(base_category(category)), F.lit("general")
     for group, terms in reversed(D.CATEGORIES):
         held = F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(text, t))
         out = F.when(held, group).otherwise(out)
@@ -81,32 +93,6 @@ def bed_size(text: Column, need_context: bool = True) -> Column:
     return F.when(text.rlike(f"(?i){D.BED_CONTEXT}"), out) if need_context else out
 
 
-def _has_alias(text: Column, squeezed_text: Column, alias: str) -> Column:
-    """At word boundaries; else, for longer aliases that aren't buried in a longer word, anywhere with spaces left out."""
-    name = " ".join("".join(c if c.isalnum() else " " for c in alias.lower()).split())
-    hit = text.rlike(rf"(^|\W){name.replace(' ', r'\s+')}(\W|$)")
-    if len(name) <= 3:
-        return hit
-    loose = F.contains(squeezed_text, F.lit(name.replace(" ", "")))
-    if " " not in name:
-        loose = loose & ~text.rlike(rf"\S{name}|{name}\S")
-    return hit | loose
-
-
-def known_brands(text: Column) -> Column:
-    """Brands that a text names, in order of the dictionary. The dictionary is folded into the expression: no join."""
-    hits = []
-    for canonical, aliases in D.BRANDS:
-        evidence = text
-        if canonical == "HP":
-            for pattern in D.HORSEPOWER:
-                evidence = F.regexp_replace(evidence, f"(?i){pattern}", " ")
-        names = dict.fromkeys((canonical, *aliases))
-        forms = F.struct(plain(evidence).alias("plain"), compact(evidence).alias("compact"))
-        hits.append(F.when(bound(forms, lambda x: reduce(lambda a, b: a | b, [_has_alias(x["plain"], x["compact"], n) for n in names])), F.lit(canonical)))  # noqa: B023
-    return F.array_distinct(F.array_compact(F.array(*hits)))
-
-
 def named_values(text: Column, values: tuple[str, ...], longest: bool = False) -> Column:
     """Values named at word boundaries, in order; ``longest`` drops those inside another that is named."""
     found = bound(meaning(text), lambda t: F.array_compact(F.array(*[F.when(t.rlike(rf"(^|[^a-z0-9]){v.replace(' ', r'\s+')}([^a-z0-9]|$)"), v) for v in values])))
@@ -163,6 +149,31 @@ def size_array(text: Column, strict: bool = False) -> Column:
     return F.transform(labels, lambda k: F.get(F.filter(found, lambda x: x["label"] == k), F.lit(0)))
 
 
+def selected_sizes(f: Column) -> Column:
+    """The same structs for a selected feature (``requests.selected_feature``): its name gives the dimension, its operator the bounds.
+
+    A range is a minimum and a maximum; an exact value counts for lengths alone, as a minimum.
+    """
+    said = requirement(f["name"])
+    held = lambda *words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(said, w))
+    dimension = F.when(held("depth"), "depth").when(held("height"), "height").when(held("length", "long"), "length").when(held("width", "size"), "width")
+    unit = F.when(F.contains(requirement(F.coalesce(f["unit"], F.lit(""))), F.lit("ft")), "ft").otherwise("in")
+    clean = strip(F.regexp_replace(f["name"], r"(?i)\s*[:=-]?\s*\d+(?:\.\d+)?\s*(?:feet|foot|ft\.?|inches|inch|in\.?)\b", ""))
+    name, span = F.when(clean == "", f["name"]).otherwise(clean), r"^(-?\d+(?:\.\d+)?)-(-?\d+(?:\.\d+)?)$"
+
+    def one(word: str, operator: str, value: Column) -> Column:
+        label = F.concat(name, F.lit(f": {word}"), F.regexp_replace(value.cast("string"), r"\.0$", ""), F.lit(" "), unit)
+        return F.struct(dimension.alias("dimension"), F.lit(operator).alias("operator"), unit.alias("unit"), value.alias("value"), label.alias("label"))
+
+    amount = F.regexp_extract(F.replace(f["value"], F.lit(","), F.lit("")), r"\d+(?:\.\d+)?", 0).try_cast("double")
+    low, high = (F.regexp_extract(f["value"], span, i).try_cast("double") for i in (1, 2))
+    none = F.filter(F.array(one("", "", F.lit(0.0))), lambda x: F.lit(False))
+    return (
+        F.when(dimension.isNull() | ((f["operator"] == "equals") & (dimension != "length")), none).when((f["operator"] == "between") & low.isNotNull() & high.isNotNull(), F.array(one("at least ", "min", low), one("under ", "max", high)))
+        .when(amount.isNull() | ~f["operator"].isin("lte", "gte", "between", "equals"), none).when(f["operator"] == "lte", F.array(one("under ", "max", amount))).when(f["operator"] == "equals", F.array(one("", "min", amount))).otherwise(F.array(one("at least ", "min", amount)))
+    )
+
+
 def size_constraints(rows: DataFrame, text: str, strict: bool = False) -> DataFrame:
     """Adds ord, dimension, operator, unit, value, label: a row per size that a text asks for.
 

@@ -130,3 +130,36 @@ NON_PRODUCT_DOMAINS = (
 NON_PRODUCT_LABELS = ("community", "docs", "documentation", "help", "knowledgebase", "manual", "manuals", "support")
 NON_PRODUCT_PATH = r"(?i)(?:^|[-_])(?:community|docs|documentation|downloads?|help(?:desk)?(?:[-_]knowledge)?|knowledge-?base|manuals?|support)(?:[-_]|$)"
 VAGUE_WORDS = ("best", "cheap", "good", "great", "anything", "item", "items", "product", "products", "stuff", "thing", "things")
+
+# shops' domains, and further words that name a source or a shop.
+RETAILER_DOMAINS = (
+    "amazon.com", "walmart.com", "target.com", "bestbuy.com", "homedepot.com", "lowes.com", "costco.com", "samsclub.com", "wayfair.com", "chewy.com", "rei.com", "newegg.com",
+    "acehardware.com", "overstock.com", "qvc.com", "bjs.com", "menards.com", "tractorsupply.com", "petco.com", "petsmart.com",
+)
+SOURCE_WORDS = ("consumer", "reports", "good", "housekeeping", "toms", "guide", "test", "kitchen", "spruce", "gear", "patrol", "popular", "mechanics", "business", "insider", "strategist", "digital", "trends", "ebay", "marketplace", "retailer")
+#: Keys of sources and shops: their domains without the ending, and the words.
+SOURCE_NAMES = tuple(dict.fromkeys([d.rpartition(".")[0] for d in (*NON_PRODUCT_DOMAINS, *RETAILER_DOMAINS)] + list(SOURCE_WORDS)))
+
+# Categories of selectable features by their other names; a category is also its own name.
+CATEGORY_ALIASES = {
+    "4k monitor": "monitor", "bookshelf": "bookcase", "fridge": "refrigerator", "loveseat": "couch", "pull out couch": "sleeper sofa", "pull out sofa": "sleeper sofa", "pullout couch": "sleeper sofa", "pullout sofa": "sleeper sofa",
+    "shelving unit": "shelves", "sleeper couch": "sleeper sofa", "sleeper loveseat": "sleeper sofa", "sofa": "couch", "sofa bed": "sleeper sofa", "television": "tv", "washing machine": "washer", "wine refrigerator": "wine fridge",
+}
+CATEGORY_NAMES = (
+    "air conditioner", "air purifier", "baseball glove", "bed frame", "blender", "bookcase", "camera", "car seat", "carpet cleaner", "cat tree", "chair", "coffee maker", "couch", "cookware", "cookware set", "crib",
+    "dehumidifier", "desk", "dishwasher", "dog bed", "dog crate", "dresser", "drill", "dryer", "espresso machine", "freezer", "generator", "grill", "headphones", "impact driver", "keyboard", "knife set", "ladder", "laptop",
+    "lawn mower", "leaf blower", "mattress", "microwave", "mini fridge", "monitor", "mouse", "nightstand", "office chair", "oven", "patio chair", "patio table", "printer", "projector", "recliner", "refrigerator", "router", "saw",
+    "sectional", "shelves", "shoe rack", "shop vac", "sleeper sofa", "snow blower", "soundbar", "speaker", "stroller", "tablet", "tent", "toaster oven", "tool chest", "tv", "tv stand", "vacuum", "vanity chair", "washer",
+    "water filter", "wine fridge",
+)
+
+# Colours that a search for a category leaves out, and what else it does.
+SEARCH_COLORS = ("beige", "black", "blue", "brown", "charcoal", "cream", "gray", "grey", "green", "ivory", "navy", "red", "tan", "taupe", "white")
+SEARCH_NOISE = (
+    r"\b(?:under|less than|below|no bigger than|no larger than|no deeper than|no taller than|at most|max|maximum)\s*\d+(?:\.\d+)?\s*(?:inches|inch|in\.?|\")\s*(?:wide|width|deep|depth|high|height|tall)?\b",
+    r"\b(?:at least|min|minimum)\s*\d+(?:\.\d+)?\s*(?:inches|inch|in\.?|\")\s*(?:wide|width|deep|depth|high|height|tall)?\b",
+    r"\b(?:under|less than|below|no more than|at most|max|maximum)\s*\$?\s*[\d,]+(?:\.\d+)?\b",
+    r"\b(?:" + "|".join(SEARCH_COLORS) + r")\b",
+    r"\b(?:left|right)[\s-]?(?:hand|arm)?[\s-]?facing\b|\b[lr]af\b",
+)
+SEARCH_PRAISE = (r"\b(?:best|top rated|recommended|sale|deals?)\b", r"\b(?:for sale|buy online)\b")

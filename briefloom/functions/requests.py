@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import dictionaries as D
+from .features import FEATURES, canonical_feature
 from .links import search_error
-from .text import feature_text, slug, strip
+from .text import feature_text, requirement, slug, strip
 
 # Longest fields in UTF-16 units, most features, a feature's keys, types and operators.
 QUERY_MOST, BUDGET_MOST, DETAILS_MOST, LEGACY_MOST = 200, 500, 2000, 500
@@ -152,3 +154,14 @@ def feature_search_text(f: Column) -> Column:
 def feature_key(f: Column) -> Column:
     """Features of one key are one."""
     return slug(F.concat_ws(" ", f["id"], f["name"], f["operator"], f["value"], F.coalesce(f["unit"], F.lit(""))))
+
+
+def feature_kind(name: Column, value: Column) -> Column:
+    """What a selected feature constrains: colour, material, brand, size, or what its definition says."""
+    said, v = requirement(name), requirement(value)
+    holds = lambda *words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(said, w))
+    known = F.create_map(*[F.lit(x) for f in FEATURES for x in (f.name, f.kind)])
+    return (
+        F.when(holds("color") | v.isin(*D.COLORS), "color").when(holds("material", "fabric") | v.isin(*D.MATERIALS), "material").when(holds("brand"), "brand")
+        .when(holds("size", "width", "depth", "height", "length"), "size").otherwise(F.coalesce(F.try_element_at(known, canonical_feature(value)), F.lit("feature")))
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .dictionaries import EXACT_WORDS, HARD_WORDS, MAX_WORDS, MIN_WORDS, SPECS, Spec
-from .text import strip
+from .text import bound, strip
 
 #: Characters before a value that are searched for words on how it binds.
 LOOK_BACK = 28
@@ -22,25 +22,30 @@ def _as_text(value: Column) -> Column:
     return F.regexp_replace(value.cast("string"), r"\.0$", "")
 
 
+def _bound_by(spec: Spec, matcher: str, source: str):
+    """The constraint that one match imposes, from the words before it and its own."""
+
+    def one(x: Column) -> Column:
+        before = F.regexp_replace(x["0"], rf"(?i)(?:{MIN_WORDS[3:-1]}|{MAX_WORDS[3:-1]})\s+\$[\d,]+", "")
+        more = x["1"].rlike(r"\d\s*\+") | before.rlike(f"(?i){MIN_WORDS}")
+        less, exact = before.rlike(f"(?i){MAX_WORDS}"), before.rlike(f"(?i){EXACT_WORDS}")
+        default = {"lower": "max", "exact": "equals"}.get(spec.direction, "min")
+        operator = F.when(exact, "equals").when(more, "min").when(less, "max").otherwise(default)
+        hard = more | less | exact | before.rlike(f"(?i){HARD_WORDS}") | F.lit(source == "smart_feature")
+        value = _number(F.regexp_extract(x["1"], rf"(?is){matcher}", 1))
+        return F.struct(F.lit(spec.id).alias("spec"), F.lit("numeric").alias("kind"), operator.alias("operator"), value.alias("value"), F.lit(spec.unit).alias("unit"), hard.alias("hard"))
+
+    return one
+
+
 def _numeric(text: Column, spec: Spec, source: str) -> list[Column]:
     """For each pattern an array of constraints, one per match, in order."""
     out = []
-    for at, matcher in enumerate(spec.matchers):
+    for matcher in spec.matchers:
         # where the matcher holds, a look-behind of fixed length, or from the beginning, captures the text before
         pattern = F.lit(rf"(?is)(?={matcher})(?<=(.{{{LOOK_BACK}}}|^.{{0,{LOOK_BACK - 1}}}))({matcher})")
-        parts = [F.regexp_extract_all(text, pattern, F.lit(i)) for i in (2, 3, 4)]
-
-        def one(x: Column, at: int = at) -> Column:
-            before = F.regexp_replace(x["0"], rf"(?i)(?:{MIN_WORDS[3:-1]}|{MAX_WORDS[3:-1]})\s+\$[\d,]+", "")
-            more = x["1"].rlike(r"\d\s*\+") | before.rlike(f"(?i){MIN_WORDS}")
-            less, exact = before.rlike(f"(?i){MAX_WORDS}"), before.rlike(f"(?i){EXACT_WORDS}")
-            default = {"lower": "max", "exact": "equals"}.get(spec.direction, "min")
-            operator = F.when(exact, "equals").when(more, "min").when(less, "max").otherwise(default)
-            hard = more | less | exact | before.rlike(f"(?i){HARD_WORDS}") | F.lit(source == "smart_feature")
-            value = _number(x["2"])
-            return F.struct(F.lit(spec.id).alias("spec"), F.lit("numeric").alias("kind"), operator.alias("operator"), value.alias("value"), F.lit(spec.unit).alias("unit"), hard.alias("hard"), F.lit(at).alias("pattern"))
-
-        out.append(F.transform(F.arrays_zip(*[p.alias(str(i)) for i, p in enumerate(parts)]), one))
+        parts = F.arrays_zip(*[F.regexp_extract_all(text, pattern, F.lit(i)).alias(name) for name, i in (("0", 2), ("1", 3))])
+        out.append(F.transform(parts, _bound_by(spec, matcher, source)))
     return out
 
 
@@ -51,36 +56,45 @@ def _boolean(text: Column, spec: Spec, source: str) -> Column:
     def one(pattern: str, value: float) -> Column:
         before = F.regexp_extract(text, pattern.replace("(?:^|.*?)", "^(.*?)"), 1)
         hard = F.substring(before, -LOOK_BACK, LOOK_BACK).rlike(f"(?i){HARD_WORDS}") | F.lit(source == "smart_feature")
-        return F.array(F.struct(F.lit(spec.id).alias("spec"), F.lit("boolean").alias("kind"), F.lit("equals").alias("operator"), F.lit(value).alias("value"), F.lit(None).cast("string").alias("unit"), hard.alias("hard"), F.lit(0).alias("pattern")))
+        return F.array(F.struct(F.lit(spec.id).alias("spec"), F.lit("boolean").alias("kind"), F.lit("equals").alias("operator"), F.lit(value).alias("value"), F.lit(None).cast("string").alias("unit"), hard.alias("hard")))
 
     empty = F.filter(one(yes, 1.0), lambda x: F.lit(False))
     return F.when(text.rlike(first[0]), one(*first)).when(text.rlike(second[0]), one(*second)).otherwise(empty)
 
 
-def spec_constraints(rows: DataFrame, text: str, source: str = "query", specs: Sequence[Spec] = SPECS) -> DataFrame:
-    """Adds spec, kind, operator, value, unit, strictness, id, label and ord: a row per distinct constraint of a text.
+def spec_array(text: Column, source: str = "query", specs: Sequence[Spec] = SPECS) -> Column:
+    """Distinct constraints of a text as structs (spec, kind, operator, value, unit, strictness, source, id, label), in order of the dictionary.
 
     Constraints with one id (spec, operator, value) are one; hard if any of them is. A null or empty text has none.
     """
-    raw = F.lower(strip(F.col(text)))
-    arrays: list[Column] = []
+    raw, arrays = F.lower(strip(F.coalesce(text, F.lit("")))), []
     for spec in specs:
         arrays += [_boolean(raw, spec, source)] if spec.direction == "boolean" else _numeric(raw, spec, source)
-    names = {s.id: s.label for s in specs}
-    label = F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("c.spec"))
-    found = F.filter(F.concat(*arrays), lambda x: x["value"].isNotNull())
+    names = F.create_map(*[F.lit(x) for s in specs for x in (s.id, s.label)])
     key = lambda x: F.struct(x["spec"].alias("spec"), x["operator"].alias("operator"), x["value"].alias("value"))
-    once = F.transform(F.array_distinct(F.transform("_found", key)), lambda k: F.struct(F.filter("_found", lambda x: key(x) == k)[0].alias("c"), F.exists("_found", lambda x: (key(x) == k) & x["hard"]).alias("hard")))
-    out = rows.withColumn("_found", found).select("*", F.posexplode(once).alias("ord", "_one")).withColumn("c", F.col("_one.c"))
-    shown, unit = _as_text(F.col("c.value")), F.coalesce(F.concat(F.lit(" "), F.col("c.unit")), F.lit(""))
-    numeric = F.concat(label, F.when(F.col("c.operator") == "min", ": at least ").when(F.col("c.operator") == "max", ": at most ").otherwise(": "), shown, unit)
-    boolean = F.when(F.col("c.value") == 1, label).otherwise(F.concat(F.lit("Not "), F.lower(label)))
-    is_number = F.col("c.kind") == "numeric"
-    return out.select(
-        *rows.columns, "ord", F.col("c.spec").alias("spec"), F.col("c.kind").alias("kind"), F.col("c.operator").alias("operator"), F.col("c.value").alias("value"), F.col("c.unit").alias("unit"),
-        F.when(F.col("_one.hard"), "hard").otherwise("soft").alias("strictness"), F.lit(source).alias("source"),
-        F.concat(F.lit("spec-"), F.col("c.spec"), F.lit("-"), F.when(is_number, F.col("c.operator")).otherwise("bool"), F.lit("-"), shown).alias("id"), F.when(is_number, numeric).otherwise(boolean).alias("label"),
-    )
+
+    def told(c: Column, hard: Column) -> Column:
+        shown, unit, label, number = _as_text(c["value"]), F.coalesce(F.concat(F.lit(" "), c["unit"]), F.lit("")), F.element_at(names, c["spec"]), c["kind"] == "numeric"
+        numeric = F.concat(label, F.when(c["operator"] == "min", ": at least ").when(c["operator"] == "max", ": at most ").otherwise(": "), shown, unit)
+        boolean = F.when(c["value"] == 1, label).otherwise(F.concat(F.lit("Not "), F.lower(label)))
+        own = F.concat(F.lit("spec-"), c["spec"], F.lit("-"), F.when(number, c["operator"]).otherwise("bool"), F.lit("-"), shown)
+        fields = {n: c[n] for n in ("spec", "kind", "operator", "value", "unit")} | {"strictness": F.when(hard, "hard").otherwise("soft"), "source": F.lit(source), "id": own, "label": F.when(number, numeric).otherwise(boolean)}
+        return F.struct(*[v.alias(n) for n, v in fields.items()])
+
+    found = F.filter(F.concat(*arrays), lambda x: x["value"].isNotNull())
+    once = lambda all_: F.transform(F.array_distinct(F.transform(all_, key)), lambda k: bound(F.filter(all_, lambda x: key(x) == k), lambda same: told(same[0], F.exists(same, lambda x: x["hard"]))))
+    return bound(found, once)
+
+
+def spec_constraints(rows: DataFrame, text: str, source: str = "query", specs: Sequence[Spec] = SPECS) -> DataFrame:
+    """``spec_array`` as rows: adds ord and the fields of the constraint, one row each."""
+    fields = ("spec", "kind", "operator", "value", "unit", "strictness", "source", "id", "label")
+    return rows.select("*", F.posexplode(spec_array(F.col(text), source, specs)).alias("ord", "_c")).select(*rows.columns, "ord", *[F.col(f"_c.{f}").alias(f) for f in fields])
+
+
+def merged_specs(*arrays: Column) -> Column:
+    """Constraints of several sources, in order of their first sight: of those with one id the first hard one counts, else the first."""
+    return bound(F.concat(*arrays), lambda all_: F.transform(F.array_distinct(F.transform(all_, lambda x: x["id"])), lambda k: bound(F.filter(all_, lambda x: x["id"] == k), lambda same: F.coalesce(F.get(F.filter(same, lambda x: x["strictness"] == "hard"), F.lit(0)), F.get(same, F.lit(0))))))
 
 
 def observed(text: Column, spec: Spec) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,9 +14,29 @@ def ratio(num: Column, den: Column) -> Column:
     return F.when(den != 0, F.round(num.cast("decimal(20,0)") / den, 4).cast("double"))
 
 
-def nearest_rank(value: str, p: float) -> Column:
-    """Nearest-rank percentile as an aggregate; nothing: 0."""
-    return F.coalesce(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})"), F.lit(0.0))
+def nearest_ranks(rows: DataFrame, by: Sequence[str], value: str, ranks: Mapping[str, float]) -> DataFrame:
+    """(by, and a column per rank): exact nearest-rank percentiles of each group; nulls don't count, groups of nothing have no row.
+
+    Values are counted, and counts put in buckets of near values; only the bucket that holds a rank is put in order, so
+    that no group is sorted or held as a whole. NaN is the greatest value.
+    """
+    keys = [f"_k{i}" for i in range(len(by))]
+    v = F.col("_v")
+    bucket = F.when(F.isnan(v), F.lit(1 << 20)).otherwise(F.floor(F.signum(v) * F.least(F.log2(1 + F.abs(v)), F.lit(1024.0)) * 64))
+    given = rows.where(F.col(value).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(value).cast("double").alias("_v"))
+    counted = given.groupBy(*keys, "_v").agg(F.count("*").alias("n")).withColumn("bucket", bucket.cast("long"))
+    sizes = counted.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
+    along, every = Window.partitionBy(*keys).orderBy("bucket"), Window.partitionBy(*keys)
+    sizes = sizes.withColumn("upto", F.sum("n").over(along)).withColumn("total", F.sum("n").over(every))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.greatest(F.lit(1), F.ceil(F.col("total") * F.lit(p))).alias("rank")) for name, p in ranks.items()]))
+    held = sizes.withColumn("w", wanted).where("upto - n < w.rank and w.rank <= upto").select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("bucket").alias("b"), "w.name", (F.col("w.rank") - (F.col("upto") - F.col("n"))).alias("rank"))
+    same = F.col("bucket") == F.col("b")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    inside = counted.join(held, same)
+    inside = inside.withColumn("upto", F.sum("n").over(Window.partitionBy(*keys, "bucket", "name").orderBy("_v"))).where("upto >= rank")
+    found = inside.groupBy(*keys).agg(*[F.min(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in ranks])
+    return found.select(*[F.col(k).alias(c) for k, c in zip(keys, by)], *ranks)
 
 
 def gain(grade: Column) -> Column:

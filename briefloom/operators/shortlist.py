@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
+
+from ..functions import images, links, titles
 
 
 def observed_only(rows: DataFrame, observed: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -17,26 +20,29 @@ def observed_only(rows: DataFrame, observed: DataFrame, on: Sequence[str]) -> Da
 def greedy_dedupe(rows: DataFrame, group: str, pos: str, keys: Sequence[str], at_most: int | None = None) -> DataFrame:
     """Keeps a row if none of its keys was held by a row *kept* before it in the group; kept_pos counts from 1.
 
-    A sequential rule, not two windows: a row that is dropped blocks nothing. Folds the ordered array of a group, which
-    is one request's list and short by nature. Null keys equal each other.
+    A sequential rule, not two windows: a row that is dropped blocks nothing. A group's rows are streamed in order of
+    pos, then of their keys, through one task; only the keys of its kept rows are held, at most ``at_most`` of each. Null
+    keys equal each other.
     """
-    entry = F.struct(F.col(pos).alias("pos"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.struct(*[F.col(c) for c in rows.columns]).alias("row"))
-    lists = rows.groupBy(group).agg(F.sort_array(F.collect_list(entry)).alias("all"))
-
-    def step(kept: Column, x: Column) -> Column:
-        taken = F.exists(kept, lambda y: _any(y[f"k{i}"].eqNullSafe(x[f"k{i}"]) for i in range(len(keys))))
-        return F.when(taken, kept).otherwise(F.concat(kept, F.array(x)))
-
-    kept = lists.select(F.aggregate("all", F.filter("all", lambda x: F.lit(False)), step).alias("kept"))
-    out = kept.select(F.posexplode("kept").alias("n", "e")).select("e.row.*", (F.col("n") + 1).alias("kept_pos"))
-    return out if at_most is None else out.where(F.col("kept_pos") <= at_most)
-
-
-def _any(conditions) -> Column:
-    out = F.lit(False)
-    for c in conditions:
-        out = out | c
-    return out
+    schema = T.StructType([*rows.schema.fields, T.StructField("kept_pos", T.IntegerType(), False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, started, held, n = None, False, [set() for _ in keys], 0
+        for batch in batches:
+            chosen, places = [], []
+            for i, (g, *own) in enumerate(zip(*[batch.column(c).to_pylist() for c in (group, *keys)])):
+                if not started or g != current:
+                    current, started, held, n = g, True, [set() for _ in keys], 0
+                if (at_most is None or n < at_most) and not any(k in h for k, h in zip(own, held)):
+                    n += 1
+                    for k, h in zip(own, held):
+                        h.add(k)
+                    chosen.append(i)
+                    places.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(chosen, pa.int64())).columns, pa.array(places, pa.int32())], names=schema.names)
+
+    order = [group, pos, *[k for k in keys if k not in (group, pos)]]
+    return rows.repartition(group).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def first_match(rows: DataFrame, options: DataFrame, on: Sequence[str], matches: Column, row_key: Sequence[str], order: Sequence[Column], keep: Sequence[str]) -> DataFrame:
@@ -49,6 +55,22 @@ def first_match(rows: DataFrame, options: DataFrame, on: Sequence[str], matches:
     return rows.join(best, list(row_key), "left").select(*rows.columns, *[F.col(f"_best.{k}").alias(k) for k in keep])
 
 
+def enriched(products: DataFrame, listings: DataFrame, on: Sequence[str], products_most: int = 5, listings_most: int = 10) -> DataFrame:
+    """``products`` (on, pos, name, url) with the picture ``image`` (url, source_url, title, product_id) of a listing; null for none.
+
+    listings: (on, pos, rank, title, image_url, link, product_id) of the search for each product. Of the first products
+    and their first listings those count that are the product's model and may be shown; one of the product's own page
+    comes first, then the best rank. A product id that is no number is left out.
+    """
+    number = F.when(F.col("product_id").rlike(r"^\d{1,40}$"), F.col("product_id"))
+    given = listings.where(F.col("rank") <= listings_most).select(*on, "pos", "rank", "title", "image_url", "link", number.alias("product_id"))
+    asked = products.where(F.col("pos") <= products_most).select(*on, "pos", "name", "url")
+    fit = asked.join(given, [*on, "pos"]).where(images.product_image(F.col("image_url"), F.col("link"), F.col("title"), F.col("product_id"))).withColumn("fits", titles.matches_model(F.col("name"), F.col("title"))).where("fits")
+    order = F.struct((links.page_key(F.col("url")) != links.page_key(F.col("link"))).alias("other"), F.col("rank").alias("rank"))
+    picture = F.struct(F.col("image_url").alias("url"), F.col("link").alias("source_url"), F.col("title"), F.col("product_id"))
+    return products.join(fit.groupBy(*on, "pos").agg(F.min_by(picture, order).alias("image")), [*on, "pos"], "left")
+
+
 def latest(rows: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     """The last row of each key, as a map that is written in order keeps it."""
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), seq).alias("_r")).select("_r.*")

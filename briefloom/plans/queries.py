@@ -15,24 +15,11 @@ from ..functions import briefs, features, links, requests, specs, text, titles
 from ..functions import dictionaries as D
 from ..operators import adjudication, admission, quality, requirements, shortlist
 from ..sources import json_documents, reports
-
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from . import edges as _edges  # noqa: F401  registers its queries
+from . import evaluation as _evaluation  # noqa: F401  registers its queries
+from .registry import ORACLES, QUERIES
+from .registry import query as _query
+from .registry import table as _t
 
 _SOME_SPECS = tuple(s for s in D.SPECS if s.id in ("cfm", "weightLb", "noiseDb", "refreshRateHz"))
 
@@ -76,7 +63,11 @@ def constraint_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return constraint_status(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@_query()
+@_query("""
+WITH p AS (SELECT p_partkey, p_size AS n FROM part)
+SELECT p_partkey, 0 AS ord, 'spec-cfm-min-' || (n * 10 + 10) AS id, 'CFM: at least ' || (n * 10 + 10) || ' CFM' AS label, 'hard' AS strictness FROM p UNION ALL SELECT p_partkey, 1, 'spec-weightLb-max-' || n, 'Weight: at most ' || n || ' lb', 'hard' FROM p
+UNION ALL SELECT p_partkey, 2, 'spec-noiseDb-max-' || (40 + n % 30), 'Noise: at most ' || (40 + n % 30) || ' dB', 'hard' FROM p UNION ALL SELECT p_partkey, 3, 'spec-refreshRateHz-min-' || (60 + n), 'Refresh rate: at least ' || (60 + n) || ' Hz', 'hard' FROM p
+""")
 def all_spec_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return specs.spec_constraints(_brief(_t(spark, sf_dir, "part")), "brief", "priorities").select("p_partkey", "ord", "id", "label", "strictness")
 
@@ -198,7 +189,15 @@ def _user_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.floor("value").cast("long").alias("bucket"))
 
 
-@_query()
+@_query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, floor(value)::BIGINT AS bucket, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+f AS (
+  SELECT DISTINCT user_id, NULL::BIGINT AS event_id, NULL::VARCHAR AS event_type, NULL::BIGINT AS bucket, 0::BIGINT AS r, false AS ok, []::VARCHAR[] AS types, []::BIGINT[] AS buckets FROM e
+  UNION ALL
+  SELECT user_id, event_id, event_type, bucket, r, ok, CASE WHEN ok THEN list_append(types, event_type) ELSE types END, CASE WHEN ok THEN list_append(buckets, bucket) ELSE buckets END
+  FROM (SELECT e.*, f.types, f.buckets, len(f.types) < 5 AND NOT list_contains(f.types, e.event_type) AND NOT list_contains(f.buckets, e.bucket) AS ok FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1))
+SELECT user_id, event_id, event_type, bucket, len(types)::INT AS kept_pos FROM f WHERE ok
+""")
 def greedy_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shortlist.greedy_dedupe(_user_list(spark, sf_dir), "user_id", "event_id", ["event_type", "bucket"], at_most=5)
 
@@ -209,9 +208,9 @@ def observed_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shortlist.observed_only(_t(spark, sf_dir, "customer").select("c_custkey", "c_name"), seen, ["c_custkey"])
 
 
-@_query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@_query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority LIKE '1%')")
 def never_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    seen = _t(spark, sf_dir, "orders").where("o_orderpriority LIKE '1%'").select(F.col("o_custkey").alias("c_custkey"))
     return _t(spark, sf_dir, "customer").select("c_custkey").join(seen, "c_custkey", "left_anti")
 
 
@@ -238,11 +237,9 @@ SELECT event_type, count(*)::BIGINT AS n, coalesce(quantile_disc(value, 0.5), 0)
 FROM events GROUP BY event_type
 """)
 def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slow = quality.ratio(F.count_if(F.col("value") > 50), F.count("*"))
-    return _t(spark, sf_dir, "events").groupBy("event_type").agg(
-        F.count("*").alias("n"), quality.nearest_rank("value", 0.5).alias("p50"), quality.nearest_rank("value", 0.95).alias("p95"),
-        text.js_round(F.avg("value")).cast("long").alias("mean"), F.greatest(F.lit(0.0), F.max("value")).alias("most"), slow.alias("slow_rate"),
-    )
+    events, slow = _t(spark, sf_dir, "events"), quality.ratio(F.count_if(F.col("value") > 50), F.count("*"))
+    sums = events.groupBy("event_type").agg(F.count("*").alias("n"), text.js_round(F.avg("value")).cast("long").alias("mean"), F.greatest(F.lit(0.0), F.max("value")).alias("most"), slow.alias("slow_rate"))
+    return sums.join(quality.nearest_ranks(events, ["event_type"], "value", {"p50": 0.5, "p95": 0.95}), "event_type", "left").na.fill(0, ["p50", "p95"])
 
 
 _NDCG_SQL = """
@@ -325,7 +322,18 @@ def diagnostics_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("user_id", reports.markdown_row(F.col("user_id"), F.col("losses")).alias("line"))
 
 
-@_query()
+@_query("""
+WITH RECURSIVE e AS (
+  SELECT user_id::VARCHAR AS key, event_id AS seq, (epoch_us(ts) // 1000) AS ts_ms, CASE WHEN event_type = 'purchase' THEN 'release' ELSE 'acquire' END AS action, row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) AS r FROM events),
+f AS (
+  SELECT DISTINCT key, NULL::BIGINT AS seq, NULL::BIGINT AS ts_ms, NULL::VARCHAR AS action, 0::BIGINT AS r, 0::BIGINT AS active, []::BIGINT[] AS starts, NULL::VARCHAR AS told, NULL::BIGINT AS wait FROM e
+  UNION ALL
+  SELECT key, seq, ts_ms, action, r, CASE told WHEN 'release' THEN greatest(0, active - 1) WHEN 'ok' THEN active + 1 ELSE active END, CASE told WHEN 'release' THEN before WHEN 'ok' THEN list_append(starts, ts_ms) ELSE starts END, told,
+    CASE told WHEN 'concurrency_limit' THEN 1 WHEN 'rate_limit' THEN greatest(1, ceil((starts[1] + 86400000 - ts_ms) / 1000)::BIGINT) END
+  FROM (SELECT *, CASE WHEN action = 'release' THEN 'release' WHEN active >= 3 THEN 'concurrency_limit' WHEN len(starts) >= 2 THEN 'rate_limit' ELSE 'ok' END AS told
+    FROM (SELECT e.*, f.active, f.starts AS before, list_filter(f.starts, lambda s: s > e.ts_ms - 86400000) AS starts FROM f JOIN e ON e.key = f.key AND e.r = f.r + 1)))
+SELECT key, seq, ts_ms, action, CASE WHEN told <> 'release' THEN told = 'ok' END AS admitted, CASE WHEN told NOT IN ('ok', 'release') THEN told END AS reason, wait::INT AS retry_after_seconds FROM f WHERE r > 0
+""")
 def admission_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per user, two starts a day."""
     events = _t(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.when(F.col("event_type") == "purchase", "release").otherwise("acquire").alias("action"))
@@ -402,8 +410,8 @@ def requirement_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return dict(ORACLES)
