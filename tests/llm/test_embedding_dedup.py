@@ -57,3 +57,26 @@ def test_empty_table_and_null_keys(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
     got = embedding_dedup.near_vectors(spark.createDataFrame([(None, [1.0, 2.0], "x", 1), (None, [1.0, 2.0], "x", 1), (4, [1.0, 2.0], "x", 1)], SCHEMA)).collect()
     assert sorted((repr(r["vec_id"]), r["n_links"]) for r in got) == [("4", 0), ("None", 0), ("None", 0)]
+
+
+def test_floats_and_odd_arrays(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(30, 24)).astype(np.float32)
+    vectors = [(base[i % 30] + rng.normal(size=24).astype(np.float32) * np.float32(0.08 * (i % 4))).tolist() for i in range(150)]
+    vectors += [None, [], [0.0] * 24, [-0.0] * 24, [float("nan")] * 24, [None] * 24, [1e-30] * 24, [1e30] * 24, [3.0], [4.0], [-3.0]]
+    rows = list(enumerate(vectors))
+    got = embedding_dedup.near_vectors(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA.replace("double", "float")))
+    assert sorted(tuple(r) for r in got.collect()) == brute([(k, v if v is None else [None if x is None else float(np.float32(x)) for x in v]) for k, v in rows])
+
+
+def test_threshold_is_that_of_the_plain_formula(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(40):
+        a = rng.normal(size=16)
+        b = rng.normal(size=16)
+        b -= (a @ b) / (a @ a) * a
+        rows += [(2 * i, a.tolist()), (2 * i + 1, (0.95 * a / np.linalg.norm(a) + np.sqrt(1 - 0.95**2) * b / np.linalg.norm(b)).tolist())]
+    links = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_vectors(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)).collect()}
+    for (i, a), (j, b) in zip(rows[::2], rows[1::2]):
+        assert links[i] == links[j] == int(embedding_dedup._plain(np.array([a]), np.array([b]))[0] >= 0.95)
