@@ -1,0 +1,76 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from briefloom.operators import evaluation, quality
+from briefloom.sources import json_documents, reports
+
+
+def test_documents_are_read_by_schema(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.json").write_text(json.dumps({"version": f"v{i}", "cases": [{"id": f"c{i}{j}", "extra": 1} for j in range(2)], "other": True}, indent=1))
+    rows = json_documents.read_documents(spark, str(tmp_path), "version string, cases array<struct<id:string>>").select("version", F.explode("cases.id").alias("id"))
+    assert sorted(map(tuple, rows.collect())) == [(f"v{i}", f"c{i}{j}") for i in range(3) for j in range(2)]
+
+
+def test_reports_are_never_overwritten(spark, tmp_path):
+    path, df = str(tmp_path / "report"), spark.createDataFrame([(1, "a")], "n int, s string")
+    reports.write_new(df, path)
+    assert spark.read.json(path).select("n", "s").collect() == df.collect()
+    with pytest.raises(Exception, match="(?i)already exists"):
+        reports.write_new(df, path)
+
+
+def test_body_problems(spark):
+    bodies = [(b'{"a":1}', "7"), (b'{"a":1}', "x"), (b"{}", "99"), (b"[" + b" " * 50 + b"]", None), (b"\xff{}", None), (b"{", "1"), (None, None)]
+    rows = spark.createDataFrame(bodies, "raw binary, n string").select(json_documents.body_problem(F.col("raw"), F.col("n"), 40)).collect()
+    assert [r[0] for r in rows][:6] == [None, "invalid_content_length", "too_large", "too_large", "invalid_encoding", "invalid_json"]
+
+
+def test_markdown(spark):
+    df = spark.createDataFrame([("b", 0.5), ("a", None)], "name string, rate double")
+    lines = reports.markdown_rows(df.withColumn("rate", reports.percent(F.col("rate"))), ["name", "rate"], ["name"]).collect()
+    assert [r["line"] for r in lines] == ["| a | n/a |", "| b | 50.0% |"]
+
+
+def test_published_ratios(spark):
+    """Ratios that are published as counts and as rates."""
+    published = [(62, 142, 0.4366), (77, 142, 0.5423), (7, 142, 0.0493), (10, 142, 0.0704), (50, 102, 0.4902), (24, 77, 0.3117), (163, 172, 0.9477), (118, 118, 1.0), (6, 102, 0.0588), (0, 77, 0.0), (1, 0, None)]
+    rows = spark.createDataFrame([p[:2] for p in published], "n long, d long").select(quality.ratio(F.col("n"), F.col("d"))).collect()
+    assert [r[0] for r in rows] == [p[2] for p in published]
+
+
+def test_nearest_ranks_against_sorting(spark):
+    import math
+    import random
+
+    rng = random.Random(4)
+    values = [(rng.choice(["a", "b", None]), rng.choice([0.0, -1.5, 3.0, 3.0, rng.uniform(-1e6, 1e6), 1e300, None])) for _ in range(600)] + [("one", 7.0), ("none", None)]
+    got = {r["g"]: (r["p50"], r["p95"], r["p0"]) for r in quality.nearest_ranks(spark.createDataFrame(values, "g string, v double"), ["g"], "v", {"p50": 0.5, "p95": 0.95, "p0": 0.0}).collect()}
+    for g in ("a", "b", None, "one"):
+        own = sorted(v for k, v in values if k == g and v is not None)
+        assert got[g] == tuple(own[max(0, math.ceil(len(own) * p) - 1)] for p in (0.5, 0.95, 0.0))
+    assert len(got) == 4
+
+
+def test_evaluation_of_odd_rows(spark):
+    """Names without letters, references without aliases, judgments that repeat, runs that no case knows."""
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    runs = frame([(1, 200, 5.0), (2, 500, None), (9, 200, 1.0)], "case_id long, status int, duration_ms double")
+    cases = frame([(1, "tv", "broad", 2), (2, "tv", "broad_budget", 0)], "case_id long, category string, search_type string, hard_requirements int")
+    references = frame([(1, 0, 10, "Café", "X-1", None, 3), (1, 1, 11, "", "Y2", ["y two"], 1), (2, 0, 12, None, None, [None, ""], 2)], "case_id long, ord int, ref_id long, brand string, model string, aliases array<string>, grade int")
+    products = frame([(1, 1, "Café X 1 (new)", "u", 5.0, None), (1, 2, "the y-two", None, None, ""), (1, 3, None, None, None, None), (2, 1, "!!", "u", 1.0, "i"), (9, 1, "Café X1", "u", 1.0, "i")], "case_id long, pos int, name string, url string, price double, image string")
+    judged = "case_id long, product_name string, seq int, relevance_grade int, violations int, unknowns int, identity_issue string, family_duplicate string, page string, price string, availability string, image string, evidence int"
+    judgments = frame([(2, "!!", 1, 0, 1, 1, "none", None, "correct", None, "unknown", "correct", 1), (2, "!!", 2, 3, None, None, None, "x", "wrong", "correct", "unknown", "unknown", 0)], judged)
+    funnel = frame([(1, "discovered", "CAFÉ x1"), (1, "deduplicated", "Café X1"), (1, "ranked", "Café X1")], "case_id long, stage string, name string")
+    found = {r["metric"]: (r["numerator"], r["denominator"]) for r in evaluation.metrics(runs, cases, references, products, funnel, judgments).collect()}
+    assert found["top_result_precision"] == (2, 3) and found["wrong_product_leakage"] == (1, 4) and found["family_duplicate_leakage"] == (1, 4)
+    assert found["page_accuracy"] == (0, 1) and found["price_accuracy"] == (1, 1) and found["image_accuracy"] == (0, 0)
+    assert found["discovery_recall"] == (1, 2) and found["final_recall"] == (0, 2) and found["request_success"] == (2, 3)
+    lost = {r["ref_id"]: r["loss"] for r in evaluation.losses(references, funnel).collect()}
+    assert lost == {10: "prefilter_rejection", 12: "never_discovered"}
+    told = evaluation.methodology(runs, cases, evaluation.displayed(products, references, judgments), judgments).first()
+    assert told["status"] == "INVALID" and told["blockers"][0] == "run_count_mismatch"
+    text = frame([("run",)], "t string").select(evaluation.bound_to(F.sha2("t", 256), F.col("t")), evaluation.bound_to(F.lit(None).cast("string"), F.col("t"))).first()
+    assert tuple(text) == (True, False)
