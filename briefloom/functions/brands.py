@@ -56,8 +56,9 @@ def _any_shown(text: Column, brand: Column) -> Column:
 
 def known_brands(text: Column) -> Column:
     """Brands that a text names, in order of the dictionary, which is one literal array: no join, and a short expression."""
-    words = lambda n: " ".join("".join(c if c.isalnum() else " " for c in n.lower()).split())
-    listed = F.array(*[F.struct(F.lit(words(n)).alias("alias"), F.lit(canonical).alias("brand")) for canonical, aliases in D.BRANDS for n in dict.fromkeys((canonical, *aliases))])
+    names = [(" ".join("".join(c if c.isalnum() else " " for c in n.lower()).split()), canonical) for canonical, aliases in D.BRANDS for n in dict.fromkeys((canonical, *aliases))]
+    column = lambda i: F.split(F.lit("\n".join(n[i] for n in names)), "\n")
+    listed = F.arrays_zip(column(0).alias("alias"), column(1).alias("brand"))
     both = F.struct(_forms(text).alias("plain"), _forms(brand_evidence(text, F.lit("HP"))).alias("hp"))
     return bound(both, lambda t: F.array_distinct(F.transform(F.filter(listed, lambda x: _shows(F.when(x["brand"] == "HP", t["hp"]).otherwise(t["plain"]), x["alias"])), lambda x: x["brand"])))
 

@@ -94,8 +94,13 @@ def bed_size(text: Column, need_context: bool = True) -> Column:
 
 
 def named_values(text: Column, values: tuple[str, ...], longest: bool = False) -> Column:
-    """Values named at word boundaries, in order; ``longest`` drops those inside another that is named."""
-    found = bound(meaning(text), lambda t: F.array_compact(F.array(*[F.when(t.rlike(rf"(^|[^a-z0-9]){v.replace(' ', r'\s+')}([^a-z0-9]|$)"), v) for v in values])))
+    """Values named at word boundaries, in order; ``longest`` drops those inside another that is named.
+
+    The values are one literal array; a pattern is made only of a value that the text holds.
+    """
+    listed = F.split(F.lit("\n".join(values)), "\n")
+    at_words = lambda t, v: F.rlike(t, F.concat(F.lit(r"(^|[^a-z0-9])\Q"), v, F.lit(r"\E([^a-z0-9]|$)")))
+    found = bound(meaning(text), lambda t: F.filter(listed, lambda v: F.contains(t, v) & at_words(t, v)))
     if not longest:
         return found
     return bound(found, lambda all_: F.filter(all_, lambda v: ~F.exists(all_, lambda o: (F.length(o) > F.length(v)) & F.contains(o, v))))

@@ -22,7 +22,7 @@ def _as_text(value: Column) -> Column:
     return F.regexp_replace(value.cast("string"), r"\.0$", "")
 
 
-def _bound_by(spec: Spec, matcher: str, source: str):
+def _bound_by(spec: Spec, matcher: str, source: Column):
     """The constraint that one match imposes, from the words before it and its own."""
 
     def one(x: Column) -> Column:
@@ -31,14 +31,14 @@ def _bound_by(spec: Spec, matcher: str, source: str):
         less, exact = before.rlike(f"(?i){MAX_WORDS}"), before.rlike(f"(?i){EXACT_WORDS}")
         default = {"lower": "max", "exact": "equals"}.get(spec.direction, "min")
         operator = F.when(exact, "equals").when(more, "min").when(less, "max").otherwise(default)
-        hard = more | less | exact | before.rlike(f"(?i){HARD_WORDS}") | F.lit(source == "smart_feature")
+        hard = more | less | exact | before.rlike(f"(?i){HARD_WORDS}") | (source == "smart_feature")
         value = _number(F.regexp_extract(x["1"], rf"(?is){matcher}", 1))
         return F.struct(F.lit(spec.id).alias("spec"), F.lit("numeric").alias("kind"), operator.alias("operator"), value.alias("value"), F.lit(spec.unit).alias("unit"), hard.alias("hard"))
 
     return one
 
 
-def _numeric(text: Column, spec: Spec, source: str) -> list[Column]:
+def _numeric(text: Column, spec: Spec, source: Column) -> list[Column]:
     """For each pattern an array of constraints, one per match, in order."""
     out = []
     for matcher in spec.matchers:
@@ -49,24 +49,28 @@ def _numeric(text: Column, spec: Spec, source: str) -> list[Column]:
     return out
 
 
-def _boolean(text: Column, spec: Spec, source: str) -> Column:
+def _boolean(text: Column, spec: Spec, source: Column) -> Column:
+    """One constraint at most: present or absent, whichever is asked for first; what is avoided is asked for the other way round."""
     yes, no = (rf"(?is)(?:^|.*?)({m})" for m in spec.matchers)
-    first, second = ((no, 1.0), (yes, 0.0)) if source == "avoid" else ((yes, 1.0), (no, 0.0))
 
-    def one(pattern: str, value: float) -> Column:
+    def one(pattern: str, value: Column) -> Column:
         before = F.regexp_extract(text, pattern.replace("(?:^|.*?)", "^(.*?)"), 1)
-        hard = F.substring(before, -LOOK_BACK, LOOK_BACK).rlike(f"(?i){HARD_WORDS}") | F.lit(source == "smart_feature")
-        return F.array(F.struct(F.lit(spec.id).alias("spec"), F.lit("boolean").alias("kind"), F.lit("equals").alias("operator"), F.lit(value).alias("value"), F.lit(None).cast("string").alias("unit"), hard.alias("hard")))
+        hard = F.substring(before, -LOOK_BACK, LOOK_BACK).rlike(f"(?i){HARD_WORDS}") | (source == "smart_feature")
+        return F.array(F.struct(F.lit(spec.id).alias("spec"), F.lit("boolean").alias("kind"), F.lit("equals").alias("operator"), value.alias("value"), F.lit(None).cast("string").alias("unit"), hard.alias("hard")))
 
-    empty = F.filter(one(yes, 1.0), lambda x: F.lit(False))
-    return F.when(text.rlike(first[0]), one(*first)).when(text.rlike(second[0]), one(*second)).otherwise(empty)
+    avoided = source == "avoid"
+    present, absent = one(yes, F.when(avoided, 0.0).otherwise(1.0)), one(no, F.when(avoided, 1.0).otherwise(0.0))
+    empty = F.filter(present, lambda x: F.lit(False))
+    first_no = F.when(text.rlike(no), absent).when(text.rlike(yes), present).otherwise(empty)
+    return F.when(avoided, first_no).when(text.rlike(yes), present).when(text.rlike(no), absent).otherwise(empty)
 
 
-def spec_array(text: Column, source: str = "query", specs: Sequence[Spec] = SPECS) -> Column:
+def spec_array(text: Column, source: str | Column = "query", specs: Sequence[Spec] = SPECS) -> Column:
     """Distinct constraints of a text as structs (spec, kind, operator, value, unit, strictness, source, id, label), in order of the dictionary.
 
     Constraints with one id (spec, operator, value) are one; hard if any of them is. A null or empty text has none.
     """
+    source = F.lit(source) if isinstance(source, str) else source
     raw, arrays = F.lower(strip(F.coalesce(text, F.lit("")))), []
     for spec in specs:
         arrays += [_boolean(raw, spec, source)] if spec.direction == "boolean" else _numeric(raw, spec, source)
@@ -78,7 +82,7 @@ def spec_array(text: Column, source: str = "query", specs: Sequence[Spec] = SPEC
         numeric = F.concat(label, F.when(c["operator"] == "min", ": at least ").when(c["operator"] == "max", ": at most ").otherwise(": "), shown, unit)
         boolean = F.when(c["value"] == 1, label).otherwise(F.concat(F.lit("Not "), F.lower(label)))
         own = F.concat(F.lit("spec-"), c["spec"], F.lit("-"), F.when(number, c["operator"]).otherwise("bool"), F.lit("-"), shown)
-        fields = {n: c[n] for n in ("spec", "kind", "operator", "value", "unit")} | {"strictness": F.when(hard, "hard").otherwise("soft"), "source": F.lit(source), "id": own, "label": F.when(number, numeric).otherwise(boolean)}
+        fields = {n: c[n] for n in ("spec", "kind", "operator", "value", "unit")} | {"strictness": F.when(hard, "hard").otherwise("soft"), "source": source, "id": own, "label": F.when(number, numeric).otherwise(boolean)}
         return F.struct(*[v.alias(n) for n, v in fields.items()])
 
     found = F.filter(F.concat(*arrays), lambda x: x["value"].isNotNull())
@@ -92,9 +96,11 @@ def spec_constraints(rows: DataFrame, text: str, source: str = "query", specs: S
     return rows.select("*", F.posexplode(spec_array(F.col(text), source, specs)).alias("ord", "_c")).select(*rows.columns, "ord", *[F.col(f"_c.{f}").alias(f) for f in fields])
 
 
-def merged_specs(*arrays: Column) -> Column:
-    """Constraints of several sources, in order of their first sight: of those with one id the first hard one counts, else the first."""
-    return bound(F.concat(*arrays), lambda all_: F.transform(F.array_distinct(F.transform(all_, lambda x: x["id"])), lambda k: bound(F.filter(all_, lambda x: x["id"] == k), lambda same: F.coalesce(F.get(F.filter(same, lambda x: x["strictness"] == "hard"), F.lit(0)), F.get(same, F.lit(0))))))
+def merged_specs(texts: Sequence[tuple[Column, str]], specs: Sequence[Spec] = SPECS) -> Column:
+    """Constraints of several (text, source), in order of their first sight: of those with one id the first hard one counts, else the first."""
+    given = F.array(*[F.struct(F.coalesce(t, F.lit("")).alias("text"), F.lit(s).alias("source")) for t, s in texts])
+    found = F.flatten(F.transform(given, lambda x: spec_array(x["text"], x["source"], specs)))
+    return bound(found, lambda all_: F.transform(F.array_distinct(F.transform(all_, lambda x: x["id"])), lambda k: bound(F.filter(all_, lambda x: x["id"] == k), lambda same: F.coalesce(F.get(F.filter(same, lambda x: x["strictness"] == "hard"), F.lit(0)), F.get(same, F.lit(0))))))
 
 
 def observed(text: Column, spec: Spec) -> Column:
