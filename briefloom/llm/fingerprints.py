@@ -6,7 +6,7 @@ to the sketch of the whole, and two sketches estimate resemblance, containment a
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,9 +58,21 @@ def merge(a: Column, b: Column, k: int = K) -> Column:
     return F.slice(F.sort_array(F.array_union(a, b)), 1, k)
 
 
-def merge_all(sketches: Column, k: int = K) -> Column:
-    """Aggregate: the sketch of all parts of a group. Keeps at most k hashes of each part in play by merging an array of sketches."""
-    return F.aggregate(F.collect_list(sketches), F.array().cast("array<bigint>"), lambda s, x: merge(s, x, k))
+def merge_all(rows: DataFrame, by: Sequence[str], sketches: str, k: int = K, parts: int = 64) -> DataFrame:
+    """(by, ``sketches``): the sketch of all parts of each group.
+
+    Distinct hashes are dealt to parts of a group, each of which keeps its k smallest, and then the group its k: no task
+    has all of a large group, and no array more than k hashes. Groups of empty sketches have an empty one.
+    """
+    keys = list(by)
+    each = rows.select(*keys, F.explode(sketches).alias("_h")).distinct().withColumn("_part", F.pmod(F.xxhash64("_h"), F.lit(parts)))
+    least = lambda df, *within: df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, *within).orderBy("_h"))).where(F.col("_r") <= k)
+    found = least(least(each, "_part")).groupBy(*keys).agg(F.sort_array(F.collect_list("_h")).alias(sketches))
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_{key}"))
+    groups = rows.select(*keys).distinct().join(found.toDF(*[f"_{key}" for key in keys], sketches), same, "left")
+    return groups.select(*keys, F.coalesce(sketches, F.array().cast("array<bigint>")).alias(sketches))
 
 
 def distinct_count(s: Column, k: int = K) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stash
+from .storage import places, stash
 
 
 def _with_min(edges: DataFrame) -> DataFrame:
@@ -22,17 +22,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(id, component) for each id of ``edges`` (u, v); component is the smallest id reachable.
 
     Self loops and repeated edges are ignored; an empty table gives an empty result; null ends are dropped.
-    Each round is a stashed table, so that neither plan nor lost executors force earlier rounds to run again.
+    Each round is a stashed table, so that neither plan nor lost executors force earlier rounds to run again; it takes the
+    place of the one before the last.
     """
-    state = stash(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    spots = places(edges.sparkSession)
+    state = stash(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), spots[1])
     before = _digest(state)
-    for _ in range(max_rounds):
+    for i in range(max_rounds):
         both = state.unionAll(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_min(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         small = _with_min(down)
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        state = stash(small)
+        state = stash(small, spots[i % 2])
         now = _digest(state)
         if now == before or now[0] == 0:
             break

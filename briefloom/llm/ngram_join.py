@@ -32,8 +32,8 @@ from .text_arrays import mix, pieces, shingle_sets, signed, words
 BAND = 1.5
 #: Sets that meet one task in the verifying join; larger groups are cut into pairs of such blocks.
 BLOCK = 192
-#: Sketches of a node that meet one task; larger nodes are cut into pairs of such blocks. Nodes are dealt to so many groups.
-MEET, DEAL = 1024, 1024
+#: Sketches of a node that meet one task; larger nodes are cut into pairs of such blocks. Other nodes are dealt to groups of about so many.
+MEET, DEAL = 1024, 4096
 
 
 class Slices:
@@ -126,17 +126,19 @@ def _sets(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFra
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id long, n_shingles long, class binary, band int, node long, sketch binary")
 
 
-def _alike(met: DataFrame, percent: int) -> DataFrame:
+def _alike(met: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Edges (u, v) between ids that meet in a node and whose sketches don't rule a link out: a forest of them per node.
 
-    met: (node, band, id, sketch). Nodes are dealt by hash, large ones in pairs of blocks.
+    met: (node, band, id), stashed; sketches: (id, band, sketch). Nodes are dealt by hash, large ones in pairs of blocks.
     """
+    groups = max(1, math.ceil(met.count() / DEAL))
     hot = stash(met.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > MEET).select("node", F.ceil(F.col("n") / MEET).alias("blocks")))
     zero = F.lit(0).cast("long")
     rows = met.join(hot, "node", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("id"), "blocks"), zero))
     others = F.coalesce(F.sequence(zero, F.col("blocks") - 1), F.array(zero))
-    deal = F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("node"), F.lit(DEAL))).otherwise(F.col("node"))
-    rows = rows.withColumn("deal", deal).withColumn("other", F.explode(others)).select("deal", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "band", "id", "sketch")
+    deal = F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("node"), F.lit(groups))).otherwise(F.col("node"))
+    rows = rows.withColumn("deal", deal).withColumn("other", F.explode(others)).select("deal", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "band", "id")
+    rows = rows.join(sketches, ["id", "band"]).select("deal", "low", "high", "node", "band", "id", "sketch")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by([("node", "ascending"), ("band", "ascending"), ("id", "ascending")])
@@ -323,7 +325,7 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     shared = stash(meeting.groupBy("node").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("node"))
     met = stash(meeting.join(shared, "node").join(copies, "id", "left_anti"))
     sketches = sets.where("sketch is not null").select("id", "band", "sketch")
-    near = connected_components(stash(_alike(met.join(sketches, ["id", "band"]), percent)))
+    near = connected_components(stash(_alike(met, sketches, percent)))
     sizes = near.groupBy("component").agg(F.count("*").alias("members")).where("members > 1")
     groups = stash(near.join(sizes, "component").select("id", F.col("component").alias("grp"), F.ceil(F.col("members") / BLOCK).alias("n_blocks")))
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))

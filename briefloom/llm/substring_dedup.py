@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .storage import stash
+from .storage import places, stash
 from .text_arrays import FAMILIES, Words, _powers, inside, mix, pieces, rolling, signed, words
 
 #: Paths and edges that hold more than one part in so many of all rows are joined in parts of that size: there are fewer than that.
@@ -141,11 +141,13 @@ def compact(paths: DataFrame) -> DataFrame:
     after = paths.select("at", F.col("u").alias("node")).join(straight.hint("merge"), "node")
     # of a straight node one path comes
     ahead = after.join(paths.select(F.col("at").alias("path"), F.col("v").alias("node")).hint("merge"), "node").where("at <> path").select("at", "path", F.lit(1).alias("place"))
-    ahead, moving = stash(ahead), -1
+    spots, i, moving = places(paths.sparkSession), 0, -1
+    ahead = stash(ahead, spots[1])
     while True:
         further = ahead.select(F.col("at").alias("path"), F.col("path").alias("next"), F.col("place").alias("more"))
         ahead = ahead.drop("moved").join(further.hint("merge"), "path", "left")
-        ahead = stash(ahead.select("at", F.coalesce("next", "path").alias("path"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"), F.col("next").isNotNull().alias("moved")))
+        ahead = stash(ahead.select("at", F.coalesce("next", "path").alias("path"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"), F.col("next").isNotNull().alias("moved")), spots[i])
+        i = 1 - i
         before, moving = moving, ahead.where("moved").count()
         if moving in (0, before):  # a path has fewer that move every round, a circle as many
             break

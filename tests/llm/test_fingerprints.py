@@ -53,3 +53,13 @@ def test_sketches_merge_and_estimate(spark):
     row = row.select(fp.resemblance(F.col("a"), F.col("b")), fp.containment(F.col("a"), F.col("b")), fp.distinct_count(F.col("a")), fp.distinct_count(fp.merge(F.col("a"), F.col("b")))).first()
     assert row[0] == pytest.approx(1 / 3, abs=0.13) and row[1] == pytest.approx(0.5, abs=0.2)
     assert row[2] == pytest.approx(1496, rel=0.3) and row[3] == pytest.approx(2246, rel=0.3)
+
+
+def test_sketches_of_many_parts(spark):
+    parts = [(g, " ".join(f"{g}{(i * 37 + j) % 900}" for j in range(90))) for i in range(40) for g in ("a", "b", None)] + [("empty", ""), ("empty", None)]
+    rows = spark.createDataFrame(parts, "g string, t string").withColumn("s", fp.sketch(F.col("t")))
+    got = {r["g"]: r["s"] for r in fp.merge_all(rows, ["g"], "s").collect()}
+    hashes = {}
+    for r in rows.select("g", fp.shingle_hashes(F.col("t")).alias("h")).collect():
+        hashes.setdefault(r["g"], set()).update(r["h"])
+    assert got == {g: sorted(h)[: fp.K] for g, h in hashes.items()} and got["empty"] == []

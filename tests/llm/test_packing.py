@@ -66,3 +66,30 @@ def test_added_tokens_have_their_ids(spark):
     assert sorted((r["doc_id"], r["length"], r["ids_crc32"]) for r in packing.pack(frame).collect()) == list(_want(docs, encode))
     none = packing.ranks_encoder(packing.default_ranks())
     assert sorted((r["doc_id"], r["length"], r["ids_crc32"]) for r in packing.pack(frame, added={}).collect()) == list(_want(docs, none.encode_ordinary))
+
+
+def _sums(counts):
+    return sum(c * c for gap, c in counts.items() if gap)
+
+
+def test_placing_follows_the_rule():
+    """Against trying every gap: the one after which the squared counts of open sequences per gap sum to the least."""
+    rng = np.random.default_rng(6)
+    for room, sizes in ((20, rng.integers(1, 21, 400)), (50, rng.choice([3, 7, 11, 24, 50], 300)), (9, np.full(30, 4))):
+        sequence, offset = packing.place(sizes, room)
+        gaps, counts = {}, defaultdict(int)
+        for i in np.argsort(-sizes, kind="stable").tolist():
+            size, best = int(sizes[i]), None
+            for gap in sorted(g for g, c in counts.items() if c and g >= size):
+                after = dict(counts)
+                after[gap] -= 1
+                after[gap - size] = after.get(gap - size, 0) + 1
+                if best is None or _sums(after) < best[0]:
+                    best = (_sums(after), gap)
+            at, gap = int(sequence[i]), room if best is None else best[1]
+            assert (at not in gaps) == (best is None)
+            assert gaps.get(at, room) == gap and offset[i] == room - gap
+            if best is not None:
+                counts[gap] -= 1
+            gaps[at] = gap - size
+            counts[gap - size] += 1
