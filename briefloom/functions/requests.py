@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import dictionaries as D
 from .features import FEATURES, canonical_feature
 from .links import search_error
-from .text import feature_text, requirement, slug, strip
+from .text import bound, feature_text, requirement, slug, strip
 
 # Longest fields in UTF-16 units, most features, a feature's keys, types and operators.
 QUERY_MOST, BUDGET_MOST, DETAILS_MOST, LEGACY_MOST = 200, 500, 2000, 500
@@ -165,3 +165,10 @@ def feature_kind(name: Column, value: Column) -> Column:
         F.when(holds("color") | v.isin(*D.COLORS), "color").when(holds("material", "fabric") | v.isin(*D.MATERIALS), "material").when(holds("brand"), "brand")
         .when(holds("size", "width", "depth", "height", "length"), "size").otherwise(F.coalesce(F.try_element_at(known, canonical_feature(value)), F.lit("feature")))
     )
+
+
+def distinct_features(features: Column) -> Column:
+    """Of selected features with one key the first, in order."""
+    keyed = F.transform(features, lambda f: F.struct(feature_key(f).alias("key"), f.alias("f")))
+    first = lambda all_: F.transform(F.array_distinct(F.transform(all_, lambda x: x["key"])), lambda k: F.filter(all_, lambda x: x["key"] == k)[0]["f"])
+    return bound(keyed, first)

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.titles import evaluated
 from . import quality, shortlist
@@ -99,6 +100,34 @@ def _metric(name: str, num: Column, den: Column) -> Column:
     return F.struct(F.lit(name).alias("metric"), num.cast("long").alias("numerator"), den.cast("long").alias("denominator"), quality.ratio(num, den).alias("rate"))
 
 
+def _count(shown: DataFrame, field: str) -> Column:
+    """A judgment's number of violations or unknowns, which may be listed by name or counted."""
+    c = F.col(f"judgment.{field}")
+    listed = isinstance(shown.schema["judgment"].dataType[field].dataType, T.ArrayType)
+    return F.greatest(F.coalesce(F.size(c) if listed else c, F.lit(0)), F.lit(0))
+
+
+def case_lines(rows: DataFrame, shown: DataFrame, lost: DataFrame) -> DataFrame:
+    """``per_case`` rows with losses ("stage:n, ...") and issues ("#position issue, ..."), "none" where there are none."""
+    counted = lost.where("loss <> 'returned'").groupBy("case_id", "loss").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
+    told = counted.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("first", F.concat_ws(":", "loss", "n").alias("said")))).alias("_losses"))
+    j = lambda c: F.col(f"judgment.{c}")
+    names = F.array_join(j("violations"), "+") if isinstance(shown.schema["judgment"].dataType["violations"].dataType, T.ArrayType) else j("violations").cast("string")
+    found = [F.when(~j("identity_issue").isin("none", "unknown", ""), j("identity_issue")), F.when(j("family_duplicate") != "", F.lit("family_duplicate")), F.when(_count(shown, "violations") > 0, F.concat(F.lit("hard_fail:"), names))]
+    found += [F.when(j(c) == "incorrect", F.lit(f"bad_{c}")) for c in ("price", "page", "image")]
+    each = shown.select("case_id", "pos", F.transform(F.array_compact(F.array(*found)), lambda x: F.concat(F.lit("#"), F.col("pos").cast("string"), F.lit(" "), x)).alias("said")).where(F.size("said") > 0)
+    issues = each.groupBy("case_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "said"))), lambda x: x["said"])).alias("_issues"))
+    out = rows.join(told, "case_id", "left").join(issues, "case_id", "left")
+    none = F.lit("none")
+    return out.select(*rows.columns, F.coalesce(F.array_join("_losses.said", ", "), none).alias("losses"), F.coalesce(F.array_join("_issues", ", "), none).alias("issues"))
+
+
+def evidence_urls(references: DataFrame, most: int = 4) -> DataFrame:
+    """(case_id, urls): the first distinct links of a case's references (case_id, ord, urls), in order."""
+    every = references.groupBy("case_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("ord", "urls"))), lambda x: x["urls"])).alias("urls"))
+    return every.select("case_id", F.slice(F.array_distinct(F.filter("urls", lambda u: u.isNotNull())), 1, most).alias("urls"))
+
+
 def product_metrics(shown: DataFrame, cases: DataFrame) -> DataFrame:
     """(metric, numerator, denominator, rate) of displayed products, from one aggregation."""
     given, judged = _grades()
@@ -108,7 +137,7 @@ def product_metrics(shown: DataFrame, cases: DataFrame) -> DataFrame:
     issue = has & ~F.coalesce(j("identity_issue").isin("none", "unknown"), F.lit(False))
     rows = shown.join(cases.select("case_id", "search_type", "hard_requirements"), "case_id")
     asked = F.sum(F.when(has, F.col("hard_requirements")).otherwise(0))
-    violated, unknown = (F.sum(F.when(has, F.coalesce(j(c), F.lit(0))).otherwise(0)) for c in ("violations", "unknowns"))
+    violated, unknown = (F.sum(F.when(has, _count(shown, c)).otherwise(0)) for c in ("violations", "unknowns"))
     known = lambda c: has & ~(F.coalesce(j(c), F.lit("")) == "unknown")
     right = lambda c: has & F.coalesce(j(c) == "correct", F.lit(False))
     n, broad, matched = F.count_if, F.col("search_type") == "broad", F.col("reference").isNotNull()

@@ -96,6 +96,19 @@ def compared(before: DataFrame, after: DataFrame, metrics: Sequence[str]) -> Dat
     return joined.withColumn("delta", F.round(F.col("after") - F.col("before"), 4))
 
 
+def measure(report: Column, path: str) -> Column:
+    """A metric of a JSON report by its dotted path: a number, or the rate of a ratio; else null."""
+    at = f"$.{path}"
+    return F.coalesce(F.get_json_object(report, at).try_cast("double"), F.get_json_object(report, f"{at}.rate").try_cast("double"))
+
+
+def same_cases(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``before`` (pos, case_id), checked to hold the same cases as ``after`` at the same positions; fails where they differ."""
+    both = before.alias("a").join(after.select(F.col("pos").alias("_pos"), F.col("case_id").alias("_case")), F.col("pos") == F.col("_pos"), "full_outer")
+    same = F.col("case_id").eqNullSafe(F.col("_case")) & F.col("pos").eqNullSafe(F.col("_pos"))
+    return both.where(F.when(same, True).otherwise(F.raise_error(F.lit("case ids or their order differ")).cast("boolean"))).select("pos", "case_id")
+
+
 def bayesian_rating(rating: Column, count: Column, prior: float = 4.0, strength: float = 50.0) -> Column:
     """A rating shrunk toward the prior by its number of votes."""
     return (rating * count + prior * strength) / (count + strength)

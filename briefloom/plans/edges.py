@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import brands, briefs, categories, features, payloads, requests, specs
 from ..operators import requirements, shortlist
-from ..sources import research
+from ..sources import research, shopping
 from .registry import query, table
 
 
@@ -172,3 +172,17 @@ def feature_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_partkey", F.lit("black sofa").alias("q"), F.expr("concat('under $', p_size + 100)").alias("b"), F.lit("").alias("p"), F.lit(None).cast("string").alias("a"), chosen.alias("f"))
     out = requirements.structured_requirements(rows, "q", "b", "p", "a", "f")
     return out.select("p_partkey", "summary", F.array_join("colors.value", ",").alias("colors"), F.array_join("materials.value", ",").alias("materials"), F.col("budget_rule.premium_cap").alias("premium_cap"))
+
+
+@query("SELECT p_partkey, r AS rank, p_name || ' ' || r AS title, CASE WHEN r = 2 THEN NULL ELSE 'https://shop.com/' || r END AS link FROM part, range(1, 11) t(r) WHERE p_partkey % 3 = 0")
+def shopping_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten of twelve listings; answers that are no JSON or no list have none."""
+    rows = ",".join("""{"title":"', p_name, ' %d"%s}""" % (i, "" if i == 2 else ',"link":"https://shop.com/%d"' % i) for i in range(1, 13))
+    body = f"CASE p_partkey % 3 WHEN 0 THEN concat('{{\"shopping\":[{rows}]}}') WHEN 1 THEN '{{\"shopping\":7}}' ELSE p_name END AS body"
+    return shopping.listings(_part(spark, sf_dir, body), "body").select("p_partkey", "rank", "title", "link")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'Color,Width' ELSE 'Color,Width,Width' END AS names FROM part")
+def distinct_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = F.array(_picked("'Color'", "", "enum", "'Navy'"), _picked("'Width'", "in", "number", "concat('under ', p_size)"), _picked("'Color'", "", "enum", "'Navy'"), _picked("'Width'", "in", "number", "concat('under ', p_size + p_size % 2)"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(requests.distinct_features(f), lambda x: x["name"]), ",").alias("names"))

@@ -149,3 +149,19 @@ def report_methodology(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs, cases, references, products, _, judgments = _suite(spark, sf_dir)
     shown = evaluation.displayed(products.join(runs.select("case_id"), "case_id", "left_semi"), references, judgments)
     return evaluation.methodology(runs, cases, shown, judgments, bound=False).withColumn("blockers", F.array_join("blockers", ","))
+
+
+@query(f"""{_SUITE},
+lc AS (SELECT case_id, string_agg(loss || ':' || n, ', ' ORDER BY first) AS losses FROM (SELECT case_id, loss, count(*) AS n, min(ord) AS first FROM lost WHERE loss <> 'returned' GROUP BY ALL) GROUP BY case_id),
+i AS (
+  SELECT case_id, pos, 0 AS k, identity_issue AS said FROM told WHERE identity_issue NOT IN ('none', 'unknown') UNION ALL SELECT case_id, pos, 1, 'family_duplicate' FROM told WHERE family_duplicate <> ''
+  UNION ALL SELECT case_id, pos, 2, 'hard_fail:' || violations FROM told WHERE violations > 0),
+ic AS (SELECT case_id, string_agg('#' || pos || ' ' || said, ', ' ORDER BY pos, k) AS issues FROM i GROUP BY case_id)
+SELECT case_id, coalesce(losses, 'none') AS losses, coalesce(issues, 'none') AS issues FROM known LEFT JOIN lc USING (case_id) LEFT JOIN ic USING (case_id)
+""")
+def case_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses and issues of each case in words."""
+    runs, cases, references, products, funnel, judgments = _suite(spark, sf_dir)
+    here = lambda df: df.join(runs.select("case_id"), "case_id", "left_semi")
+    shown, lost = evaluation.displayed(here(products), references, judgments), evaluation.losses(here(references), funnel)
+    return evaluation.case_lines(runs.join(cases.select("case_id"), "case_id").select("case_id"), shown, lost)

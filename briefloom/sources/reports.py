@@ -1,4 +1,4 @@
-"""Report output: JSON that is never overwritten, and Markdown tables."""
+"""Report output: JSON, overwritten or not, and Markdown tables."""
 
 from __future__ import annotations
 
@@ -13,6 +13,11 @@ def write_new(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
 
+def write_plain(df: DataFrame, path: str) -> None:
+    """Writes JSON in place of what stands there."""
+    df.write.mode("overwrite").json(path)
+
+
 def markdown_row(*cells: Column) -> Column:
     return F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(c.cast("string"), F.lit("n/a")) for c in cells]), F.lit(" |"))
 

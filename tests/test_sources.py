@@ -74,3 +74,18 @@ def test_evaluation_of_odd_rows(spark):
     assert told["status"] == "INVALID" and told["blockers"][0] == "run_count_mismatch"
     text = frame([("run",)], "t string").select(evaluation.bound_to(F.sha2("t", 256), F.col("t")), evaluation.bound_to(F.lit(None).cast("string"), F.col("t"))).first()
     assert tuple(text) == (True, False)
+
+
+def test_reports_are_compared_for_the_same_cases(spark):
+    frame = lambda ids: spark.createDataFrame(list(enumerate(ids)), "pos int, case_id string")
+    assert quality.same_cases(frame("abc"), frame("abc")).count() == 3
+    for other in ("acb", "ab", "abcd"):
+        with pytest.raises(Exception, match="case ids"):
+            quality.same_cases(frame("abc"), frame(other)).collect()
+    report = spark.createDataFrame([('{"a":{"b":{"rate":0.5}},"n":3,"s":"x"}',)], "r string")
+    assert tuple(report.select(*[quality.measure(F.col("r"), p) for p in ("a.b", "n", "s", "none")]).first()) == (0.5, 3.0, None, None)
+
+
+def test_evidence_is_capped(spark):
+    rows = spark.createDataFrame([(1, 1, ["c", "a", None]), (1, 0, ["a", "b"]), (1, 2, ["d", "e"]), (2, 0, None)], "case_id long, ord int, urls array<string>")
+    assert {r["case_id"]: r["urls"] for r in evaluation.evidence_urls(rows).collect()}[1] == ["a", "b", "c", "d"]
