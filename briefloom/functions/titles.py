@@ -16,7 +16,6 @@ VARIANTS = "pro max plus mini ultra lite se xl xs ii iii iv gen generation mk ma
 GENERIC = "the and with for a an by new product coffee maker brewer machine wireless headphones monitor vacuum cleaner chair electric cordless inch cup cups".split()
 UNITS = "cup cups inch in cm mm oz ml qt w watts v volt hz gb tb".split()
 
-_UNIT = f"^(?:{'|'.join(UNITS)})$"
 #: Words of a title or a name that may be written as one model code.
 _JOINED = 3
 
@@ -83,7 +82,7 @@ def matches_model(name: Column, title: Column) -> Column:
     words = F.arrays_zip(actual.alias("word"), F.slice(actual, 2, F.greatest(F.size(actual), F.lit(1))).alias("after"), taken.alias("taken"))
 
     def foreign(x: Column) -> Column:
-        measure = F.regexp_replace(x["word"], r"^\d+", "").rlike(_UNIT) | (x["word"].rlike(r"^\d+$") & F.coalesce(x["after"], F.lit("")).rlike(_UNIT))
+        measure = F.regexp_replace(x["word"], r"^\d+", "").isin(*UNITS) | (x["word"].rlike(r"^\d+$") & F.coalesce(x["after"], F.lit("")).isin(*UNITS))
         return ~x["taken"] & x["word"].rlike(r"\d") & ~measure
 
     good = (F.trim(title) != "") & (F.length(title) <= 400) & (F.size(identity) >= 2) & taken.isNotNull() & ~extra & ~pack & ~F.exists(words, foreign)

@@ -186,3 +186,37 @@ def shopping_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def distinct_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = F.array(_picked("'Color'", "", "enum", "'Navy'"), _picked("'Width'", "in", "number", "concat('under ', p_size)"), _picked("'Color'", "", "enum", "'Navy'"), _picked("'Width'", "in", "number", "concat('under ', p_size + p_size % 2)"))
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(requests.distinct_features(f), lambda x: x["name"]), ",").alias("names"))
+
+
+#: A phrase that shows each specification, and the value it shows.
+_PHRASES = {
+    "cfm": ("450 cfm", 450), "mph": ("120 mph", 120), "psi": ("1500 psi", 1500), "gpm": ("2.3 gpm", 2.3), "runtimeMin": ("45 min runtime", 45), "suctionAirwatts": ("150 air watts", 150), "weightLb": ("9.5 lbs", 9.5), "noiseDb": ("55 dba", 55),
+    "capacityL": ("3.5 litres", 3.5), "capacityCups": ("12-cup", 12), "btu": ("9,000 btu", 9000), "cookingAreaSqIn": ("500 square inches", 500), "burners": ("4 burners", 4), "wattage": ("1500 watts", 1500), "energyCapacityWh": ("1,024 watt-hours", 1024),
+    "runningWattage": ("3000 running watts", 3000), "sliceCapacity": ("4-slice", 4), "functionCount": ("8-in-1", 8), "capacityQt": ("6 quart", 6), "capacityGal": ("30 gallon", 30), "capacityPint": ("50 pint", 50), "temperatureF": ("450 f", 450),
+    "screenSizeIn": ("27 inch", 27), "refreshRateHz": ("144 hz", 144), "displayResolutionHeightPx": ("1080 p", 1080), "storageGb": ("512 gb ssd", 512), "memoryGb": ("16 gb ram", 16), "batteryIncluded": ("battery included", 1), "twoBatteriesIncluded": ("dual battery kit", 1),
+}
+_NTH = {name: i for i, name in enumerate(_PHRASES)}
+
+
+def _chosen(values, modulus: int) -> str:
+    return f"CASE p_partkey % {modulus} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
+@query(f"SELECT p_partkey, {_chosen(_PHRASES, len(_PHRASES))} AS spec, {_chosen([v for _, v in _PHRASES.values()], len(_PHRASES))}::DOUBLE AS observed FROM part")
+def all_observed_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every specification of the dictionary, shown by a title."""
+    rows = _part(spark, sf_dir, f"concat('Acme ', {_chosen([t for t, _ in _PHRASES.values()], len(_PHRASES))}, ', new') AS title")
+    wanted = F.expr(_chosen(_PHRASES, len(_PHRASES)))
+    return specs.observed_specs(rows, "title").where(F.col("spec") == wanted).select("p_partkey", "spec", "observed")
+
+
+_FEATURES = [f.name for f in features.FEATURES]
+
+
+@query(f"SELECT p_partkey, {_chosen(_FEATURES, len(_FEATURES))} AS feature, CASE (p_partkey // {len(_FEATURES)}) % 4 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' ELSE 'needs_verification' END AS status FROM part")
+def all_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every feature of the dictionary: named, lacking, not confirmed, and not spoken of."""
+    name = _chosen(_FEATURES, len(_FEATURES))
+    text = f"CASE floor(p_partkey / {len(_FEATURES)}) % 4 WHEN 0 THEN concat('it has ', {name}, ' for you') WHEN 1 THEN concat('sold without ', {name}) WHEN 2 THEN concat({name}, ' has not been verified') ELSE 'a product' END AS said"
+    checked = features.features_checked(_part(spark, sf_dir, text), "said")
+    return checked.where(F.col("feature") == F.expr(name)).select("p_partkey", "feature", "status")

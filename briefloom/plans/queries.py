@@ -357,13 +357,13 @@ def request_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("""
 SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Depth: under ' || p_size || ' in' WHEN 1 THEN 'Depth: ' || p_size || '-' || (p_size + 5) || ' in' ELSE 'Depth: at least ' || p_size || ' in' END AS label,
-  CASE p_partkey % 3 WHEN 0 THEN 'lte' WHEN 1 THEN 'between' ELSE 'gte' END AS operator
+  CASE p_partkey % 3 WHEN 0 THEN 'lte' WHEN 1 THEN 'between' ELSE 'gte' END AS operator, CASE p_partkey % 3 WHEN 0 THEN 'depth-lte-' || p_size WHEN 1 THEN 'depth-between-' || p_size || '-' || (p_size + 5) ELSE 'depth-gte-' || p_size END AS id
 FROM part
 """)
 def selected_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.expr("CASE p_partkey % 3 WHEN 0 THEN concat('under ', p_size) WHEN 1 THEN concat(p_size, ' to ', p_size + 5) ELSE concat('at least ', p_size) END")
     made = requests.selected_feature(F.lit("depth"), F.lit("Depth"), F.lit("number"), F.lit("in"), F.array(F.lit("equals")), raw)
-    return _t(spark, sf_dir, "part").select("p_partkey", requests.feature_label(made).alias("label"), made["operator"].alias("operator"))
+    return _t(spark, sf_dir, "part").select("p_partkey", requests.feature_label(made).alias("label"), made["operator"].alias("operator"), made["id"].alias("id"))
 
 
 @_query("""
