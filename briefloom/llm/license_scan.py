@@ -49,9 +49,14 @@ def _grams(words: Column) -> Column:
     return F.when(F.size(words) >= K, grams)
 
 
+def _table(spark: SparkSession, rows: list[Column]) -> DataFrame:
+    """A small table of structs."""
+    return spark.range(1).select(F.inline(F.array(*rows)))
+
+
 def _templates(spark: SparkSession, texts: Sequence[Sequence[str]]) -> DataFrame:
     """(template, at, gram, own)."""
-    rows = spark.createDataFrame([(i, list(t)) for i, t in enumerate(texts)], "template int, words array<string>")
+    rows = _table(spark, [F.struct(F.lit(i).alias("template"), F.split(F.lit(" ".join(t)), " ").alias("words")) for i, t in enumerate(texts)])
     return rows.select("template", F.posexplode(_grams(F.col("words"))).alias("at", "g")).select("template", "at", F.col("g.gram").alias("gram"), F.col("g.held").alias("own"))
 
 
@@ -81,7 +86,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: Sequ
     along = Window.partitionBy("id", "digest", "template").orderBy("diagonal")
     new = (of_phrase | (F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along), F.lit(SLACK + 1)) > SLACK)).cast("int")
     merged = diagonals.withColumn("grp", F.sum(new).over(along)).groupBy("id", "digest", "template", "grp").agg(F.min("diagonal").alias("low"), F.array_distinct(F.flatten(F.collect_list("votes"))).alias("votes"))
-    given = docs.sparkSession.createDataFrame([(i, label, len(w), len(w) - K + 1 if i < len(phrases) else max(1, (len(w) - K + 1) // 2)) for i, ((_, label), w) in enumerate(zip([*phrases, *templates], every))], "template int, label string, n int, needed int")
+    needed = [len(w) - K + 1 if i < len(phrases) else max(1, (len(w) - K + 1) // 2) for i, w in enumerate(every)]
+    given = _table(docs.sparkSession, [F.struct(F.lit(i).alias("template"), F.lit(label).alias("label"), F.lit(len(w)).alias("n"), F.lit(k).alias("needed")) for i, ((_, label), w, k) in enumerate(zip([*phrases, *templates], every, needed))])
     covered = F.size(F.array_distinct(F.flatten(F.transform("votes", lambda a: F.sequence(a, a + K - 1)))))
     spans = merged.join(F.broadcast(given) if len(every) <= MOST_WORDS else given, "template").where(F.size("votes") >= F.col("needed")).withColumn("share", covered / F.col("n")).where(F.col("share") >= F.when(of_phrase, 1.0).otherwise(LEAST))
     spans = spans.groupBy("id", "digest").agg(F.collect_list(F.struct(of_phrase.alias("base"), "label", F.greatest("low", F.lit(0)).alias("start"), "share")).alias("spans"))

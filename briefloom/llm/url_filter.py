@@ -83,52 +83,54 @@ def _bound(mean: str, *weights: Column) -> Column:
     return m - Z * F.sqrt(m * (1 - m) * (1 - known))
 
 
-def _posteriors(outcomes: DataFrame, suffixes: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Hosts (host, domain, suffix, n, bad, mean, mean_k), domains (domain, suffix, p2, p2_n), suffixes (suffix, p1, p1_n), and one row (p0, p0_n, and the priors' strengths p1_k, p2_k, mean_k).
+def _posteriors(outcomes: DataFrame, suffixes: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame, tuple | None]:
+    """Hosts (host, domain, suffix, n, bad, mean, known), domains (domain, suffix, p2, p2_n), suffixes (suffix, p1, p1_n), and (p0, p0_n, the strengths of the priors of suffixes, domains and hosts), or None without outcomes.
 
-    Counts are added up from hosts to domains to suffixes, so that a hot host costs no more than others.
+    Counts are added up from hosts to domains to suffixes, so that a hot host costs no more than others. What goes
+    to the driver are one-row sums.
     """
-    hosts = outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
     domain, suffix = levels(F.col("host"), suffixes)
-    hosts = hosts.withColumn("domain", domain).withColumn("suffix", suffix)
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    endings = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    total = endings.agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1)).alias("p0"), (F.sum("n") + 1).alias("p0_n"))
+    added = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
+    hosts = stash(outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "bad"))
+    domains = stash(hosts.groupBy("domain", "suffix").agg(*added))
+    endings = stash(domains.groupBy("suffix").agg(*added))
+    total = endings.agg(*added).first()
+    p0, p0_n = ((total["bad"] + 0.5) / (total["n"] + 1), float(total["n"] + 1)) if total["n"] else (0.5, 1.0)
 
-    def shrunk(rows: DataFrame, parent: str, name: str) -> DataFrame:
-        k = strength(rows, parent)
-        # one row each
-        return rows.crossJoin(F.broadcast(k)).withColumn(name, (F.col("bad") + F.col("k") * F.col(parent)) / (F.col("n") + F.col("k"))).withColumnRenamed("k", f"{name}_k")
+    def shrunk(rows: DataFrame, parent: str, name: str) -> tuple[DataFrame, float]:
+        k = strength(rows, parent).first()["k"]
+        return rows.withColumn(name, (F.col("bad") + k * F.col(parent)) / (F.col("n") + k)).withColumn(f"{name}_n", F.col("n") + k), k
 
-    endings = shrunk(endings.crossJoin(F.broadcast(total.select("p0"))), "p0", "p1").select("suffix", "p1", (F.col("n") + F.col("p1_k")).alias("p1_n"), "p1_k")
-    domains = shrunk(domains.join(endings.select("suffix", "p1"), "suffix"), "p1", "p2").select("domain", "suffix", "p2", (F.col("n") + F.col("p2_k")).alias("p2_n"), "p2_k")
-    hosts = shrunk(hosts.join(domains.select("domain", "suffix", "p2"), ["domain", "suffix"]), "p2", "mean").select("host", "domain", "suffix", "n", "bad", "mean", "mean_k")
-    for rows, k in ((endings, "p1_k"), (domains, "p2_k"), (hosts, "mean_k")):
-        total = total.crossJoin(F.broadcast(rows.agg(F.max(k).alias(k))))
-    return hosts, domains.drop("p2_k"), endings.drop("p1_k"), total
+    endings, k0 = shrunk(endings.withColumn("p0", F.lit(p0)), "p0", "p1")
+    domains, k1 = shrunk(domains.join(endings.select("suffix", "p1"), "suffix"), "p1", "p2")
+    hosts, k2 = shrunk(hosts.join(domains.select("domain", "suffix", "p2"), ["domain", "suffix"]), "p2", "mean")
+    hosts = hosts.select("host", "domain", "suffix", "n", "bad", "mean", F.col("mean_n").alias("known"))
+    return hosts, domains.select("domain", "suffix", "p2", "p2_n"), endings.select("suffix", "p1", "p1_n"), (p0, p0_n, k0, k1, k2) if total["n"] else None
 
 
 def reputation(outcomes: DataFrame, suffixes: Sequence[str] = ()) -> DataFrame:
     """(host, domain, suffix, n, bad, mean, bound) from labelled outcomes (host, bad 0/1): one row per host with an outcome."""
-    return _posteriors(outcomes, suffixes)[0].withColumn("bound", _bound("mean", F.col("n") + F.col("mean_k"))).drop("mean_k")
+    return _posteriors(outcomes, suffixes)[0].withColumn("bound", _bound("mean", F.col("known"))).drop("known")
 
 
 def reputation_of(hosts: DataFrame, outcomes: DataFrame, suffixes: Sequence[str] = ()) -> DataFrame:
     """(host, mean, bound) for each distinct host of ``hosts``: by its own outcomes, else by its domain's, suffix's or all outcomes.
 
     A host without outcomes has the mean of the lowest level that has some; its bound allows for how much the levels
-    beneath that one differ.
-    Empty and null hosts, which are no sites, have no row.
+    beneath that one differ. Empty and null hosts, which are no sites, have no row; without any outcome there are nulls.
     """
-    seen, domains, endings, total = (stash(x) for x in _posteriors(outcomes, suffixes))
+    seen, domains, endings, total = _posteriors(outcomes, suffixes)
+    asked, none = hosts.where("host <> ''").select("host").distinct(), F.lit(None).cast("double")
+    if total is None:
+        return asked.select("host", none.alias("mean"), none.alias("bound"))
+    p0, p0_n, k0, k1, k2 = total
     domain, suffix = levels(F.col("host"), suffixes)
-    asked = hosts.where("host <> ''").select("host").distinct().withColumn("domain", domain).withColumn("suffix", suffix)
-    asked = asked.join(seen.select("host", "n", F.col("mean").alias("own")), "host", "left").join(domains, ["domain", "suffix"], "left").join(endings, "suffix", "left")
-    # one row
-    asked = asked.crossJoin(F.broadcast(total)).withColumn("mean", F.coalesce("own", "p2", "p1", "p0"))
-    known, k0, k1, k2 = F.col("n") + F.col("mean_k"), F.col("p1_k"), F.col("p2_k"), F.col("mean_k")
-    bound = F.when(F.col("own").isNotNull(), _bound("mean", known)).when(F.col("p2").isNotNull(), _bound("mean", F.col("p2_n"), k2))
-    bound = bound.when(F.col("p1").isNotNull(), _bound("mean", F.col("p1_n"), k1, k2)).otherwise(_bound("mean", F.col("p0_n"), k0, k1, k2))
+    asked = stash(asked.select("host", domain.alias("domain"), suffix.alias("suffix")))
+    asked = asked.join(stash(seen.select("host", "known", F.col("mean").alias("own"))), "host", "left").join(stash(domains), ["domain", "suffix"], "left").join(stash(endings), "suffix", "left")
+    asked = asked.withColumn("mean", F.coalesce("own", "p2", "p1", F.lit(p0)))
+    k0, k1, k2 = (F.lit(k) for k in (k0, k1, k2))
+    bound = F.when(F.col("own").isNotNull(), _bound("mean", F.col("known"))).when(F.col("p2").isNotNull(), _bound("mean", F.col("p2_n"), k2))
+    bound = bound.when(F.col("p1").isNotNull(), _bound("mean", F.col("p1_n"), k1, k2)).otherwise(_bound("mean", F.lit(p0_n), k0, k1, k2))
     return asked.select("host", "mean", bound.alias("bound"))
 
 
