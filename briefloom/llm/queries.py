@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, fingerprints, language_id, license_scan, mixing, ngram_join, packing, quality, substring_dedup, url_filter
+from . import divergence, embedding_dedup, exact_search, fingerprints, language_id, license_scan, mixing, ngram_join, packing, quality, substring_dedup, url_filter, whitening
 
 #: Rules of op10, as (verdict, host, path).
 URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -74,6 +74,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, outcomes, URL_RULES)
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth vector is a query against all others."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return exact_search.top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation beyond a long is null."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,5 +96,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_ngram_jaccard_join, op2_embedding_near_dedup, op3_pareto_mixing, op4_fingerprints, op5_language_id, op6_best_fit_packing, op7_quality_classifier, op8_substring_dedup, op9_license_scan, op10_url_filter, pipeline)
+    ops = (op1_ngram_jaccard_join, op2_embedding_near_dedup, op3_pareto_mixing, op4_fingerprints, op5_language_id, op6_best_fit_packing, op7_quality_classifier, op8_substring_dedup, op9_license_scan, op10_url_filter, op11_exact_top_k, op12_source_divergence, op13_embedding_whitening, pipeline)
     return {f.__name__: f for f in ops}
