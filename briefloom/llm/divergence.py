@@ -98,6 +98,8 @@ def _tile(top: int):
         row, column = np.asarray(pc.index_in(uses.column("source").combine_chunks(), names)), np.asarray(words.indices)
         tile[row, column] = np.asarray(uses.column("n"))
         p = shares(tile, np.asarray(groups.column("n")), kept)
+        # terms of this tile that only groups of other blocks use
+        absent, unused = groups.column("held")[0].as_py() - tile.shape[1], shares(np.zeros(len(names), np.int64), np.asarray(groups.column("n")), kept)
         block = np.asarray(groups.column("block"))
         mine, others = np.flatnonzero(block == one), np.flatnonzero(block == two)
         found: list[pa.Table] = []
@@ -108,7 +110,7 @@ def _tile(top: int):
         step = max(1, AT_ONCE // max(1, len(others) * tile.shape[1]))
         for lo in range(0, len(mine), step):
             i = mine[lo : lo + step]
-            apart = np.abs(p[i][:, None, :] - p[others][None, :, :]).sum(axis=2)
+            apart = np.abs(p[i][:, None, :] - p[others][None, :, :]).sum(axis=2) + absent * np.abs(unused[i][:, None] - unused[others][None, :])
             a, b = (x.ravel() for x in np.meshgrid(i, others, indexing="ij"))
             new = a != b
             a, b, apart = names.take(pa.array(a[new])), names.take(pa.array(b[new])), apart.ravel()[new]
@@ -145,21 +147,24 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     """
     texts = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"), (text, "text"))])
     counts = stash(_counted(texts).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
-    kept = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("all_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_documents).drop("docs")
+    kept = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("all_n"), F.sum("docs").alias("docs"))
+    kept = stash(kept.where(F.col("docs") >= min_documents).drop("docs"))
     uses = stash(counts.where("term is not null").select("lang", "source", "term", "n").join(kept, ["lang", "term"]))
 
     # a language's kept terms and all their uses, a group's uses, a language's groups
     mine = uses.groupBy("lang", "source").agg(F.sum("n").alias("n"))
     groups = counts.where("term is null").select("lang", "source").join(mine, ["lang", "source"], "left").select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"))
     langs = groups.groupBy("lang").agg(F.sum("n").alias("all_n"), F.ceil(F.count("*") / GROUPS).alias("blocks"))
-    size = uses.select("lang", "term").distinct().groupBy("lang").agg(F.count("*").alias("kept"))
+    size = kept.groupBy("lang").agg(F.count("*").alias("kept"))
     langs = stash(langs.join(size, "lang", "left").withColumn("kept", F.coalesce("kept", F.lit(0))).withColumn("tiles", F.greatest(F.lit(1), F.ceil(F.col("kept") / TERMS))))
 
     numbers = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    rows = uses.join(langs.select("lang", "blocks", "kept", "tiles"), "lang").withColumn("tile", F.pmod(F.xxhash64("term"), "tiles"))
-    heads = groups.join(langs, "lang").withColumn("term", F.lit(None).cast("string")).withColumn("tile", F.explode(numbers(F.col("tiles"))))
-    rows = rows.unionByName(heads).withColumn("block", F.pmod(F.xxhash64("source"), "blocks")).withColumn("with", F.explode(numbers(F.col("blocks"))))
-    rows = rows.select("lang", "tile", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "source", "term", "n", "all_n", "kept")
+    tile = F.pmod(F.xxhash64("term"), "tiles").alias("tile")
+    held = kept.join(langs.select("lang", "tiles"), "lang").groupBy("lang", tile).agg(F.count("*").alias("held"))
+    rows = uses.join(langs.select("lang", "blocks", "kept", "tiles"), "lang").withColumn("tile", tile)
+    heads = groups.join(langs, "lang").withColumn("tile", F.explode(numbers(F.col("tiles")))).join(held, ["lang", "tile"], "left").withColumn("held", F.coalesce("held", F.lit(0)))
+    rows = rows.unionByName(heads, allowMissingColumns=True).withColumn("block", F.pmod(F.xxhash64("source"), "blocks")).withColumn("with", F.explode(numbers(F.col("blocks"))))
+    rows = rows.select("lang", "tile", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "source", "term", "n", "all_n", "kept", "held")
     found = rows.groupBy("lang", "tile", "low", "high").applyInArrow(_tile(top), "lang string, source string, part string, item string, value long")
     found = found.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
     rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))

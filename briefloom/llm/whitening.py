@@ -22,21 +22,29 @@ from .vector_arrays import matrices
 
 #: Moments that are merged at one time.
 FAN = 16
-_MOMENTS = pa.schema([("part", pa.int64()), ("dims", pa.int32()), ("n", pa.int64()), ("sums", pa.list_(pa.string())), ("mean", pa.binary()), ("scatter", pa.binary())])
-_SQL = "part long, dims int, n long, sums array<string>, mean binary, scatter binary"
+#: Of a matrix whose largest entry is 1, what is as good as 0.
+NOTHING = 1e-20
+_MOMENTS = pa.schema([("part", pa.int64()), ("dims", pa.int32()), ("n", pa.int64()), ("sums", pa.list_(pa.string())), ("origin", pa.list_(pa.int64())), ("mean", pa.binary()), ("scatter", pa.binary())])
+_SQL = "part long, dims int, n long, sums array<string>, origin array<long>, mean binary, scatter binary"
 
 
 class Moments:
-    """Count, exact sums, mean and scatter matrix (the sum of outer products of what is centred)."""
+    """Count, exact sums, mean and scatter matrix (the sum of outer products of what is centred).
+
+    The mean of whole numbers is kept relative to the first of them, so that it loses nothing where they are large.
+    """
 
     def __init__(self, dims: int):
-        self.n, self.sums, self.mean, self.scatter = 0, [0] * dims, np.zeros(dims), np.zeros((dims, dims))
+        self.n, self.sums, self.origin, self.mean, self.scatter = 0, [0] * dims, np.zeros(dims, np.int64), np.zeros(dims), np.zeros((dims, dims))
 
     def add(self, x: np.ndarray) -> None:
         """Welford's update for each row; sums are kept if the rows are whole numbers."""
         if x.dtype.kind == "i":
             wide = x if np.abs(x).max(initial=0) < (1 << 62) // max(1, len(x)) else x.astype(object)
             self.sums = [a + int(b) for a, b in zip(self.sums, wide.sum(axis=0))]
+            if not self.n:
+                self.origin = x[0].copy() if len(x) else self.origin
+            x = x - self.origin
         mean, scatter, n, step = self.mean, self.scatter, self.n, np.empty_like(self.scatter)
         for row in x.astype(np.float64):
             n += 1
@@ -50,8 +58,10 @@ class Moments:
         """The parallel update formula."""
         if not other.n:
             return
+        if not self.n:
+            self.origin = other.origin
         n = self.n + other.n
-        delta = other.mean - self.mean
+        delta = (other.origin - self.origin) + (other.mean - self.mean)
         self.scatter += other.scatter + np.outer(delta, delta) * (self.n / n * other.n)
         self.mean = self.mean + delta * (other.n / n)
         self.n, self.sums = n, [a + b for a, b in zip(self.sums, other.sums)]
@@ -61,13 +71,13 @@ class Moments:
         return (self.scatter + self.scatter.T) / (2 * max(1, self.n))
 
     def row(self, part: int) -> dict:
-        return {"part": part, "dims": len(self.mean), "n": self.n, "sums": [str(s) for s in self.sums], "mean": self.mean.tobytes(), "scatter": self.scatter.tobytes()}
+        return {"part": part, "dims": len(self.mean), "n": self.n, "sums": [str(s) for s in self.sums], "origin": self.origin.tolist(), "mean": self.mean.tobytes(), "scatter": self.scatter.tobytes()}
 
     @classmethod
     def of(cls, row: dict) -> Moments:
         out = cls(row["dims"])
         out.n, out.sums = row["n"], [int(s) for s in row["sums"]]
-        out.mean, out.scatter = np.frombuffer(row["mean"]).copy(), np.frombuffer(row["scatter"]).reshape(row["dims"], -1).copy()
+        out.origin, out.mean, out.scatter = np.array(row["origin"], np.int64), np.frombuffer(row["mean"]).copy(), np.frombuffer(row["scatter"]).reshape(row["dims"], -1).copy()
         return out
 
 
@@ -85,7 +95,7 @@ def _moments(rows: DataFrame, scale: float | None, offset: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, Moments] = {}
         for batch in batches:
-            for _, x in matrices(batch.column("v")):
+            for _, x in (m for m in matrices(batch.column("v")) if m[1].shape[1]):
                 held.setdefault(x.shape[1], Moments(x.shape[1])).add(_whole(x, scale, offset)[1] if scale else x)
         part = TaskContext.get().partitionId()
         yield from pa.Table.from_pylist([m.row(part) for m in held.values() if m.n], _MOMENTS).to_batches()
@@ -118,13 +128,14 @@ def moments(rows: DataFrame, scale: float | None = None, offset: int = 0) -> Mom
 
 
 def tridiagonal(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(diagonal, beside it, rows q) with q @ a @ q.T of three diagonals, by Householder's reflections."""
+    """(diagonal, beside it, rows q) with q @ a @ q.T of three diagonals, by Householder's reflections. Entries of ``a`` are 1 at most."""
     a, n = a.copy(), len(a)
     q = np.eye(n)
     for k in range(n - 2):
         v = a[k + 1 :, k].copy()
         length = np.linalg.norm(v)
-        if not np.any(v[1:]):
+        if np.abs(v[1:]).max() <= NOTHING:
+            a[k + 2 :, k] = a[k, k + 2 :] = 0
             continue
         v[0] += np.copysign(length, v[0])
         v /= np.linalg.norm(v)
@@ -140,10 +151,11 @@ def tridiagonal(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def symmetric_qr(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(eigenvalues, falling; unit eigenvectors as rows) of a symmetric matrix: QR steps with Wilkinson's shift, by Givens rotations."""
-    d, e, z = tridiagonal(a)
+    size = float(np.abs(a).max(initial=0)) or 1.0
+    d, e, z = tridiagonal(a / size)
     eps, m, steps = np.finfo(float).eps, len(d) - 1, 0
     while m > 0:
-        small = np.abs(e[:m]) <= eps * (np.abs(d[:m]) + np.abs(d[1 : m + 1]))
+        small = np.abs(e[:m]) <= np.maximum(NOTHING, eps * (np.abs(d[:m]) + np.abs(d[1 : m + 1])))
         e[:m][small] = 0
         if e[m - 1] == 0:
             m -= 1
@@ -168,7 +180,7 @@ def symmetric_qr(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 e[k + 1] *= c
             z[k], z[k + 1] = c * z[k] + s * z[k + 1], c * z[k + 1] - s * z[k]
     order = np.argsort(-d, kind="stable")
-    return d[order], z[order]
+    return d[order] * size, z[order]
 
 
 def _squares(from_mean: np.ndarray) -> list[Decimal | None]:
@@ -187,16 +199,15 @@ def whiten(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", c
     deviation is the exact sum of (n * x - sums)^2, a decimal (null beyond 38 digits).
 
     Null vectors and those with null or non-finite entries, or entries whose x a long can't hold, are left out, as are
-    vectors of another length than most have. Rows with a null key or a repeated one count like all others. A component
+    vectors without entries or of another length than most have. Rows with a null key or a repeated one count like all others. A component
     without variance (equal rows, one row, fewer rows than entries) has null whitened and, if nothing varies, null
-    explained; it takes no part in identity_error, null if none does. Empty tables, and vectors without entries, give no rows.
+    explained; it takes no part in identity_error, null if none does. Without vectors there are no rows.
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     fit = moments(rows, scale, offset)
     types = "id long, deviation decimal(38,0), v array<double>"
-    if fit is None or not len(fit.mean):
-        empty = vectors.sparkSession.createDataFrame([], f"`{key}` long, component int, n long, deviation decimal(38,0), whitened double, explained double, identity_error double")
-        return empty
+    if fit is None:
+        return vectors.sparkSession.createDataFrame([], f"`{key}` long, component int, n long, deviation decimal(38,0), whitened double, explained double, identity_error double")
     values, axes = symmetric_qr(fit.covariance)
     values, axes = values[:components], axes[:components]
     trace, floor = float(np.trace(fit.covariance)), max(values[0], 0) * len(fit.mean) * 4 * np.finfo(float).eps
