@@ -323,21 +323,26 @@ def diagnostics_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-WITH RECURSIVE e AS (
-  SELECT user_id::VARCHAR AS key, event_id AS seq, (epoch_us(ts) // 1000) AS ts_ms, CASE WHEN event_type = 'purchase' THEN 'release' ELSE 'acquire' END AS action, row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) AS r FROM events),
+WITH RECURSIVE g AS (SELECT user_id::VARCHAR AS key, event_id AS seq, epoch_us(ts) // 1000 AS ts_ms, CASE WHEN event_type = 'purchase' THEN 'release' ELSE 'acquire' END AS action FROM events),
+e AS (
+  SELECT *, CASE action WHEN 'acquire' THEN seq ELSE last_value(CASE action WHEN 'acquire' THEN seq END IGNORE NULLS) OVER up END AS permit, row_number() OVER (PARTITION BY key ORDER BY ts_ms, seq) AS r
+  FROM g WINDOW up AS (PARTITION BY key ORDER BY ts_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (
-  SELECT DISTINCT key, NULL::BIGINT AS seq, NULL::BIGINT AS ts_ms, NULL::VARCHAR AS action, 0::BIGINT AS r, 0::BIGINT AS active, []::BIGINT[] AS starts, NULL::VARCHAR AS told, NULL::BIGINT AS wait FROM e
+  SELECT DISTINCT key, NULL::BIGINT AS seq, NULL::BIGINT AS ts_ms, NULL::VARCHAR AS action, NULL::BIGINT AS permit, 0::BIGINT AS r, []::STRUCT(p BIGINT, t BIGINT)[] AS held, []::BIGINT[] AS starts, NULL::VARCHAR AS told, NULL::BIGINT AS wait FROM e
   UNION ALL
-  SELECT key, seq, ts_ms, action, r, CASE told WHEN 'release' THEN greatest(0, active - 1) WHEN 'ok' THEN active + 1 ELSE active END, CASE told WHEN 'release' THEN before WHEN 'ok' THEN list_append(starts, ts_ms) ELSE starts END, told,
+  SELECT key, seq, ts_ms, action, permit, r, CASE told WHEN 'release' THEN list_filter(held, lambda h: h.p IS DISTINCT FROM permit) WHEN 'ok' THEN list_append(held, {'p': permit, 't': ts_ms}) ELSE held END, CASE told WHEN 'ok' THEN list_append(starts, ts_ms) ELSE starts END, told,
     CASE told WHEN 'concurrency_limit' THEN 1 WHEN 'rate_limit' THEN greatest(1, ceil((starts[1] + 86400000 - ts_ms) / 1000)::BIGINT) END
-  FROM (SELECT *, CASE WHEN action = 'release' THEN 'release' WHEN active >= 3 THEN 'concurrency_limit' WHEN len(starts) >= 2 THEN 'rate_limit' ELSE 'ok' END AS told
-    FROM (SELECT e.*, f.active, f.starts AS before, list_filter(f.starts, lambda s: s > e.ts_ms - 86400000) AS starts FROM f JOIN e ON e.key = f.key AND e.r = f.r + 1)))
-SELECT key, seq, ts_ms, action, CASE WHEN told <> 'release' THEN told = 'ok' END AS admitted, CASE WHEN told NOT IN ('ok', 'release') THEN told END AS reason, wait::INT AS retry_after_seconds FROM f WHERE r > 0
+  FROM (SELECT *, CASE WHEN action = 'release' THEN 'release' WHEN len(held) >= 3 THEN 'concurrency_limit' WHEN len(starts) >= 2 THEN 'rate_limit' ELSE 'ok' END AS told
+    FROM (SELECT e.*, list_filter(f.held, lambda h: h.t > e.ts_ms - 345600000) AS held, list_filter(f.starts, lambda s: s > e.ts_ms - 86400000) AS starts FROM f JOIN e ON e.key = f.key AND e.r = f.r + 1)))
+SELECT key, seq, ts_ms, action, permit::VARCHAR AS permit, CASE WHEN told <> 'release' THEN told = 'ok' END AS admitted, CASE WHEN told NOT IN ('ok', 'release') THEN told END AS reason, wait::INT AS retry_after_seconds, len(held)::INT AS active, len(starts)::INT AS starts_in_window
+FROM f WHERE r > 0
 """)
 def admission_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per user, two starts a day."""
+    """Per user, two starts a day and three calls at one time, of four days at most; a purchase releases the user's last call, told twice where two follow each other."""
     events = _t(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.when(F.col("event_type") == "purchase", "release").otherwise("acquire").alias("action"))
-    return admission.admit(events, max_concurrent=3, max_starts=2, window_ms=86_400_000)
+    call, upto = F.when(F.col("action") == "acquire", F.col("seq")), Window.partitionBy("key").orderBy("ts_ms", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    events = events.withColumn("permit", F.coalesce(call, F.last(call, ignorenulls=True).over(upto)).cast("string"))
+    return admission.admit(events, max_concurrent=3, max_starts=2, window_ms=86_400_000, lease_ms=4 * 86_400_000)
 
 
 @_query("SELECT p_partkey, round(((p_size % 50) / 10.0 * (p_partkey % 300) + 200.0) / ((p_partkey % 300) + 50.0), 6)::DOUBLE AS rating FROM part")
