@@ -1,33 +1,36 @@
 """Language ID by cross-parsing entropy.
 
-For each language a suffix automaton holds a sample of its labelled text. A text is parsed against it into the longest
-phrases that occur in the sample; the number of phrases, times the bits of a pointer, over the text's length estimates
-the cross-entropy. The language with the least wins. Every automaton has all letters of its own sample. Texts are cut
-into blocks that are parsed side by side: an automaton is a table of transitions, and one numpy step advances all of a
-batch's blocks by one letter. Phrases don't end with their block: a block is parsed again from the state in which the
-one before ends, until it meets its first parse, which it then follows to its end.
+For each language a suffix automaton holds labelled texts, whole ones of a bounded number of rows. A text is parsed against
+it into the longest phrases that occur there; the number of phrases, times the bits of a pointer, over the text's length
+estimates the cross-entropy. The language with the least wins. Every automaton has all letters of its own sample.
+Automata are built in tasks, one language at a time, and stay a table; texts are parsed against groups of languages of
+bounded size, one group after the other.
+
+Texts are cut into blocks that are parsed side by side: an automaton is a table of transitions, and one numpy step
+advances all of a batch's blocks by one letter. Phrases don't end with their block: a block is parsed again from the state
+in which the one before ends, until it meets its first parse, which it then follows to its end.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import stash
 from .text_arrays import pieces
 
-#: Bound of the training sample: excerpts per language, letters of each, and fragments over the whole text that make one up.
-EXCERPTS, EXCERPT_CHARS, FRAGMENTS = 32, 800, 8
-#: Bound of the sample over all languages, in letters: with more than 160 languages, each has fewer excerpts, one at least.
-MOST_LETTERS = 1 << 22
 #: Bound of all tables of transitions together, in bytes; where they would be larger, sorted lists of transitions stand for them.
 DENSE_BYTES = 64 << 20
+#: Bytes of the automata that are broadcast at one time (or one language's, if that has more).
+GROUP_BYTES = 32 << 20
 #: Letters of a block.
 BLOCK = 256
 
@@ -51,59 +54,91 @@ def folded(text: str) -> np.ndarray:
     return codes[keep]
 
 
-def excerpt(text: str, at: int) -> str:
-    """Letters of a text, at most EXCERPT_CHARS: from each of FRAGMENTS equal parts of it, a run that begins where a hash says."""
-    codes = folded(text)
-    if len(codes) > EXCERPT_CHARS:
-        width, part = EXCERPT_CHARS // FRAGMENTS, len(codes) // FRAGMENTS
-        starts = [i * part + zlib.crc32(f"{at} {i}".encode()) % (part - width + 1) for i in range(FRAGMENTS)]
-        codes = np.concatenate([np.r_[codes[a : a + width], np.uint32(0)] for a in starts])
-    return np.where(codes == 0, 32, codes).astype("<u4").tobytes().decode("utf-32-le")
+class Learned(NamedTuple):
+    """One language: the code points of its letters, and the suffix automaton of ``n`` symbols.
 
+    Symbols: 0 no letter, 1 a letter that the sample lacks, then the letters. ``to[i]`` is where ``keys[i]``, state times
+    symbols plus symbol, leads; keys ascend.
+    """
 
-def automaton(codes: np.ndarray, size: int, dense_bytes: int) -> Dense | Sparse:
-    """Suffix automaton of a sequence of small ints. Its step gives twice the next state, plus 1 where a phrase begins.
+    lang: str
+    n: int
+    letters: np.ndarray
+    states: int
+    keys: np.ndarray
+    to: np.ndarray
+
+    def row(self) -> dict:
+        return {"lang": self.lang, "n": self.n, "letters": self.letters.astype("<u4").tobytes(), "states": self.states, "keys": self.keys.astype("<i8").tobytes(), "to": self.to.astype("<i4").tobytes()}
+
+    @classmethod
+    def of(cls, row: dict) -> Learned:
+        return cls(row["lang"], row["n"], np.frombuffer(row["letters"], "<u4"), row["states"], np.frombuffer(row["keys"], "<i8"), np.frombuffer(row["to"], "<i4"))
+
+
+def suffix_automaton(codes: np.ndarray, size: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(states, keys, to) of a sequence of numbers below ``size``. Transitions are one map and lists in arrays, some 250 bytes a letter while it is built."""
+    links, lengths, moves = array("i", [-1]), array("i", [0]), {}
+    first, following, symbols = array("i", [-1]), array("i"), array("i")  # a state's symbols, as a list
+
+    def leads(state: int, c: int, to: int) -> None:
+        moves[state * size + c] = to
+        symbols.append(c)
+        following.append(first[state])
+        first[state] = len(symbols) - 1
+
+    def state(length: int) -> int:
+        links.append(0)
+        lengths.append(length)
+        first.append(-1)
+        return len(links) - 1
 
-    A letter that doesn't prolong the phrase is parsed from the root; one that the root doesn't know is a phrase of its own.
-    """
-    links, lengths, edges = [-1], [0], [{}]
     last = 0
     for c in codes.tolist():
-        new, at = len(links), last
-        links.append(0)
-        lengths.append(lengths[last] + 1)
-        edges.append({})
-        while at >= 0 and c not in edges[at]:
-            edges[at][c] = new
+        new, at = state(lengths[last] + 1), last
+        while at >= 0 and at * size + c not in moves:
+            leads(at, c, new)
             at = links[at]
         if at >= 0:
-            to = edges[at][c]
+            to = moves[at * size + c]
             if lengths[at] + 1 == lengths[to]:
                 links[new] = to
             else:
-                twin = len(links)
-                links.append(links[to])
-                lengths.append(lengths[at] + 1)
-                edges.append(dict(edges[to]))
-                while at >= 0 and edges[at].get(c) == to:
-                    edges[at][c] = twin
+                twin = state(lengths[at] + 1)
+                links[twin], e = links[to], first[to]
+                while e >= 0:
+                    leads(twin, symbols[e], moves[to * size + symbols[e]])
+                    e = following[e]
+                while at >= 0 and moves.get(at * size + c) == to:
+                    moves[at * size + c] = twin
                     at = links[at]
                 links[to] = links[new] = twin
         last = new
-    root = np.array([edges[0].get(c, 0) for c in range(size)], np.int64) * 2 + 1
-    edges[0] = {}
-    return (Dense if len(edges) * size * 4 <= dense_bytes else Sparse)(edges, root)
+    keys, to = np.fromiter(moves.keys(), np.int64, len(moves)), np.fromiter(moves.values(), np.int32, len(moves))
+    order = np.argsort(keys)
+    return len(links), keys[order], to[order]
+
+
+def learn(lang: str, texts: Iterable[str]) -> Learned:
+    """The automaton of whole texts, one after the other."""
+    codes = np.concatenate([np.zeros(0, np.uint32), *[folded(t + " ") for t in texts]])
+    letters = np.unique(codes[codes > 0])
+    own = np.where(codes == 0, 0, np.searchsorted(letters, codes) + 2)
+    return Learned(lang, len(codes), letters, *suffix_automaton(own, len(letters) + 2))
 
 
 class Dense:
-    """All transitions as a table."""
+    """All transitions as a table. A step gives twice the next state, plus 1 where a phrase begins.
 
-    def __init__(self, edges: list[dict[int, int]], root: np.ndarray):
-        table = np.tile(root.astype(np.int32), (len(edges), 1))
-        for i, known in enumerate(edges):
-            for c, to in known.items():
-                table[i, c] = to * 2
-        self.size, self.flat = len(root), table.ravel()
+    A letter that doesn't prolong the phrase is parsed from the root; one that the root doesn't know is a phrase of its own.
+    """
+
+    def __init__(self, given: Learned):
+        self.size = len(given.letters) + 2
+        table = np.tile(_root(given).astype(np.int32), given.states)
+        further = np.searchsorted(given.keys, self.size)
+        table[given.keys[further:]] = given.to[further:] * 2
+        self.flat = table
 
     def step(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         return self.flat[state * self.size + symbols]
@@ -112,29 +147,37 @@ class Dense:
 class Sparse:
     """Transitions that prolong a phrase, in order; the others are the root's."""
 
-    def __init__(self, edges: list[dict[int, int]], root: np.ndarray):
-        keys = np.array([i * len(root) + c for i, known in enumerate(edges) for c in known], np.int64)
-        to = np.array([x * 2 for known in edges for x in known.values()], np.int64)
-        order = np.argsort(keys)
-        self.size, self.root, self.keys, self.to = len(root), root, keys[order], to[order]
+    def __init__(self, given: Learned):
+        self.size, self.root = len(given.letters) + 2, _root(given)
+        further = np.searchsorted(given.keys, self.size)
+        self.keys, self.to = given.keys[further:], given.to[further:].astype(np.int64) * 2
 
     def step(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return self.root[symbols]
         key = state * self.size + symbols
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.to[at], self.root[symbols])
 
 
+def _root(given: Learned) -> np.ndarray:
+    """Where each symbol leads from the root, as a step that begins a phrase."""
+    size = len(given.letters) + 2
+    upto, root = np.searchsorted(given.keys, size), np.zeros(size, np.int64)
+    root[given.keys[:upto]] = given.to[:upto]
+    return root * 2 + 1
+
+
 class Model:
-    """Alphabets and automata of the languages."""
+    """Alphabets and automata of some languages."""
 
-    def __init__(self, samples: dict[str, list[str]]):
-        texts = {k: np.concatenate([folded(t + " ") for t in v] or [np.zeros(0, np.uint32)]) for k, v in sorted(samples.items())}
-        letters = [np.unique(t[t > 0]) for t in texts.values()]
-        self.symbols = np.unique(np.concatenate([np.zeros(0, np.uint32), *letters]))
-        self.languages = list(texts)
-        self.own = [self._own(x) for x in letters]
-        self.tables = [automaton(own[self.coded(t)], len(x) + 2, DENSE_BYTES // len(texts)) for own, x, t in zip(self.own, letters, texts.values())]
-        self.bits = [math.log2(max(2, len(t))) for t in texts.values()]
+    def __init__(self, learned: Iterable[Learned]):
+        learned = sorted(learned, key=lambda x: x.lang)
+        self.symbols = np.unique(np.concatenate([np.zeros(0, np.uint32), *[x.letters for x in learned]]))
+        self.languages = [x.lang for x in learned]
+        self.own = [self._own(x.letters) for x in learned]
+        self.tables = [(Dense if x.states * (len(x.letters) + 2) * 4 <= DENSE_BYTES // len(learned) else Sparse)(x) for x in learned]
+        self.bits = [math.log2(max(2, x.n)) for x in learned]
 
     def _own(self, letters: np.ndarray) -> np.ndarray:
         """For each symbol of all languages that of one: 0: no letter, 1: a letter that its sample lacks, then the sample's."""
@@ -194,23 +237,12 @@ class Model:
             out[k] = np.bincount(owner, (steps & 1).sum(axis=0), len(texts)).astype(np.int64)
         return out
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """(language, score) for each text. Score: how much less the winner needs than the second, 0 to 1."""
+    def best(self, texts: list[str | None]) -> list[list[dict]]:
+        """For each text the two languages that need least, as (need, lang); none for texts without a letter."""
         coded = [self.coded(folded(t)) if t else np.zeros(0, np.int32) for t in texts]
-        has = [bool((c > 0).any()) for c in coded]
-        if not self.languages:
-            return [("und", 0.0)] * len(texts)
         need = self.phrases(coded) * np.array(self.bits)[:, None]
-        out = []
-        for i, ok in enumerate(has):
-            if not ok:
-                out.append(("und", 0.0))
-                continue
-            order = np.argsort(need[:, i], kind="stable")
-            best = need[order[0], i]
-            second = need[order[1], i] if len(order) > 1 else 2 * best
-            out.append((self.languages[order[0]], float(min(1.0, max(0.0, 1 - best / second)))))
-        return out
+        order = np.argsort(need, axis=0, kind="stable")[:2]
+        return [[{"need": float(need[k, i]), "lang": self.languages[k]} for k in order[:, i].tolist()] if (c > 0).any() else [] for i, c in enumerate(coded)]
 
 
 def held_out(key: Column) -> Column:
@@ -218,49 +250,88 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Learns from rows that are not held out and have text and language.
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = 32, letters: int = 64_000) -> DataFrame:
+    """A row per language, the fields of ``Learned``, from rows that are not held out and have text and language.
 
-    The sample is bounded: of EXCERPTS hash slots per language (fewer where MOST_LETTERS says so), the row with the
-    smallest hash in each, and an excerpt of its whole text. Keys are read first, texts only of the chosen rows.
+    At most ``rows`` rows of a language are learned, each with its whole text: of so many slots by hash the row with the
+    smallest hash in each. Rows of up to ``letters`` characters are preferred, and taken slot by slot as long as their
+    characters are no more together; a language that has none is learned from its shortest text. Automata are built in
+    tasks and written; no text comes to the driver.
     """
     given, content = F.col(key), F.col(text).cast("string")
-    rows = docs.where(~held_out(given)).where(F.col(text).isNotNull() & F.col(lang).isNotNull()).where(content.rlike(r"\p{L}"))
+    known = docs.where(~held_out(given)).where(F.col(text).isNotNull() & F.col(lang).isNotNull()).where(content.rlike(r"\p{L}"))
     at = F.when(given.isNull(), F.xxhash64(F.lit(17), content)).otherwise(F.xxhash64(F.lit(17), given))
-    rows = rows.select(F.col(lang).cast("string").alias("lang"), content.alias("text"), at.alias("at"))
-    languages = docs.where(F.col(lang).isNotNull()).agg(F.count_distinct(F.col(lang).cast("string"))).first()[0]
-    slots = max(1, min(EXCERPTS, MOST_LETTERS // (EXCERPT_CHARS * max(1, languages))))
-    slot = F.pmod("at", F.lit(slots)).alias("slot")
-    least = rows.groupBy("lang", slot).agg(F.min("at").alias("at")).select("lang", "at")
+    known = known.select(F.col(lang).cast("string").alias("lang"), content.alias("text"), at.alias("at"))
+    size = F.length("text")
+    choice = F.struct((size > letters).alias("long"), F.when(size > letters, size).otherwise(0).alias("size"), F.col("at"))
+    # a few rows per language; the planner broadcasts them if they are small
+    least = stash(known.groupBy("lang", F.pmod("at", F.lit(rows)).alias("slot")).agg(F.min(choice).alias("c")).select("lang", "c.at", "slot", "c.long"))
+    picked = known.join(least, ["lang", "at"]).groupBy("lang", "at", "slot", "long").agg(F.min("text").alias("text"))
+
+    def build(table: pa.Table) -> pa.Table:
+        found = sorted(table.to_pylist(), key=lambda r: (r["long"], len(r["text"]) if r["long"] else r["slot"], r["at"]))
+        taken, left = [], letters
+        for r in found:
+            if not taken and r["long"] or not r["long"] and len(r["text"]) <= left:
+                taken.append(r["text"])
+                left -= len(r["text"])
+        return pa.Table.from_pylist([learn(found[0]["lang"], taken).row()], schema)
+
+    schema = pa.schema([("lang", pa.string()), ("n", pa.int64()), ("letters", pa.binary()), ("states", pa.int64()), ("keys", pa.binary()), ("to", pa.binary())])
+    return stash(picked.groupBy("lang").applyInArrow(build, "lang string, n long, letters binary, states long, keys binary, to binary"))
+
+
+def _groups(learned: DataFrame) -> list[list[str]]:
+    """Names of languages, in order, in groups of GROUP_BYTES at most (or one language)."""
+    out, left = [], 0
+    for r in learned.select("lang", (F.length("keys") + F.length("to") + F.length("letters")).alias("size")).orderBy("lang").collect():
+        if r["size"] > left or not out:
+            out.append([])
+            left = GROUP_BYTES
+        out[-1].append(r["lang"])
+        left -= r["size"]
+    return out
+
+
+def _parsed(rows: DataFrame, learned: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` with ``best`` in place of text: the two of these languages that need least."""
+    spark = rows.sparkSession
+    own = learned.where((F.col("lang") >= names[0]) & (F.col("lang") <= names[-1])).collect()
+    shared = spark.sparkContext.broadcast(Model(Learned.of(r.asDict()) for r in own))
+    kept = [c for c in rows.columns if c != "text"]
+    kind = pa.list_(pa.struct([("need", pa.float64()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text", 1 << 20):
-                found = [excerpt(t, a) for t, a in zip(part.column("text").to_pylist(), part.column("at").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("at"), pa.array(found, pa.string())], ["lang", "at", "text"])
+                found = shared.value.best(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(found, kind)], [*kept, "best"])
 
-    # a few rows per language
-    picked = rows.join(F.broadcast(least), ["lang", "at"]).select("lang", "at", "text").mapInArrow(run, "lang string, at long, text string")
-    picked = picked.groupBy("lang", "at").agg(F.min("text").alias("text")).withColumn("slot", slot)
-    samples: dict[str, list[str]] = {}
-    for r in picked.orderBy("lang", "slot").collect():
-        samples.setdefault(r["lang"], []).append(r["text"])
-    return Model(samples)
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    return rows.mapInArrow(run, f"{types}, best array<struct<need: double, lang: string>>")
 
 
-def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(``key``, held_out, lang_pred, score) for each row, from its whole text alone.
+def identify(docs: DataFrame, learned: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(``key``, held_out, lang_pred, score) for each row, from its whole text alone. ``learned``: of ``fit``.
 
-    Null texts and texts without a letter: ``und``, 0; so is everything if nothing could be learned. Repeated rows have
-    repeated results; equal needs go to the language that sorts first. Other columns are not read.
+    Score: how much less the winner needs than the second, 0 to 1. Null texts and texts without a letter: ``und``, 0; so is
+    everything if nothing could be learned. Repeated rows have repeated results; equal needs go to the language that sorts
+    first. Other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, "text", 1 << 20):
-                found = shared.value.predict(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["id", "held_out", "lang_pred", "score"])
-
     rows = docs.select(F.col(key).cast("long").alias("id"), held_out(F.col(key)).alias("held_out"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, held_out boolean, lang_pred string, score double").withColumnRenamed("id", key)
+    groups = _groups(learned)
+    if not groups:
+        rows = rows.select("id", "held_out", F.expr("cast(array() as array<struct<need: double, lang: string>>)").alias("best"))
+    elif len(groups) == 1:
+        rows = _parsed(rows, learned, groups[0])
+    else:  # each group's table is written before the next group is read
+        rows = stash(rows.withColumn("row", F.monotonically_increasing_id()))
+        parts = [stash(_parsed(rows.select("row", "text"), learned, names)) for names in groups]
+        every = parts[0]
+        for part in parts[1:]:
+            every = every.unionAll(part)
+        every = every.groupBy("row").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, 2).alias("best"))
+        rows = rows.drop("text").join(every, "row")
+    first, second = F.get("best", F.lit(0)), F.get("best", F.lit(1))
+    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - first["need"] / F.coalesce(second["need"], 2 * first["need"])))
+    return rows.select(F.col("id").alias(key), "held_out", F.coalesce(first["lang"], F.lit("und")).alias("lang_pred"), F.coalesce(score, F.lit(0.0)).alias("score"))

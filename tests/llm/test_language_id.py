@@ -1,11 +1,17 @@
 import random
 import zlib
 
+from pyspark.sql import functions as F
+
 from briefloom.llm import language_id
 
 SCHEMA = "doc_id long, text string, lang string, held_out string"
 
 
+def _model(samples):
+    return language_id.Model(language_id.learn(k, v) for k, v in samples.items())
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language_id.identify(docs, language_id.fit(docs)).collect()
@@ -29,7 +35,7 @@ def test_odd_texts(spark):
 
 
 def test_phrases_are_longest_matches():
-    model = language_id.Model({"a": ["abcabcabd"], "b": ["xyz"]})
+    model = _model({"a": ["abcabcabd"], "b": ["xyz"]})
     found = model.phrases([model.coded(language_id.folded(t)) for t in ("abcabd", "xyzxyz", "abxy")])
     assert found[0].tolist()[0] == 1 and found[1].tolist()[1] == 2
 
@@ -70,13 +76,13 @@ def test_sparse_and_dense_tables_agree(monkeypatch):
     found = []
     for most in (1 << 20, 0):
         monkeypatch.setattr(language_id, "DENSE_BYTES", most)
-        model = language_id.Model(samples)
+        model = _model(samples)
         found.append(model.phrases([model.coded(language_id.folded(t)) for t in texts]).tolist())
     assert found[0] == found[1]
 
 
 def test_unknown_letters_are_phrases_of_their_own():
-    model = language_id.Model({"a": ["ab"], "b": ["xyz"]})
+    model = _model({"a": ["ab"], "b": ["xyz"]})
     found = model.phrases([model.coded(language_id.folded(t)) for t in ("axb", "xab", "abq")])
     assert found[0].tolist() == [3, 2, 2]
 
@@ -98,7 +104,7 @@ def test_phrases_cross_blocks():
     random_letters = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
     han = [chr(0x4E00 + i) for i in range(700)]
     samples = {"a": [random_letters("ab ", 3000)], "b": [random_letters("abcdefghij ", 4000)], "c": [random_letters(han[:400], 4000)], "d": [random_letters(han[300:], 4000)]}
-    model = language_id.Model(samples)
+    model = _model(samples)
     texts = ["", "a", "ab" * 900, "a" * 1000, random_letters("ab ", 2000), random_letters("abcxyz ", 1500), random_letters(han, 1200), random_letters(han[:400], 511), *(s[0] for s in samples.values())]
     texts += [s[0][700:1900] + s[0][100:1300] for s in samples.values()]
     found = model.phrases([model.coded(language_id.folded(t)) for t in texts])
@@ -114,8 +120,35 @@ def test_ties_and_repeated_rows(spark):
     assert {r["lang_pred"] for r in rows} == {"aa"} and len(rows) == 5 and {r["score"] for r in rows} == {0.0}
 
 
-def test_sample_is_bounded_over_all_languages(spark, monkeypatch):
-    docs = spark.createDataFrame([(i, f"word{chr(97 + i % 20)} " * 30, f"l{i % 20:02}", "x") for i in range(800)], SCHEMA)
-    monkeypatch.setattr(language_id, "MOST_LETTERS", 20 * 2 * language_id.EXCERPT_CHARS)
-    model = language_id.fit(docs)
-    assert len(model.languages) == 20 and all(b <= 11 for b in model.bits)
+def test_sample_is_bounded_in_rows_of_whole_texts(spark):
+    docs = spark.createDataFrame([(i, f"word{chr(97 + i % 20)} " * (30 + i % 7), f"l{i % 20:02}", "x") for i in range(800)] + [(5000, "abc " * 5000, "l00", "x"), (5001, "def " * 9000, "zz", "x"), (5006, "ghi " * 8000, "zz", "x")], SCHEMA)
+    learned = {r["lang"]: r["n"] for r in language_id.fit(docs, rows=3, letters=10_000).collect()}
+    assert len(learned) == 21 and all(100 < n <= 3 * 216 for k, n in learned.items() if k != "zz") and learned["zz"] == 4 * 8000
+    few = {r["lang"]: r["n"] for r in language_id.fit(docs, rows=8, letters=450).collect()}
+    assert all(n <= 450 for k, n in few.items() if k != "zz")
+
+
+def test_one_long_text_each(spark):
+    """Two languages with one labelled book each: texts of eight words are told apart."""
+    rng = random.Random(7)
+    lexicons = {k: ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randrange(2, 8))) for _ in range(3000)] for k in ("aa", "bb")}
+    taught, asked = ([i for i in range(3000) if (zlib.crc32(str(i).encode()) % 4 == 2) == held] for held in (False, True))
+    docs = [(taught[j], _words(rng, lexicons[k], 20_000), k) for j, k in enumerate(lexicons)] + [(asked[j], _words(rng, lexicons[k], 8), k) for j, k in enumerate(["aa", "bb"] * 200)]
+    shown = _right(spark, docs)
+    assert len(shown) == 400 and sum(a == b for a, b in shown.values()) / 400 >= 0.99
+
+
+def test_three_hundred_languages_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "GROUP_BYTES", 1 << 20)
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    lexicons = {f"l{i:03}": ["".join(rng.choice(letters) for _ in range(rng.randrange(3, 8))) for _ in range(60)] for i in range(300)}
+    taught, asked = ([i for i in range(4000) if (zlib.crc32(str(i).encode()) % 4 == 2) == held] for held in (False, True))
+    docs = [(taught[j], _words(rng, lexicons[k], 150), k) for j, k in enumerate(lexicons)] + [(asked[j], _words(rng, lexicons[k], 15), k) for j, k in enumerate(lexicons)]
+    frame = spark.createDataFrame([(*d, "x") for d in docs] + [(asked[-1], "42", None, "x")], SCHEMA)
+    learned = language_id.fit(frame)
+    assert len(language_id._groups(learned)) > 3
+    rows = {r["doc_id"]: r for r in language_id.identify(frame, learned).collect()}
+    assert rows[asked[-1]]["lang_pred"] == "und" and sum(rows[key]["lang_pred"] == k for key, _, k in docs[300:]) / 300 >= 0.99
+    one = {r["doc_id"]: r for r in language_id.identify(frame.where(F.col("doc_id").isin(asked[:40])), learned.where("lang < 'l040'")).collect()}
+    assert all(one[key]["score"] >= rows[key]["score"] for key in asked[:40])
