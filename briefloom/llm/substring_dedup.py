@@ -5,14 +5,14 @@ less that they begin and end with. Texts that repeat as a whole are set aside: o
 
 1. Windows of a document that follow each other and share an anchor (the smallest hash among their inner word k-mers;
    equal windows have equal anchors) are a run. Runs whose anchor stands in one document alone can't repeat.
-2. Equal runs are one path of the graph. Its source are the coordinates (document, first word) at which it stands first;
-   where it stands in a later document, all its windows repeat. Its ends are nodes.
-3. Nodes with one repeated path in and one out don't branch. Paths that meet in such nodes are compacted to longer
-   ones, by joins whose reach doubles every round.
-4. Where runs of one anchor differ, they may still share single windows: first holders' runs are opened to edges
-   (pairs of nodes), and an edge's first place is its source.
-5. Repeated runs and edges that follow each other, at the same distance from their source and on one compacted path, are
-   a span. The words at its source's coordinates are digested, and it is cut only if its own words have that digest.
+2. Equal runs are one path of the graph, with the coordinates (document, first word) at which it stands first. A node
+   between two paths doesn't branch if wherever the one stands the other follows, and wherever that stands the one is before.
+3. Repeated paths that meet in such nodes are compacted to one, by joins whose reach doubles every round. Wherever its
+   head stands, all of it stands: compacted paths are the candidates, and only their heads are looked up in documents.
+4. A path is verified once: the words at its source's coordinates are digested, and a span is cut only if its own words
+   have that digest.
+5. Only where anchors branch, that is have several paths, may paths share single windows: there paths are opened to
+   single edges in the document that holds them first, and what repeats among those is verified in the same way, span by span.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -55,78 +56,66 @@ def _spans_hash(hashes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.n
     return mix((sums[stop] - sums[start]) * _powers(base.inverse, len(hashes) + 1)[start] + (stop - start).astype(np.uint64), 9)
 
 
-def _runs(docs: DataFrame, window: int) -> DataFrame:
-    """(anchor, path, id, start, n): n windows of one anchor from word ``start`` on; path is the hash of their words."""
+def _anchored(docs: DataFrame, window: int) -> DataFrame:
+    """(anchor, id) of each run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
                 w = words(part.column("text"))
-                at, anchor, hashes = _anchors(w, window)
-                if not len(at):
-                    continue
-                new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)])
-                start, owner, n = at[new], w.doc[at[new]], np.diff(np.r_[new, len(at)])
-                columns = [signed(anchor[new]), signed(_spans_hash(hashes, start, start + n + window - 1)), np.asarray(part.column("id"))[owner], (start - w.bounds[owner]).astype(np.int32), n.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["anchor", "path", "id", "start", "n"])
+                at, anchor, _ = _anchors(w, window)
+                owner = w.doc[at]
+                new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])][: len(at)])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(anchor[new])), part.column("id").take(pa.array(owner[new]))], ["anchor", "id"])
 
-    return docs.mapInArrow(run, "anchor long, path long, id long, start int, n int")
+    return docs.mapInArrow(run, "anchor long, id long")
 
 
-def _opened(docs: DataFrame, window: int) -> DataFrame:
-    """Rows of two kinds for documents with ``runs``, a column of (start, n).
+def _runs(docs: DataFrame, window: int) -> DataFrame:
+    """(anchor, path, id, start, n, before, after): n windows of one anchor from word ``start`` on; path is the hash of their words.
 
-    (id, start, u, v): the nodes at which a run begins and ends. (id, start, text): a stretch of words from ``start`` on,
-    joined by a space, whose windows all belong to runs. What a kind hasn't is null.
+    before and after: the paths of the runs around it in the text; where there is none, a number like no other.
     """
-    names = ["id", "start", "u", "v", "text"]
+    names = ["anchor", "path", "id", "start", "n", "before", "after"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
                 w = words(part.column("text"))
-                nodes, data = signed(rolling(w.hashes(), window - 1)), w.data.tobytes()
-                for key, lo, hi, runs in zip(part.column("id").to_pylist(), w.bounds[:-1].tolist(), w.bounds[1:].tolist(), part.column("runs").to_pylist()):
-                    # a row that repeats another's key may be shorter
-                    start, n = np.array([(r["start"], r["n"]) for r in runs if r["start"] + r["n"] + window - 1 <= hi - lo], np.int64).reshape(-1, 2).T
-                    marks = np.zeros(hi - lo + 2, np.int32)
-                    np.add.at(marks, start + 1, 1)
-                    np.add.at(marks, start + n + 1, -1)
-                    edges = np.flatnonzero(np.diff((np.cumsum(marks) > 0).astype(np.int8)))
-                    first, last = edges[::2], edges[1::2] + window - 1
-                    found = [b" ".join(data[i:j] for i, j in zip(w.start[lo + a : lo + b].tolist(), w.end[lo + a : lo + b].tolist())) for a, b in zip(first.tolist(), last.tolist())]
-                    here = lambda k, x=key: pa.array(np.full(k, x, np.int64))
-                    yield pa.RecordBatch.from_arrays([here(len(start)), pa.array(start, pa.int32()), pa.array(nodes[lo + start]), pa.array(nodes[lo + start + n]), pa.nulls(len(start), pa.string())], names)
-                    yield pa.RecordBatch.from_arrays([here(len(first)), pa.array(first, pa.int32()), *[pa.nulls(len(first), pa.int64())] * 2, pa.array(found, pa.binary()).cast(pa.string())], names)
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for batch in run(batches):
-            held.append(batch)
-            rows += batch.num_rows
-            if rows > 20_000:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, rows = [], 0
-        if rows:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-    return docs.mapInArrow(joined, "id long, start int, u long, v long, text string")
-
-
-def _edges(stretches: DataFrame, window: int) -> DataFrame:
-    """(u, v, id, start) of all windows: the hashes of their first and of their last words, one less than the window has."""
+                at, anchor, hashes = _anchors(w, window)
+                if not len(at):
+                    continue
+                new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)])
+                start, owner, n = at[new], w.doc[at[new]], np.diff(np.r_[new, len(at)])
+                path, key, place = signed(_spans_hash(hashes, start, start + n + window - 1)), np.asarray(part.column("id"))[owner], start - w.bounds[owner]
+                joined = owner[1:] == owner[:-1]
+                ends = [signed(mix(key.view(np.uint64) * np.uint64(1 << 32) + place.astype(np.uint64), salt)) for salt in (21, 22)]
+                before, after = np.where(np.r_[False, joined], np.r_[0, path[:-1]], ends[0]), np.where(np.r_[joined, False], np.r_[path[1:], 0], ends[1])
+                columns = [signed(anchor[new]), path, key, place.astype(np.int32), n.astype(np.int32), before, after]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
+
+    return docs.mapInArrow(run, "anchor long, path long, id long, start int, n int, before long, after long")
+
+
+def _edges(docs: DataFrame, window: int) -> DataFrame:
+    """(u, v, id, start) of the windows of ``runs``, a column of (start, n): the hashes of their first and of their last words, one less than the window has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                w = words(part.column("text"))
-                nodes, at = rolling(w.hashes(), window - 1), np.flatnonzero(inside(w, window))
-                owner = w.doc[at]
-                start = np.asarray(part.column("start"))[owner] + at - w.bounds[owner]
-                columns = [signed(nodes[at]), signed(nodes[at + 1]), np.asarray(part.column("id"))[owner], start.astype(np.int32)]
+                w, runs = words(part.column("text")), part.column("runs")
+                nodes = signed(rolling(w.hashes(), window - 1))
+                owner = np.repeat(np.arange(part.num_rows), np.asarray(pc.list_value_length(runs)))
+                start, n = (np.asarray(x, np.int64) for x in runs.flatten().flatten())
+                fits = start + n + window - 1 <= np.diff(w.bounds)[owner]  # a row that repeats another's key may be shorter
+                owner, start, n = owner[fits], start[fits], n[fits]
+                each = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                owner, start = np.repeat(owner, n), np.repeat(start, n) + each
+                at = w.bounds[owner] + start
+                columns = [nodes[at], nodes[at + 1], np.asarray(part.column("id"))[owner], start.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["u", "v", "id", "start"])
 
-    return stretches.mapInArrow(run, "u long, v long, id long, start int")
+    return docs.mapInArrow(run, "u long, v long, id long, start int")
 
 
 def compact(paths: DataFrame) -> DataFrame:
@@ -156,9 +145,9 @@ def compact(paths: DataFrame) -> DataFrame:
 
 
 def _with_source(rows: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` (keys, id, ...) joined to their source (keys, n, ...), n the number of rows; frequent keys are joined in parts."""
-    total = sources.agg(F.sum("n").alias("total"))
-    shares = sources.crossJoin(F.broadcast(total)).withColumn("parts", F.when(F.col("n") * HOT > F.col("total"), F.ceil(F.col("n") * HOT / F.col("total"))).otherwise(F.lit(1)).cast("long")).drop("total", "n")
+    """``rows`` (keys, id, ...) joined to their source (keys, rows, ...), rows being how many they are; frequent keys are joined in parts."""
+    total = sources.agg(F.sum("rows").alias("total"))
+    shares = sources.crossJoin(F.broadcast(total)).withColumn("parts", F.when(F.col("rows") * HOT > F.col("total"), F.ceil(F.col("rows") * HOT / F.col("total"))).otherwise(F.lit(1)).cast("long")).drop("total", "rows")
     # fewer than HOT rows
     hot = F.broadcast(stash(shares.where("parts > 1").select(*[F.col(k).alias(f"hot_{k}") for k in keys], "parts")))
     same = F.lit(True)
@@ -169,41 +158,38 @@ def _with_source(rows: DataFrame, sources: DataFrame, keys: list[str]) -> DataFr
 
 
 def _joined_up(late: DataFrame) -> DataFrame:
-    """Spans (id, start, n, sid, sstart, path) of what follows each other in ``late`` (id, start, n, sid, sstart, path), at one distance from the source and on one path."""
-    by = ["id", "sid", "apart", "path"]
-    rows = late.withColumn("apart", F.col("start") - F.col("sstart")).drop("sstart").repartition("id")
-    upto = F.max(F.col("start") + F.col("n")).over(Window.partitionBy(*by).orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("new", (F.coalesce(upto, F.col("start") - 1) < F.col("start")).cast("int"))
-    rows = rows.withColumn("island", F.sum("new").over(Window.partitionBy(*by).orderBy("start", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    spans = rows.groupBy(*by, "island").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("n")) - F.min("start")).alias("n"))
-    return spans.select("id", "start", "n", "sid", (F.col("start") - F.col("apart")).alias("sstart"), "path")
+    """Spans (id, start, n, sid, sstart) of single windows in ``late`` (id, start, sid, sstart) that follow each other at one distance from the source."""
+    by = ["id", "sid", "apart"]
+    # windows of one distance that follow each other keep their distance from their place in order, too
+    rows = late.withColumn("apart", F.col("start") - F.col("sstart")).drop("sstart")
+    rows = rows.withColumn("island", F.col("start") - F.dense_rank().over(Window.partitionBy(*by).orderBy("start")))
+    spans = rows.groupBy(*by, "island").agg(F.min("start").alias("start"), (F.max("start") - F.min("start") + 1).alias("n"))
+    return spans.select("id", "start", "n", "sid", (F.col("start") - F.col("apart")).alias("sstart"))
 
 
 def _digest(parts: list[bytes]) -> bytes:
     return hashlib.blake2b(b" ".join(parts), digest_size=16).digest()
 
 
-def _verifiable(spans: DataFrame, stretches: DataFrame, window: int) -> DataFrame:
-    """``spans`` with the digest of the words at their source's coordinates."""
-    wanted = spans.select("sid", "sstart", "n").distinct()
-    asked = wanted.groupBy(F.col("sid").alias("id")).agg(F.collect_list(F.struct("sstart", "n")).alias("asked"))
+def _verified(places: DataFrame, docs: DataFrame, window: int) -> DataFrame:
+    """(sid, sstart, n, digest) for distinct ``places`` (sid, sstart, n): the digest of the words there."""
+    asked = places.groupBy(F.col("sid").alias("id")).agg(F.collect_list(F.struct("sstart", "n")).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
                 w = words(part.column("text"))
                 data, out = w.data.tobytes(), []
-                for i, (key, at, asked) in enumerate(zip(part.column("id").to_pylist(), part.column("start").to_pylist(), part.column("asked").to_pylist())):
-                    lo, hi = int(w.bounds[i]), int(w.bounds[i + 1])
+                for key, lo, hi, asked in zip(part.column("id").to_pylist(), w.bounds[:-1].tolist(), w.bounds[1:].tolist(), part.column("asked").to_pylist()):
                     for s in asked:
-                        a, n = lo + s["sstart"] - at, s["n"] + window - 1
-                        if lo <= a and a + n <= hi:
-                            out.append((key, s["sstart"], s["n"], _digest([data[x:y] for x, y in zip(w.start[a : a + n].tolist(), w.end[a : a + n].tolist())])))
+                        a, b = lo + s["sstart"], lo + s["sstart"] + s["n"] + window - 1
+                        if b <= hi:
+                            out.append((key, s["sstart"], s["n"], _digest([data[x:y] for x, y in zip(w.start[a:b].tolist(), w.end[a:b].tolist())])))
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)], ["sid", "sstart", "n", "digest"])
 
-    shown = stretches.join(asked.hint("merge"), "id").select("id", "start", "text", "asked").mapInArrow(run, "sid long, sstart int, n int, digest binary").distinct()
-    return spans.join(shown.hint("merge"), ["sid", "sstart", "n"])
+    # a key of several rows has a digest for each text
+    return docs.join(asked.hint("merge"), "id").mapInArrow(run, "sid long, sstart int, n int, digest binary").distinct()
 
 
 def _whole(text: Column) -> Column:
@@ -211,10 +197,10 @@ def _whole(text: Column) -> Column:
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 13) -> DataFrame:
-    """(id, start, n, digest, sid, sstart, path): n windows from word ``start`` on that also start at word sstart of document sid, which has a smaller id.
+    """(id, start, n, digest, sid, sstart): n windows from word ``start`` on that also start at word sstart of document sid, which has a smaller id.
 
-    digest is that of the words there, path the compacted path that they belong to, null for single windows. Texts that
-    repeat one of a smaller id as a whole have one row of id, sid and the digest of the text.
+    A row per compacted path that the document holds, or per span of single windows; digest is that of the words at sstart.
+    Texts that repeat one of a smaller id as a whole have one row of id, sid and the digest of the text.
     """
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null and text is not null")
     whole = docs.select("id", _whole(F.col("text")).alias("whole"))
@@ -224,28 +210,47 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     single = docs.groupBy("id").agg(F.count("*").alias("rows")).where("rows = 1")
     aside = stash(copies.join(single.hint("merge"), "id", "left_semi").select("id"))
 
-    shared = stash(_runs(docs, window).groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor"))
+    shared = stash(_anchored(docs, window).groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor"))
     runs = stash(_runs(docs, window).join(shared.hint("merge"), "anchor").join(aside.hint("merge"), "id", "left_anti"))
-    first = runs.groupBy("anchor", "path").agg(F.min(F.struct("id", "start")).alias("source"), F.count("*").alias("n"))
-    sources = stash(first.select("anchor", "path", F.col("source.id").alias("sid"), F.col("source.start").alias("sstart"), F.col("n")))
-    placed = stash(_with_source(runs.withColumnRenamed("n", "windows"), sources, ["anchor", "path"]).select("id", "start", F.col("windows").alias("n"), "sid", "sstart"))
-    late = placed.where("id > sid")
-
-    opened = placed.where("id = sid").groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    opened = stash(_opened(docs.join(opened.hint("merge"), "id").select("id", "text", "runs"), window))
-    stretches = opened.where("text is not null").select("id", "start", "text")
-    edges = _edges(stretches, window).groupBy("u", "v").agg(F.min(F.struct("id", "start")).alias("source"), F.max("id").alias("last"), F.count("*").alias("n"))
-    edges = stash(edges.where("source.id < last").select("u", "v", F.col("source.id").alias("sid"), F.col("source.start").alias("sstart"), "n"))
-    single = _with_source(_edges(stretches, window), edges, ["u", "v"]).where("id > sid").select("id", "start", F.lit(1).alias("n"), "sid", "sstart")
-
-    repeated = late.select(F.col("sid").alias("id"), F.col("sstart").alias("start")).distinct()
-    ends = opened.where("text is null").select("id", "start", "u", "v").join(repeated.hint("merge"), ["id", "start"])
-    paths = compact(stash(ends.select(F.struct(F.col("id").alias("sid"), F.col("start").alias("sstart")).alias("at"), "u", "v")))
-    late = late.withColumn("at", F.struct("sid", "sstart")).join(paths.drop("place").hint("merge"), "at", "left").drop("at")
-    spans = stash(_joined_up(late.unionByName(single, allowMissingColumns=True)))
-    spans = _verifiable(spans, stretches, window)
+    around = [f(c).alias(f"{c}{i}") for c in ("before", "after") for i, f in enumerate((F.min, F.max))]
+    paths = stash(runs.groupBy("anchor", "path").agg(F.min(F.struct(F.col("id").alias("sid"), F.col("start").alias("sstart"))).alias("at"), F.max("id").alias("last"), F.count("*").alias("rows"), F.min("n").alias("n"), *around))
+    heads = _compacted(paths.where("at.sid < last"))
+
+    # windows that paths of one anchor share: all places of a path in the document that holds it first
+    branching = paths.groupBy("anchor").agg(F.count("*").alias("several")).where("several > 1").select("anchor")
+    apart = paths.join(branching.hint("merge"), "anchor")
+    several = stash(apart.where("rows > 1").select("anchor", "path", F.col("at.sid").alias("sid"), "rows"))
+    more = _with_source(runs.select("anchor", "path", "id", "start", "n"), several, ["anchor", "path"]).where("id = sid").select("id", "start", "n")
+    opened = apart.where("rows = 1").select(F.col("at.sid").alias("id"), F.col("at.sstart").alias("start"), "n").unionAll(more)
+    opened = opened.groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    edges = stash(_edges(docs.join(opened.hint("merge"), "id"), window))
+    first = edges.groupBy("u", "v").agg(F.min(F.struct("id", "start")).alias("source"), F.max("id").alias("last"), F.count("*").alias("rows"))
+    first = stash(first.where("source.id < last").select("u", "v", F.col("source.id").alias("sid"), F.col("source.start").alias("sstart"), "rows"))
+    single = stash(_joined_up(_with_source(edges, first, ["u", "v"]).where("id > sid").select("id", "start", "sid", "sstart")))
+
+    places = heads.select("sid", "sstart", "n").unionAll(single.select("sid", "sstart", "n").distinct())
+    digests = stash(_verified(places, docs, window))
+    heads = stash(heads.join(digests.hint("merge"), ["sid", "sstart", "n"]))
+    whole_paths = _with_source(runs.select("anchor", "path", "id", "start"), heads, ["anchor", "path"]).where("id > sid").select("id", "start", "n", "digest", "sid", "sstart")
+    singles = single.join(digests.hint("merge"), ["sid", "sstart", "n"]).select("id", "start", "n", "digest", "sid", "sstart")
     none = F.lit(None).cast("int")
-    return spans.select("id", "start", "n", "digest", "sid", "sstart", "path").unionByName(copies.select("id", none.alias("start"), none.alias("n"), F.col("whole").alias("digest"), "sid"), allowMissingColumns=True)
+    return whole_paths.unionAll(singles).unionAll(copies.select("id", none, none, F.col("whole"), "sid", none))
+
+
+def _compacted(paths: DataFrame) -> DataFrame:
+    """(anchor, path, sid, sstart, n, rows): heads of compacted paths, each with all the windows that follow from it and the rows that it stands in."""
+    # a node between two paths has one number, made of both, on either side; ends and branches have numbers of their own
+    node = lambda one, two: F.xxhash64(one, two)
+    u = F.when(F.col("before0") == F.col("before1"), node(F.col("before0"), F.col("path"))).otherwise(F.xxhash64(F.lit(1), "anchor", "path"))
+    v = F.when(F.col("after0") == F.col("after1"), node(F.col("path"), F.col("after0"))).otherwise(F.xxhash64(F.lit(2), "anchor", "path"))
+    places = compact(stash(paths.select("at", u.alias("u"), v.alias("v"))))
+    parts = paths.select("anchor", F.col("path").alias("words"), "at", "n", "rows").join(places.hint("merge"), "at")
+    # of a path that is whole, each part begins in the source where the one before ends
+    along, every = Window.partitionBy("path").orderBy("place").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("path")
+    follows = (F.col("at.sid") == F.col("path.sid")) & (F.col("at.sstart") == F.col("path.sstart") + F.coalesce(F.sum("n").over(along), F.lit(0)))
+    parts = parts.withColumn("follows", follows).withColumn("whole", F.bool_and("follows").over(every)).withColumn("windows", F.sum("n").over(every).cast("int"))
+    heads = parts.where("not whole or place = 0")
+    return stash(heads.select("anchor", F.col("words").alias("path"), F.col("at.sid").alias("sid"), F.col("at.sstart").alias("sstart"), F.when(F.col("whole"), F.col("windows")).otherwise(F.col("n")).alias("n"), "rows"))
 
 
 def cut_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 13) -> DataFrame:

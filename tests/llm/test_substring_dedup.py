@@ -4,6 +4,7 @@ import re
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from briefloom.llm import substring_dedup
 
@@ -97,6 +98,36 @@ def test_compaction_against_walks(spark):
     assert circle and sum(len(p) for p in got.values()) == len(source)
 
 
+def test_compacted_paths_are_the_candidates(spark, monkeypatch):
+    """A long passage of many documents is one path: one span a document, one place to verify. Without compaction it is many."""
+    rng = random.Random(11)
+    p = " ".join(f"p{rng.randrange(10**6)}" for _ in range(400))
+    docs = [(i, f"{' '.join(f'a{i}_{j}' for j in range(20))} {p} {' '.join(f'b{i}_{j}' for j in range(20))}") for i in range(12)]
+    frame = spark.createDataFrame([(*d, "s", 1, "i") for d in docs], SCHEMA)
+
+    def spans():
+        rows = [r for r in substring_dedup.repeated_spans(frame).collect() if r["n"] > 12]  # others are windows at the ends of the passage
+        return {r["id"] for r in rows}, len(rows), len({(r["sid"], r["sstart"]) for r in rows}), min(r["n"] for r in rows)
+
+    held, n, places, least = spans()
+    assert held == set(range(1, 12)) and n == 11 and places == 1 and least > 350
+    assert sorted((tuple(r) for r in substring_dedup.cut_repeated(frame).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=repr) == brute(docs, 13)
+    monkeypatch.setattr(substring_dedup, "compact", lambda paths: paths.select("at", F.col("at").alias("path"), F.lit(0).alias("place")))
+    rows = substring_dedup.repeated_spans(frame).collect()
+    assert len(rows) > 11 * 20 and max(r["n"] for r in rows) < 20
+
+
+def test_documents_that_leave_and_enter_a_path(spark):
+    """Where one document goes on otherwise, or comes from elsewhere, a path ends, whatever the number of documents."""
+    rng = random.Random(12)
+    p = [f"p{rng.randrange(10**6)}" for _ in range(200)]
+    own = lambda i: [f"x{i}_{rng.randrange(10**6)}" for _ in range(30)]
+    docs = [(1, own(1) + p), (2, own(2) + p[:100] + own(3)), (3, own(4) + p[100:] + own(5)), (4, own(6) + p[:100] + own(7) + p[100:]), (5, p[50:150]), (6, p[:60] + p[50:150] + p[140:] + p[:60]), (7, (p[:40] + own(8)) * 3)]
+    docs = [(key, " ".join(w)) for key, w in docs]
+    got = substring_dedup.cut_repeated(spark.createDataFrame([(*d, "s", 1, "i") for d in docs], SCHEMA))
+    assert sorted(tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()) == brute(docs, 13)
+
+
 def test_spans_are_verified_at_their_source(spark):
     """Words that aren't those of the source stay."""
     p, q = " ".join(f"p{i}" for i in range(20)), " ".join(f"q{i}" for i in range(20))
