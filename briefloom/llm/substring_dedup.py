@@ -37,7 +37,7 @@ HOT = 4096
 def _anchors(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places of windows, their anchors, word hashes)."""
     hashes = w.hashes()
-    k = max(2, window // 3)
+    k = max(2, window // 2)
     grams, n = rolling(hashes, k), len(hashes) - window + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), hashes
@@ -72,11 +72,7 @@ def _anchored(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _runs(docs: DataFrame, window: int) -> DataFrame:
-    """(anchor, path, id, start, n, before, after): n windows of one anchor from word ``start`` on; path is the hash of their words.
-
-    before and after: the paths of the runs around it in the text; where there is none, a number like no other.
-    """
-    names = ["anchor", "path", "id", "start", "n", "before", "after"]
+    """(anchor, path, id, start, n): n windows of one anchor from word ``start`` on; path is the hash of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,14 +83,10 @@ def _runs(docs: DataFrame, window: int) -> DataFrame:
                     continue
                 new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)])
                 start, owner, n = at[new], w.doc[at[new]], np.diff(np.r_[new, len(at)])
-                path, key, place = signed(_spans_hash(hashes, start, start + n + window - 1)), np.asarray(part.column("id"))[owner], start - w.bounds[owner]
-                joined = owner[1:] == owner[:-1]
-                ends = [signed(mix(key.view(np.uint64) * np.uint64(1 << 32) + place.astype(np.uint64), salt)) for salt in (21, 22)]
-                before, after = np.where(np.r_[False, joined], np.r_[0, path[:-1]], ends[0]), np.where(np.r_[joined, False], np.r_[path[1:], 0], ends[1])
-                columns = [signed(anchor[new]), path, key, place.astype(np.int32), n.astype(np.int32), before, after]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
+                columns = [signed(anchor[new]), signed(_spans_hash(hashes, start, start + n + window - 1)), np.asarray(part.column("id"))[owner], (start - w.bounds[owner]).astype(np.int32), n.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["anchor", "path", "id", "start", "n"])
 
-    return docs.mapInArrow(run, "anchor long, path long, id long, start int, n int, before long, after long")
+    return docs.mapInArrow(run, "anchor long, path long, id long, start int, n int")
 
 
 def _edges(docs: DataFrame, window: int) -> DataFrame:
@@ -207,44 +199,55 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     several = whole.groupBy("whole").agg(F.min("id").alias("sid"), F.max("id").alias("last")).where("sid < last")
     copies = stash(whole.join(several.hint("merge"), "whole").where("id > sid").select("id", "whole", "sid").distinct())
     # a key of several rows may stand for other texts too: it stays in the graph
-    single = docs.groupBy("id").agg(F.count("*").alias("rows")).where("rows = 1")
-    aside = stash(copies.join(single.hint("merge"), "id", "left_semi").select("id"))
+    again = stash(docs.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id"))
+    aside = stash(copies.join(again.hint("merge"), "id", "left_anti").select("id"))
 
     shared = stash(_anchored(docs, window).groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor"))
     runs = stash(_runs(docs, window).join(shared.hint("merge"), "anchor").join(aside.hint("merge"), "id", "left_anti"))
-    around = [f(c).alias(f"{c}{i}") for c in ("before", "after") for i, f in enumerate((F.min, F.max))]
-    paths = stash(runs.groupBy("anchor", "path").agg(F.min(F.struct(F.col("id").alias("sid"), F.col("start").alias("sstart"))).alias("at"), F.max("id").alias("last"), F.count("*").alias("rows"), F.min("n").alias("n"), *around))
-    heads = _compacted(paths.where("at.sid < last"))
+    at = F.min(F.struct(F.col("id").alias("sid"), F.col("start").alias("sstart"))).alias("at")
+    paths = stash(runs.groupBy("anchor", "path").agg(at, F.max("id").alias("last"), F.count("*").alias("rows"), F.min("n").alias("n")))
+    several = paths.where("rows > 1").select("anchor", "path", "at", "last", "rows")
+    places = stash(_with_source(runs, several, ["anchor", "path"]))
+    heads = _compacted(paths.where("at.sid < last"), places.where("at.sid < last"), again)
 
     # windows that paths of one anchor share: all places of a path in the document that holds it first
     branching = paths.groupBy("anchor").agg(F.count("*").alias("several")).where("several > 1").select("anchor")
-    apart = paths.join(branching.hint("merge"), "anchor")
-    several = stash(apart.where("rows > 1").select("anchor", "path", F.col("at.sid").alias("sid"), "rows"))
-    more = _with_source(runs.select("anchor", "path", "id", "start", "n"), several, ["anchor", "path"]).where("id = sid").select("id", "start", "n")
-    opened = apart.where("rows = 1").select(F.col("at.sid").alias("id"), F.col("at.sstart").alias("start"), "n").unionAll(more)
-    opened = opened.groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    opened = paths.where("rows = 1").select("anchor", F.col("at.sid").alias("id"), F.col("at.sstart").alias("start"), "n").unionAll(places.where("id = at.sid").select("anchor", "id", "start", "n"))
+    opened = opened.join(branching.hint("merge"), "anchor").groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     edges = stash(_edges(docs.join(opened.hint("merge"), "id"), window))
     first = edges.groupBy("u", "v").agg(F.min(F.struct("id", "start")).alias("source"), F.max("id").alias("last"), F.count("*").alias("rows"))
     first = stash(first.where("source.id < last").select("u", "v", F.col("source.id").alias("sid"), F.col("source.start").alias("sstart"), "rows"))
     single = stash(_joined_up(_with_source(edges, first, ["u", "v"]).where("id > sid").select("id", "start", "sid", "sstart")))
 
-    places = heads.select("sid", "sstart", "n").unionAll(single.select("sid", "sstart", "n").distinct())
-    digests = stash(_verified(places, docs, window))
+    wanted = heads.select("sid", "sstart", "n").unionAll(single.select("sid", "sstart", "n").distinct())
+    digests = stash(_verified(wanted, docs, window))
     heads = stash(heads.join(digests.hint("merge"), ["sid", "sstart", "n"]))
-    whole_paths = _with_source(runs.select("anchor", "path", "id", "start"), heads, ["anchor", "path"]).where("id > sid").select("id", "start", "n", "digest", "sid", "sstart")
+    whole_paths = _with_source(places.select("anchor", "path", "id", "start"), heads, ["anchor", "path"]).where("id > sid").select("id", "start", "n", "digest", "sid", "sstart")
     singles = single.join(digests.hint("merge"), ["sid", "sstart", "n"]).select("id", "start", "n", "digest", "sid", "sstart")
     none = F.lit(None).cast("int")
     return whole_paths.unionAll(singles).unionAll(copies.select("id", none, none, F.col("whole"), "sid", none))
 
 
-def _compacted(paths: DataFrame) -> DataFrame:
-    """(anchor, path, sid, sstart, n, rows): heads of compacted paths, each with all the windows that follow from it and the rows that it stands in."""
+def _compacted(paths: DataFrame, places: DataFrame, again: DataFrame) -> DataFrame:
+    """(anchor, path, sid, sstart, n, rows): heads of compacted ``paths``, each with all the windows that follow from it.
+
+    places: all places of the paths. Keys of several rows (``again``) tell nothing of what follows what.
+    """
+    text = Window.partitionBy("id").orderBy("start", "path")
+    begin, end = F.col("start"), F.col("start") + F.col("n")
+    own = lambda salt: F.xxhash64(F.lit(salt), "id", "start", "path")  # noqa: E731  like no other
+    around = places.join(again.select(F.col("id").alias("_again")).hint("merge"), F.col("id") == F.col("_again"), "left")
+    around = around.withColumns({"_before": F.when(F.lag(end).over(text) == begin, F.lag("path").over(text)), "_after": F.when(F.lead(begin).over(text) == end, F.lead("path").over(text))})
+    single = F.col("_again").isNull()
+    around = around.select("anchor", "path", F.coalesce(F.when(single, F.col("_before")), own(1)).alias("before"), F.coalesce(F.when(single, F.col("_after")), own(2)).alias("after"))
+    around = around.groupBy("anchor", "path").agg(*[f(c).alias(f"{c}{i}") for c in ("before", "after") for i, f in enumerate((F.min, F.max))])
+    paths = stash(paths.join(around.hint("merge"), ["anchor", "path"]))
     # a node between two paths has one number, made of both, on either side; ends and branches have numbers of their own
     node = lambda one, two: F.xxhash64(one, two)
     u = F.when(F.col("before0") == F.col("before1"), node(F.col("before0"), F.col("path"))).otherwise(F.xxhash64(F.lit(1), "anchor", "path"))
     v = F.when(F.col("after0") == F.col("after1"), node(F.col("path"), F.col("after0"))).otherwise(F.xxhash64(F.lit(2), "anchor", "path"))
-    places = compact(stash(paths.select("at", u.alias("u"), v.alias("v"))))
-    parts = paths.select("anchor", F.col("path").alias("words"), "at", "n", "rows").join(places.hint("merge"), "at")
+    joined = compact(paths.select("at", u.alias("u"), v.alias("v")))
+    parts = paths.select("anchor", F.col("path").alias("words"), "at", "n", "rows").join(joined.hint("merge"), "at")
     # of a path that is whole, each part begins in the source where the one before ends
     along, every = Window.partitionBy("path").orderBy("place").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("path")
     follows = (F.col("at.sid") == F.col("path.sid")) & (F.col("at.sstart") == F.col("path.sstart") + F.coalesce(F.sum("n").over(along), F.lit(0)))
