@@ -131,8 +131,8 @@ def _size_of(dimension: int, default: str, operator: str, unit: str, short: bool
         kind = F.when(word.isin("depth", "deep"), "depth").when(word.isin("height", "high", "tall"), "height").when(word.isin("width", "wide"), "width").when(word.isin("length", "long"), "length").otherwise(default)
         value = x["v"].cast("double")
         shown = F.concat(F.regexp_replace(value.cast("string"), r"\.0$", ""), F.lit(" ft" if unit == "ft" else " inches"))
-        bound = F.lit(": under " if operator == "max" else ": at least ")
-        label = F.concat(F.initcap(kind), F.when(F.lit(short) & (kind == "length"), F.lit(": ")).otherwise(bound), shown)
+        limit = F.lit(": under " if operator == "max" else ": at least ")
+        label = F.concat(F.initcap(kind), F.when(F.lit(short) & (kind == "length"), F.lit(": ")).otherwise(limit), shown)
         return F.struct(kind.alias("dimension"), F.lit(operator).alias("operator"), F.lit(unit).alias("unit"), value.alias("value"), label.alias("label"))
 
     return one
@@ -149,9 +149,9 @@ def size_array(text: Column, strict: bool = False) -> Column:
         arrays.append(F.transform(F.arrays_zip(values.alias("v"), named.alias("d")), _size_of(dimension, default, operator, unit, short)))
     found = F.filter(F.concat(*arrays), lambda x: x["value"] > 0)
     if strict:
-        found = F.filter(found, lambda x: ~((x["operator"] == "min") & F.exists(found, lambda y: (y["operator"] == "max") & (y["value"] == x["value"]) & (y["unit"] == x["unit"]))))
-    labels = F.array_distinct(F.transform(found, lambda x: x["label"]))
-    return F.transform(labels, lambda k: F.get(F.filter(found, lambda x: x["label"] == k), F.lit(0)))
+        twice = lambda x, all_: (x["operator"] == "min") & F.exists(all_, lambda y: (y["operator"] == "max") & (y["value"] == x["value"]) & (y["unit"] == x["unit"]))
+        found = bound(found, lambda all_: F.filter(all_, lambda x: ~twice(x, all_)))
+    return bound(found, lambda all_: F.transform(F.array_distinct(F.transform(all_, lambda x: x["label"])), lambda k: F.get(F.filter(all_, lambda x: x["label"] == k), F.lit(0))))
 
 
 def selected_sizes(f: Column) -> Column:

@@ -11,57 +11,58 @@ class Spec(NamedTuple):
     unit: str | None
     direction: str  # higher, lower, exact; boolean for specs that are present or absent
     matchers: tuple[str, ...]  # of a boolean spec: (present, absent)
+    needs: tuple[str, ...] = ()  # small letters or signs one of which a text holds wherever a matcher does; () if unknown: it is always tried
 
 
 # Numeric specifications with the patterns that read them.
 SPECS = (
-    Spec("cfm", "CFM", "CFM", "higher", (r"(\d{2,4})\s*\+?\s*cfm\b",)),
-    Spec("mph", "MPH", "MPH", "higher", (r"(\d{2,3})\s*\+?\s*mph\b",)),
-    Spec("psi", "PSI", "PSI", "higher", (r"(\d{3,4})\s*\+?\s*psi\b",)),
-    Spec("gpm", "GPM", "GPM", "higher", (r"(\d(?:\.\d+)?)\s*\+?\s*gpm\b",)),
+    Spec("cfm", "CFM", "CFM", "higher", (r"(\d{2,4})\s*\+?\s*cfm\b",), ("cfm",)),
+    Spec("mph", "MPH", "MPH", "higher", (r"(\d{2,3})\s*\+?\s*mph\b",), ("mph",)),
+    Spec("psi", "PSI", "PSI", "higher", (r"(\d{3,4})\s*\+?\s*psi\b",), ("psi",)),
+    Spec("gpm", "GPM", "GPM", "higher", (r"(\d(?:\.\d+)?)\s*\+?\s*gpm\b",), ("gpm",)),
     Spec("runtimeMin", "Runtime", "min", "higher", (
         r"(\d{1,3})\s*\+?\s*min(?:ute)?s?\s*(?:of\s*)?(?:runtime|run\s*time|run-time|per\s*charge|on\s*a\s*charge|battery\s*life)",
-        r"(?:runtime|run\s*time|run-time|battery\s*life)\b[^.\d]{0,14}(\d{1,3})\s*\+?\s*min(?:ute)?s?\b")),
-    Spec("suctionAirwatts", "Suction", "AW", "higher", (r"(\d{2,3})\s*\+?\s*(?:aw|air\s*watts?)\b",)),
-    Spec("weightLb", "Weight", "lb", "lower", (r"(\d{1,3}(?:\.\d+)?)\s*(?:lbs?|pounds?)\b",)),
-    Spec("noiseDb", "Noise", "dB", "lower", (r"(\d{2,3})\s*\+?\s*(?:db|dba|decibels?)\b",)),
+        r"(?:runtime|run\s*time|run-time|battery\s*life)\b[^.\d]{0,14}(\d{1,3})\s*\+?\s*min(?:ute)?s?\b"), ("min",)),
+    Spec("suctionAirwatts", "Suction", "AW", "higher", (r"(\d{2,3})\s*\+?\s*(?:aw|air\s*watts?)\b",), ("aw", "air")),
+    Spec("weightLb", "Weight", "lb", "lower", (r"(\d{1,3}(?:\.\d+)?)\s*(?:lbs?|pounds?)\b",), ("lb", "pound")),
+    Spec("noiseDb", "Noise", "dB", "lower", (r"(\d{2,3})\s*\+?\s*(?:db|dba|decibels?)\b",), ("db", "decibel")),
     Spec("capacityL", "Capacity", "L", "higher", (
         r"(\d{1,3}(?:\.\d+)?)\s*(?:liters?|litres?)\b",
-        r"(?:capacity|tank|bin|dust\s*bin)\b[^.\d]{0,12}(\d{1,3}(?:\.\d+)?)\s*(?:l|liters?|litres?)\b")),
-    Spec("capacityCups", "Cup capacity", "cups", "higher", (r"(\d{1,2})\s*-?\s*cups?\b",)),
-    Spec("btu", "BTU", "BTU", "higher", (r"(\d[\d,]{2,6})\s*\+?\s*btus?\b",)),
-    Spec("cookingAreaSqIn", "Cooking area", "sq in", "higher", (r"(\d{3,4})\s*(?:sq\.?\s*in(?:ches)?|square\s*inch(?:es)?)\b",)),
-    Spec("burners", "Burners", "burners", "higher", (r"(\d{1,2})\s*-?\s*burners?\b",)),
-    Spec("wattage", "Wattage", "W", "higher", (r"(\d[\d,]{2,5})\s*\+?\s*(?:w|watt|watts)\b", r"(\d[\d,]{2,5})\s*-?\s*watt\b")),
+        r"(?:capacity|tank|bin|dust\s*bin)\b[^.\d]{0,12}(\d{1,3}(?:\.\d+)?)\s*(?:l|liters?|litres?)\b"), ("liter", "litre", "capacity", "tank", "bin")),
+    Spec("capacityCups", "Cup capacity", "cups", "higher", (r"(\d{1,2})\s*-?\s*cups?\b",), ("cup",)),
+    Spec("btu", "BTU", "BTU", "higher", (r"(\d[\d,]{2,6})\s*\+?\s*btus?\b",), ("btu",)),
+    Spec("cookingAreaSqIn", "Cooking area", "sq in", "higher", (r"(\d{3,4})\s*(?:sq\.?\s*in(?:ches)?|square\s*inch(?:es)?)\b",), ("sq",)),
+    Spec("burners", "Burners", "burners", "higher", (r"(\d{1,2})\s*-?\s*burners?\b",), ("burner",)),
+    Spec("wattage", "Wattage", "W", "higher", (r"(\d[\d,]{2,5})\s*\+?\s*(?:w|watt|watts)\b", r"(\d[\d,]{2,5})\s*-?\s*watt\b"), ("w",)),
     Spec("energyCapacityWh", "Energy capacity", "Wh", "higher", (
-        r"(\d[\d,]{2,5})\s*\+?\s*(?:wh|watt[- ]?hours?)\b", r"(?:capacity|energy)\b[^.\d]{0,16}(\d[\d,]{2,5})\s*(?:wh|watt[- ]?hours?)\b")),
+        r"(\d[\d,]{2,5})\s*\+?\s*(?:wh|watt[- ]?hours?)\b", r"(?:capacity|energy)\b[^.\d]{0,16}(\d[\d,]{2,5})\s*(?:wh|watt[- ]?hours?)\b"), ("wh", "watt")),
     Spec("runningWattage", "Running wattage", "W", "higher", (
         r"(\d[\d,]{2,5})\s*\+?\s*(?:running|rated|continuous)\s*(?:w|watt|watts)\b",
         r"(?:running|rated|continuous)(?:\s+(?:output|power))?\b[^.\d]{0,16}(\d[\d,]{2,5})\s*(?:w|watt|watts)\b",
-        r"\d[\d,]{2,5}\s*(?:w|watt|watts)\s*\/\s*(\d[\d,]{2,5})\s*(?:w|watt|watts)\b")),
-    Spec("sliceCapacity", "Slice capacity", "slices", "higher", (r"(\d{1,2})\s*-?\s*slice\b",)),
+        r"\d[\d,]{2,5}\s*(?:w|watt|watts)\s*\/\s*(\d[\d,]{2,5})\s*(?:w|watt|watts)\b"), ("running", "rated", "continuous", "/")),
+    Spec("sliceCapacity", "Slice capacity", "slices", "higher", (r"(\d{1,2})\s*-?\s*slice\b",), ("slice",)),
     Spec("functionCount", "Cooking functions", "functions", "higher", (
-        r"(\d{1,2})\s*-?\s*in\s*-?\s*1\b", r"(\d{1,2})\s+(?:cooking\s*)?functions?\b", r"(\d{1,2})\s+(?:preset|presets|settings)\b")),
+        r"(\d{1,2})\s*-?\s*in\s*-?\s*1\b", r"(\d{1,2})\s+(?:cooking\s*)?functions?\b", r"(\d{1,2})\s+(?:preset|presets|settings)\b"), ("1", "function", "preset", "settings")),
     Spec("capacityQt", "Capacity", "qt", "higher", (
-        r"(\d{1,3}(?:\.\d+)?)\s*(?:qt|quart|quarts)\b", r"(?:capacity)\b[^.\d]{0,12}(\d{1,3}(?:\.\d+)?)\s*(?:qt|quart|quarts)\b")),
+        r"(\d{1,3}(?:\.\d+)?)\s*(?:qt|quart|quarts)\b", r"(?:capacity)\b[^.\d]{0,12}(\d{1,3}(?:\.\d+)?)\s*(?:qt|quart|quarts)\b"), ("qt", "quart")),
     Spec("capacityGal", "Capacity", "gal", "higher", (
-        r"(\d{1,3}(?:\.\d+)?)\s*-?\s*(?:gal|gallon|gallons)\b", r"(?:capacity|tank)\b[^.\d]{0,12}(\d{1,3}(?:\.\d+)?)\s*(?:gal|gallon|gallons)\b")),
-    Spec("capacityPint", "Capacity", "pint", "exact", (r"(\d{1,3}(?:\.\d+)?)\s*-?\s*pints?\b", r"(?:capacity)\b[^.\d]{0,12}(\d{1,3}(?:\.\d+)?)\s*pints?\b")),
+        r"(\d{1,3}(?:\.\d+)?)\s*-?\s*(?:gal|gallon|gallons)\b", r"(?:capacity|tank)\b[^.\d]{0,12}(\d{1,3}(?:\.\d+)?)\s*(?:gal|gallon|gallons)\b"), ("gal",)),
+    Spec("capacityPint", "Capacity", "pint", "exact", (r"(\d{1,3}(?:\.\d+)?)\s*-?\s*pints?\b", r"(?:capacity)\b[^.\d]{0,12}(\d{1,3}(?:\.\d+)?)\s*pints?\b"), ("pint",)),
     Spec("temperatureF", "Max temperature", "F", "higher", (
-        r"(\d{3})\s*(?:°\s*)?f\b", r"(?:up\s*to|max(?:imum)?|temperature)\b[^.\d]{0,18}(\d{3})\s*(?:degrees?|°)?\s*(?:f|fahrenheit)?\b")),
+        r"(\d{3})\s*(?:°\s*)?f\b", r"(?:up\s*to|max(?:imum)?|temperature)\b[^.\d]{0,18}(\d{3})\s*(?:degrees?|°)?\s*(?:f|fahrenheit)?\b"), ("f", "up", "max", "temperature")),
     Spec("screenSizeIn", "Screen size", "in", "higher", (
-        r'(\d{2,3}(?:\.\d+)?)\s*(?:(?:in\.?|inch(?:es)?)\b|["”](?=\W|$))', r"(\d{2,3}(?:\.\d+)?)\s*-\s*inch\b")),
-    Spec("refreshRateHz", "Refresh rate", "Hz", "higher", (r"(\d{2,3})\s*\+?\s*hz\b",)),
-    Spec("displayResolutionHeightPx", "Display resolution", "p", "higher", (r"(\d{3,4})\s*p\b", r"\b\d{3,5}\s*[x×]\s*(\d{3,4})\b")),
+        r'(\d{2,3}(?:\.\d+)?)\s*(?:(?:in\.?|inch(?:es)?)\b|["”](?=\W|$))', r"(\d{2,3}(?:\.\d+)?)\s*-\s*inch\b"), ("in", '"', "”")),
+    Spec("refreshRateHz", "Refresh rate", "Hz", "higher", (r"(\d{2,3})\s*\+?\s*hz\b",), ("hz",)),
+    Spec("displayResolutionHeightPx", "Display resolution", "p", "higher", (r"(\d{3,4})\s*p\b", r"\b\d{3,5}\s*[x×]\s*(\d{3,4})\b"), ("p", "x", "×")),
     Spec("storageGb", "Storage", "GB", "higher", (
-        r"(\d{2,5})\s*\+?\s*gb\s*(?:ssd|storage|drive)\b", r"(?:storage|ssd|solid\s*state\s*drive)\b[^.\d]{0,18}(\d{2,5})\s*\+?\s*gb\b")),
-    Spec("memoryGb", "Memory", "GB RAM", "higher", (r"(\d{1,3})\s*\+?\s*gb\s*(?:ram|memory)\b",)),
+        r"(\d{2,5})\s*\+?\s*gb\s*(?:ssd|storage|drive)\b", r"(?:storage|ssd|solid\s*state\s*drive)\b[^.\d]{0,18}(\d{2,5})\s*\+?\s*gb\b"), ("gb",)),
+    Spec("memoryGb", "Memory", "GB RAM", "higher", (r"(\d{1,3})\s*\+?\s*gb\s*(?:ram|memory)\b",), ("gb",)),
     Spec("batteryIncluded", "Battery included", None, "boolean", (
         r"\b(?:batter(?:y|ies)\s+(?:and\s+charger\s+)?included|includes?\s+(?:\(\d+\)\s+)?(?:(?:a|one|two|three|four|\d+)\s+)?(?:\d+(?:\.\d+)?\s*(?:ah|v)\s+)?(?:lithium(?:-ion)?\s+)?batter(?:y|ies)|(?:with|w\/)\s+(?:\(\d+\)\s+)?(?:(?:a|one|two|three|four|\d+)\s+)?(?:\d+(?:\.\d+)?\s*(?:ah|v)\s+)?(?:lithium(?:-ion)?\s+)?batter(?:y|ies)|\bkit\b.{0,45}\bbatter(?:y|ies)|batter(?:y|ies)\s+(?:and\s+charger\s+)?kit|comes?\s+with\s+(?:a\s+)?battery)\b",
-        r"\b(?:bare\s*tool|tool[\s-]?only|without\s+(?:a\s+)?battery|no\s+battery|batter(?:y|ies)\s+not\s+included|sold\s+as\s+(?:a\s+)?bare\s*tool)\b")),
+        r"\b(?:bare\s*tool|tool[\s-]?only|without\s+(?:a\s+)?battery|no\s+battery|batter(?:y|ies)\s+not\s+included|sold\s+as\s+(?:a\s+)?bare\s*tool)\b"), ("batter", "tool")),
     Spec("twoBatteriesIncluded", "Two batteries included", None, "boolean", (
         r"\b(?:(?:two|2|\(2\))\s+(?:(?:\d+(?:\.\d+)?)\s*(?:ah|v)\s+)?batteries|dual[\s-]?battery\s+kit)\b",
-        r"\b(?:(?:one|single|1|\(1\))\s+(?:(?:\d+(?:\.\d+)?)\s*(?:ah|v)\s+)?battery|\d+(?:\.\d+)?\s*ah\s+battery\b|bare\s*tool|tool[\s-]?only)\b")),
+        r"\b(?:(?:one|single|1|\(1\))\s+(?:(?:\d+(?:\.\d+)?)\s*(?:ah|v)\s+)?battery|\d+(?:\.\d+)?\s*ah\s+battery\b|bare\s*tool|tool[\s-]?only)\b"), ("batter", "tool")),
 )
 
 # Words around an amount that say how it binds.

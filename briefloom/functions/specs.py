@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -18,51 +19,63 @@ def _number(c: Column) -> Column:
     return F.replace(c, F.lit(","), F.lit("")).try_cast("double")
 
 
+def _group(text: Column, pattern: Column) -> Column:
+    """The first group of a pattern that is a column."""
+    return F.call_function("regexp_extract", text, pattern, F.lit(1))
+
+
 def _as_text(value: Column) -> Column:
     return F.regexp_replace(value.cast("string"), r"\.0$", "")
 
 
-def _bound_by(spec: Spec, matcher: str, source: Column):
-    """The constraint that one match imposes, from the words before it and its own."""
+def _readings(specs: Sequence[Spec]) -> Column:
+    """The dictionary as one literal, an array of readings: each pattern of a numeric specification, each boolean one, in order."""
+    rows = []
+    for s in specs:
+        shared = {"spec": s.id, "unit": s.unit, "needs": list(s.needs), "default": {"lower": "max", "exact": "equals"}.get(s.direction, "min")}
+        if s.direction == "boolean":
+            rows.append(shared | {"yes": s.matchers[0], "no": s.matchers[1]})
+        # where the matcher holds, a look-behind of fixed length, or from the beginning, captures the text before
+        rows += [shared | {"matcher": m, "around": rf"(?is)(?={m})(?<=(.{{{LOOK_BACK}}}|^.{{0,{LOOK_BACK - 1}}}))({m})"} for m in s.matchers if s.direction != "boolean"]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<spec: string, unit: string, needs: array<string>, default: string, yes: string, no: string, matcher: string, around: string>>")
+
+
+def _tried(text: Column, readings: Column) -> Column:
+    """Readings whose pattern may match a text in small letters: no pattern is tried, or compiled, without one of its units."""
+    return F.filter(readings, lambda r: (F.size(r["needs"]) == 0) | F.exists(r["needs"], lambda n: F.contains(text, n)))
+
+
+def _constraint(r: Column, kind: str, operator: Column, value: Column, hard: Column) -> Column:
+    return F.struct(r["spec"].alias("spec"), F.lit(kind).alias("kind"), operator.alias("operator"), value.alias("value"), r["unit"].alias("unit"), hard.alias("hard"))
+
+
+def _numeric(text: Column, r: Column, source: Column) -> Column:
+    """A constraint per match of a reading, in order, as the words before it and its own bind it."""
 
     def one(x: Column) -> Column:
         before = F.regexp_replace(x["0"], rf"(?i)(?:{MIN_WORDS[3:-1]}|{MAX_WORDS[3:-1]})\s+\$[\d,]+", "")
         more = x["1"].rlike(r"\d\s*\+") | before.rlike(f"(?i){MIN_WORDS}")
         less, exact = before.rlike(f"(?i){MAX_WORDS}"), before.rlike(f"(?i){EXACT_WORDS}")
-        default = {"lower": "max", "exact": "equals"}.get(spec.direction, "min")
-        operator = F.when(exact, "equals").when(more, "min").when(less, "max").otherwise(default)
+        operator = F.when(exact, "equals").when(more, "min").when(less, "max").otherwise(r["default"])
         hard = more | less | exact | before.rlike(f"(?i){HARD_WORDS}") | (source == "smart_feature")
-        value = _number(F.regexp_extract(x["1"], rf"(?is){matcher}", 1))
-        return F.struct(F.lit(spec.id).alias("spec"), F.lit("numeric").alias("kind"), operator.alias("operator"), value.alias("value"), F.lit(spec.unit).alias("unit"), hard.alias("hard"))
+        return _constraint(r, "numeric", operator, _number(_group(x["1"], F.concat(F.lit("(?is)"), r["matcher"]))), hard)
 
-    return one
-
-
-def _numeric(text: Column, spec: Spec, source: Column) -> list[Column]:
-    """For each pattern an array of constraints, one per match, in order."""
-    out = []
-    for matcher in spec.matchers:
-        # where the matcher holds, a look-behind of fixed length, or from the beginning, captures the text before
-        pattern = F.lit(rf"(?is)(?={matcher})(?<=(.{{{LOOK_BACK}}}|^.{{0,{LOOK_BACK - 1}}}))({matcher})")
-        parts = F.arrays_zip(*[F.regexp_extract_all(text, pattern, F.lit(i)).alias(name) for name, i in (("0", 2), ("1", 3))])
-        out.append(F.transform(parts, _bound_by(spec, matcher, source)))
-    return out
+    return F.transform(F.arrays_zip(*[F.regexp_extract_all(text, r["around"], F.lit(i)).alias(name) for name, i in (("0", 2), ("1", 3))]), one)
 
 
-def _boolean(text: Column, spec: Spec, source: Column) -> Column:
+def _boolean(text: Column, r: Column, source: Column) -> Column:
     """One constraint at most: present or absent, whichever is asked for first; what is avoided is asked for the other way round."""
-    yes, no = (rf"(?is)(?:^|.*?)({m})" for m in spec.matchers)
+    holds = lambda m: F.rlike(text, F.concat(F.lit("(?is)"), m))
 
-    def one(pattern: str, value: Column) -> Column:
-        before = F.regexp_extract(text, pattern.replace("(?:^|.*?)", "^(.*?)"), 1)
+    def one(m: Column, value: Column) -> Column:
+        before = _group(text, F.concat(F.lit("(?is)^(.*?)("), m, F.lit(")")))
         hard = F.substring(before, -LOOK_BACK, LOOK_BACK).rlike(f"(?i){HARD_WORDS}") | (source == "smart_feature")
-        return F.array(F.struct(F.lit(spec.id).alias("spec"), F.lit("boolean").alias("kind"), F.lit("equals").alias("operator"), value.alias("value"), F.lit(None).cast("string").alias("unit"), hard.alias("hard")))
+        return F.array(_constraint(r, "boolean", F.lit("equals"), value, hard))
 
     avoided = source == "avoid"
-    present, absent = one(yes, F.when(avoided, 0.0).otherwise(1.0)), one(no, F.when(avoided, 1.0).otherwise(0.0))
-    empty = F.filter(present, lambda x: F.lit(False))
-    first_no = F.when(text.rlike(no), absent).when(text.rlike(yes), present).otherwise(empty)
-    return F.when(avoided, first_no).when(text.rlike(yes), present).when(text.rlike(no), absent).otherwise(empty)
+    present, absent = one(r["yes"], F.when(avoided, 0.0).otherwise(1.0)), one(r["no"], F.when(avoided, 1.0).otherwise(0.0))
+    first_no = F.when(holds(r["no"]), absent).when(holds(r["yes"]), present)
+    return F.coalesce(F.when(avoided, first_no).when(holds(r["yes"]), present).when(holds(r["no"]), absent), F.filter(present, lambda x: F.lit(False)))
 
 
 def spec_array(text: Column, source: str | Column = "query", specs: Sequence[Spec] = SPECS) -> Column:
@@ -71,9 +84,7 @@ def spec_array(text: Column, source: str | Column = "query", specs: Sequence[Spe
     Constraints with one id (spec, operator, value) are one; hard if any of them is. A null or empty text has none.
     """
     source = F.lit(source) if isinstance(source, str) else source
-    raw, arrays = F.lower(strip(F.coalesce(text, F.lit("")))), []
-    for spec in specs:
-        arrays += [_boolean(raw, spec, source)] if spec.direction == "boolean" else _numeric(raw, spec, source)
+    read = lambda t: F.flatten(F.transform(_tried(t, _readings(specs)), lambda r: F.when(r["yes"].isNotNull(), _boolean(t, r, source)).otherwise(_numeric(t, r, source))))
     names = F.create_map(*[F.lit(x) for s in specs for x in (s.id, s.label)])
     key = lambda x: F.struct(x["spec"].alias("spec"), x["operator"].alias("operator"), x["value"].alias("value"))
 
@@ -85,7 +96,7 @@ def spec_array(text: Column, source: str | Column = "query", specs: Sequence[Spe
         fields = {n: c[n] for n in ("spec", "kind", "operator", "value", "unit")} | {"strictness": F.when(hard, "hard").otherwise("soft"), "source": source, "id": own, "label": F.when(number, numeric).otherwise(boolean)}
         return F.struct(*[v.alias(n) for n, v in fields.items()])
 
-    found = F.filter(F.concat(*arrays), lambda x: x["value"].isNotNull())
+    found = F.filter(bound(F.lower(strip(F.coalesce(text, F.lit("")))), read), lambda x: x["value"].isNotNull())
     once = lambda all_: F.transform(F.array_distinct(F.transform(all_, key)), lambda k: bound(F.filter(all_, lambda x: key(x) == k), lambda same: told(same[0], F.exists(same, lambda x: x["hard"]))))
     return bound(found, once)
 
@@ -112,9 +123,18 @@ def observed(text: Column, spec: Spec) -> Column:
 
 
 def observed_specs(rows: DataFrame, text: str, specs: Sequence[Spec] = SPECS) -> DataFrame:
-    """Adds spec and observed: a row per specification that the text shows."""
-    values = F.array(*[F.struct(F.lit(s.id).alias("spec"), observed(F.col(text), s).alias("observed")) for s in specs])
-    return rows.withColumn("_s", F.explode(F.filter(values, lambda x: x["observed"].isNotNull()))).select(*rows.columns, "_s.spec", "_s.observed")
+    """Adds spec and observed: a row per specification that the text shows. The dictionary is one literal, of any length."""
+    said = F.col(text)
+
+    def seen(r: Column) -> Column:
+        flags = F.lit("(?i)")
+        switch = F.when(F.rlike(said, F.concat(flags, r["no"])), 0.0).when(F.rlike(said, F.concat(flags, r["yes"])), 1.0)
+        number = _number(_group(said, F.concat(flags, r["matcher"])))
+        return F.struct(r["spec"].alias("spec"), F.when(r["yes"].isNotNull(), switch).otherwise(number).alias("observed"))
+
+    shown = bound(F.lower(said), lambda t: F.filter(F.transform(_tried(t, _readings(specs)), seen), lambda x: x["observed"].isNotNull()))
+    first = lambda all_: F.transform(F.array_distinct(F.transform(all_, lambda x: x["spec"])), lambda k: F.filter(all_, lambda x: x["spec"] == k)[0])
+    return rows.withColumn("_s", F.explode(bound(shown, first))).select(*rows.columns, "_s.spec", "_s.observed")
 
 
 def status(operator: Column, wanted: Column, seen: Column) -> Column:

@@ -1,8 +1,13 @@
 import random
+import re
+
+import hypothesis
+import pytest
 
 from pyspark.sql import functions as F
 
 from briefloom.functions import briefs, specs
+from briefloom.functions import dictionaries as D
 from briefloom.operators import shortlist
 
 
@@ -46,3 +51,16 @@ def test_greedy_dedupe_against_a_fold(spark):
                 want.append((u, i))
     got = shortlist.greedy_dedupe(spark.createDataFrame(rows, "u long, i long, a string, b long"), "u", "i", ["a", "b"], at_most=5)
     assert sorted((r["u"], r["i"]) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("spec", D.SPECS, ids=lambda s: s.id)
+def test_what_a_specification_needs_stands_in_all_that_it_matches(spec):
+    """Texts made from a pattern hold one of its units: no reading is left out."""
+
+    @hypothesis.settings(max_examples=60, deadline=None, suppress_health_check=list(hypothesis.HealthCheck), database=None)
+    @hypothesis.given(hypothesis.strategies.one_of(*[hypothesis.strategies.from_regex(re.compile(m, re.ASCII | re.IGNORECASE), fullmatch=True) for m in spec.matchers]))
+    def holds(text):
+        assert any(n in text.lower() for n in spec.needs)
+
+    assert spec.needs
+    holds()
