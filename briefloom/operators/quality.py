@@ -3,11 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
+from .stored import stored
+
+#: Rows of a group that one task counts.
+CHUNK = 200_000
+#: Tasks that a smaller table's groups are dealt to.
+SLOTS = 32
+
 
 def ratio(num: Column, den: Column) -> Column:
     """Four decimals, from exact decimals; null for nothing."""
@@ -40,7 +52,8 @@ def nearest_ranks(rows: DataFrame, by: Sequence[str], value: str, ranks: Mapping
 
 
 def gain(grade: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(F.lit(3), F.coalesce(grade, F.lit(0)))).cast("double")
+    """0 to 3, in whole steps; 0 for nothing."""
+    return F.greatest(F.lit(0), F.least(F.lit(3), F.floor(F.coalesce(grade, F.lit(0))))).cast("double")
 
 
 def ndcg(rows: DataFrame, by: Sequence[str], pos: str, grade: str, ideal: DataFrame, ideal_grade: str, k: int = 3) -> DataFrame:
@@ -69,20 +82,105 @@ def breakdown(rows: DataFrame, sets: Sequence[Sequence[str]], measures: Sequence
     return rows.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in every]).agg(label.alias("level"), *measures)
 
 
+def _dominance(group: np.ndarray, x: np.ndarray, y: np.ndarray, value: np.ndarray, missing: np.ndarray, weight: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """(inverted, pairs) per group: see ``inversions``. Points of one group with different x are pairs, counted by their weights.
+
+    Two different x part at one bit of their ranks within the group, and only there: at each bit, points with a 0 and points
+    with a 1 of one block meet once, in the order of y. No pair is made.
+    """
+    order = np.lexsort((x, group))
+    new = np.r_[True, group[order][1:] != group[order][:-1]]
+    step = np.r_[False, x[order][1:] != x[order][:-1]] & ~new
+    rank = np.empty(len(x), np.int64)
+    rank[order] = np.cumsum(step) - np.maximum.accumulate(np.where(new, np.cumsum(step), 0))
+    kinds, kind = np.unique(np.stack([value, missing]), axis=1, return_inverse=True)
+    kind, height = kind.ravel(), np.unique(y, return_inverse=True)[1].ravel()
+    inverted, pairs = np.zeros(groups, np.int64), np.zeros(groups, np.int64)
+    for bit in range(int(rank.max(initial=0)).bit_length()):
+        block = rank >> (bit + 1)
+        order = np.lexsort((height, block, group))
+        g, later, own, w = group[order], (rank[order] >> bit & 1).astype(bool), kind[order], weight[order]
+        starts = np.r_[True, (g[1:] != g[:-1]) | (block[order][1:] != block[order][:-1])]
+        levels = starts | np.r_[True, height[order][1:] != height[order][:-1]]
+        at = np.arange(len(order))
+        first, same = (np.maximum.accumulate(np.where(m, at, 0)) for m in (starts, levels))
+        last, beyond = (np.r_[np.flatnonzero(m)[1:], len(at)][np.cumsum(m) - 1] for m in (starts, levels))
+        for one in range(kinds.shape[1]):
+            upto = np.r_[0, np.cumsum(np.where(~later & (own == one), w, 0))]
+            for two in range(kinds.shape[1]):
+                right = np.flatnonzero(later & (own == two))
+                rising = w[right] * (upto[same[right]] - upto[first[right]])
+                if kinds[0, one] < kinds[0, two]:
+                    np.add.at(inverted, g[right], rising)
+                if one != two:
+                    dearer = w[right] * (upto[last[right]] - upto[beyond[right]]) if kinds[0, one] > kinds[0, two] else rising
+                    np.add.at(pairs, g[right], dearer)
+    return inverted, pairs
+
+
+def _counted(own: Sequence[str], schema: pa.Schema):
+    """Of some groups, each named by ``own``, from their points: their counts, and whether a group has several x."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = pa.array(np.arange(table.num_rows))
+        named = table.select(own).append_column("_row", rows).group_by(own).aggregate([("_row", "list")])
+        lists = named.column("_row_list").combine_chunks()
+        group = np.empty(table.num_rows, np.int64)
+        group[np.asarray(lists.flatten())] = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))
+        x, y, weight = (np.asarray(table.column(c)) for c in ("x", "y", "weight"))
+        grade = table.column("grade")
+        inverted, pairs = _dominance(group, x, y, np.asarray(grade.fill_null(0)), np.asarray(grade.is_null()), weight, len(lists))
+        low, high = np.full(len(lists), np.inf), np.full(len(lists), -np.inf)
+        np.minimum.at(low, group, x)
+        np.maximum.at(high, group, x)
+        keys = [named.column(f.name) for f in schema if f.name in own]
+        return pa.table([*keys, pa.array(inverted), pa.array(pairs), pa.array(low < high)], schema=schema)
+
+    return run
+
+
 def inversions(rows: DataFrame, by: Sequence[str], pos: str, price: str, grade: str) -> DataFrame:
     """Per group: pairs in which an earlier product is cheaper and weaker than a later one, and all pairs in which the stronger costs more.
 
-    Missing grades are 0 for the former; for the latter they differ from 0. Groups are single lists, and short.
+    Missing grades are 0 for the former; for the latter they differ from 0. Rows without a price or a place, and null keys,
+    don't count; groups without two places have no row. No pair is made: dominance is counted along sorted lists. A
+    group of more than CHUNK rows is cut twice, by place and by price: pairs within a piece of either are counted there,
+    all others between pieces.
     """
-    a = rows.select(*by, F.col(pos).alias("p1"), F.col(price).alias("c1"), F.col(grade).alias("g1")).where("c1 is not null")
-    b = rows.select(*by, F.col(pos).alias("p2"), F.col(price).alias("c2"), F.col(grade).alias("g2")).where("c2 is not null")
-    pairs = a.join(b, list(by)).where("p1 < p2")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    inverted = (zero("g1") < zero("g2")) & (F.col("c1") < F.col("c2"))
-    differ = ~F.col("g1").eqNullSafe(F.col("g2"))
-    first = zero("g1") > zero("g2")
-    dearer = F.when(first, F.col("c1") > F.col("c2")).otherwise(F.col("c2") > F.col("c1"))
-    return pairs.groupBy(*by).agg(F.count_if(inverted).alias("inverted"), F.count_if(differ & dearer).alias("pairs"))
+    keys = [f"_k{i}" for i in range(len(by))]
+    held = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*by, pos, price)])
+    given = rows.where(held).select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(pos).cast("double").alias("x"), F.col(price).cast("double").alias("y"), F.col(grade).cast("double").alias("grade"))
+    sizes = given.groupBy(*keys).agg(F.count("*").alias("n"))
+    largest, total = (v or 0 for v in sizes.agg(F.max("n"), F.sum("n")).first())
+    pieces = -(-largest // CHUNK)
+    none = F.lit(0)
+    if pieces > 1:
+        at = F.lit([i / pieces for i in range(1, pieces)])
+        cuts = given.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("x", at, 100_000).alias("xs"), F.percentile_approx("y", at, 100_000).alias("ys"))
+        cuts = stored(cuts.where(F.col("n") > CHUNK).drop("n"))
+        piece = lambda v, cs: F.coalesce(F.size(F.filter(cs, lambda c: c < v)), none)
+        given = stored(given.join(cuts, keys, "left").withColumns({"px": piece(F.col("x"), F.col("xs")), "py": piece(F.col("y"), F.col("ys")), "cut": F.col("xs").isNotNull()}).drop("xs", "ys"))
+    else:
+        given = given.withColumns({"px": none, "py": none, "cut": F.lit(False)})
+
+    def part(name: str, piece: Column, x: Column, y: Column) -> DataFrame:
+        own = given if name == "place" else given.where("cut")
+        return own.groupBy(*keys, F.lit(name).alias("part"), piece.alias("piece"), x.cast("double").alias("x"), y.cast("double").alias("y"), "grade").agg(F.count("*").alias("weight"))
+
+    points = part("place", F.col("px"), F.col("x"), F.col("y"))
+    if pieces > 1:
+        points = points.unionByName(part("price", F.col("py"), F.col("px"), F.col("y"))).unionByName(part("both", none, F.col("px"), F.col("py")))
+    # many groups, or pieces, make a task
+    own = [*keys, "part", "piece"]
+    slots = max(SLOTS, total // CHUNK * 2)
+    kept = points.select(*keys).schema
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", inverted long, pairs long, several boolean"
+    schema = to_arrow_schema(kept)
+    for name, kind in (("inverted", pa.int64()), ("pairs", pa.int64()), ("several", pa.bool_())):
+        schema = schema.append(pa.field(name, kind))
+    found = points.withColumn("_slot", F.pmod(F.xxhash64(*own), F.lit(slots))).groupBy("_slot").applyInArrow(_counted(own, schema), types)
+    out = found.groupBy(*keys).agg(F.sum("inverted").alias("inverted"), F.sum("pairs").alias("pairs"), F.bool_or("several").alias("several")).where("several")
+    return out.select(*[F.col(k).alias(c) for k, c in zip(keys, by)], "inverted", "pairs")
 
 
 def long_form(report: DataFrame, metrics: Sequence[str], name: str) -> DataFrame:
