@@ -22,8 +22,11 @@ _JOINED = 3
 
 @F.pandas_udf(T.StringType())
 def nfkd(text: pd.Series) -> pd.Series:
-    """Unicode's compatibility decomposition, which Spark has no function for."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
+    """Unicode's compatibility decomposition, which Spark has no function for. ASCII is its own, and isn't looked at."""
+    out = text.to_numpy(dtype=object, copy=True)
+    for i in [i for i, t in enumerate(out) if isinstance(t, str) and not t.isascii()]:
+        out[i] = unicodedata.normalize("NFKD", out[i])
+    return pd.Series(out)
 
 
 def evaluated(c: Column) -> Column:

@@ -8,6 +8,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _checked(rows: DataFrame, good: Column, told: Column) -> DataFrame:
+    """``rows``; fails where ``good`` doesn't hold. A filter on the check, so that no projection can prune it away."""
+    return rows.where(F.when(F.coalesce(good, F.lit(False)), True).otherwise(F.raise_error(told).cast("boolean")))
+
+
+def of_known_cases(runs: DataFrame, cases: DataFrame, case: str) -> DataFrame:
+    """``runs``; fails on a run of a case that ``cases`` lacks."""
+    known = cases.select(F.col(case).alias("_case")).distinct()
+    both = runs.join(known, F.col(case) == F.col("_case"), "left")
+    return _checked(both, F.col("_case").isNotNull(), F.concat(F.lit("unknown case: "), F.coalesce(F.col(case).cast("string"), F.lit("none")))).drop("_case")
+
+
+def with_binding(decisions: DataFrame, files: DataFrame, digest: str) -> DataFrame:
+    """``decisions`` with path and bound: the file (``json_documents.read_files``) whose bytes have the digest that they name; the first by path, if several have. Null and false for none."""
+    seen = files.where("sha256 is not null").groupBy("sha256").agg(F.min("path").alias("path"))
+    return decisions.join(seen, F.lower(F.col(digest)) == F.col("sha256"), "left").withColumn("bound", F.col("path").isNotNull()).drop("sha256")
+
+
+def of_bound_runs(decisions: DataFrame, files: DataFrame, digest: str) -> DataFrame:
+    """``decisions`` with the path of the run that they are bound to; fails where there is none."""
+    return _checked(with_binding(decisions, files, digest), F.col("bound"), F.concat(F.lit("decisions are not bound to a run: "), F.coalesce(F.col(digest), F.lit("no digest")))).drop("bound")
+
+
 def by_position(products: DataFrame, decisions: DataFrame, case: str, pos: str) -> DataFrame:
     """Products with the decision (struct ``decision``) that stands at their position; fails where one side lacks a partner."""
     right = decisions.select(F.col(case).alias("_case"), F.col(pos).alias("_pos"), F.struct(*[c for c in decisions.columns if c not in (case, pos)]).alias("decision"))

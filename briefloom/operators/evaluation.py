@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.titles import evaluated
 from . import quality, shortlist
+from .stored import stored
 
 # Stages of the funnel in order, and what not reaching each is called.
 STAGES = (
@@ -206,7 +207,8 @@ def metrics(runs: DataFrame, cases: DataFrame, references: DataFrame, products:
     """All metrics as (metric, numerator, denominator, rate), rates with four decimals, null over nothing. Runs of unknown cases count as runs alone."""
     known = runs.join(cases.select("case_id"), "case_id", "left_semi")
     here = lambda df: df.join(known.select("case_id"), "case_id", "left_semi")
-    shown, lost = displayed(here(products), references, judgments), losses(here(references), funnel)
+    # every metric reads them
+    shown, lost = stored(displayed(here(products), references, judgments)), stored(losses(here(references), funnel))
     parts = [product_metrics(shown, cases), exact_duplicates(shown), recall_metrics(lost, cases), brand_coverage(known, cases, shown, references), budget_metrics(inversion_pairs(shown, cases)), run_metrics(runs)]
     out = parts[0]
     for p in parts[1:]:

@@ -5,15 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet and read again: what several branches read is computed once, and lost executors re-read files.
-
-    Where no folder is set, a local master gets a temporary one; a cluster's session is refused.
-    """
-    spark = df.sparkSession
+def place(spark: SparkSession) -> str:
+    """A new path in the shared folder. Where none is set, a local master gets a temporary one; a cluster's session is refused."""
     sc = spark.sparkContext
     folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -21,6 +17,12 @@ def stored(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="briefloom-"))
         folder = sc.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet and read again: what several branches read is computed once, and lost executors re-read files."""
+    spark = df.sparkSession
+    path = place(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

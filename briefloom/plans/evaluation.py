@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import evaluation
+from ..operators import adjudication, coverage, evaluation
+from ..operators.stored import place, stored
+from ..sources import json_documents
 from .registry import query, table
 
 _CASES = "o_orderkey AS case_id, o_orderpriority AS category, CASE o_orderkey % 3 WHEN 0 THEN 'broad' WHEN 1 THEN 'broad_budget' ELSE 'exact' END AS search_type, o_orderkey % 4 AS hard_requirements"
@@ -130,7 +132,7 @@ FROM runs JOIN cases USING (case_id) LEFT JOIN ps USING (case_id) LEFT JOIN rs U
 def case_breakdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs, cases, references, products, funnel, judgments = _suite(spark, sf_dir)
     here = lambda df: df.join(runs.select("case_id"), "case_id", "left_semi")
-    rows = evaluation.per_case(runs, cases, evaluation.displayed(here(products), references, judgments), evaluation.losses(here(references), funnel), references)
+    rows = evaluation.per_case(runs, cases, stored(evaluation.displayed(here(products), references, judgments)), stored(evaluation.losses(here(references), funnel)), references)
     return evaluation.case_breakdown(rows, "search_type")
 
 
@@ -165,3 +167,54 @@ def case_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     here = lambda df: df.join(runs.select("case_id"), "case_id", "left_semi")
     shown, lost = evaluation.displayed(here(products), references, judgments), evaluation.losses(here(references), funnel)
     return evaluation.case_lines(runs.join(cases.select("case_id"), "case_id").select("case_id"), shown, lost)
+
+
+@query("""
+WITH c AS (SELECT n_nationkey AS nation, count(c_custkey) AS customers FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1),
+f AS (SELECT nation, customers, sha256('{"nation":' || nation || ',"customers":' || customers || '}' || chr(10)) AS digest FROM c),
+d AS (SELECT nation, sha256('{"nation":' || nation || ',"customers":' || (customers + nation % 3 // 2) || '}' || chr(10)) AS digest FROM c)
+SELECT d.nation, f.digest IS NOT NULL AS bound, f.customers FROM d LEFT JOIN f USING (digest)
+""")
+def bound_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report file per nation, and decisions that name a report by its digest; every third was made before the report's last change."""
+    customers = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("customers"))
+    counts = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("nation")).join(customers.withColumn("nation", F.col("nation").cast("long")), "nation", "left").na.fill(0)
+    counts, path = stored(counts), place(spark)
+    written = lambda n: F.to_json(F.struct("nation", (F.col("customers") + n).alias("customers")))
+    counts.select(F.col("nation").alias("file"), written(F.lit(0)).alias("value")).repartition("file").write.partitionBy("file").text(path)
+    files = json_documents.read_files(spark, path, "nation long, customers long")
+    decisions = counts.select("nation", F.sha2(F.concat(written(F.floor(F.col("nation") % 3 / 2)), F.lit("\n")), 256).alias("run"))
+    found = adjudication.with_binding(decisions, files, "run")
+    return found.join(files.select("path", "document.customers"), "path", "left").select("nation", "bound", "customers")
+
+
+@query("""
+WITH s AS (SELECT DISTINCT user_id * 1000 + date_diff('day', DATE '2024-01-01', ts::DATE) AS run, user_id, floor(value / 10)::BIGINT AS item FROM events WHERE value IS NOT NULL),
+r AS (SELECT DISTINCT run, user_id FROM s),
+p AS (SELECT run AS one, lead(run) OVER (PARTITION BY user_id ORDER BY run) AS other FROM r),
+n AS (SELECT run, count(*) AS n FROM s GROUP BY run),
+m AS (SELECT one, other, count(*) AS shared FROM p JOIN s a ON a.run = one JOIN s b ON b.run = other AND b.item = a.item GROUP BY ALL)
+SELECT one, other, coalesce(shared, 0) AS shared, a.n + b.n - coalesce(shared, 0) AS either, round(coalesce(shared, 0)::DECIMAL(20,0) / (a.n + b.n - coalesce(shared, 0)), 4)::DOUBLE AS jaccard
+FROM p LEFT JOIN m USING (one, other) JOIN n a ON a.run = one JOIN n b ON b.run = other
+""")
+def run_resemblance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's days are runs, and buckets of values what they found: each day beside the user's next."""
+    day = F.date_diff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
+    sets = table(spark, sf_dir, "events").where("value is not null").select("user_id", (F.col("user_id") * 1000 + day).alias("run"), F.floor(F.col("value") / 10).alias("item"))
+    runs = sets.select("user_id", "run").distinct().withColumn("other", F.lead("run").over(Window.partitionBy("user_id").orderBy("run")))
+    return coverage.resemblance(sets, runs.where("other is not null").select(F.col("run").alias("one"), "other"), "run", "item")
+
+
+@query(r"""
+WITH w AS (SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS held, string_split(lower(p_name), ' ') AS w FROM part),
+n AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN list_append(held, w[2] || p_size) ELSE held END AS held FROM w JOIN part USING (p_partkey)),
+l AS (SELECT p_partkey AS leader, [w[1]] AS brand, CASE p_partkey % 20 WHEN 0 THEN [] ELSE [w[2]] END AS lines FROM w WHERE p_partkey % 10 = 0)
+SELECT leader, count(*) AS names FROM l JOIN n ON list_has_all(held, brand) AND (len(lines) = 0 OR len(list_filter(held, lambda h: regexp_matches(h, '^' || lines[1] || '\d*$'))) > 0) GROUP BY leader
+""")
+def leader_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth part is a leader: its first word the brand, its second the line, if any; a third of the names also hold a model of the line."""
+    part = table(spark, sf_dir, "part")
+    word = lambda i: F.get(F.split("p_name", " "), F.lit(i))
+    names = part.select(F.when(F.col("p_partkey") % 3 == 0, F.concat_ws(" ", "p_name", F.concat(word(1), F.col("p_size").cast("string")))).otherwise(F.col("p_name")).alias("name"))
+    leaders = part.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("leader"), word(0).alias("brand"), F.when(F.col("p_partkey") % 20 != 0, F.array(word(1))).alias("lines"))
+    return coverage.covered(names, leaders, "name", "leader", "brand", "lines").groupBy("leader").agg(F.count("*").alias("names"))

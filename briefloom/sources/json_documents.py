@@ -22,3 +22,19 @@ def body_problem(raw: Column, content_length: Column | None = None, max_bytes: i
 def read_documents(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """One row per file, fields by declared schema; what isn't declared is not read."""
     return spark.read.schema(schema).json(path, multiLine=True)
+
+
+def read_files(spark: SparkSession, path: str, schema: T.StructType | str, max_bytes: int = 64 << 20) -> DataFrame:
+    """(path, length, sha256, problem, document): a row per file below ``path``, with the digest of its bytes and its fields by ``schema``.
+
+    A broken file is a row with a ``body_problem`` and a null document, not a failure; one over ``max_bytes`` is not read at
+    all: its length is known without its content, and so it has no digest. Spark passes over files without any byte.
+    """
+    schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    size = F.col("length")
+    text = F.col("content").cast("string")
+    held = files.where(size <= max_bytes).select("path", "length", F.sha2("content", 256).alias("sha256"), body_problem(F.col("content"), max_bytes=max_bytes).alias("problem"), text.alias("_text"))
+    held = held.select("path", "length", "sha256", "problem", F.when(F.col("problem").isNull(), F.from_json("_text", schema)).alias("document"))
+    large = files.where(size > max_bytes).select("path", "length", F.lit(None).cast("string").alias("sha256"), F.lit("too_large").alias("problem"), F.lit(None).cast(schema).alias("document"))
+    return held.unionAll(large)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,32 @@ def write_new(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
 
+# A file name, and a part of a path, that no report may take.
+PROTECTED_NAMES = (".env.local",)
+PROTECTED_PARTS = ("/tests/fixtures/review-radar-live/",)
+
+
+def write_staged(df: DataFrame, path: str) -> None:
+    """Writes JSON beside ``path`` and then renames it, so that readers see the old report or the whole new one.
+
+    A job that fails leaves nothing, and what stood there stays. Protected paths are refused before anything is read.
+    """
+    plain = path.replace("\\", "/").lower()
+    if plain.rstrip("/").rpartition("/")[2] in PROTECTED_NAMES or any(p in f"{plain.rstrip('/')}/" for p in PROTECTED_PARTS):
+        raise ValueError(f"a protected path: {path}")
+    spark = df.sparkSession
+    hadoop, folder = spark._jvm.org.apache.hadoop.fs.Path, path.rstrip("/")
+    target, staged = hadoop(folder), hadoop(f"{folder}.{uuid.uuid4().hex}.tmp")
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        df.write.mode("errorifexists").json(staged.toString())
+        files.delete(target, True)
+        if not files.rename(staged, target):
+            raise OSError(f"{staged.toString()} can't be renamed to {path}")
+    finally:
+        files.delete(staged, True)
+
+
 def write_plain(df: DataFrame, path: str) -> None:
     """Writes JSON in place of what stands there."""
     df.write.mode("overwrite").json(path)

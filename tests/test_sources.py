@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from briefloom.operators import evaluation, quality
+from briefloom.operators import adjudication, evaluation, quality
 from briefloom.sources import json_documents, reports
 
 
@@ -89,3 +89,45 @@ def test_reports_are_compared_for_the_same_cases(spark):
 def test_evidence_is_capped(spark):
     rows = spark.createDataFrame([(1, 1, ["c", "a", None]), (1, 0, ["a", "b"]), (1, 2, ["d", "e"]), (2, 0, None)], "case_id long, ord int, urls array<string>")
     assert {r["case_id"]: r["urls"] for r in evaluation.evidence_urls(rows).collect()}[1] == ["a", "b", "c", "d"]
+
+
+def test_files_with_digests_and_broken_ones(spark, tmp_path):
+    import hashlib
+
+    good, other = b'{"id": "r1", "runs": [1, 2]}\n', '{"id": "ü", "more": 1}'.encode()
+    for name, content in (("a.json", good), ("deep/b.json", other), ("c.json", b"{"), ("d.json", b"\xff\xfe"), ("e.json", b""), ("f.json", b" " * 400)):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(content)
+    files = json_documents.read_files(spark, str(tmp_path / "in"), "id string, runs array<int>", max_bytes=300)
+    rows = {r["path"].rpartition("/")[2]: r for r in files.collect()}
+    assert {k: r["problem"] for k, r in rows.items()} == {"a.json": None, "b.json": None, "c.json": "invalid_json", "d.json": "invalid_encoding", "f.json": "too_large"}
+    assert rows["a.json"]["sha256"] == hashlib.sha256(good).hexdigest() and rows["a.json"]["document"]["runs"] == [1, 2] and rows["b.json"]["document"]["id"] == "ü"
+    assert rows["f.json"]["sha256"] is None and rows["c.json"]["document"] is None and rows["f.json"]["length"] == 400
+    plan = files._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length,300)" in plan
+    decisions = spark.createDataFrame([(1, hashlib.sha256(good).hexdigest().upper()), (2, "0" * 64), (3, None)], "n int, run string")
+    bound = adjudication.with_binding(decisions, files, "run").collect()
+    assert sorted((r["n"], r["bound"], (r["path"] or "").rpartition("/")[2]) for r in bound) == [(1, True, "a.json"), (2, False, ""), (3, False, "")]
+    assert adjudication.of_bound_runs(decisions.where("n = 1"), files, "run").count() == 1
+    with pytest.raises(Exception, match="not bound to a run"):
+        adjudication.of_bound_runs(decisions, files, "run").count()
+
+
+def test_unknown_cases_fail(spark):
+    runs, cases = spark.createDataFrame([("a", 1), ("b", 2)], "case_id string, n int"), spark.createDataFrame([("a",), ("b",), ("b",)], "case_id string")
+    assert adjudication.of_known_cases(runs, cases, "case_id").count() == 2
+    with pytest.raises(Exception, match="unknown case: b"):
+        adjudication.of_known_cases(runs, cases.where("case_id = 'a'"), "case_id").select("n").collect()
+
+
+def test_staged_reports(spark, tmp_path):
+    path, df = str(tmp_path / "report"), spark.createDataFrame([(1, "a")], "n int, s string")
+    reports.write_staged(df, path)
+    with pytest.raises(Exception, match="broken"):
+        reports.write_staged(df.withColumn("s", F.raise_error(F.lit("broken"))), path)
+    assert spark.read.json(path).select("n", "s").collect() == df.collect() and [p.name for p in tmp_path.iterdir() if "crc" not in p.name] == ["report"]
+    reports.write_staged(df.withColumn("n", F.lit(2)), path)
+    assert spark.read.json(path).first()["n"] == 2
+    for bad in (".env.local", "tests/fixtures/review-radar-live/x", "Tests\\fixtures\\Review-Radar-Live\\x", ".ENV.local/"):
+        with pytest.raises(ValueError, match="protected"):
+            reports.write_staged(df, f"{tmp_path}/{bad}")
