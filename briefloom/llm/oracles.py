@@ -101,6 +101,17 @@ FROM d LEFT JOIN v USING (doc_id) GROUP BY d.doc_id, d.w
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
+def _suffix_cases() -> str:
+    """Labels of a suffix by the public suffix rules, exceptions first, then the longest."""
+    rules = url_filter.SuffixRules.of(url_filter.SUFFIXES)
+    is_one = lambda k, names: f"len(l) >= {k} AND array_to_string(l[greatest(1, len(l) - {k - 1}):], '.') IN ({', '.join(map(repr, names))})"
+    cases = [f"WHEN {is_one(k, names)} THEN {k - 1}" for k, names in sorted(rules.excepted.items(), reverse=True)]
+    for k in rules.lengths():
+        cases += [f"WHEN {is_one(k, rules.plain[k])} THEN {k}"] if k in rules.plain else []
+        cases += [f"WHEN len(l) >= {k} AND {is_one(k - 1, rules.wild[k - 1])} THEN {k}"] if k - 1 in rules.wild else []
+    return " ".join(cases)
+
+
 def _strength(rows: str, parent: str) -> str:
     """Strength of a level's prior from rows (n, bad, the parent's rate)."""
     chance, spread, more = f"sum({parent} * (1 - {parent}))", f"sum(n * pow(bad / n - {parent}, 2))", f"sum({parent} * (1 - {parent}) * (n - 1))"
@@ -115,7 +126,7 @@ lb AS (SELECT doc_id, (quality = 0 OR toxic = 1)::INT AS bad FROM labels),
 oc AS (SELECT host, bad FROM pg JOIN lb ON try_cast(nullif(regexp_extract(path, '^/[^/]*/(\d{{1,18}})', 1), '') AS BIGINT) = doc_id WHERE bad IS NOT NULL),
 h0 AS (SELECT DISTINCT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':\d*$', '') AS own FROM pg),
 h1 AS (SELECT *, string_split(own, '.') AS l, regexp_matches(own, '^(\d+\.){{3}}\d+$|^\[') AS address FROM h0),
-h2 AS (SELECT *, CASE WHEN len(l) > 1 AND regexp_matches(l[len(l)], '^[a-z]{{2}}$') AND l[len(l) - 1] IN {url_filter.SECOND_LEVELS} THEN 2 ELSE 1 END AS k FROM h1),
+h2 AS (SELECT *, CASE {_suffix_cases()} WHEN len(l) > 1 AND regexp_matches(l[len(l)], '^[a-z]{{2}}$') AND l[len(l) - 1] IN {url_filter.SECOND_LEVELS} THEN 2 ELSE 1 END AS k FROM h1),
 lv AS (
   SELECT host, CASE WHEN address THEN own ELSE array_to_string(l[greatest(1, len(l) - k):], '.') END AS domain, CASE WHEN address THEN own ELSE array_to_string(l[greatest(1, len(l) - k + 1):], '.') END AS suffix FROM h2),
 hn AS (SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM oc JOIN lv USING (host) GROUP BY ALL),

@@ -72,7 +72,7 @@ def _anchored(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _runs(docs: DataFrame, window: int) -> DataFrame:
-    """(anchor, path, id, start, n): n windows of one anchor from word ``start`` on; path is the hash of their words."""
+    """(anchor, path, id, place): a run of windows of one anchor. path is the hash of its words; place holds its first word, times 2^32, and its number of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,10 +83,10 @@ def _runs(docs: DataFrame, window: int) -> DataFrame:
                     continue
                 new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)])
                 start, owner, n = at[new], w.doc[at[new]], np.diff(np.r_[new, len(at)])
-                columns = [signed(anchor[new]), signed(_spans_hash(hashes, start, start + n + window - 1)), np.asarray(part.column("id"))[owner], (start - w.bounds[owner]).astype(np.int32), n.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["anchor", "path", "id", "start", "n"])
+                columns = [signed(anchor[new]), signed(_spans_hash(hashes, start, start + n + window - 1)), np.asarray(part.column("id"))[owner], (start - w.bounds[owner]) << 32 | n]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["anchor", "path", "id", "place"])
 
-    return docs.mapInArrow(run, "anchor long, path long, id long, start int, n int")
+    return docs.mapInArrow(run, "anchor long, path long, id long, place long")
 
 
 def _edges(docs: DataFrame, window: int) -> DataFrame:
@@ -203,7 +203,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     aside = stash(copies.join(again.hint("merge"), "id", "left_anti").select("id"))
 
     shared = stash(_anchored(docs, window).groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor"))
-    runs = stash(_runs(docs, window).join(shared.hint("merge"), "anchor").join(aside.hint("merge"), "id", "left_anti"))
+    runs = _runs(docs, window).join(shared.hint("merge"), "anchor").join(aside.hint("merge"), "id", "left_anti")
+    runs = stash(runs.select("anchor", "path", "id", F.shiftright("place", 32).cast("int").alias("start"), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("n")))
     at = F.min(F.struct(F.col("id").alias("sid"), F.col("start").alias("sstart"))).alias("at")
     paths = stash(runs.groupBy("anchor", "path").agg(at, F.max("id").alias("last"), F.count("*").alias("rows"), F.min("n").alias("n")))
     several = paths.where("rows > 1").select("anchor", "path", "at", "last", "rows")

@@ -9,11 +9,13 @@ else of its suffix, else the global one, as a host of no outcomes beneath it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .public_suffixes import SUFFIXES
 from .storage import stash
 
 #: Bounds of a prior's strength, in outcomes.
@@ -45,19 +47,46 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return out
 
 
+class SuffixRules(NamedTuple):
+    """Rules by their number of labels: plain ones, wildcards (by what follows the star) and exceptions."""
+
+    plain: dict[int, list[str]]
+    wild: dict[int, list[str]]
+    excepted: dict[int, list[str]]
+
+    @classmethod
+    def of(cls, rules: Iterable[str]) -> SuffixRules:
+        out = cls({}, {}, {})
+        for r in rules:
+            kind, name = (out.wild, r[2:]) if r.startswith("*.") else (out.excepted, r[1:]) if r.startswith("!") else (out.plain, r)
+            kind.setdefault(name.count(".") + 1, []).append(name)
+        return out
+
+    def lengths(self) -> list[int]:
+        """Numbers of labels that a suffix by these rules may have, the most first."""
+        return sorted({*self.plain, *(k + 1 for k in self.wild)}, reverse=True)
+
+
 def levels(host: Column, suffixes: Sequence[str] = ()) -> tuple[Column, Column]:
     """(registered domain, suffix) of a host, its user and port left out. An IP address is both on its own.
 
-    A suffix is the longest of ``suffixes`` (further public suffixes, of any number of labels) that ends the host, else
-    two labels by the rule of SECOND_LEVELS, else the last label. The domain has one label more.
+    A suffix is the longest of the public suffix rules (SUFFIXES and ``suffixes``, wildcards and exceptions included) that
+    ends the host, else two labels by the rule of SECOND_LEVELS, else the last label. A name among ``suffixes`` is no
+    exception. The domain has one label more.
     """
     host = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":\d*$", "")
     labels, size = F.split(host, r"\."), F.size(F.split(host, r"\."))
-    long = (size > 1) & F.get(labels, size - 1).rlike("^[a-z]{2}$") & F.get(labels, size - 2).isin(*SECOND_LEVELS)
-    n = F.when(long, 2).otherwise(1)
-    for s in sorted(suffixes, key=lambda s: s.count(".")):
-        n = F.when((host == s) | F.endswith(host, F.lit("." + s)), s.count(".") + 1).otherwise(n)
     ending = lambda k: F.array_join(F.slice(labels, F.greatest(F.lit(1), size - k + 1), size), ".")
+    is_one = lambda k, names: (size >= k) & ending(k).isin(*names)
+    rules = SuffixRules.of([r for r in SUFFIXES if r.removeprefix("!") not in suffixes] + list(suffixes))
+    n = F.when(F.lit(False), 0)
+    for k, names in sorted(rules.excepted.items(), reverse=True):
+        n = n.when(is_one(k, names), k - 1)
+    for k in rules.lengths():
+        n = n.when(is_one(k, rules.plain[k]), k) if k in rules.plain else n
+        n = n.when((size >= k) & is_one(k - 1, rules.wild[k - 1]), k) if k - 1 in rules.wild else n
+    long = (size > 1) & F.get(labels, size - 1).rlike("^[a-z]{2}$") & F.get(labels, size - 2).isin(*SECOND_LEVELS)
+    n = n.when(long, 2).otherwise(1)
     address = host.rlike(r"^(\d+\.){3}\d+$|^\[")
     return F.when(address, host).otherwise(ending(n + 1)), F.when(address, host).otherwise(ending(n))
 

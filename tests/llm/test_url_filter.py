@@ -60,6 +60,17 @@ def test_levels_of_odd_hosts(spark):
     assert {r["host"]: (r["d"], r["s"]) for r in frame.select("host", domain.alias("d"), suffix.alias("s")).collect()} == hosts
 
 
+def test_public_suffix_rules(spark):
+    """Plain rules, wildcards and exceptions; rules of two labels under a country's letters by rule."""
+    from pyspark.sql import functions as F
+
+    hosts = {"a.github.io": ("a.github.io", "github.io"), "x.b.github.io": ("b.github.io", "github.io"), "github.io": ("github.io", "github.io"), "notgithub.io": ("notgithub.io", "io"), "www.ck": ("www.ck", "ck"), "a.www.ck": ("www.ck", "ck"), "a.b.ck": ("a.b.ck", "b.ck")}
+    hosts |= {"x.city.kawasaki.jp": ("city.kawasaki.jp", "kawasaki.jp"), "a.b.kawasaki.jp": ("a.b.kawasaki.jp", "b.kawasaki.jp"), "u.eu-1.compute.amazonaws.com": ("u.eu-1.compute.amazonaws.com", "eu-1.compute.amazonaws.com"), "amazonaws.com": ("amazonaws.com", "com"), "x.shared.own.example": ("x.shared.own.example", "shared.own.example")}
+    domain, suffix = url_filter.levels(F.col("host"), ["shared.own.example"])
+    frame = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert {r["host"]: (r["d"], r["s"]) for r in frame.select("host", domain.alias("d"), suffix.alias("s")).collect()} == hosts
+
+
 def test_repeated_rows_are_judged_each(spark):
     frame = spark.createDataFrame([("u@bad.org:80", 1)] * 30 + [("good.net", 0)] * 30, "host string, bad int")
     pages = spark.createDataFrame([(1, "http://u@bad.org:80/x", "h", 1, 0.5)] * 3 + [(1, "http://good.net/de/", "h", 1, 0.5), (2, "http://new.bad.org/", "h", 1, 0.5)], PAGES)
