@@ -156,8 +156,7 @@ SELECT p_partkey, 'spec-cfm-min-' || (p_size + 100) || ':' || CASE WHEN p_partke
 def merged_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Constraints of four sources: a hard one takes the place of a soft one of the same id."""
     rows = _part(spark, sf_dir, "concat('a ', p_size + 100, ' cfm blower') AS q", "CASE WHEN p_partkey % 2 = 0 THEN concat('at least ', p_size + 100, ' cfm') ELSE '' END AS p", "'Noise under 60 db' AS f", "'must be below 9 lbs' AS a")
-    some = tuple(s for s in specs.SPECS if s.id in ("cfm", "noiseDb", "weightLb"))
-    merged = specs.merged_specs([(F.col(c), source) for c, source in (("q", "query"), ("p", "priorities"), ("f", "smart_feature"), ("a", "avoid"))], some)
+    merged = specs.merged_specs([(F.col(c), source) for c, source in (("q", "query"), ("p", "priorities"), ("f", "smart_feature"), ("a", "avoid"))])
     return rows.select("p_partkey", F.array_join(F.transform(merged, lambda s: F.concat_ws(":", s["id"], s["strictness"], s["source"])), ",").alias("specs"))
 
 

@@ -21,7 +21,6 @@ from .registry import ORACLES, QUERIES
 from .registry import query as _query
 from .registry import table as _t
 
-_SOME_SPECS = tuple(s for s in D.SPECS if s.id in ("cfm", "weightLb", "noiseDb", "refreshRateHz"))
 
 
 def _brief(part: DataFrame) -> DataFrame:
@@ -53,8 +52,8 @@ FROM c LEFT JOIN o ON c.p_partkey = o.p_partkey AND c.spec = o.spec AND o.observ
 @_query(_CONSTRAINTS_SQL)
 def constraint_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _t(spark, sf_dir, "part")
-    wanted = specs.spec_constraints(_brief(part), "brief", "query", _SOME_SPECS)
-    seen = specs.observed_specs(_title(part), "title", _SOME_SPECS)
+    wanted = specs.spec_constraints(_brief(part), "brief", "query")
+    seen = specs.observed_specs(_title(part), "title")
     return specs.checked(wanted, seen, ["p_partkey"]).select("p_partkey", "spec", "operator", "value", "strictness", "observed", "status")
 
 
