@@ -84,3 +84,9 @@ def client_products(body: Column) -> Column:
         return F.struct(text(v, "$.name").alias("name"), text(v, "$.productPageUrl").alias("productPageUrl"), F.when(shown, fields).alias("image"))
 
     return F.when((F.size(listed) <= PRODUCTS_MOST) & F.forall(listed, good), F.transform(listed, product))
+
+
+def utc_day(at: Column) -> Column:
+    """The day of an instant as yyyy-mm-dd in UTC, whatever the session's time zone: the date that a research request states."""
+    micros, day = F.unix_micros(at), F.lit(86_400_000_000)
+    return F.date_from_unix_date(((micros - F.pmod(micros, day)) / day).cast("int")).cast("string")

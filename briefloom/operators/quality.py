@@ -210,3 +210,33 @@ def same_cases(before: DataFrame, after: DataFrame) -> DataFrame:
 def bayesian_rating(rating: Column, count: Column, prior: float = 4.0, strength: float = 50.0) -> Column:
     """A rating shrunk toward the prior by its number of votes."""
     return (rating * count + prior * strength) / (count + strength)
+
+
+# What a failed metric takes from 100, by its impact; a ranking of score 3 takes less; the least score of each grade.
+DEDUCTIONS = {"high": 15, "medium": 8}
+RANKING, RANKING_SCORE, RANKING_DEDUCTION = "ranking", 3, 4
+GRADES = {"A": 90, "B": 75, "C": 60}
+
+
+def search_grades(results: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, score, unsafe, complete, grade) of searches, from a row per result of a metric.
+
+    results: ``by`` and metric, axis (safety, quality), impact (high, medium), state (pass, fail, not_scored,
+    not_applicable), score (of the ranking metric). A metric that fails takes its points once a search, the most of its
+    results; a safety failure makes the grade F and leaves the score; a metric of high impact without a score allows no
+    grade above B. What isn't applicable, and what is null or another word, takes nothing. Metrics are folded before searches.
+    """
+    failed = (F.col("axis") == "quality") & (F.col("state") == "fail")
+    third = (F.col("metric") == RANKING) & (F.col("score") == RANKING_SCORE)
+    medium = F.when(third, RANKING_DEDUCTION).otherwise(DEDUCTIONS["medium"])
+    points = F.when(failed & (F.col("impact") == "high"), DEDUCTIONS["high"]).when(failed & (F.col("impact") == "medium"), medium).otherwise(0)
+    unsafe = (F.col("axis") == "safety") & (F.col("state") == "fail")
+    unscored = F.col("state") == "not_scored"
+    high = unscored & (F.col("axis") == "quality") & (F.col("impact") == "high")
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    each = results.groupBy(*by, "metric").agg(F.max(points).alias("points"), some(unsafe).alias("unsafe"), some(unscored).alias("unscored"), some(high).alias("high"))
+    out = each.groupBy(*by).agg(F.greatest(F.lit(0), 100 - F.sum("points")).cast("int").alias("score"), F.bool_or("unsafe").alias("unsafe"), (~F.bool_or("unscored")).alias("complete"), F.bool_or("high").alias("_high"))
+    letter = F.when(F.col("unsafe"), "F").when(F.col("_high") & (F.col("score") >= GRADES["A"]), "B")
+    for name, least in GRADES.items():
+        letter = letter.when(F.col("score") >= least, name)
+    return out.withColumn("grade", letter.otherwise("D")).drop("_high")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import adjudication, coverage, evaluation
+from ..functions import payloads
+from ..operators import adjudication, coverage, evaluation, quality
 from ..operators.stored import place, stored
 from ..sources import json_documents
 from .registry import query, table
@@ -218,3 +219,25 @@ def leader_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = part.select(F.when(F.col("p_partkey") % 3 == 0, F.concat_ws(" ", "p_name", F.concat(word(1), F.col("p_size").cast("string")))).otherwise(F.col("p_name")).alias("name"))
     leaders = part.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("leader"), word(0).alias("brand"), F.when(F.col("p_partkey") % 20 != 0, F.array(word(1))).alias("lines"))
     return coverage.covered(names, leaders, "name", "leader", "brand", "lines").groupBy("leader").agg(F.count("*").alias("names"))
+
+
+_RESULTS = """l_orderkey, CASE WHEN l_linenumber = 3 THEN 'ranking' ELSE concat('m', l_linenumber) END AS metric, CASE WHEN l_partkey % 7 = 0 THEN 'safety' ELSE 'quality' END AS axis, CASE WHEN l_suppkey % 3 = 0 AND l_linenumber <> 3 THEN 'high' ELSE 'medium' END AS impact,
+  CASE WHEN l_quantity <= 20 THEN 'fail' WHEN l_quantity <= 40 THEN 'pass' WHEN l_quantity <= 45 THEN 'not_scored' ELSE 'not_applicable' END AS state, 2 + l_partkey % 2 AS score"""
+
+
+@query(f"""
+WITH r AS (SELECT {_RESULTS} FROM lineitem),
+m AS (SELECT l_orderkey, metric, max(CASE WHEN axis = 'quality' AND state = 'fail' THEN CASE WHEN impact = 'high' THEN 15 WHEN metric = 'ranking' AND score = 3 THEN 4 ELSE 8 END ELSE 0 END) AS points,
+  bool_or(axis = 'safety' AND state = 'fail') AS unsafe, bool_or(state = 'not_scored') AS unscored, bool_or(state = 'not_scored' AND axis = 'quality' AND impact = 'high') AS high FROM r GROUP BY ALL),
+s AS (SELECT l_orderkey, greatest(0, 100 - sum(points))::INT AS score, bool_or(unsafe) AS unsafe, NOT bool_or(unscored) AS complete, bool_or(high) AS high FROM m GROUP BY ALL)
+SELECT l_orderkey, score, unsafe, complete, CASE WHEN unsafe THEN 'F' WHEN score >= 90 AND NOT high THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' ELSE 'D' END AS grade FROM s
+""")
+def search_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as searches, their lines as results of metrics; line numbers repeat within an order."""
+    return quality.search_grades(spark.sql(f"SELECT {_RESULTS} FROM {{lines}}", lines=table(spark, sf_dir, "lineitem")), ["l_orderkey"])
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+def days_of_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = payloads.utc_day(F.expr("to_timestamp(concat(string(ts), 'Z'))"))
+    return table(spark, sf_dir, "events").groupBy(at.alias("day"), "event_type").agg(F.count("*").alias("n"))

@@ -15,6 +15,7 @@ from ..functions import briefs, features, links, requests, specs, text, titles
 from ..functions import dictionaries as D
 from ..operators import adjudication, admission, quality, requirements, shortlist
 from ..sources import json_documents, reports
+from . import dictionary as _dictionary  # noqa: F401  registers its query
 from . import edges as _edges  # noqa: F401  registers its queries
 from . import evaluation as _evaluation  # noqa: F401  registers its queries
 from .registry import ORACLES, QUERIES

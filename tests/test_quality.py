@@ -57,3 +57,17 @@ def test_a_list_of_many_lines(spark):
 def test_gain_goes_in_steps(spark):
     rows = spark.createDataFrame([(g,) for g in (None, -1.0, 0.5, 1.0, 2.5, 3.0, 7.0)], "g double")
     assert [r[0] for r in rows.select(quality.gain(F.col("g"))).collect()] == [0, 0, 0, 1, 2, 3, 3]
+
+
+def test_search_grades(spark):
+    rows = [
+        ("a", "m1", "quality", "high", "pass", None), ("a", "ranking", "quality", "medium", "fail", 3), ("a", "m2", "quality", "medium", "not_applicable", None),  # 96: A
+        ("b", "m1", "quality", "high", "not_scored", None), ("b", "m2", "quality", "medium", "pass", None),  # 100, but B
+        ("c", "m1", "quality", "high", "fail", None), ("c", "m1", "quality", "high", "fail", None), ("c", "m2", "quality", "medium", "fail", None),  # 77: once each
+        ("d", "m1", "safety", "high", "fail", None), ("d", "m2", "quality", "medium", "not_scored", None),  # 100, but F
+        *[("e", f"m{i}", "quality", "high", "fail", None) for i in range(9)],  # not below 0
+        ("f", None, "quality", None, None, None), ("g", "ranking", "quality", "medium", "fail", 3), ("g", "ranking", "quality", "medium", "fail", 2),
+        ("h", "m1", "quality", "high", "fail", None), ("h", "m2", "quality", "high", "fail", None), ("h", "m3", "quality", "medium", "fail", None), ("h", "m4", "safety", "high", "not_scored", None),
+    ]
+    got = {r[0]: tuple(r)[1:] for r in quality.search_grades(spark.createDataFrame(rows, "g string, metric string, axis string, impact string, state string, score int"), ["g"]).collect()}
+    assert got == {"a": (96, False, True, "A"), "b": (100, False, False, "B"), "c": (77, False, True, "B"), "d": (100, True, False, "F"), "e": (0, False, True, "D"), "f": (100, False, True, "A"), "g": (92, False, True, "A"), "h": (62, False, False, "C")}

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from briefloom.functions import features, requests, text, titles
+from briefloom.functions import features, payloads, requests, text, titles
 from briefloom.operators import adjudication
 
 GOOD = {"id": "a", "name": "Width", "type": "number", "operator": "lte", "value": 30, "unit": "in", "required": True, "source": "smart_features"}
@@ -91,3 +91,14 @@ def test_adjudication(spark):
         adjudication.by_position(frames[0], frames[1].where("p < 3"), "c", "p").count()
     with pytest.raises(Exception, match="no such position"):
         adjudication.duplicate_names(frames[0], "c", "p", "n", F.lit(9)).count()
+
+
+def test_day_in_utc_whatever_the_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for other in ("America/New_York", "Asia/Tokyo", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", other)
+            days = ["2026-01-01T00:30:00Z", "2025-12-31T23:59:59.999999Z", "1969-12-31T23:59:59Z", None]
+            assert each(spark, [(t,) for t in days], "t string", payloads.utc_day(F.col("t").cast("timestamp"))) == ["2026-01-01", "2025-12-31", "1969-12-31", None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
