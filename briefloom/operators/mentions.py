@@ -39,11 +39,16 @@ def _bit(at: Column) -> Column:
 
 
 def sieve(found: DataFrame) -> DataFrame:
-    """(slot, bits): bits of all phrases. What it lets through may be a phrase; what it holds back is none."""
-    slot, at = _slot(F.col("phrase"))
+    """(slot, bits): bits of all values of a one-column table. What it lets through may be one of them; what it holds back is none."""
+    slot, at = _slot(F.col(found.columns[0]))
     return found.select(slot.alias("slot"), at.alias("_at")).groupBy("slot").agg(F.bit_or(_bit(F.col("_at"))).alias("bits"))
 
 
+def _sieved(rows: DataFrame, c: str, through: DataFrame) -> DataFrame:
+    slot, at = _slot(F.col(c))
+    return rows.withColumn("slot", slot).join(F.broadcast(through), "slot").where(F.col("bits").bitwiseAND(_bit(at)) != 0).drop("slot", "bits")
+
+
 def _dealt(left: DataFrame, right: DataFrame, spread: Sequence[str]) -> DataFrame:
     """``left`` joined to ``right`` by phrase; ``left``'s rows of one phrase are dealt to SALTS parts, ``right`` meets them all."""
     own = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
@@ -53,20 +58,24 @@ def _dealt(left: DataFrame, right: DataFrame, spread: Sequence[str]) -> DataFram
 def spans(rows: DataFrame, key: Sequence[str], text: str, found: DataFrame) -> DataFrame:
     """(``key``, text_id, place, n_words, phrase): every place where words of a phrase stand consecutively, words counted from 0.
 
-    Runs of as many words as phrases have are made where the text is read and pass the sieve there; only those that may be
-    phrases are shuffled, and meet phrases by equality. How many lengths phrases have is all that the driver learns: they
+    Where the text is read, its words pass a sieve of the first one or two words of phrases; where one stands, runs of as
+    many words as phrases have pass a sieve of phrases; only those that may be one are shuffled, and meet phrases by equality. How many lengths phrases have is all that the driver learns: they
     are at most about the square root of twice the dictionary's words. Spans may overlap. text_id tells texts of a repeated
     key apart; rows that repeat key and text have equal spans, once each. Null texts and those without words have none.
     """
     lengths = sorted(r[0] for r in found.select("n_words").distinct().collect())
-    out = rows.select(*key, words(F.col(text)).alias("_w"))
-    out = out.select(*key, F.xxhash64("_w").alias("text_id"), "_w", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("n_words")).where(F.size("_w") >= F.col("n_words"))
-    places = F.sequence(F.lit(0), F.size("_w") - F.col("n_words"))
-    run = F.transform(places, lambda p: F.array_join(F.slice("_w", p + 1, F.col("n_words")), " "))
-    out = out.select(*key, "text_id", "n_words", F.posexplode(run).alias("place", "phrase"))
-    slot, at = _slot(F.col("phrase"))
-    seen = out.withColumn("slot", slot).join(F.broadcast(sieve(found)), "slot").where(F.col("bits").bitwiseAND(_bit(at)) != 0)
-    met = _dealt(seen.select(*key, "text_id", "place", "phrase"), found, ("text_id", "place"))
+    heads = sorted({min(n, 2) for n in lengths})
+    listed = lambda ns: F.array(*map(F.lit, ns)).cast("array<int>")
+    out = rows.select(*key, words(F.col(text)).alias("_w")).select(*key, F.xxhash64("_w").alias("text_id"), "_w")
+    out = out.select(*key, "text_id", "_w", F.posexplode_outer("_w").alias("place", "_word"))
+    out = out.select("*", F.explode(listed(heads)).alias("_n")).where(F.col("place") + F.col("_n") <= F.size("_w"))
+    head = F.when(F.col("_n") == 1, F.col("_word")).otherwise(F.concat_ws(" ", "_word", F.get("_w", F.col("place") + 1)))
+    out = _sieved(out.withColumn("_head", head), "_head", sieve(found.select(F.substring_index("phrase", " ", 2)).distinct()))
+    longer = F.when(F.col("_n") == 1, listed([n for n in lengths if n == 1])).otherwise(listed([n for n in lengths if n > 1]))
+    out = out.select(*key, "text_id", "_w", "place", F.explode(longer).alias("_n")).where(F.col("place") + F.col("_n") <= F.size("_w"))
+    run = F.array_join(F.slice("_w", F.col("place") + 1, F.col("_n")), " ")
+    seen = _sieved(out.select(*key, "text_id", "place", run.alias("phrase")), "phrase", sieve(found.select("phrase")))
+    met = _dealt(seen, found, ("text_id", "place"))
     return met.select(*key, "text_id", "place", "n_words", "phrase")
 
 
