@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..sources.json_documents import is_json
 from .images import product_image
 from .text import strip
 
@@ -64,7 +65,7 @@ def client_products(body: Column) -> Column:
     A list holds five at most; products have a name and an https link without credentials, and no further keys. An image
     that can't be shown is dropped and its product kept.
     """
-    listed = F.try_variant_get(F.try_parse_json(body), "$.result.recommendations", "array<variant>")
+    listed = F.try_variant_get(F.when(is_json(body), F.try_parse_json(body)), "$.result.recommendations", "array<variant>")
 
     def text(v: Column, path: str) -> Column:
         return F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..sources.json_documents import is_json
 from . import dictionaries as D
 from .features import FEATURES, canonical_feature
 from .links import search_error
@@ -63,7 +64,7 @@ def feature_valid(item: Column) -> Column:
 
 def request_error(body: Column) -> Column:
     """The first error of a request's JSON text; null for a good one. Unknown keys are ignored; what is no JSON is no object."""
-    v = F.try_parse_json(body)
+    v = F.when(is_json(body), F.try_parse_json(body))
     query, features = _text(v, "query"), _field(v, "selectedFeatures")
     given = lambda name: _kind(_field(v, name)) != "VOID"
     bad = lambda name, most: given(name) & F.coalesce(_units(_text(v, name)) > most, F.lit(True))

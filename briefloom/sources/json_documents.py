@@ -9,10 +9,20 @@ from pyspark.sql import types as T
 DEFAULT_BYTES = 64 * 1024
 
 
+def is_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing else; null for a null text.
+
+    Spark's parser stops after the first value ("12 apples" is 12 to it). What follows a value is refused by an array
+    around the text or by an object around it: no text goes on after its first value inside both.
+    """
+    within = lambda start, end: F.try_parse_json(F.concat(F.lit(start), text, F.lit(end))).isNotNull()
+    return F.when(text.isNotNull(), within("[", "]") & within('{"a":', "}"))
+
+
 def body_problem(raw: Column, content_length: Column | None = None, max_bytes: int = DEFAULT_BYTES) -> Column:
     """Why a body is refused, the first reason that holds; null for a good one. raw: binary or string."""
     size = F.octet_length(raw)
-    out = F.when(size > max_bytes, "too_large").when(~F.is_valid_utf8(raw.cast("string")), "invalid_encoding").when(F.try_parse_json(raw.cast("string")).isNull(), "invalid_json")
+    out = F.when(size > max_bytes, "too_large").when(~F.is_valid_utf8(raw.cast("string")), "invalid_encoding").when(~F.coalesce(is_json(raw.cast("string")), F.lit(False)), "invalid_json")
     if content_length is None:
         return out
     declared = content_length.try_cast("decimal(38,0)")

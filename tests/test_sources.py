@@ -131,3 +131,23 @@ def test_staged_reports(spark, tmp_path):
     for bad in (".env.local", "tests/fixtures/review-radar-live/x", "Tests\\fixtures\\Review-Radar-Live\\x", ".ENV.local/"):
         with pytest.raises(ValueError, match="protected"):
             reports.write_staged(df, f"{tmp_path}/{bad}")
+
+
+def test_body_is_one_json_value(spark):
+    texts = ["12 apples", "true x", '"a" b', "{} x", "[1] y", "1]", "1}", "1,2", '1,"b":2', "", "[1] ", "12", '{"a": [1]}', " null ", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0] for r in rows.orderBy("i").select(json_documents.is_json(F.col("t"))).collect()]
+    assert got == [False] * 10 + [True] * 4 + [None]
+    assert [r[0] for r in rows.orderBy("i").select(json_documents.body_problem(F.col("t"))).collect()] == ["invalid_json"] * 10 + [None] * 4 + ["invalid_json"]
+
+
+def test_body_problems_of_texts_that_begin_like_json(spark, tmp_path):
+    import oracle
+
+    from briefloom.plans import queries
+
+    texts = ["12 apples", None, "12", "true to size " * 200, "[1, 2]", "[1]" + " " * 3000, "prose"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = oracle.duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert not oracle.differences(queries.queries()["body_problems"](spark, str(tmp_path)), con, queries.oracle_sql()["body_problems"])
