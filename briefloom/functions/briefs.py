@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,17 +74,21 @@ def budget_rule(budget: Column, priorities: Column, query: Column) -> Column:
 
 def category_group(category: Column) -> Column:
     """The first group one of whose terms the text contains, what ``base_category`` leaves out aside; else general."""
-    text, out = plain(base_category(category)), F.lit("general")
-    for group, terms in reversed(D.CATEGORIES):
-        held = F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(text, t))
-        out = F.when(held, group).otherwise(out)
-    return out
+
+    def of(text: Column) -> Column:
+        out = F.lit("general")
+        for group, terms in reversed(D.CATEGORIES):
+            out = F.when(reduce(or_, [F.contains(text, F.lit(t)) for t in terms]), group).otherwise(out)
+        return out
+
+    # the text is made once, not once per term
+    return bound(plain(base_category(category)), of)
 
 
 def premium_cap(amount: Column, group: Column) -> Column:
     """What a premium pick may cost: the lesser of budget times multiplier and budget plus allowance."""
-    look = lambda d, other: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, v in d.items() for x in (k, float(v))]), group), F.lit(other))
-    return js_round(F.least(amount * look(D.PREMIUM_MULTIPLIER, 2.0), amount + look(D.PREMIUM_ALLOWANCE, 500.0)))
+    look = lambda d, other, g: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, v in d.items() for x in (k, float(v))]), g), F.lit(other))
+    return bound(group, lambda g: js_round(F.least(amount * look(D.PREMIUM_MULTIPLIER, 2.0, g), amount + look(D.PREMIUM_ALLOWANCE, 500.0, g))))
 
 
 def bed_size(text: Column, need_context: bool = True) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import dictionaries as D
-from .text import feature_text, squeezed
+from .text import bound, feature_text, squeezed
 
 
 def base_category(query: Column) -> Column:
@@ -17,7 +17,7 @@ def base_category(query: Column) -> Column:
     out = squeezed(out)
     for p in D.SEARCH_PRAISE:
         out = F.regexp_replace(out, p, " ")
-    return F.coalesce(F.nullif(squeezed(out), F.lit("")), squeezed(query))
+    return F.coalesce(bound(squeezed(out), lambda t: F.when(t != "", t)), squeezed(query))
 
 
 def feature_category(category: Column) -> Column:

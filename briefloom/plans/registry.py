@@ -22,3 +22,8 @@ def query(sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt to all cores by their keys: a file of few megabytes is read by one or two tasks, however much its rows cost."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
