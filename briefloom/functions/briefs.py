@@ -166,24 +166,36 @@ def selected_sizes(f: Column) -> Column:
 
     A range is a minimum and a maximum; an exact value counts for lengths alone, as a minimum.
     """
-    said = requirement(f["name"])
-    held = lambda *words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(said, w))
-    dimension = F.when(held("depth"), "depth").when(held("height"), "height").when(held("length", "long"), "length").when(held("width", "size"), "width")
-    unit = F.when(F.contains(requirement(F.coalesce(f["unit"], F.lit(""))), F.lit("ft")), "ft").otherwise("in")
-    clean = strip(F.regexp_replace(f["name"], r"(?i)\s*[:=-]?\s*\d+(?:\.\d+)?\s*(?:feet|foot|ft\.?|inches|inch|in\.?)\b", ""))
-    name, span = F.when(clean == "", f["name"]).otherwise(clean), r"^(-?\d+(?:\.\d+)?)-(-?\d+(?:\.\d+)?)$"
-
-    def one(word: str, operator: str, value: Column) -> Column:
-        label = F.concat(name, F.lit(f": {word}"), F.regexp_replace(value.cast("string"), r"\.0$", ""), F.lit(" "), unit)
-        return F.struct(dimension.alias("dimension"), F.lit(operator).alias("operator"), unit.alias("unit"), value.alias("value"), label.alias("label"))
-
-    amount = F.regexp_extract(F.replace(f["value"], F.lit(","), F.lit("")), r"\d+(?:\.\d+)?", 0).try_cast("double")
-    low, high = (F.regexp_extract(f["value"], span, i).try_cast("double") for i in (1, 2))
-    none = F.filter(F.array(one("", "", F.lit(0.0))), lambda x: F.lit(False))
-    return (
-        F.when(dimension.isNull() | ((f["operator"] == "equals") & (dimension != "length")), none).when((f["operator"] == "between") & low.isNotNull() & high.isNotNull(), F.array(one("at least ", "min", low), one("under ", "max", high)))
-        .when(amount.isNull() | ~f["operator"].isin("lte", "gte", "between", "equals"), none).when(f["operator"] == "lte", F.array(one("under ", "max", amount))).when(f["operator"] == "equals", F.array(one("", "min", amount))).otherwise(F.array(one("at least ", "min", amount)))
-    )
+    span = r"^(-?\d+(?:\.\d+)?)-(-?\d+(?:\.\d+)?)$"
+
+    # step by step, so that no step's expression is repeated inside the next one's
+    def said_of(f: Column) -> Column:
+        clean = strip(F.regexp_replace(f["name"], r"(?i)\s*[:=-]?\s*\d+(?:\.\d+)?\s*(?:feet|foot|ft\.?|inches|inch|in\.?)\b", ""))
+        return F.struct(f.alias("f"), requirement(f["name"]).alias("said"), clean.alias("clean"), requirement(F.coalesce(f["unit"], F.lit(""))).alias("unit"))
+
+    def read(x: Column) -> Column:
+        f = x["f"]
+        held = lambda *words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(x["said"], w))
+        dimension = F.when(held("depth"), "depth").when(held("height"), "height").when(held("length", "long"), "length").when(held("width", "size"), "width")
+        unit = F.when(F.contains(x["unit"], F.lit("ft")), "ft").otherwise("in")
+        amount = F.regexp_extract(F.replace(f["value"], F.lit(","), F.lit("")), r"\d+(?:\.\d+)?", 0).try_cast("double")
+        low, high = (F.regexp_extract(f["value"], span, i).try_cast("double") for i in (1, 2))
+        fields = {"operator": f["operator"], "dimension": dimension, "unit": unit, "name": F.when(x["clean"] == "", f["name"]).otherwise(x["clean"]), "amount": amount, "low": low, "high": high}
+        return F.struct(*[c.alias(n) for n, c in fields.items()])
+
+    def sizes(y: Column) -> Column:
+        def one(word: str, operator: str, value: Column) -> Column:
+            label = F.concat(y["name"], F.lit(f": {word}"), F.regexp_replace(value.cast("string"), r"\.0$", ""), F.lit(" "), y["unit"])
+            return F.struct(y["dimension"].alias("dimension"), F.lit(operator).alias("operator"), y["unit"].alias("unit"), value.alias("value"), label.alias("label"))
+
+        dimension, operator, amount, low, high = (y[c] for c in ("dimension", "operator", "amount", "low", "high"))
+        none = F.filter(F.array(one("", "", F.lit(0.0))), lambda x: F.lit(False))
+        return (
+            F.when(dimension.isNull() | ((operator == "equals") & (dimension != "length")), none).when((operator == "between") & low.isNotNull() & high.isNotNull(), F.array(one("at least ", "min", low), one("under ", "max", high)))
+            .when(amount.isNull() | ~operator.isin("lte", "gte", "between", "equals"), none).when(operator == "lte", F.array(one("under ", "max", amount))).when(operator == "equals", F.array(one("", "min", amount))).otherwise(F.array(one("at least ", "min", amount)))
+        )
+
+    return bound(bound(bound(f, said_of), read), sizes)
 
 
 def size_constraints(rows: DataFrame, text: str, strict: bool = False) -> DataFrame:

@@ -89,11 +89,10 @@ def number_range(raw: Column) -> Column:
 
 def inferred_operator(raw: Column, kind: Column, allowed: Column) -> Column:
     """How an option's text binds: required for booleans, bounds by their words, between for ranges, else the feature's own first choice."""
-    said = feature_text(raw)
-    return (
+    return bound(feature_text(raw), lambda said: (
         F.when(kind == "boolean", "required").when(said.rlike(r"\b(?:under|less than|below|no more than|at most|max|maximum)\b"), "lte").when(said.rlike(r"\b(?:at least|min|minimum|more than|over)\b"), "gte")
         .when(number_range(raw).isNotNull(), "between").when(F.array_contains(allowed, "equals"), "equals").otherwise(F.coalesce(F.get(allowed, F.lit(0)), F.lit("equals")))
-    )
+    ))
 
 
 def _shown(x: Column) -> Column:
@@ -102,20 +101,29 @@ def _shown(x: Column) -> Column:
 
 def option_value(raw: Column, kind: Column, operator: Column) -> Column:
     """The value of an option as text: true, "low-high", a number, or the option itself where it holds none."""
-    span, trimmed = number_range(raw), strip(raw)
+    trimmed = strip(raw)
     numeric = kind.isin("number", "range") | operator.isin("lte", "gte")
+    joined = bound(number_range(raw), lambda span: F.concat(_shown(span["low"]), F.lit("-"), _shown(span["high"])))
     return (
-        F.when(kind == "boolean", "true").when(operator == "between", F.coalesce(F.concat(_shown(span["low"]), F.lit("-"), _shown(span["high"])), trimmed))
+        F.when(kind == "boolean", "true").when(operator == "between", F.coalesce(joined, trimmed))
         .when(numeric, F.coalesce(_shown(first_number(raw)), trimmed)).otherwise(trimmed)
     )
 
 
 def selected_feature(key: Column, name: Column, kind: Column, unit: Column, allowed: Column, raw: Column) -> Column:
     """Struct (id, name, type, operator, value, unit) of an option that a user picked."""
-    operator = inferred_operator(raw, kind, allowed)
-    value = option_value(raw, kind, operator)
-    fields = {"id": slug(F.concat_ws("-", F.coalesce(F.nullif(key, F.lit("")), name), operator, value)), "name": name, "type": kind, "operator": operator, "value": value, "unit": F.nullif(unit, F.lit(""))}
-    return F.struct(*[c.alias(n) for n, c in fields.items()])
+    # step by step, so that no step's expression is repeated inside the next one's
+    given = F.struct(*[c.alias(n) for n, c in {"key": key, "name": name, "type": kind, "unit": unit, "allowed": allowed, "raw": raw}.items()])
+    bind = lambda x: F.struct(x.alias("x"), inferred_operator(x["raw"], x["type"], x["allowed"]).alias("operator"))
+    read = lambda y: F.struct(y["x"].alias("x"), y["operator"].alias("operator"), option_value(y["x"]["raw"], y["x"]["type"], y["operator"]).alias("value"))
+
+    def made(z: Column) -> Column:
+        x, operator, value = z["x"], z["operator"], z["value"]
+        own = F.when(x["key"] != "", x["key"])
+        fields = {"id": slug(F.concat_ws("-", F.coalesce(own, x["name"]), operator, value)), "name": x["name"], "type": x["type"], "operator": operator, "value": value, "unit": F.when(x["unit"] != "", x["unit"])}
+        return F.struct(*[c.alias(n) for n, c in fields.items()])
+
+    return bound(bound(bound(given, bind), read), made)
 
 
 def legacy_feature(raw: Column) -> Column:

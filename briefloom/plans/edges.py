@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import brands, briefs, categories, features, payloads, requests, specs
+from ..functions.text import bound
 from ..operators import requirements, shortlist
 from ..sources import research, shopping
-from .registry import query, table
+from .registry import query, spread, table
 
 
 def _part(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -144,10 +145,10 @@ UNION ALL SELECT p_partkey, 'Width: under ' || n || ' in' FROM p WHERE p_partkey
 def selected_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes that selected features stand for; exact heights are none."""
     f = _picked("CASE p_partkey % 4 WHEN 0 THEN 'Seat depth' WHEN 1 THEN concat('Cable ', p_size, ' ft long') WHEN 2 THEN 'Width' ELSE 'Height' END", "in", "number", "CASE p_partkey % 4 WHEN 0 THEN concat(p_size, ' to ', p_size + 5) WHEN 2 THEN concat('under ', p_size) ELSE string(p_size) END")
-    f = F.when(F.col("p_partkey") % 4 == 1, f.withField("unit", F.lit("ft")).withField("name", F.expr("concat('Cable ', p_size, ' ft')"))).otherwise(f)
-    f = F.when(F.col("p_partkey") % 4 == 1, f.withField("name", F.concat(F.lit("Cable"), F.lit(" length ")))).otherwise(f)
+    f = bound(f, lambda f: F.when(F.col("p_partkey") % 4 == 1, f.withField("unit", F.lit("ft")).withField("name", F.expr("concat('Cable ', p_size, ' ft')"))).otherwise(f))
+    f = bound(f, lambda f: F.when(F.col("p_partkey") % 4 == 1, f.withField("name", F.concat(F.lit("Cable"), F.lit(" length ")))).otherwise(f))
     labels = F.array_join(F.transform(briefs.selected_sizes(f), lambda s: F.replace(s["label"], F.lit("Cable length"), F.lit("Cable"))), ",")
-    return table(spark, sf_dir, "part").select("p_partkey", labels.alias("labels"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", labels.alias("labels"))
 
 
 @query("""

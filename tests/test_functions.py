@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from briefloom.functions import briefs, specs
+from briefloom.functions import briefs, requests, specs
 from briefloom.functions import dictionaries as D
 from briefloom.operators import shortlist
 
@@ -64,3 +64,22 @@ def test_what_a_specification_needs_stands_in_all_that_it_matches(spec):
 
     assert spec.needs
     holds()
+
+
+def _regexes(spark, f):
+    """How many patterns the plan of f of a text tries."""
+    plan = spark.createDataFrame([("x",)], "t string").select(f(F.col("t")).alias("o"))._jdf.queryExecution().optimizedPlan().toString()
+    return len(re.findall("regexp_replace|regexp_extract|RLIKE", plan))
+
+
+def test_a_category_is_read_once(spark):
+    assert _regexes(spark, briefs.category_group) < 30
+    assert _regexes(spark, lambda t: briefs.premium_cap(F.lit(10.0), briefs.category_group(t))) < 30
+
+
+def test_a_selected_feature_is_read_once(spark):
+    made = lambda t: requests.selected_feature(t, t, F.lit("number"), F.lit("in"), F.array(F.lit("equals")), t)
+    assert _regexes(spark, made) < 60 and _regexes(spark, lambda t: briefs.selected_sizes(made(t))) < 80
+    for name, unit, raw, want in (("Depth", "in", "1 to 2", ["Depth: at least 1 in", "Depth: under 2 in"]), ("Width", "", "under 7", ["Width: under 7 in"]), ("Cord length", "ft", "5", ["Cord length: 5 ft"]), ("Height", "in", "5", []), ("Colour", None, "red", [])):
+        f = requests.selected_feature(F.lit("k"), F.lit(name), F.lit("number"), F.lit(unit), F.array(F.lit("equals")), F.col("t"))
+        assert one(spark, raw, lambda t, f=f: F.transform(briefs.selected_sizes(f), lambda s: s["label"])) == want
