@@ -13,7 +13,7 @@ from .registry import query, spread, table
 
 
 def _part(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return table(spark, sf_dir, "part").selectExpr("p_partkey", *columns)
+    return spread(table(spark, sf_dir, "part"), "p_partkey").selectExpr("p_partkey", *columns)
 
 
 @query("""
@@ -169,7 +169,7 @@ FROM part
 def feature_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Briefs with selected features: a range of depths, a colour, and a material to avoid."""
     chosen = F.array(_picked("'Seat depth'", "in", "number", "concat('20 to ', p_size + 20)"), _picked("'Color'", "", "enum", "'Navy'"), _picked("'Material'", "", "enum", "'velvet'").withField("operator", F.lit("not_equals")))
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.lit("black sofa").alias("q"), F.expr("concat('under $', p_size + 100)").alias("b"), F.lit("").alias("p"), F.lit(None).cast("string").alias("a"), chosen.alias("f"))
+    rows = spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", F.lit("black sofa").alias("q"), F.expr("concat('under $', p_size + 100)").alias("b"), F.lit("").alias("p"), F.lit(None).cast("string").alias("a"), chosen.alias("f"))
     out = requirements.structured_requirements(rows, "q", "b", "p", "a", "f")
     return out.select("p_partkey", "summary", F.array_join("colors.value", ",").alias("colors"), F.array_join("materials.value", ",").alias("materials"), F.col("budget_rule.premium_cap").alias("premium_cap"))
 
