@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,63 +21,67 @@ def _number(c: Column) -> Column:
     return F.replace(c, F.lit(","), F.lit("")).try_cast("double")
 
 
-def _group(text: Column, pattern: Column) -> Column:
-    """The first group of a pattern that is a column."""
-    return F.call_function("regexp_extract", text, pattern, F.lit(1))
-
-
 def _as_text(value: Column) -> Column:
     return F.regexp_replace(value.cast("string"), r"\.0$", "")
 
 
-def _readings(specs: Sequence[Spec]) -> Column:
-    """The dictionary as one literal, an array of readings: each pattern of a numeric specification, each boolean one, in order."""
-    rows = []
-    for s in specs:
-        shared = {"spec": s.id, "unit": s.unit, "needs": list(s.needs), "default": {"lower": "max", "exact": "equals"}.get(s.direction, "min")}
-        if s.direction == "boolean":
-            rows.append(shared | {"yes": s.matchers[0], "no": s.matchers[1]})
-        # where the matcher holds, a look-behind of fixed length, or from the beginning, captures the text before
-        rows += [shared | {"matcher": m, "around": rf"(?is)(?={m})(?<=(.{{{LOOK_BACK}}}|^.{{0,{LOOK_BACK - 1}}}))({m})"} for m in s.matchers if s.direction != "boolean"]
-    return F.from_json(F.lit(json.dumps(rows)), "array<struct<spec: string, unit: string, needs: array<string>, default: string, yes: string, no: string, matcher: string, around: string>>")
+def _readings(specs: Sequence[Spec]) -> list[tuple[Spec, tuple[str, ...]]]:
+    """The dictionary as readings, in order: each pattern of a numeric specification; both patterns of a boolean one."""
+    return [(s, m) for s in specs for m in ([s.matchers] if s.direction == "boolean" else [(m,) for m in s.matchers])]
+
 
+def _tried(text: Column, spec: Spec) -> Column:
+    """Whether a pattern may match a text in small letters: none is tried without one of its units."""
+    return reduce(or_, [F.contains(text, F.lit(n)) for n in spec.needs], F.lit(not spec.needs))
 
-def _tried(text: Column, readings: Column) -> Column:
-    """Readings whose pattern may match a text in small letters: no pattern is tried, or compiled, without one of its units."""
-    return F.filter(readings, lambda r: (F.size(r["needs"]) == 0) | F.exists(r["needs"], lambda n: F.contains(text, n)))
 
+def _sightings(text: Column, specs: Sequence[Spec], source: Column) -> Column:
+    """Structs (reading, before, whole, value) of a text: what a reading matches, in order of readings and matches, and the text before it.
+
+    Every pattern is a literal, which Spark compiles once; one from a table would be compiled for each row.
+    """
+    seen = lambda i, before, whole, value: F.struct(F.lit(i).alias("reading"), before.alias("before"), whole.alias("whole"), value.alias("value"))
 
-def _constraint(r: Column, kind: str, operator: Column, value: Column, hard: Column) -> Column:
-    return F.struct(r["spec"].alias("spec"), F.lit(kind).alias("kind"), operator.alias("operator"), value.alias("value"), r["unit"].alias("unit"), hard.alias("hard"))
+    def numeric(i: int, m: str, padded: Column) -> Column:
+        # where the matcher holds, a look-behind of one length captures the text before
+        around = F.lit(rf"(?is)(?={m})(?<=(.{{{LOOK_BACK}}}))({m})")
+        parts = F.arrays_zip(*[F.regexp_extract_all(padded, around, F.lit(g)).alias(name) for name, g in (("before", 2), ("whole", 3), ("value", 4))])
+        # the plain matcher passes over a text far faster than the one that looks around
+        return F.when(text.rlike(f"(?is){m}"), F.transform(parts, lambda x: seen(i, F.ltrim(x["before"], F.lit("\0")), x["whole"], _number(x["value"]))))
 
+    def boolean(i: int, yes: str, no: str) -> Column:
+        """One at most: present or absent, whichever is asked for first; what is avoided is asked for the other way round."""
+        avoided = source == "avoid"
+        holds = lambda m: text.rlike(f"(?is){m}")
+        one = lambda m, value: F.array(seen(i, F.substring(F.regexp_extract(text, f"(?is)^(.*?)({m})", 1), -LOOK_BACK, LOOK_BACK), F.lit(""), value))
+        present, absent = one(yes, F.when(avoided, 0.0).otherwise(1.0)), one(no, F.when(avoided, 1.0).otherwise(0.0))
+        return F.when(avoided & holds(no), absent).when(holds(yes), present).when(holds(no), absent)
 
-def _numeric(text: Column, r: Column, source: Column) -> Column:
-    """A constraint per match of a reading, in order, as the words before it and its own bind it."""
+    found = lambda padded: [F.when(_tried(text, s), boolean(i, *m) if s.direction == "boolean" else numeric(i, *m, padded)) for i, (s, m) in enumerate(_readings(specs))]
+    # signs before the text stand in for what a look-behind misses at its beginning; they are no part of a word or a space
+    return bound(F.concat(F.lit("\0" * LOOK_BACK), text), lambda padded: F.flatten(F.array_compact(F.array(*found(padded)))))
 
-    def one(x: Column) -> Column:
-        before = F.regexp_replace(x["0"], rf"(?i)(?:{MIN_WORDS[3:-1]}|{MAX_WORDS[3:-1]})\s+\$[\d,]+", "")
-        more = x["1"].rlike(r"\d\s*\+") | before.rlike(f"(?i){MIN_WORDS}")
-        less, exact = before.rlike(f"(?i){MAX_WORDS}"), before.rlike(f"(?i){EXACT_WORDS}")
-        operator = F.when(exact, "equals").when(more, "min").when(less, "max").otherwise(r["default"])
-        hard = more | less | exact | before.rlike(f"(?i){HARD_WORDS}") | (source == "smart_feature")
-        return _constraint(r, "numeric", operator, _number(_group(x["1"], F.concat(F.lit("(?is)"), r["matcher"]))), hard)
 
-    return F.transform(F.arrays_zip(*[F.regexp_extract_all(text, r["around"], F.lit(i)).alias(name) for name, i in (("0", 2), ("1", 3))]), one)
+def _constraint(x: Column, specs: Sequence[Spec], source: Column) -> Column:
+    """The constraint of a sighting, as the words before it and its own bind it."""
+    rows = [{"spec": s.id, "unit": s.unit, "default": {"lower": "max", "exact": "equals"}.get(s.direction, "min"), "kind": "boolean" if s.direction == "boolean" else "numeric"} for s, _ in _readings(specs)]
+    table = F.from_json(F.lit(json.dumps(rows)), "array<struct<spec: string, unit: string, default: string, kind: string>>")
 
+    def bind(y: Column) -> Column:
+        x, r, numeric = y["x"], y["r"], y["r"]["kind"] == "numeric"
+        told = F.when(numeric, F.regexp_replace(x["before"], rf"(?i)(?:{MIN_WORDS[3:-1]}|{MAX_WORDS[3:-1]})\s+\$[\d,]+", "")).otherwise(x["before"])
+        words = lambda before: F.struct(
+            (x["whole"].rlike(r"\d\s*\+") | before.rlike(f"(?i){MIN_WORDS}")).alias("more"), before.rlike(f"(?i){MAX_WORDS}").alias("less"), before.rlike(f"(?i){EXACT_WORDS}").alias("exact"), (before.rlike(f"(?i){HARD_WORDS}") | (source == "smart_feature")).alias("hard"),
+        )
 
-def _boolean(text: Column, r: Column, source: Column) -> Column:
-    """One constraint at most: present or absent, whichever is asked for first; what is avoided is asked for the other way round."""
-    holds = lambda m: F.rlike(text, F.concat(F.lit("(?is)"), m))
+        def made(w: Column) -> Column:
+            operator = F.when(~numeric | w["exact"], "equals").when(w["more"], "min").when(w["less"], "max").otherwise(r["default"])
+            hard = w["hard"] | (numeric & (w["more"] | w["less"] | w["exact"]))
+            return F.struct(r["spec"].alias("spec"), r["kind"].alias("kind"), operator.alias("operator"), x["value"].alias("value"), r["unit"].alias("unit"), hard.alias("hard"))
 
-    def one(m: Column, value: Column) -> Column:
-        before = _group(text, F.concat(F.lit("(?is)^(.*?)("), m, F.lit(")")))
-        hard = F.substring(before, -LOOK_BACK, LOOK_BACK).rlike(f"(?i){HARD_WORDS}") | (source == "smart_feature")
-        return F.array(_constraint(r, "boolean", F.lit("equals"), value, hard))
+        return bound(bound(told, words), made)
 
-    avoided = source == "avoid"
-    present, absent = one(r["yes"], F.when(avoided, 0.0).otherwise(1.0)), one(r["no"], F.when(avoided, 1.0).otherwise(0.0))
-    first_no = F.when(holds(r["no"]), absent).when(holds(r["yes"]), present)
-    return F.coalesce(F.when(avoided, first_no).when(holds(r["yes"]), present).when(holds(r["no"]), absent), F.filter(present, lambda x: F.lit(False)))
+    return bound(F.struct(x.alias("x"), F.get(table, x["reading"]).alias("r")), bind)
 
 
 def spec_array(text: Column, source: str | Column = "query", specs: Sequence[Spec] = SPECS) -> Column:
@@ -84,7 +90,7 @@ def spec_array(text: Column, source: str | Column = "query", specs: Sequence[Spe
     Constraints with one id (spec, operator, value) are one; hard if any of them is. A null or empty text has none.
     """
     source = F.lit(source) if isinstance(source, str) else source
-    read = lambda t: F.flatten(F.transform(_tried(t, _readings(specs)), lambda r: F.when(r["yes"].isNotNull(), _boolean(t, r, source)).otherwise(_numeric(t, r, source))))
+    read = lambda t: F.transform(F.filter(_sightings(t, specs, source), lambda x: x["value"].isNotNull()), lambda x: _constraint(x, specs, source))
     names = F.create_map(*[F.lit(x) for s in specs for x in (s.id, s.label)])
     key = lambda x: F.struct(x["spec"].alias("spec"), x["operator"].alias("operator"), x["value"].alias("value"))
 
@@ -96,7 +102,7 @@ def spec_array(text: Column, source: str | Column = "query", specs: Sequence[Spe
         fields = {n: c[n] for n in ("spec", "kind", "operator", "value", "unit")} | {"strictness": F.when(hard, "hard").otherwise("soft"), "source": source, "id": own, "label": F.when(number, numeric).otherwise(boolean)}
         return F.struct(*[v.alias(n) for n, v in fields.items()])
 
-    found = F.filter(bound(F.lower(strip(F.coalesce(text, F.lit("")))), read), lambda x: x["value"].isNotNull())
+    found = bound(F.lower(strip(F.coalesce(text, F.lit("")))), read)
     once = lambda all_: F.transform(F.array_distinct(F.transform(all_, key)), lambda k: bound(F.filter(all_, lambda x: key(x) == k), lambda same: told(same[0], F.exists(same, lambda x: x["hard"]))))
     return bound(found, once)
 
@@ -123,16 +129,13 @@ def observed(text: Column, spec: Spec) -> Column:
 
 
 def observed_specs(rows: DataFrame, text: str, specs: Sequence[Spec] = SPECS) -> DataFrame:
-    """Adds spec and observed: a row per specification that the text shows. The dictionary is one literal, of any length."""
+    """Adds spec and observed: a row per specification that the text shows. Patterns are literals, compiled once."""
     said = F.col(text)
 
-    def seen(r: Column) -> Column:
-        flags = F.lit("(?i)")
-        switch = F.when(F.rlike(said, F.concat(flags, r["no"])), 0.0).when(F.rlike(said, F.concat(flags, r["yes"])), 1.0)
-        number = _number(_group(said, F.concat(flags, r["matcher"])))
-        return F.struct(r["spec"].alias("spec"), F.when(r["yes"].isNotNull(), switch).otherwise(number).alias("observed"))
+    def seen(t: Column, s: Spec, m: tuple[str, ...]) -> Column:
+        return F.when(_tried(t, s), F.struct(F.lit(s.id).alias("spec"), observed(said, s._replace(matchers=m)).alias("observed")))
 
-    shown = bound(F.lower(said), lambda t: F.filter(F.transform(_tried(t, _readings(specs)), seen), lambda x: x["observed"].isNotNull()))
+    shown = bound(F.lower(said), lambda t: F.filter(F.array(*[seen(t, s, m) for s, m in _readings(specs)]), lambda x: x["observed"].isNotNull()))
     first = lambda all_: F.transform(F.array_distinct(F.transform(all_, lambda x: x["spec"])), lambda k: F.filter(all_, lambda x: x["spec"] == k)[0])
     return rows.withColumn("_s", F.explode(bound(shown, first))).select(*rows.columns, "_s.spec", "_s.observed")
 

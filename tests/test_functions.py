@@ -83,3 +83,10 @@ def test_a_selected_feature_is_read_once(spark):
     for name, unit, raw, want in (("Depth", "in", "1 to 2", ["Depth: at least 1 in", "Depth: under 2 in"]), ("Width", "", "under 7", ["Width: under 7 in"]), ("Cord length", "ft", "5", ["Cord length: 5 ft"]), ("Height", "in", "5", []), ("Colour", None, "red", [])):
         f = requests.selected_feature(F.lit("k"), F.lit(name), F.lit("number"), F.lit(unit), F.array(F.lit("equals")), F.col("t"))
         assert one(spark, raw, lambda t, f=f: F.transform(briefs.selected_sizes(f), lambda s: s["label"])) == want
+
+
+def test_patterns_of_specifications_are_literals(spark):
+    plan = spark.createDataFrame([("x",)], "t string").select(specs.spec_array(F.col("t")).alias("o"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "matcher" not in plan and "around" not in plan
+    got = one(spark, "must 300 cfm, under 9 lbs", lambda t: F.transform(specs.spec_array(t), lambda s: F.concat_ws(":", s["id"], s["strictness"])))
+    assert got == ["spec-cfm-min-300:hard", "spec-weightLb-max-9:hard"]
