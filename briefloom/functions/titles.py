@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
 import unicodedata
 
 import pandas as pd
@@ -20,24 +22,46 @@ UNITS = "cup cups inch in cm mm oz ml qt w watts v volt hz gb tb".split()
 _JOINED = 3
 
 
-@F.pandas_udf(T.StringType())
-def nfkd(text: pd.Series) -> pd.Series:
-    """Unicode's compatibility decomposition, which Spark has no function for. ASCII is its own, and isn't looked at."""
-    out = text.to_numpy(dtype=object, copy=True)
-    for i in [i for i, t in enumerate(out) if isinstance(t, str) and not t.isascii()]:
-        out[i] = unicodedata.normalize("NFKD", out[i])
-    return pd.Series(out)
+@functools.cache
+def _folds() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
+    """Characters whose compatibility decomposition holds ASCII: it is one such character; one, with marks from U+0300 to U+036F; anything else."""
+    one, marked, other = {}, {}, {}
+    for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1))):
+        form = unicodedata.normalize("NFKD", c)
+        if form.isascii() and len(form) == 1:
+            one[c] = form
+        elif re.fullmatch(r"[\x00-\x7f][\u0300-\u036f]+", form):
+            marked[c] = form[0]
+        elif re.search(r"[\x00-\x7f]", form):
+            other[c] = form
+    return one, marked, other
+
+
+def folded(c: Column) -> Column:
+    """Unicode's compatibility decomposition of what it makes ASCII of. Other characters stand as they are, each with a mark (U+0301) after it, as those have that it parts from letters.
+
+    Spark has no function for it. A Python function would hide from joins after it how rows are dealt, and they would be shuffled again.
+    """
+    one, marked, other = _folds()
+    replaced = lambda x, forms: F.translate(x, "".join(forms), "".join(forms.values()))
+    # one literal: planning a map of a thousand takes seconds
+    spelt = F.str_to_map(F.lit("\n".join(f"{a}\t{b}" for a, b in other.items())), F.lit("\n"), F.lit("\t"))
+    each = F.transform(F.split(c, ""), lambda x: F.when(x <= "\x7f", x).otherwise(F.coalesce(spelt[x], x)))
+    # translate looks characters up; a regular expression tries those of a class one by one
+    some = replaced(c, dict.fromkeys(other, "\0")) != c
+    parted = F.regexp_replace(replaced(F.when(some, F.array_join(each, "")).otherwise(c), one), r"([^\x00-\x7f])", "$1\u0301")
+    return F.when(F.length(c) == F.octet_length(c), c).otherwise(replaced(parted, marked))
 
 
 def evaluated(c: Column) -> Column:
     """Names as evaluations compare them. Accents split words, and a trade mark sign becomes letters."""
-    return F.trim(F.regexp_replace(F.lower(nfkd(c)), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.lower(folded(c)), "[^a-z0-9]+", " "))
 
 
 def title_tokens(c: Column) -> Column:
     """Words of a title: no accents or apostrophes; hyphens and dots inside a word are left out."""
-    folded = F.regexp_replace(F.lower(F.regexp_replace(nfkd(c), r"[̀-ͯ]", "")), "['’]", "")
-    return F.transform(F.regexp_extract_all(folded, F.lit("[a-z0-9]+(?:[-.][a-z0-9]+)*"), F.lit(0)), lambda t: F.regexp_replace(t, "[-.]", ""))
+    plain = F.regexp_replace(F.lower(F.regexp_replace(folded(c), r"[̀-ͯ]", "")), "['’]", "")
+    return F.transform(F.regexp_extract_all(plain, F.lit("[a-z0-9]+(?:[-.][a-z0-9]+)*"), F.lit(0)), lambda t: F.regexp_replace(t, "[-.]", ""))
 
 
 def _places(expected: list[str], actual: list[str]) -> list[bool] | None:

@@ -6,7 +6,7 @@ Relations, one row each:
 - references (case_id, ord, ref_id, brand, model, aliases, grade): a case's references in order
 - products (case_id, pos, name, url, price, image): what a run displayed, from position 1 on
 - judgments (case_id, product_name, seq, relevance_grade, violations, unknowns, identity_issue, family_duplicate, page, price, availability, image, evidence): the last by seq counts
-- funnel (case_id, stage, name): candidates by stage
+- funnel (case_id, stage, name): candidates by stage; or (case_id, stages, name), with the list of a candidate's stages
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.titles import evaluated
 from . import quality, shortlist
-from .stored import stored
+from .stored import stored, stored_by
 
 # Stages of the funnel in order, and what not reaching each is called.
 STAGES = (
@@ -36,32 +36,65 @@ def case_references(cases: DataFrame, registry: DataFrame) -> DataFrame:
     return listed.join(registry, "ref_id").select("case_id", "ord", "ref_id", *[c for c in registry.columns if c != "ref_id"])
 
 
+def _tight(c: Column) -> Column:
+    return F.replace(c, F.lit(" "), F.lit(""))
+
+
+def _named(names: DataFrame) -> DataFrame:
+    own = names.withColumn("_name", evaluated(F.coalesce("name", F.lit(""))))
+    return own.withColumn("_tight", _tight(F.col("_name")))
+
+
+def _stating(references: DataFrame) -> DataFrame:
+    """References with what states them: ``_brand``, and ``_as`` for each model or alias. Those that nothing states have no ``_as``."""
+    every = F.concat(F.array("model"), F.coalesce("aliases", F.array().cast("array<string>")))
+    forms = F.filter(F.transform(every, lambda a: evaluated(F.coalesce(a, F.lit("")))), lambda a: a != "")
+    return references.withColumn("_brand", evaluated(F.coalesce("brand", F.lit("")))).withColumn("_as", F.transform(forms, lambda a: F.struct(a.alias("words"), _tight(a).alias("tight"))))
+
+
+def _states(name: Column, tight: Column, brand: Column, forms: Column) -> Column:
+    return F.contains(name, brand) & F.exists(forms, lambda a: F.contains(name, a["words"]) | F.contains(tight, a["tight"]))
+
+
 def identified(names: DataFrame, references: DataFrame) -> DataFrame:
     """``names`` (case_id, name, ...) joined to each reference of the case that the name states: its brand, and its model or an alias, as words or run together.
 
     Adds ord, ref_id, brand, grade. An equi join by case with a residual condition; cases are short.
     """
-    own = names.withColumn("_name", evaluated(F.coalesce("name", F.lit("")))).withColumn("_tight", F.replace("_name", F.lit(" "), F.lit("")))
-    stated = references.withColumn("_as", F.explode(F.concat(F.array("model"), F.coalesce("aliases", F.array().cast("array<string>")))))
-    stated = stated.select("case_id", "ord", "ref_id", "brand", "grade", evaluated(F.coalesce("brand", F.lit(""))).alias("_brand"), evaluated(F.coalesce("_as", F.lit(""))).alias("_as")).where("_as <> ''")
-    hits = own.join(stated, "case_id").where(F.contains("_name", "_brand") & (F.contains("_name", "_as") | F.contains("_tight", F.replace("_as", F.lit(" "), F.lit("")))))
+    stated = _stating(references).select("case_id", "ord", "ref_id", "brand", "grade", "_brand", "_as")
+    hits = _named(names).join(stated, "case_id").where(_states(*map(F.col, ("_name", "_tight", "_brand", "_as"))))
     return hits.drop("_name", "_tight", "_brand", "_as").distinct()
 
 
 def displayed(products: DataFrame, references: DataFrame, judgments: DataFrame) -> DataFrame:
-    """``products`` with ``reference`` (ref_id, brand, grade: the first that the name states) and ``judgment`` (the last of the case and name); null for none."""
-    first = identified(products.select("case_id", "pos", "name"), references).groupBy("case_id", "pos").agg(F.min_by(F.struct("ref_id", "brand", "grade"), "ord").alias("reference"))
+    """``products`` with ``reference`` (ref_id, brand, grade: the first that the name states) and ``judgment`` (the last of the case and name); null for none.
+
+    A case's references and judgments meet its products as lists: every join is by case alone, so that relations that
+    are dealt by case are not shuffled.
+    """
+    stated = _stating(references.where("ord is not null")).groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("ord", "ref_id", "brand", "grade", "_brand", "_as"))).alias("_references"))
     last = shortlist.latest(judgments, ["case_id", "product_name"], "seq")
-    last = last.select("case_id", F.col("product_name").alias("name"), F.struct(*[c for c in last.columns if c not in ("case_id", "product_name")]).alias("judgment"))
-    return products.join(first, ["case_id", "pos"], "left").join(last, ["case_id", "name"], "left")
+    last = last.groupBy("case_id").agg(F.collect_list(F.struct("product_name", F.struct(*[c for c in last.columns if c not in ("case_id", "product_name")]).alias("judgment"))).alias("_judgments"))
+    rows = _named(products).join(stated, "case_id", "left").join(last, "case_id", "left")
+    first = F.get(F.filter("_references", lambda r: _states(F.col("_name"), F.col("_tight"), r["_brand"], r["_as"])), F.lit(0))
+    judged = F.get(F.filter("_judgments", lambda j: j["product_name"] == F.col("name")), F.lit(0))
+    out = rows.withColumn("_first", first).select(*products.columns, F.when(F.col("_first").isNotNull(), F.struct(*[F.col("_first")[c].alias(c) for c in ("ref_id", "brand", "grade")])).alias("reference"), judged["judgment"].alias("judgment"))
+    return out
 
 
 def losses(references: DataFrame, funnel: DataFrame) -> DataFrame:
-    """(case_id, ord, ref_id, loss) of strong references: the first stage whose candidates don't name it, else ``returned``."""
-    strong = references.where(F.col("grade") >= STRONG)
-    seen = quality.stages_seen(identified(funnel.distinct(), strong), ["case_id", "ord"], "stage", [s for s, _ in STAGES])
-    loss = quality.loss_stage([(F.col(f"seen_{i}"), name) for i, (_, name) in enumerate(STAGES)])
-    return strong.select("case_id", "ord", "ref_id").join(seen, ["case_id", "ord"], "left").select("case_id", "ord", "ref_id", loss.alias("loss"))
+    """(case_id, ord, ref_id, loss) of strong references: the first stage whose candidates don't name it, else ``returned``.
+
+    A case's candidates meet its references as a list, joined by case alone. A funnel may hold a candidate's stages as a
+    list, in a column ``stages`` in place of ``stage``.
+    """
+    strong = _stating(references.where(F.col("grade") >= STRONG))
+    names = funnel if "stages" in funnel.columns else funnel.groupBy("case_id", "name").agg(F.collect_set("stage").alias("stages"))
+    names = _named(names).groupBy("case_id").agg(F.collect_list(F.struct("_name", "_tight", "stages")).alias("_names"))
+    hits = F.filter("_names", lambda n: _states(n["_name"], n["_tight"], F.col("_brand"), F.col("_as")))
+    seen = strong.join(names, "case_id", "left").withColumn("_seen", F.array_distinct(F.flatten(F.transform(hits, lambda n: n["stages"]))))
+    loss = quality.loss_stage([(F.array_contains("_seen", s), name) for s, name in STAGES])
+    return seen.select("case_id", "ord", "ref_id", loss.alias("loss"))
 
 
 def loss_counts(lost: DataFrame) -> DataFrame:
@@ -203,12 +236,16 @@ def run_metrics(runs: DataFrame) -> DataFrame:
     return one.select(F.inline(F.array(_metric("request_success", F.col("good"), F.col("n")))))
 
 
-def metrics(runs: DataFrame, cases: DataFrame, references: DataFrame, products: DataFrame, funnel: DataFrame, judgments: DataFrame) -> DataFrame:
-    """All metrics as (metric, numerator, denominator, rate), rates with four decimals, null over nothing. Runs of unknown cases count as runs alone."""
+def metrics(runs: DataFrame, cases: DataFrame, references: DataFrame, products: DataFrame, funnel: DataFrame, judgments: DataFrame, buckets: int | None = None) -> DataFrame:
+    """All metrics as (metric, numerator, denominator, rate), rates with four decimals, null over nothing. Runs of unknown cases count as runs alone.
+
+    buckets: the number of parts that the relations are dealt to by case_id, if they are; what is stored here then is too.
+    """
     known = runs.join(cases.select("case_id"), "case_id", "left_semi")
     here = lambda df: df.join(known.select("case_id"), "case_id", "left_semi")
+    keep = lambda df: stored_by(df, "case_id", buckets) if buckets else stored(df)
     # every metric reads them
-    shown, lost = stored(displayed(here(products), references, judgments)), stored(losses(here(references), funnel))
+    shown, lost = keep(displayed(here(products), references, judgments)), keep(losses(here(references), funnel))
     parts = [product_metrics(shown, cases), exact_duplicates(shown), recall_metrics(lost, cases), brand_coverage(known, cases, shown, references), budget_metrics(inversion_pairs(shown, cases)), run_metrics(runs)]
     out = parts[0]
     for p in parts[1:]:

@@ -116,4 +116,4 @@ def enriched(products: DataFrame, listings: DataFrame, on: Sequence[str], produc
 
 def latest(rows: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     """The last row of each key, as a map that is written in order keeps it."""
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), seq).alias("_r")).select("_r.*")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), seq).alias("_r")).select(*[F.col(c if c in keys else f"_r.{c}") for c in rows.columns])

@@ -26,3 +26,19 @@ def stored(df: DataFrame) -> DataFrame:
     path = place(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def buckets(spark: SparkSession, rows: int) -> int:
+    """Parts that so many rows are dealt to by a key: half a million a part, and no fewer parts than a shuffle or two rounds of all cores have."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism, -(-rows // 500_000))
+
+
+def stored_by(df: DataFrame, key: str, n: int) -> DataFrame:
+    """``stored`` in ``n`` buckets of a key: joins and groups by it read them as they were dealt. ``df`` should be dealt to ``n`` parts by that key already, else each part writes a file per bucket."""
+    spark = df.sparkSession
+    name = f"stored_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, key).option("path", place(spark)).saveAsTable(name, format="parquet")
+    out = spark.table(name)
+    # the name is not needed any more; files outside the warehouse stay
+    spark.sql(f"DROP TABLE {name}")
+    return out
