@@ -102,3 +102,17 @@ def test_day_in_utc_whatever_the_zone(spark):
             assert each(spark, [(t,) for t in days], "t string", payloads.utc_day(F.col("t").cast("timestamp"))) == ["2026-01-01", "2025-12-31", "1969-12-31", None]
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_patterns_are_tried_only_where_a_feature_is_spoken_of(spark):
+    by = {f.name: f for f in features.FEATURES}
+    texts = ["a product", "it has a corded plug", "without battery no powered tools needed", "noise of only 45 db", "no tools here"]
+    said = [(t,) for t in texts]
+    assert each(spark, said, "t string", features.spoken_of(F.col("t"), by["cordless"])) == [False, True, True, False, False]
+    assert each(spark, said, "t string", features.spoken_of(F.col("t"), by["quiet"])) == [False, False, True, False, False]
+    # a "no" that is left out joins a name's words; measures count beside names
+    assert [x["status"] for x in each(spark, said, "t string", features.evidence(F.col("t"), by["cordless"]))] == ["needs_verification", "fail", "fail", "needs_verification", "needs_verification"]
+    assert each(spark, said, "t string", features.evidence(F.col("t"), by["quiet"]))[3] == ("pass", "low noise rating: 45 db")
+    # free text whose signs are a pattern's is always tried
+    assert each(spark, [("aab x",)], "t string", features.evidence(F.col("t"), features.free_text("a+b x"))["status"]) == ["needs_verification"]
+    assert each(spark, [("aab x",)], "t string", features.spoken_of(F.col("t"), features.free_text("a+b x"))) == [True]
