@@ -7,10 +7,10 @@ import re
 import sys
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .text import bound
 
 # Words of accessories, of variants, words that name no model, and units after a number.
 ACCESSORIES = "replacement compatible accessory accessories bundle combo kit case cover charger battery filter carafe lid mount stand attachment adapter spare repair sleeve protector strap cable bag refill".split()
@@ -60,57 +60,76 @@ def evaluated(c: Column) -> Column:
 
 def title_tokens(c: Column) -> Column:
     """Words of a title: no accents or apostrophes; hyphens and dots inside a word are left out."""
-    plain = F.regexp_replace(F.lower(F.regexp_replace(folded(c), r"[̀-ͯ]", "")), "['’]", "")
-    return F.transform(F.regexp_extract_all(plain, F.lit("[a-z0-9]+(?:[-.][a-z0-9]+)*"), F.lit(0)), lambda t: F.regexp_replace(t, "[-.]", ""))
-
-
-def _places(expected: list[str], actual: list[str]) -> list[bool] | None:
-    """Which of ``actual`` the expected words take, each word the first place that it can; None if one finds none."""
-    spans: dict[str, range] = {}
-    for at in range(len(actual)):
-        for end in range(at + 1, min(at + _JOINED, len(actual)) + 1):
-            spans.setdefault("".join(actual[at:end]), range(at, end))
-    alone = {word: range(i, i + 1) for i, word in reversed(list(enumerate(actual)))}
-    taken: set[int] = set()
-    at = 0
-    while at < len(expected):
-        for end in range(at + 1, min(at + _JOINED, len(expected)) + 1):
-            word = "".join(expected[at:end])
-            # only codes of letters and digits may be joined or split: wh-1000 xm5, wh1000xm5
-            code = re.search("[a-z]", word) and re.search("[0-9]", word)
-            span = spans.get(word) if code else alone.get(word) if end == at + 1 else None
-            if span:
-                taken.update(span)
-                at = end
-                break
-        else:
-            return None
-    return [i in taken for i in range(len(actual))]
-
-
-@F.pandas_udf(T.ArrayType(T.BooleanType()))
-def model_places(expected: pd.Series, actual: pd.Series) -> pd.Series:
-    return pd.Series([None if e is None or a is None else _places(list(e), list(a)) for e, a in zip(expected, actual)], dtype=object)
+    plain = F.when(F.length(c) == F.octet_length(c), c).otherwise(F.regexp_replace(folded(c), r"[̀-ͯ]", ""))
+    for apostrophe in "'’":
+        plain = F.replace(plain, F.lit(apostrophe), F.lit(""))
+    return F.transform(F.regexp_extract_all(F.lower(plain), F.lit("[a-z0-9]+(?:[-.][a-z0-9]+)*"), F.lit(0)), lambda t: F.translate(t, "-.", ""))
 
 
-def matches_model(name: Column, title: Column) -> Column:
-    """Whether a title is the named model's: two words of identity, all expected words, nothing that makes it another item.
+def _runs(words: Column) -> Column:
+    """At each word an array of it alone, with the next one, and with the next two as one word; null beyond the end."""
 
-    Other items: accessories, variants, packs, further numbers that are no measure. Null, blank and titles of over 400
-    characters match nothing.
+    def run(word: Column, i: Column) -> Column:
+        runs = [word]
+        for k in range(1, _JOINED):
+            runs.append(F.concat(runs[-1], F.get(words, i + k)))
+        return F.array(*runs)
+
+    return F.transform(words, run)
+
+
+def model_places(expected: Column, actual: Column) -> Column:
+    """Numbers, from 0, of the words of ``actual`` that the expected words take, each the first place that it can; null if one finds none.
+
+    Only codes of letters and digits may be joined or split: wh-1000 xm5, wh1000xm5. Every expression is Spark's: words
+    need not be copied to Python and back.
     """
-    expected, actual = title_tokens(name), title_tokens(title)
+    spans, asked = F.flatten(_runs(actual)), F.transform(_runs(expected), lambda words, i: F.struct(i.alias("i"), words.alias("words")))
+
+    def step(s: Column, x: Column, spans: Column) -> Column:
+        def found(k: int) -> Column:
+            word = F.get(x["words"], F.lit(k))
+            # of words that are no codes only single ones, which are each third span
+            alone = F.array_position(actual, word) * _JOINED - (_JOINED - 1) if k == 0 else F.lit(0)
+            place = F.when(word.rlike("[a-z]") & word.rlike("[0-9]"), F.array_position(spans, word)).otherwise(alone).cast("int") - 1
+
+            def taking(p: Column) -> Column:
+                first = F.floor(p / _JOINED).cast("int")
+                return F.when(p >= 0, F.struct((x["i"] + k + 1).alias("next"), F.concat(s["taken"], F.sequence(first, first + p % _JOINED)).alias("taken")))
+
+            return bound(place, taking)
+
+        lost = F.struct(F.lit(-1).alias("next"), s["taken"].alias("taken"))
+        return F.when(s["next"] != x["i"], s).otherwise(F.coalesce(*[found(k) for k in range(_JOINED)], lost))
+
+    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("taken"))
+    done = lambda s: F.when(s["next"] == F.size(expected), s["taken"])
+    return bound(spans, lambda spans: F.aggregate(asked, start, lambda s, x: step(s, x, spans), done))
+
+
+def _same_item(expected: Column, actual: Column) -> Column:
     array = lambda words: F.array(*[F.lit(w) for w in words])
     identity = F.filter(expected, lambda t: ~t.isin(*GENERIC))
     extra = F.arrays_overlap(F.array_except(actual, expected), array(ACCESSORIES + VARIANTS))
-    pack = title.rlike(r"(?i)\b(?:pack|set)\s+of\s+\d|\b\d+\s*[- ]?pack\b|\s\+\s") & ~name.rlike(r"(?i)\b(?:pack|set)\b|\s\+\s")
-    taken = model_places(expected, actual)
-    # no Python function may stand inside a lambda: words, the ones after them and their marks go in as arrays
-    words = F.arrays_zip(actual.alias("word"), F.slice(actual, 2, F.greatest(F.size(actual), F.lit(1))).alias("after"), taken.alias("taken"))
 
-    def foreign(x: Column) -> Column:
-        measure = F.regexp_replace(x["word"], r"^\d+", "").isin(*UNITS) | (x["word"].rlike(r"^\d+$") & F.coalesce(x["after"], F.lit("")).isin(*UNITS))
-        return ~x["taken"] & x["word"].rlike(r"\d") & ~measure
+    def foreign(taken: Column, word: Column, i: Column) -> Column:
+        after = F.coalesce(F.get(actual, i + 1), F.lit(""))
+        measure = F.regexp_replace(word, r"^\d+", "").isin(*UNITS) | (word.rlike(r"^\d+$") & after.isin(*UNITS))
+        return word.rlike(r"\d") & ~F.array_contains(taken, i) & ~measure
 
-    good = (F.trim(title) != "") & (F.length(title) <= 400) & (F.size(identity) >= 2) & taken.isNotNull() & ~extra & ~pack & ~F.exists(words, foreign)
+    none_foreign = lambda taken: taken.isNotNull() & (F.size(F.filter(actual, lambda word, i: foreign(taken, word, i))) == 0)
+    # no word is expected that the title's letters don't hold in one piece: most other models end here
+    held = bound(F.array_join(actual, ""), lambda letters: F.forall(expected, lambda word: F.contains(letters, word)))
+    return (F.size(identity) >= 2) & ~extra & held & bound(model_places(expected, actual), none_foreign)
+
+
+def matches_model(name: Column, title: Column) -> Column:
+    """Whether a title is the named model's: two words of identity, all expected words, nothing that makes it another item.
+
+    Other items: accessories, variants, packs, further numbers that are no measure. Null, blank and titles of over 400
+    characters match nothing.
+    """
+    pack = title.rlike(r"(?i)\b(?:pack|set)\s+of\s+\d|\b\d+\s*[- ]?pack\b|\s\+\s") & ~name.rlike(r"(?i)\b(?:pack|set)\b|\s\+\s")
+    words = F.struct(title_tokens(name).alias("expected"), title_tokens(title).alias("actual"))
+    good = (F.trim(title) != "") & (F.length(title) <= 400) & ~pack & bound(words, lambda w: _same_item(w["expected"], w["actual"]))
     return F.coalesce(good, F.lit(False))

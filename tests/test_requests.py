@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from briefloom.functions import features, payloads, requests, text, titles
+from briefloom.functions import features, images, payloads, requests, text, titles
 from briefloom.operators import adjudication
 
 GOOD = {"id": "a", "name": "Width", "type": "number", "operator": "lte", "value": 30, "unit": "in", "required": True, "source": "smart_features"}
@@ -116,3 +116,38 @@ def test_patterns_are_tried_only_where_a_feature_is_spoken_of(spark):
     # free text whose signs are a pattern's is always tried
     assert each(spark, [("aab x",)], "t string", features.evidence(F.col("t"), features.free_text("a+b x"))["status"]) == ["needs_verification"]
     assert each(spark, [("aab x",)], "t string", features.spoken_of(F.col("t"), features.free_text("a+b x"))) == [True]
+
+
+def _places(expected, actual):
+    """The rule as a loop: each expected word takes the first place that it can."""
+    spans, taken, at = {}, set(), 0
+    for i in range(len(actual)):
+        for end in range(i + 1, min(i + 3, len(actual)) + 1):
+            spans.setdefault("".join(actual[i:end]), range(i, end))
+    while at < len(expected):
+        for end in range(at + 1, min(at + 3, len(expected)) + 1):
+            word = "".join(expected[at:end])
+            code = any(c.isalpha() for c in word) and any(c.isdigit() for c in word)
+            span = spans.get(word) if code else range(actual.index(word), actual.index(word) + 1) if end == at + 1 and word in actual else None
+            if span:
+                taken.update(span)
+                at = end
+                break
+        else:
+            return None
+    return sorted(taken)
+
+
+def test_places_of_a_model(spark):
+    r = random.Random(3)
+    rows = [([r.choice("a b 1 2 a1 1a b2 ab".split()) for _ in range(r.randint(0, 4))], [r.choice("a b 1 2 a1 1a b2 ab".split()) for _ in range(r.randint(0, 7))]) for _ in range(3000)]
+    got = each(spark, rows, "e array<string>, a array<string>", F.array_sort(F.array_distinct(titles.model_places(F.col("e"), F.col("a")))))
+    assert got == [_places(e, a) for e, a in rows]
+
+
+def test_titles_need_no_python_and_links_as_written_no_parser(spark):
+    plan = spark.createDataFrame([("a", "b")], "n string, t string").where(titles.matches_model(F.col("n"), F.col("t")))._jdf.queryExecution().toString()
+    assert "EvalPython" not in plan
+    tail, source = "gstatic.com/shopping?q=", "https://a-b.com/p?x=1"
+    urls = [(f"https://encrypted-tbn0.{tail}tbn:1", source, True), (f"HTTPS://encrypted-tbn0.{tail}%41", source, True), (f"https://encrypted-tbn4.{tail}1", source, False), (f"https://encrypted-tbn0.{tail}1\n", source, False), (f"https://encrypted-tbn0.{tail}1", "https://a.test/p", False), (f"https://encrypted-tbn0.{tail}1", "https://a-.com/p", False), (f"https://encrypted-tbn0.{tail}1", "https://a.com\n", False)]
+    assert each(spark, [u[:2] for u in urls], "u string, s string", images.product_image(F.col("u"), F.col("s"), F.lit("t"), F.lit(None).cast("string"))) == [u[2] for u in urls]
