@@ -58,9 +58,13 @@ def known_brands(text: Column) -> Column:
     """Brands that a text names, in order of the dictionary, which is one literal array: no join, and a short expression."""
     names = [(" ".join("".join(c if c.isalnum() else " " for c in n.lower()).split()), canonical) for canonical, aliases in D.BRANDS for n in dict.fromkeys((canonical, *aliases))]
     column = lambda i: F.split(F.lit("\n".join(n[i] for n in names)), "\n")
-    listed = F.arrays_zip(column(0).alias("alias"), column(1).alias("brand"))
+    dense = F.split(F.lit("\n".join(n[0].replace(" ", "") for n in names)), "\n")
+    listed = F.arrays_zip(column(0).alias("alias"), column(1).alias("brand"), dense.alias("dense"))
+    form = lambda t, x: F.when(x["brand"] == "HP", t["hp"]).otherwise(t["plain"])
+    # what a text shows, it also holds with spaces left out: one search for most of the dictionary
+    shown = lambda t, x: F.contains(form(t, x)["tight"], x["dense"]) & _shows(form(t, x), x["alias"])
     both = F.struct(_forms(text).alias("plain"), _forms(brand_evidence(text, F.lit("HP"))).alias("hp"))
-    return bound(both, lambda t: F.array_distinct(F.transform(F.filter(listed, lambda x: _shows(F.when(x["brand"] == "HP", t["hp"]).otherwise(t["plain"]), x["alias"])), lambda x: x["brand"])))
+    return bound(both, lambda t: F.array_distinct(F.transform(F.filter(listed, lambda x: shown(t, x)), lambda x: x["brand"])))
 
 
 def inferred_brand(text: Column) -> Column:

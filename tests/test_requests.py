@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from briefloom.functions import features, images, payloads, requests, text, titles
+from briefloom.functions import brands, features, images, payloads, requests, text, titles
 from briefloom.operators import adjudication
 
 GOOD = {"id": "a", "name": "Width", "type": "number", "operator": "lte", "value": 30, "unit": "in", "required": True, "source": "smart_features"}
@@ -151,3 +151,9 @@ def test_titles_need_no_python_and_links_as_written_no_parser(spark):
     tail, source = "gstatic.com/shopping?q=", "https://a-b.com/p?x=1"
     urls = [(f"https://encrypted-tbn0.{tail}tbn:1", source, True), (f"HTTPS://encrypted-tbn0.{tail}%41", source, True), (f"https://encrypted-tbn4.{tail}1", source, False), (f"https://encrypted-tbn0.{tail}1\n", source, False), (f"https://encrypted-tbn0.{tail}1", "https://a.test/p", False), (f"https://encrypted-tbn0.{tail}1", "https://a-.com/p", False), (f"https://encrypted-tbn0.{tail}1", "https://a.com\n", False)]
     assert each(spark, [u[:2] for u in urls], "u string, s string", images.product_image(F.col("u"), F.col("s"), F.lit("t"), F.lit(None).cast("string"))) == [u[2] for u in urls]
+
+
+def test_brands_that_stand_only_without_horsepower_or_spaces(spark):
+    said = [("HP laptop",), ("a 5 hp motor",), ("de 5 hp walt drill",), ("a DeWalt and an hp laptop",), (None,)]
+    assert each(spark, said, "t string", F.array_contains(brands.known_brands(F.coalesce(F.col("t"), F.lit(""))), "HP")) == [True, False, False, True, False]
+    assert each(spark, said, "t string", F.array_contains(brands.known_brands(F.coalesce(F.col("t"), F.lit(""))), "DeWalt")) == [False, False, False, True, False]
