@@ -13,7 +13,7 @@ from .brands import known_brands
 from .categories import base_category
 from .text import bound, js_round, meaning, plain, requirement, strip
 
-__all__ = ["bed_size", "budget_rule", "category_group", "inline_amount", "known_brands", "money_amount", "named_values", "premium_cap", "range_max", "selected_sizes", "size_array", "size_constraints"]
+__all__ = ["base_group", "bed_size", "budget_rule", "category_group", "inline_amount", "known_brands", "money_amount", "named_values", "premium_cap", "range_max", "selected_sizes", "size_array", "size_constraints"]
 
 # Amounts, and units that make an amount no price.
 _AMOUNT = r"([\d,]+(?:\.\d+)?)"
@@ -74,6 +74,11 @@ def budget_rule(budget: Column, priorities: Column, query: Column) -> Column:
 
 def category_group(category: Column) -> Column:
     """The first group one of whose terms the text contains, what ``base_category`` leaves out aside; else general."""
+    return base_group(base_category(category))
+
+
+def base_group(base: Column) -> Column:
+    """The same of a text that ``base_category`` has made."""
 
     def of(text: Column) -> Column:
         out = F.lit("general")
@@ -82,7 +87,7 @@ def category_group(category: Column) -> Column:
         return out
 
     # the text is made once, not once per term
-    return bound(plain(base_category(category)), of)
+    return bound(plain(base), of)
 
 
 def premium_cap(amount: Column, group: Column) -> Column:

@@ -23,7 +23,8 @@ SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'sofa' WHEN 1 THEN 'desk for' W
 def base_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = """CASE p_partkey % 5 WHEN 0 THEN concat('Best black sofa under $', p_size, ',000') WHEN 1 THEN concat('desk under ', p_size, ' inches wide for sale') WHEN 2 THEN 'left-facing grey  sectional' WHEN 3 THEN 'best deals'
       ELSE concat('top rated air fryer at least ', p_size, ' inches') END AS q"""
-    return _part(spark, sf_dir, q).select("p_partkey", categories.base_category(F.col("q")).alias("base"), briefs.category_group(F.col("q")).alias("category"))
+    rows = _part(spark, sf_dir, q).select("p_partkey", categories.base_category(F.col("q")).alias("base"))
+    return rows.select("p_partkey", "base", briefs.base_group(F.col("base")).alias("category"))
 
 
 @query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'couch' WHEN 1 THEN 'sleeper sofa' WHEN 2 THEN 'tv stand' ELSE 'brand ' || p_size END AS key, CASE p_partkey % 4 WHEN 0 THEN 'Seats' WHEN 2 THEN 'Width,Shelves' END AS names FROM part")

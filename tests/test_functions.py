@@ -6,9 +6,10 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from briefloom.functions import briefs, requests, specs
+from briefloom.functions import briefs, categories, requests, specs
 from briefloom.functions import dictionaries as D
 from briefloom.operators import shortlist
+from briefloom.plans import queries
 
 
 def one(spark, text, f):
@@ -77,6 +78,17 @@ def test_a_category_is_read_once(spark):
     assert _regexes(spark, lambda t: briefs.premium_cap(F.lit(10.0), briefs.category_group(t))) < 30
 
 
+def test_base_categories_make_the_base_once(spark):
+    plan = queries.queries()["base_categories"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("|taupe|") == 1  # the pattern of colours
+
+
+def test_groups_of_bases_are_groups_of_their_searches(spark):
+    texts = ["Best black sofa under $2,000", "desk under 30 inches wide for sale", "carpet cleaner", "black", "best deals", "  ", "", None, "R&D laptop & left-facing", "best for sale for sale"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(briefs.category_group(F.col("t")).alias("a"), categories.base_category(F.col("t")).alias("base"))
+    assert all(r["a"] == r["b"] for r in rows.select("a", briefs.base_group(F.col("base")).alias("b")).collect())
+
+
 def test_a_selected_feature_is_read_once(spark):
     made = lambda t: requests.selected_feature(t, t, F.lit("number"), F.lit("in"), F.array(F.lit("equals")), t)
     assert _regexes(spark, made) < 60 and _regexes(spark, lambda t: briefs.selected_sizes(made(t))) < 80
